@@ -6,6 +6,8 @@ rules act on UTF-8 bytes and never split or alter a multi-byte character.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -121,3 +123,8 @@ def whole_windows(off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(n)), n)
     first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
     return np.arange(len(doc)) - np.repeat(first, n) + np.repeat(off[:-1], n), doc
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, across tasks."""
+    return sys.modules.setdefault("_corpusgraph_worker", types.ModuleType("_corpusgraph_worker")).__dict__

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op5_chat_formatting
+from .media import op8_media_columns
 from .sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
+    "op8_media_columns": op8_media_columns,
 }
 
 #: DuckDB SQL where it can express the whole result.
