@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op5_chat_formatting
 from .media import op8_media_columns
+from .neardup import op4_minhash_dedup
 from .sharding import op6_sharding
 from .substring import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
     "op7_substring_dedup": op7_substring_dedup,
