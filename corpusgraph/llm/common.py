@@ -128,3 +128,17 @@ def whole_windows(off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_corpusgraph_worker", types.ModuleType("_corpusgraph_worker")).__dict__
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled documents whose key is not held out (crc32 mod 5 is not 0).
+
+    The labels are drawn by hash of the id, so the bound holds before texts are read and the draw is the same at any
+    partitioning; the drawn ids, `rows` at most, are broadcast.
+    """
+    drawn = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (key_mod("doc_id") != 0))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")

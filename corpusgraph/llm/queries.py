@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op5_chat_formatting
 from .media import op8_media_columns
 from .neardup import op4_minhash_dedup
+from .quality import op10_quality_classifier
 from .sharding import op6_sharding
 from .substring import op7_substring_dedup
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_dedup": op4_minhash_dedup,
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_media_columns": op8_media_columns,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 #: DuckDB SQL where it can express the whole result.
