@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op5_chat_formatting
+from .decontam import op3_decontamination
 from .media import op8_media_columns
 from .neardup import op4_minhash_dedup
 from .quality import op10_quality_classifier
@@ -15,6 +16,7 @@ from .substring import op7_substring_dedup
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
