@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, pieces_of, table
 
-Q, RATE, STRETCH, BITS = 8, 0.08, 128, 22
+Q, RATE, STRETCH, BITS = 10, 0.06, 128, 22
 SPREAD = U64(0x9E3779B97F4A7C15)
 
 
@@ -48,10 +48,14 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(cp: np.ndarray) -> np.ndarray:
-    """The q-gram at each place, as eight folded bytes: equal q-grams are equal, others nearly always differ."""
+    """The q-gram at each place as a number, from its first and last eight characters folded to bytes: equal q-grams
+    are equal, others nearly always differ."""
     folded = ((cp ^ (cp >> 8) ^ (cp >> 16) * 7) & 255).astype(np.uint8)
     n = len(folded) - Q + 1
-    return np.ndarray((max(n, 0),), "<u8", folded.tobytes(), strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
+    if n <= 0:
+        return np.zeros(0, U64)
+    eight = np.ndarray((len(folded) - 7,), "<u8", folded.tobytes(), strides=(1,))
+    return eight[:n] * SPREAD + eight[Q - 8 :]
 
 
 @dataclass
@@ -98,6 +102,10 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tu
 
     Each row of the band holds, by diagonal, the edits and the start of the best passage that ends there.
     """
+    first, last = max(low, 0), min(high + len(item), len(text))
+    same = text[first:last].tobytes().find(item.tobytes())
+    if same >= 0 and same % 4 == 0:  # no edits at all
+        return 0, first + same // 4, first + same // 4 + len(item)
     width = high - low + 1
     far = k + 1
     diag = low + np.arange(width)
@@ -131,10 +139,12 @@ def _bands(items: Items, place: np.ndarray, cp_at: np.ndarray):
     half = items.budget[item] + 1
     cell = diag // half
     # A band is two neighbouring cells; count each cell once for the band it begins and once for the one it ends.
-    key = np.concatenate([np.stack([item, cell], 1), np.stack([item, cell - 1], 1)])
-    band, count = np.unique(key, axis=0, return_counts=True)
-    good = band[count >= items.bound[band[:, 0]]]
-    for i, c in good.tolist():
+    least = int(cell.min()) - 1
+    wide = int(cell.max()) - least + 1
+    key = item * wide + cell - least
+    band, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+    for i, c in zip(*divmod(band[count >= items.bound[band // wide]], wide), strict=True):
+        i, c = int(i), int(c) + least
         h = int(items.budget[i]) + 1
         yield i, c * h, c * h + 2 * h - 1
 
@@ -160,9 +170,8 @@ def _hits(items: Items, cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
         dense = np.zeros(int(total[-1] >= items.need), np.int64)
     if not len(dense):
         return none
-    mark = np.zeros(len(g) + 1, np.int32)
-    np.add.at(mark, np.maximum(dense - items.reach, 0), 1)
-    np.add.at(mark, np.minimum(dense + STRETCH + items.reach, len(g)), -1)
+    mark = np.bincount(np.maximum(dense - items.reach, 0), minlength=len(g) + 1)
+    mark -= np.bincount(np.minimum(dense + STRETCH + items.reach, len(g)), minlength=len(g) + 1)
     at = np.flatnonzero(hit & (np.cumsum(mark)[:-1] > 0))
     left, right = np.searchsorted(items.gram, g[at], "left"), np.searchsorted(items.gram, g[at], "right")
     ok = right > left
