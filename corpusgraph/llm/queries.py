@@ -10,12 +10,14 @@ from .chat import op5_chat_formatting
 from .decontam import op3_decontamination
 from .media import op8_media_columns
 from .neardup import op4_minhash_dedup
+from .pieces import op1_sentencepiece
 from .quality import op10_quality_classifier
 from .sharding import op6_sharding
 from .substring import op7_substring_dedup
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_formatting": op5_chat_formatting,
