@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op5_chat_formatting
 from .decontam import op3_decontamination
+from .lm import op2_lm_scoring
 from .media import op8_media_columns
 from .neardup import op4_minhash_dedup
 from .pieces import op1_sentencepiece
@@ -18,6 +19,7 @@ from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_formatting": op5_chat_formatting,
