@@ -225,16 +225,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block_ch
     """(doc_id, item_id, edits, start, end) for each passage of a document within the edit budget of an item."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, start long, end long")
+    for got in _blocks(items, rate, block_chars):
+        out = out.unionByName(rows.mapInArrow(_search(got), "doc_id long, item_id long, edits int, start long, end long"))
+    return out
+
+
+def _blocks(items: DataFrame, rate: float, block_chars: int) -> list[Items]:
+    """The items' tables, by blocks of a bounded number of characters."""
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks, out = max(1, -(-size // block_chars)), []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        got = index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r)), rate)
+        got = index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), rate)
         if got is not None:
-            out = out.unionByName(rows.mapInArrow(_search(got), "doc_id long, item_id long, edits int, start long, end long"))
+            out.append(got)
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block_chars: int = 4 << 20, text_col: str = "text") -> DataFrame:
+    """The documents that hold no passage of an item; each block of items filters what the one before left, in one scan."""
+    at = docs.columns.index(text_col)
+    for items in _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), rate, block_chars):
+
+        def run(batches, items=items):
+            search = _search(items)
+            for b in pieces_of(batches, at, limit=1 << 20):
+                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], ["row", "text"])
+                clean = np.ones(b.num_rows, bool)
+                for found in search(iter([numbered])):
+                    clean[found.column(0).to_numpy()] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

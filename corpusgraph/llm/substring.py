@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, pieces_of, shuffle_partitions, split_words, table, whole_windows, window_hashes, word_hashes
 
@@ -199,12 +200,13 @@ def _later(batches):
 
 def _cut(window: int):
     names = ["doc_id", "n_words", "n_removed", "spans", "kept"]
+    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.string()]
 
     def run(batches):
-        span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         for b in pieces_of(batches, 1):
-            rows = []
-            for key, text, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            rows, more = [], b.schema.names[2:-1]
+            for key, text, marks in zip(*(b.column(i).to_pylist() for i in (0, 1, -1)), strict=True):
                 words = (text or "").encode().split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 for at in marks or ():
@@ -218,8 +220,8 @@ def _cut(window: int):
                 if spans:
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 rows.append((key, len(gone), int(gone.sum()), spans, b" ".join(words).decode()))
-            cols = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), span, pa.string()], strict=True)], names)
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, *(b.column(c) for c in more)], [*names, *more])
 
     return run
 
@@ -228,22 +230,23 @@ def _spread(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "part").sortWithinPartitions("part")
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, spans (maximal repeats removed: start and length in words), kept
-    (the words left, joined by one space). Whole texts, as many rows as came in."""
+    (the words left, joined by one space), then the carried columns as in_<name>. As many rows as came in."""
     if 2 * block - 1 > window:
         raise ValueError("a window must contain a whole block wherever it starts")
     parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"in_{c}") for c in carry))
     # Rows without an id are spread at random; the same exchange of texts serves both joins below.
     dealt = rows.repartition(parts, "doc_id")
     marks = lambda df: df.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
-    found = _spread(rows.mapInArrow(_probes(parts, window, block), PACKED), parts).mapInArrow(_anchors, "doc_id long, at binary")
-    windows = dealt.join(marks(found).hint("shuffle_hash"), "doc_id").mapInArrow(_around(parts, window, block), PACKED)
+    found = _spread(rows.select("doc_id", "text").mapInArrow(_probes(parts, window, block), PACKED), parts).mapInArrow(_anchors, "doc_id long, at binary")
+    windows = dealt.join(marks(found).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks").mapInArrow(_around(parts, window, block), PACKED)
     late = _spread(windows, parts).mapInArrow(_later, "doc_id long, at binary")
-    return dealt.join(marks(late).hint("shuffle_hash"), "doc_id", "left").mapInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept string"
-    )
+    out = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept string")
+    carried = [f for f in rows.schema.fields if f.name.startswith("in_")]
+    return dealt.join(marks(late).hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(window), T.StructType([*out.fields, *carried]))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
