@@ -1,10 +1,411 @@
-"""Queries over the supplied tables, one per operator, each with the DuckDB SQL it must equal."""
+"""Queries over the supplied tables, one per operator, each with the DuckDB SQL it must equal.
+
+Stand-ins: documents are the corpus, embeddings (vec_id = doc_id) its vectors, benchmark items the queries (their vector
+is that of vec_id = item_id), labels the relevance, and documents of one source or language linked by id the graph.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import evaluate, graph, incremental, ranking
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+
+
+def _queries(spark, sf):
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return q.join(v, "query_id", "left")
+
+
+def _vectors(spark, sf):
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+
+
+def _doc_edges(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang")
+    o = d.select(F.col("doc_id").alias("dst"), F.col("source").alias("s2"), F.col("lang").alias("l2"))
+    pair = lambda step, a, b, rel: d.join(o, (F.col("doc_id") + step == F.col("dst")) & (F.col(a) == F.col(b))).select(F.col("doc_id").alias("src"), "dst", F.lit(rel).alias("rel_type"))
+    return pair(20, "source", "s2", "CALLS").unionByName(pair(1, "lang", "l2", "DEPENDS_ON"))
+
+
+def _corpus(spark, sf) -> pipelines.Corpus:
+    return pipelines.Corpus(_docs(spark, sf), _vectors(spark, sf), _doc_edges(spark, sf))
+
+
+def _vector_queries(spark, sf):
+    return _queries(spark, sf).where("embedding IS NOT NULL")
+
+
+# --- SQL building blocks -------------------------------------------------------------------------------------------
+
+_TOK = r"regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{N}_]{2,}')"
+_BM25 = rf"""
+cut AS (SELECT doc_id AS node_id, {_TOK} AS terms FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM cut),
+wanted AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark),
+post AS (SELECT node_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT node_id, len(terms) AS dl, unnest(terms) AS term FROM cut) GROUP BY node_id, term),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+       FROM post JOIN wanted USING (term) JOIN df USING (term), stats GROUP BY query_id, node_id),
+bmr AS (SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank, score FROM bm)"""
+_VEC = """
+ve AS (SELECT e.vec_id AS node_id, q.item_id AS query_id,
+       round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS score
+       FROM embeddings e, benchmark q JOIN embeddings x ON x.vec_id = q.item_id),
+ver AS (SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank, score FROM ve)"""
+_EDGES = """
+dedges AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source
+           UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang),
+both_ways AS (SELECT src AS a, dst AS b FROM dedges UNION SELECT dst, src FROM dedges)"""
+_RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank"
+
+
+def _rrf_sql(lists: list[str], k: int) -> str:
+    union = " UNION ALL ".join(f"SELECT query_id, node_id, rank FROM {x}" for x in lists)
+    return f"SELECT query_id, node_id, {_RANK}, score FROM (SELECT query_id, node_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM ({union}) GROUP BY ALL) QUALIFY rank <= {k}"
+
+
+def _expand_sql(name: str, k: int, most: int = 50) -> str:
+    """CTEs seeds_<name> and <name>: BM25 to k, then neighbours."""
+    return f"""
+seeds_{name} AS (SELECT * FROM bmr WHERE rank <= {k}),
+near_{name} AS (SELECT s.query_id, w.b AS node_id, min(s.rank) AS via FROM seeds_{name} s JOIN both_ways w ON w.a = s.node_id
+    WHERE w.b <> s.node_id AND NOT EXISTS (SELECT 1 FROM seeds_{name} z WHERE z.query_id = s.query_id AND z.node_id = w.b) GROUP BY ALL),
+{name} AS (SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY later, via, node_id) AS INT) AS rank, score
+    FROM (SELECT query_id, node_id, score, 0 AS later, rank AS via FROM seeds_{name} UNION ALL SELECT query_id, node_id, 0.5, 1, via FROM near_{name})
+    QUALIFY rank <= {most})"""
+
+
+def _rerank_sql(hits: str, k: int) -> str:
+    return f"""SELECT query_id, node_id, {_RANK}, score FROM (SELECT h.query_id, h.node_id,
+        round(len(list_intersect(q.t, d.t)) / greatest(len(q.t), 1), 6) AS score FROM {hits} h
+        JOIN (SELECT item_id, list_distinct({_TOK}) AS t FROM benchmark) q ON q.item_id = h.query_id
+        JOIN (SELECT doc_id, list_distinct({_TOK}) AS t FROM documents) d ON d.doc_id = h.node_id) QUALIFY rank <= {k}"""
+
+
+# --- lexical, vector, fusion, pipelines ----------------------------------------------------------------------------
+
+
+@query(rf"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_TOK} AS t FROM documents)")
+def token_stats(spark, sf):
+    t = X.tokens(F.col("text"))
+    return _t(spark, sf, "documents").select("doc_id", t.alias("t")).select(
+        "doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct")
+    )
+
+
+@query(f"WITH {_BM25} SELECT * FROM bmr WHERE rank <= 10")
+def bm25_topk(spark, sf):
+    return pipelines.retrieve("bm25", _corpus(spark, sf), _queries(spark, sf), k=10)
+
+
+@query(f"WITH {_VEC} SELECT * FROM ver WHERE rank <= 10")
+def vector_topk(spark, sf):
+    return pipelines.retrieve("vector", _corpus(spark, sf), _vector_queries(spark, sf), k=10)
+
+
+@query(f"WITH {_VEC} SELECT * FROM ver WHERE rank <= 20 AND score >= 0.3")
+def vector_cutoff(spark, sf):
+    return pipelines.retrieve("vector", _corpus(spark, sf), _vector_queries(spark, sf), k=20, cutoff=0.3)
+
+
+@query(f"WITH {_VEC}, {_BM25}, v AS (SELECT * FROM ver WHERE rank <= 30), b AS (SELECT * FROM bmr WHERE rank <= 30) {_rrf_sql(['v', 'b'], 10)}")
+def hybrid_rrf(spark, sf):
+    return pipelines.retrieve("hybrid_rrf", _corpus(spark, sf), _vector_queries(spark, sf), k=10)
+
+
+@query(f"WITH {_BM25}, {_EDGES}, {_expand_sql('x', 10)} SELECT * FROM x")
+def bm25_graph_expanded(spark, sf):
+    return pipelines.retrieve("bm25_graph_expanded", _corpus(spark, sf), _queries(spark, sf), k=10)
+
+
+@query(f"WITH {_BM25}, h AS (SELECT * FROM bmr WHERE rank <= 30) {_rerank_sql('h', 10)}")
+def rerank_overlap(spark, sf):
+    return pipelines.retrieve("bm25_reranked", _corpus(spark, sf), _queries(spark, sf), k=10)
+
+
+@query(f"WITH {_BM25}, {_EDGES}, {_expand_sql('x', 30)} {_rerank_sql('x', 10)}")
+def bm25_graph_expanded_reranked(spark, sf):
+    return pipelines.retrieve("bm25_graph_expanded_reranked", _corpus(spark, sf), _queries(spark, sf), k=10)
+
+
+@query(f"WITH {_VEC}, h AS (SELECT v.* FROM ver v JOIN documents ON doc_id = node_id WHERE rank <= 30) {_rerank_sql('h', 10)}")
+def vector_reranked(spark, sf):
+    return pipelines.retrieve("vector_reranked", _corpus(spark, sf), _vector_queries(spark, sf), k=10)
+
+
+@query(f"WITH {_VEC}, {_BM25}, v AS (SELECT * FROM ver WHERE rank <= 30), b AS (SELECT * FROM bmr WHERE rank <= 30), f AS ({_rrf_sql(['v', 'b'], 30)}) {_rerank_sql('f', 10)}")
+def hybrid_rrf_reranked(spark, sf):
+    return pipelines.retrieve("hybrid_rrf_reranked", _corpus(spark, sf), _vector_queries(spark, sf), k=10)
+
+
+_FUSED = f"{_VEC}, {_BM25}, {_EDGES}, {_expand_sql('x', 30)}, v AS (SELECT * FROM ver WHERE rank <= 30)"
+
+
+@query(f"WITH {_FUSED} {_rrf_sql(['x', 'v'], 20)}")
+def graph_hybrid_rrf(spark, sf):
+    c, q = _corpus(spark, sf), _vector_queries(spark, sf)
+    return ranking.rrf([graph.expand(ranking.bm25(c.docs, q, 30), c.edges), ranking.vector(c.vectors, q, 30)], 20)
+
+
+@query(f"WITH {_FUSED}, f AS ({_rrf_sql(['x', 'v'], 20)}) {_rerank_sql('f', 10)}")
+def bm25_graph_vector_rrf_reranked(spark, sf):
+    return pipelines.retrieve("hybrid_graph_expanded", _corpus(spark, sf), _vector_queries(spark, sf), k=10)
+
+
+# --- adaptive selection --------------------------------------------------------------------------------------------
+
+
+def _adaptive_sql(ctes: str, hits: str, target: float, tau: float, budget: float, price: float) -> str:
+    return f"""WITH {ctes}, h0 AS (SELECT query_id, rank, score, coalesce(length(text), 0) AS chars FROM ({hits}) JOIN documents ON doc_id = node_id),
+h1 AS (SELECT *, exp(score / {tau} - max(score / {tau}) OVER (PARTITION BY query_id)) AS e, count(*) OVER (PARTITION BY query_id) AS n FROM h0),
+h2 AS (SELECT *, e / sum(e) OVER (PARTITION BY query_id) AS p FROM h1),
+h3 AS (SELECT *, sum(p) OVER w AS cm, (sum(chars) OVER w + rank - 1) // 4 AS tokens FROM h2 WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+h4 AS (SELECT *, (coalesce(lag(tokens) OVER (PARTITION BY query_id ORDER BY rank), 0) + chars // 4) / 1000 * {price} > {budget} AS over, round(cm, 6) >= {target} AS mass FROM h3),
+g AS (SELECT query_id, max(n) AS n, max(CASE WHEN rank = 2 AND mass THEN 1 ELSE 0 END) AS early, min(CASE WHEN rank > 2 AND rank <= least(10, n) AND over THEN rank END) AS ce,
+   min(CASE WHEN rank > 2 AND rank <= least(10, n) AND mass THEN rank END) AS pe FROM h4 GROUP BY query_id),
+s AS (SELECT query_id, CAST(CASE WHEN n <= 2 THEN n WHEN early = 1 THEN 2 WHEN ce IS NOT NULL AND (pe IS NULL OR ce <= pe) THEN ce - 1 WHEN pe IS NOT NULL THEN pe ELSE least(10, n) END AS INT) AS selected_k,
+   CASE WHEN n <= 2 THEN 'insufficient_candidates' WHEN early = 1 THEN 'probability' WHEN ce IS NOT NULL AND (pe IS NULL OR ce <= pe) THEN 'cost' WHEN pe IS NOT NULL THEN 'probability' WHEN n >= 10 THEN 'k_max' ELSE 'end' END AS stopped_reason FROM g)
+SELECT query_id, selected_k, stopped_reason, CAST(tokens AS BIGINT) AS total_tokens, round(tokens / 1000 * {price}, 6) AS total_cost FROM s JOIN h4 USING (query_id) WHERE rank = selected_k"""
+
+
+def _with_chars(spark, sf, hits):
+    return hits.join(_docs(spark, sf).select("node_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")), "node_id")
+
+
+_META = ("query_id", "selected_k", "stopped_reason", "total_tokens", "total_cost")
+_HYBRID20 = f"{_VEC}, {_BM25}, v AS (SELECT * FROM ver WHERE rank <= 60), b AS (SELECT * FROM bmr WHERE rank <= 60)"
+
+
+@query(_adaptive_sql(_HYBRID20, _rrf_sql(["v", "b"], 20), 0.7, 0.005, 0.01, 0.001))
+def adaptive_k(spark, sf):
+    hits = pipelines.retrieve("hybrid_rrf", _corpus(spark, sf), _vector_queries(spark, sf), k=20)
+    return ranking.adaptive_k(_with_chars(spark, sf, hits), temperature=0.005).select(*_META)
+
+
+@query(_adaptive_sql(_BM25, "SELECT * FROM bmr WHERE rank <= 20", 0.95, 10.0, 0.003, 0.001))
+def adaptive_k_cost(spark, sf):
+    hits = pipelines.retrieve("bm25", _corpus(spark, sf), _queries(spark, sf), k=20)
+    return ranking.adaptive_k(_with_chars(spark, sf, hits), target=0.95, temperature=10.0, max_cost=0.003).select(*_META)
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+
+def _elements(spark, sf):
+    """Regions, nations, customers and suppliers as elements: each refers to the place it lies in by name."""
+    none = F.array().cast("array<string>")
+    r = _t(spark, sf, "region")
+    n = _t(spark, sf, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # regions are five
+    named = _t(spark, sf, "nation").select("n_nationkey", "n_name")
+    c = _t(spark, sf, "customer").join(named, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = _t(spark, sf, "supplier").join(named, F.col("s_nationkey") == F.col("n_nationkey"))
+    row = lambda d, kind, key, name, base, calls, deps: d.select(F.concat(F.lit(f"{kind}:"), key).alias("id"), F.col(name).alias("name"), base.alias("base_classes"), calls.alias("calls"), deps.alias("dependencies"))
+    return (
+        row(r, "region", "r_regionkey", "r_name", none, none, none)
+        .unionByName(row(n, "nation", "n_nationkey", "n_name", F.array("r_name"), none, none))
+        .unionByName(row(c, "customer", "c_custkey", "c_name", none, F.array("n_name"), none))
+        .unionByName(row(s, "supplier", "s_suppkey", "s_name", none, none, F.array("n_name", "n_name")))
+    )
+
+
+_PLACES = """places AS (
+  SELECT 'nation:' || n_nationkey AS src, 'region:' || r_regionkey AS dst, 'INHERITS_FROM' AS rel_type, NULL AS label FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION SELECT 'customer:' || c_custkey, 'nation:' || n_nationkey, 'CALLS', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT 'supplier:' || s_suppkey, 'nation:' || n_nationkey, 'DEPENDS_ON', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+ways AS (SELECT src AS a, dst AS b FROM places WHERE rel_type <> 'INHERITS_FROM' UNION SELECT dst, src FROM places WHERE rel_type <> 'INHERITS_FROM')"""
+
+
+@query(f"WITH {_PLACES} SELECT * FROM places")
+def edge_build(spark, sf):
+    return graph.build_edges(_elements(spark, sf))
+
+
+def _near(spark, sf, depth):
+    e = _elements(spark, sf)
+    return graph.neighbours(e.where("id LIKE 'supplier:%'").select(F.col("id").alias("seed")), graph.build_edges(e), depth).groupBy("seed", "hop").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("most")
+    )
+
+
+@query(f"WITH {_PLACES} SELECT a AS seed, 1 AS hop, count(*) AS n, min(b) AS least, max(b) AS most FROM ways WHERE a LIKE 'supplier:%' GROUP BY a")
+def expand_1hop(spark, sf):
+    return _near(spark, sf, 1)
+
+
+@query(f"""WITH {_PLACES}, one AS (SELECT a AS seed, b AS node FROM ways WHERE a LIKE 'supplier:%'),
+two AS (SELECT DISTINCT seed, w.b AS node FROM one JOIN ways w ON w.a = one.node WHERE w.b <> seed EXCEPT SELECT seed, node FROM one)
+SELECT seed, 1 AS hop, count(*) AS n, min(node) AS least, max(node) AS most FROM one GROUP BY seed UNION ALL
+SELECT seed, 2, count(*), min(node), max(node) FROM two GROUP BY seed""")
+def expand_2hop(spark, sf):
+    return _near(spark, sf, 2)
+
+
+@query(f"WITH {_PLACES} SELECT src AS seed, dst AS node FROM places WHERE rel_type <> 'INHERITS_FROM'")
+def expand_by_target(spark, sf):
+    return graph.by_target(_elements(spark, sf))
+
+
+# --- projections and functions -------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, concat_ws(chr(10), 'Name: ' || p_name, 'Type: ' || p_type, 'File: ' || p_brand || '.py',
+ CASE WHEN p_size % 2 = 0 THEN 'Async: True' END, 'Decorators: a, b', 'Parameters: size:int=' || p_size || ', brand', 'Return Type: ' || p_brand) AS rendered FROM part""")
+def text_representation(spark, sf):
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    params = F.array(
+        F.struct(F.lit("size").alias("name"), F.lit("int").alias("type"), F.col("p_size").cast("string").alias("default")),
+        F.struct(F.lit("brand").alias("name"), F.lit("").alias("type"), none.alias("default")),
+    )
+    e = {"name": F.col("p_name"), "type": F.col("p_type"), "file_path": F.concat("p_brand", F.lit(".py")), "is_async": F.col("p_size") % 2 == 0,
+         "docstring": F.lit(""), "explanation": none, "code": F.lit(""), "decorators": F.array(F.lit("a"), F.lit("b")), "parameters": params,
+         "return_type": F.col("p_brand"), "dependencies": empty, "base_classes": empty, "calls": empty, "methods": empty, "assignments": empty}
+    return _t(spark, sf, "part").select("p_partkey", X.text_representation(e).alias("rendered"))
+
+
+@query("""SELECT doc_id AS node_id, upper(lang) || ': ' || doc_id || chr(10) || 'File: ' || source || chr(10) || chr(10) || substr(text, 1, 200) AS node_text,
+ CAST(length(text) // 4 AS BIGINT) AS est_tokens, round(length(text) // 4 / 1000.0 * 0.001, 6) AS est_cost FROM documents""")
+def node_projection(spark, sf):
+    est = X.estimate_tokens(F.col("text"))
+    head = F.concat(F.upper("lang"), F.lit(": "), F.col("doc_id"), F.lit("\nFile: "), F.col("source"), F.lit("\n\n"), F.substring("text", 1, 200))
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), head.alias("node_text"), est.cast("long").alias("est_tokens"), F.round(X.cost(est), 6).alias("est_cost"))
+
+
+@query("""SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+ substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS element_id
+ FROM (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('part:' || p_name || ':' || p_brand)) AS h FROM part)""")
+def element_id(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", X.element_id(F.lit("part"), F.col("p_name"), F.col("p_brand")).alias("element_id"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type || ':' || CAST(json_extract(props, '$.k') AS BIGINT) AS tag FROM events")
+def metadata_json(spark, sf):
+    k = F.from_json("props", "k long")["k"]
+    return _t(spark, sf, "events").select("event_id", k.alias("k"), F.concat_ws(":", "event_type", k.cast("string")).alias("tag"))
+
+
+# --- change detection, upserts, progress ---------------------------------------------------------------------------
+
+
+@query("""WITH now AS (SELECT doc_id AS path, n_chars AS mtime, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 10 <> 3),
+old AS (SELECT doc_id AS path, n_chars AS mtime, CASE WHEN doc_id % 10 = 5 THEN 'old' ELSE sha256(coalesce(text, '')) END AS h FROM documents WHERE doc_id % 10 <> 7)
+SELECT CAST(path AS VARCHAR) AS path, CASE WHEN n.h IS NULL THEN 'removed' WHEN o.h IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM now n FULL JOIN old o USING (path) WHERE n.h IS NULL OR o.h IS NULL OR n.h <> o.h""")
+def snapshot_diff(spark, sf):
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    d = _t(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("mtime"), sha.alias("sha256"))
+    # The former snapshot is derived: other hashes for ids ending in 5, none for those in 7; the new one lacks those in 3.
+    before = d.where("doc_id % 10 <> 7").withColumn("sha256", F.when(F.col("doc_id") % 10 == 5, "old").otherwise(F.col("sha256")))
+    return incremental.snapshot_diff(before.drop("doc_id"), d.where("doc_id % 10 <> 3").drop("doc_id"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark, sf):
+    return incremental.latest(_t(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT doc_id, label, CAST(len(embedding) AS BIGINT) AS dimension FROM documents JOIN embeddings ON vec_id = doc_id")
+def embedding_attach(spark, sf):
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.size("embedding").cast("long").alias("dimension"))
+    return incremental.attach(_t(spark, sf, "documents").select("doc_id"), e, "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+def progress_anti(spark, sf):
+    return incremental.unprocessed(_t(spark, sf, "documents").select("doc_id", "source"), _t(spark, sf, "labels"), "doc_id")
+
+
+@query("""SELECT count(*) AS processed, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, round(100 * count(*) / 1000000, 6) AS percent,
+ round(CAST(sum(length(text) // 4) AS BIGINT) / 1000 * (0.00025 + 0.00075), 6) AS cost FROM documents""")
+def progress_totals(spark, sf):
+    return incremental.progress_totals(_t(spark, sf, "documents").select(X.estimate_tokens(F.col("text")).alias("tokens")), 1_000_000)
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+_METRICS = f"""{_BM25}, hits AS (SELECT * FROM bmr WHERE rank <= 20), rel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+judged AS (SELECT h.*, CASE WHEN r.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM hits h LEFT JOIN rel r ON r.doc_id = h.node_id),
+ks AS (SELECT unnest([1, 3, 5, 10, 15, 20]) AS k), rn AS (SELECT count(*) AS r FROM rel),
+base AS (SELECT DISTINCT item_id AS query_id FROM benchmark),
+raw AS (SELECT b.query_id, k, any_value(r) AS r, count(CASE WHEN rank <= k THEN 1 END) AS n, coalesce(sum(CASE WHEN rank <= k THEN rel END), 0) AS h,
+  coalesce(sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) END), 0) AS d, min(CASE WHEN rel = 1 THEN rank END) AS first
+  FROM base b CROSS JOIN ks CROSS JOIN rn LEFT JOIN judged j ON j.query_id = b.query_id GROUP BY b.query_id, k),
+pr AS (SELECT *, CASE WHEN n > 0 THEN h / n ELSE 0 END AS p, CASE WHEN r > 0 THEN h / r ELSE 0 END AS rc FROM raw),
+met AS (SELECT query_id, CAST(k AS INT) AS k, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1,
+  round(CASE WHEN r > 0 THEN d / list_sum(list_transform(range(1, CAST(least(k, r) AS INT) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg,
+  round(coalesce(1 / first, 0), 6) AS reciprocal_rank, 'c' || (query_id % 4) AS category FROM pr)"""
+
+
+def _metrics(spark, sf):
+    hits = pipelines.retrieve("bm25", _corpus(spark, sf), _queries(spark, sf), k=20)
+    q = _queries(spark, sf).select("query_id")
+    good = _t(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("node_id")).distinct()
+    qrels = good.join(hits.select("query_id", "node_id"), "node_id")  # judged pairs that can be hit
+    size = good.agg(F.count(F.lit(1)).alias("all"))
+    # Every query has all good documents as relevant; only their number and the hits among them matter.
+    return evaluate.metrics_of(hits, q.crossJoin(F.broadcast(size)).withColumnRenamed("all", "relevant"), qrels).withColumn("category", F.concat(F.lit("c"), F.col("query_id") % 4))
+
+
+@query(f"WITH {_METRICS} SELECT * EXCLUDE (category) FROM met")
+def eval_metrics(spark, sf):
+    return _metrics(spark, sf).drop("category")
+
+
+@query(f"WITH {_METRICS} SELECT k, round(avg(precision), 3) AS precision, round(avg(recall), 3) AS recall, round(avg(f1), 3) AS f1, round(avg(ndcg), 3) AS ndcg FROM met GROUP BY k")
+def eval_by_k(spark, sf):
+    return evaluate.by_k(_metrics(spark, sf))
+
+
+@query(f"WITH {_METRICS} SELECT category, k, round(avg(precision), 3) AS precision, round(avg(recall), 3) AS recall, round(avg(f1), 3) AS f1 FROM met GROUP BY category, k")
+def eval_by_category(spark, sf):
+    return evaluate.by_category(_metrics(spark, sf))
+
+
+_PIVOT = ", ".join(f"round(avg(f1) FILTER (WHERE k = {k}), 3) AS f1_at_{k}" for k in evaluate.K_VALUES)
+
+
+@query(f"WITH {_METRICS} SELECT category, {_PIVOT} FROM met GROUP BY category")
+def eval_pivot(spark, sf):
+    return evaluate.pivot_f1(_metrics(spark, sf))
+
+
+@query(f"WITH {_METRICS} SELECT k, round(quantile_cont(precision, 0.25), 6) AS q1, round(quantile_cont(precision, 0.5), 6) AS q2, round(quantile_cont(precision, 0.75), 6) AS q3 FROM met GROUP BY k")
+def eval_quartiles(spark, sf):
+    return evaluate.quartiles(_metrics(spark, sf))
+
+
+@query(f"""WITH {_METRICS}, at5 AS (SELECT query_id, f1 FROM met WHERE k = 5) SELECT query_id, f1, 'best' AS side FROM (SELECT * FROM at5 ORDER BY f1 DESC, query_id LIMIT 3)
+UNION ALL SELECT query_id, f1, 'worst' FROM (SELECT * FROM at5 ORDER BY f1, query_id LIMIT 3)""")
+def eval_best_worst(spark, sf):
+    return evaluate.best_worst(_metrics(spark, sf))
+
+
+@query(f"WITH {_METRICS} SELECT k, round(avg(f1), 3) AS f1 FROM met GROUP BY k ORDER BY 2 DESC, k LIMIT 1")
+def eval_best_k(spark, sf):
+    return evaluate.best_k(_metrics(spark, sf))
