@@ -56,7 +56,7 @@ def pivot_f1(m: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
 
 def quartiles(m: DataFrame) -> DataFrame:
     q = F.percentile("precision", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return m.groupBy("k").agg(q.alias("q")).select("k", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "q2", "q3"))))
+    return m.groupBy("k").agg(q.alias("q")).select("k", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "q2", "q3"))))
 
 
 def best_worst(m: DataFrame, k: int = 5, n: int = 3) -> DataFrame:

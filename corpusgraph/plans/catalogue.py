@@ -395,7 +395,7 @@ def eval_pivot(spark, sf):
     return evaluate.pivot_f1(_metrics(spark, sf))
 
 
-@query(f"WITH {_METRICS} SELECT k, round(quantile_cont(precision, 0.25), 6) AS q1, round(quantile_cont(precision, 0.5), 6) AS q2, round(quantile_cont(precision, 0.75), 6) AS q3 FROM met GROUP BY k")
+@query(f"WITH {_METRICS} SELECT k, round(quantile_cont(precision, 0.25), 4) AS q1, round(quantile_cont(precision, 0.5), 4) AS q2, round(quantile_cont(precision, 0.75), 4) AS q3 FROM met GROUP BY k")
 def eval_quartiles(spark, sf):
     return evaluate.quartiles(_metrics(spark, sf))
 
