@@ -238,15 +238,19 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK,
         raise ValueError("a window must contain a whole block wherever it starts")
     parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"in_{c}") for c in carry))
-    # Rows without an id are spread at random; the same exchange of texts serves both joins below.
-    dealt = rows.repartition(parts, "doc_id")
+    # Both joins see one and the same plan of dealt texts, so the exchange runs once; rows without an id have no part in it.
+    known = rows.where("doc_id IS NOT NULL")
+    dealt = known.repartition(parts, "doc_id")
     marks = lambda df: df.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
-    found = _spread(rows.select("doc_id", "text").mapInArrow(_probes(parts, window, block), PACKED), parts).mapInArrow(_anchors, "doc_id long, at binary")
-    windows = dealt.join(marks(found).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks").mapInArrow(_around(parts, window, block), PACKED)
+    found = _spread(known.select("doc_id", "text").mapInArrow(_probes(parts, window, block), PACKED), parts).mapInArrow(_anchors, "doc_id long, at binary")
+    near = dealt.join(marks(found).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks")
+    windows = near.mapInArrow(_around(parts, window, block), PACKED)
     late = _spread(windows, parts).mapInArrow(_later, "doc_id long, at binary")
     out = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept string")
-    carried = [f for f in rows.schema.fields if f.name.startswith("in_")]
-    return dealt.join(marks(late).hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(window), T.StructType([*out.fields, *carried]))
+    out = T.StructType([*out.fields, *(f for f in rows.schema.fields if f.name.startswith("in_"))])
+    cut = dealt.join(marks(late).hint("shuffle_hash"), "doc_id", "left")
+    nameless = rows.where("doc_id IS NULL").withColumn("marks", F.lit(None).cast("array<binary>"))
+    return cut.mapInArrow(_cut(window), out).unionByName(nameless.mapInArrow(_cut(window), out))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
