@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, pieces_of, shuffle_partitions, split_words, table, whole_windows, window_hashes, word_hashes
+from .common import U64, mix, pieces_of, shuffle_partitions, split_words, table, whole_windows, window_hashes, word_hashes
 
 WINDOW, BLOCK = 50, 25
 #: Weighs words for the second fingerprint.
@@ -114,7 +114,7 @@ def _by_part(batches):
     """The packed rows of each partition of the hash space in turn; they come sorted by it."""
     part, rows = None, []
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(len(_NAMES))]
+        cols = [c.to_pylist() for c in b.columns]
         for p, *rest in zip(*cols, strict=True):
             if p != part and rows:
                 yield rows
@@ -131,30 +131,59 @@ def _number(raw: np.ndarray) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
-def _marked(ids: np.ndarray, pos: np.ndarray):
-    """(doc_id, positions) rows: positions ascending, as bytes."""
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    bounds = np.append(first, len(ids))
-    for a in range(0, len(first), 2000):
-        z = min(a + 2000, len(first))
-        at = [pos[bounds[i] : bounds[i + 1]].astype("<u4").tobytes() for i in range(a, z)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first[a:z]]), pa.array(at, pa.binary())], ["doc_id", "at"])
+MARKED = "to int, docs binary, counts binary, at binary"
 
 
-def _anchors(batches):
-    """Probes whose words are a block somewhere and occur at another place as well."""
+def _marked(parts: int, ids: np.ndarray, pos: np.ndarray):
+    """Places to tell documents of, packed: one row for each partition of the documents."""
+    to = (mix(ids.astype(U64)) % U64(parts)).astype(np.int64)
+    order = np.lexsort((pos, ids, to))
+    to, ids, pos = to[order], ids[order], pos[order]
+    bounds = np.searchsorted(to, np.arange(parts + 1))
+    rows = []
+    for p in range(parts):
+        a, z = bounds[p], bounds[p + 1]
+        if a < z:
+            first = np.flatnonzero(np.concatenate([[True], ids[a + 1 : z] != ids[a : z - 1]]))
+            counts = np.diff(np.append(first, z - a)).astype("<u4")
+            rows.append((p, ids[a:z][first].astype("<i8").tobytes(), counts.tobytes(), pos[a:z].astype("<u4").tobytes()))
+    if rows:
+        kinds = pa.int32(), pa.binary(), pa.binary(), pa.binary()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["to", "docs", "counts", "at"])
+
+
+def _gather(batches):
+    """One row for each document: all its places."""
     for rows in _by_part(batches):
-        ids, pos, raw, marks = _unpack_all(rows, 5)
-        h = _number(raw)
-        blocks = np.unique(h[marks])
-        at = np.minimum(np.searchsorted(blocks, h), len(blocks) - 1) if len(blocks) else np.zeros(len(h), np.int64)
-        met = blocks[at] == h if len(blocks) else np.zeros(len(h), bool)
-        hits = np.flatnonzero(met)
-        often = np.bincount(at[hits], minlength=len(blocks)) > 1
-        hits = hits[often[at[hits]]]
-        yield from _marked(ids[hits], pos[hits])
+        n = [np.frombuffer(r[1], "<u4") for r in rows]
+        ids = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8"), c) for r, c in zip(rows, n, strict=True)])
+        pos = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
+        order = np.lexsort((pos, ids))
+        ids, pos = ids[order], pos[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        bounds = np.append(first, len(ids))
+        for a in range(0, len(first), 2000):
+            z = min(a + 2000, len(first))
+            at = [pos[bounds[i] : bounds[i + 1]].tobytes() for i in range(a, z)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first[a:z]]), pa.array(at, pa.binary())], ["doc_id", "at"])
+
+
+def _anchors(parts: int):
+    """Probes whose words are a block somewhere and occur at another place as well."""
+
+    def run(batches):
+        for rows in _by_part(batches):
+            ids, pos, raw, marks = _unpack_all(rows, 5)
+            h = _number(raw)
+            blocks = np.unique(h[marks])
+            at = np.minimum(np.searchsorted(blocks, h), len(blocks) - 1) if len(blocks) else np.zeros(len(h), np.int64)
+            met = blocks[at] == h if len(blocks) else np.zeros(len(h), bool)
+            hits = np.flatnonzero(met)
+            often = np.bincount(at[hits], minlength=len(blocks)) > 1
+            hits = hits[often[at[hits]]]
+            yield from _marked(parts, ids[hits], pos[hits])
+
+    return run
 
 
 def _around(parts: int, window: int, block: int):
@@ -185,17 +214,21 @@ def _around(parts: int, window: int, block: int):
     return run
 
 
-def _later(batches):
+def _later(parts: int):
     """Windows whose words also start in a document with a smaller id."""
-    for rows in _by_part(batches):
-        ids, pos, raw, _ = _unpack_all(rows, 12)
-        a, b = _number(raw[:, :8]), _number(raw[:, 8:])
-        order = np.lexsort((ids, b, a))
-        a, b, ids, pos = a[order], b[order], ids[order], pos[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        late = ids > least
-        yield from _marked(ids[late], pos[late])
+
+    def run(batches):
+        for rows in _by_part(batches):
+            ids, pos, raw, _ = _unpack_all(rows, 12)
+            a, b = _number(raw[:, :8]), _number(raw[:, 8:])
+            order = np.lexsort((ids, b, a))
+            a, b, ids, pos = a[order], b[order], ids[order], pos[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = ids > least
+            yield from _marked(parts, ids[late], pos[late])
+
+    return run
 
 
 def _cut(window: int):
@@ -226,8 +259,8 @@ def _cut(window: int):
     return run
 
 
-def _spread(packed: DataFrame, parts: int) -> DataFrame:
-    return packed.repartition(parts, "part").sortWithinPartitions("part")
+def _spread(packed: DataFrame, parts: int, by: str = "part") -> DataFrame:
+    return packed.repartition(parts, by).sortWithinPartitions(by)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
@@ -241,11 +274,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK,
     # Both joins see one and the same plan of dealt texts, so the exchange runs once; rows without an id have no part in it.
     known = rows.where("doc_id IS NOT NULL")
     dealt = known.repartition(parts, "doc_id")
-    marks = lambda df: df.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
-    found = _spread(known.select("doc_id", "text").mapInArrow(_probes(parts, window, block), PACKED), parts).mapInArrow(_anchors, "doc_id long, at binary")
+    marks = lambda df: _spread(df, parts, "to").mapInArrow(_gather, "doc_id long, at binary").select("doc_id", F.array("at").alias("marks"))
+    found = _spread(known.select("doc_id", "text").mapInArrow(_probes(parts, window, block), PACKED), parts).mapInArrow(_anchors(parts), MARKED)
     near = dealt.join(marks(found).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks")
     windows = near.mapInArrow(_around(parts, window, block), PACKED)
-    late = _spread(windows, parts).mapInArrow(_later, "doc_id long, at binary")
+    late = _spread(windows, parts).mapInArrow(_later(parts), MARKED)
     out = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept string")
     out = T.StructType([*out.fields, *(f for f in rows.schema.fields if f.name.startswith("in_"))])
     cut = dealt.join(marks(late).hint("shuffle_hash"), "doc_id", "left")
