@@ -24,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 #: The unit cache is emptied beyond this many lattice places.
-PLACES = 4_000_000
+PLACES = 1_200_000
 BITS = 22
+#: Words sampled together, which bounds the memory that a long text takes.
+WORDS = 1 << 16
 #: Weights are multiplied by this for each character, which changes no ratio and keeps sums in range.
 SCALE = 1000.0
 
@@ -77,20 +80,17 @@ class Vocabulary:
         if self.longest > 31:
             raise ValueError("a piece has more than 31 characters")
         self.weight = weight
-        hashes = np.array([self._hash(texts[i].replace(SPACE, " ")) for i in plain], U64)
+        said = [texts[i].replace(SPACE, " ") for i in plain]
+        size = np.fromiter(map(len, said), np.int64, len(said))
+        first = np.cumsum(size) - size
+        sums, inverse = _prefix_hashes(np.frombuffer("".join(said).encode("utf-32-le"), np.uint32))
+        hashes = mix((sums[first + size] - sums[first]) * inverse[first])
         by = np.argsort(hashes)
         self.hashes, self.ids = hashes[by], np.array(plain)[by]
         self.bits = np.zeros(1 << BITS, bool)
-        for x in {t[:k] for t in (texts[i].replace(SPACE, " ") for i in plain) for k in range(1, len(t) + 1)}:
-            self.bits[self._hash(x) >> U64(64 - BITS)] = True
-        self.raw = [texts[i].replace(SPACE, " ").encode() for i in range(n)]
-        for b, i in self.byte.items():
-            self.raw[i] = bytes([b])
-
-    @staticmethod
-    def _hash(text: str) -> np.uint64:
-        sums, _ = _prefix_hashes(np.array([ord(c) for c in text], np.uint32))
-        return mix(sums[-1:])[0]
+        for k in range(1, self.longest + 1):
+            s = first[size >= k]
+            self.bits[mix((sums[s + k] - sums[s]) * inverse[s]) >> U64(64 - BITS)] = True
 
     def byte_ids(self, cp: int) -> list[int]:
         return [self.byte[x] for x in chr(cp).encode("utf-8", "surrogatepass")]
@@ -171,9 +171,7 @@ class Lattices:
             total = np.add.reduceat(chance, new)
             # Rare long words would leave the range of numbers: only ratios within reach of the longest piece count.
             off = (total < 1e-150) | (total > 1e150)
-            run = np.cumsum(chance)
-            size = np.diff(np.append(new, z - a))
-            upto[a:z] = (run - np.repeat(run[new] - chance[new], size)) / np.repeat(total, size)
+            upto[a:z] = chance / np.repeat(total, np.diff(np.append(new, z - a)))
             place = into[a:z][new]
             mass[place] = total
             if off.any():
@@ -186,8 +184,15 @@ class Lattices:
         p = self.places + len(mass)
         self._room(("upto", "piece", "back"), self.edges, e)
         self._room(("way",), self.places, p)
-        into = into[order]
-        self.upto[self.edges : e], self.piece[self.edges : e] = upto[order], piece[order]
+        into, upto = into[order], upto[order]
+        # Shares of a place add up from its own first way, so no other word moves their rounding.
+        new = np.flatnonzero(np.diff(into, prepend=-1))
+        size = np.diff(np.append(new, len(into)))
+        for j in range(1, int(size.max())):
+            new = new[size > j]
+            size = size[size > j]
+            upto[new + j] += upto[new + j - 1]
+        self.upto[self.edges : e], self.piece[self.edges : e] = upto, piece[order]
         self.back[self.edges : e] = back[order] + self.places
         self.way[self.places : p] = self.edges + np.searchsorted(into, np.arange(len(mass)))
         last = np.flatnonzero(np.diff(into, append=-1))
@@ -250,6 +255,38 @@ class Lattices:
         return out.astype(np.int32), total[edge[1:]] - total[edge[:-1]]
 
 
+class Speller:
+    """The bytes that each piece stands for, end to end, to turn ids back to text."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        texts = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        raw = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(texts)]
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.first = np.cumsum(self.size) - self.size
+
+    def texts(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The texts that n[0], n[1], ... of the ids spell, each without the space put in front."""
+        size = self.size[ids]
+        at = np.cumsum(size) - size
+        said = self.bytes[np.arange(int(size.sum())) - np.repeat(at - self.first[ids], size)]
+        edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+        said = np.delete(said, edge[:-1][n > 0])
+        off = edge - np.concatenate([[0], np.cumsum(n > 0)])
+        return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(said)).cast(pa.string())
+
+
+def _speller(path: str) -> Speller:
+    cache = worker_cache()
+    name = f"speller {path}"
+    if name not in cache:
+        cache[name] = Speller(path)
+    return cache[name]
+
+
 def _lattices(path: str, alpha: float) -> Lattices:
     cache = worker_cache()
     name = f"pieces {path} {alpha}"
@@ -267,7 +304,9 @@ def encode_texts(lattices: Lattices, keys: list, texts: list[str], seed: int) ->
         return np.zeros(0, np.int32), n
     row = mix(np.array([k or 0 for k in keys], np.int64).astype(U64) + U64(seed))
     number = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(U64)
-    ids, count = lattices.sample(flat, mix(np.repeat(row, n) + number))
+    draw = mix(np.repeat(row, n) + number)
+    drawn = [lattices.sample(flat[a : a + WORDS], draw[a : a + WORDS]) for a in range(0, len(flat), WORDS)]
+    ids, count = (np.concatenate(x) for x in zip(*drawn, strict=True))
     total = np.concatenate([[0], np.cumsum(count)])
     edge = np.concatenate([[0], np.cumsum(n)])
     return ids, total[edge[1:]] - total[edge[:-1]]
@@ -290,22 +329,19 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     return rows.mapInArrow(run, schema)
 
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
-    raw = vocabulary.raw
-    return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
-
-
-def decode(encoded: DataFrame, *, alpha: float = 1.0, model: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     """All columns, and decoded: the text its pieces spell."""
     keep = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(*keep)
     at = keep.index("pieces")
 
     def run(batches):
-        vocabulary = _lattices(model, alpha).v
+        speller = _speller(model)
         for b in batches:
-            said = [decode_ids(vocabulary, ids or []) for ids in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*b.schema.names, "decoded"])
+            lists = b.column(at)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            said = speller.texts(lists.flatten().to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([*b.columns, said], [*b.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
