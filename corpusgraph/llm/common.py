@@ -59,9 +59,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def pieces_of(batches, text: int, limit: int = SLICE_BYTES, rows: int = 4096):
-    """Cut record batches into slices of about `limit` bytes of text and at most `rows` rows; a row is never cut."""
+    """Cut record batches into slices of about `limit` bytes of text (or items of lists) and at most `rows` rows; a row
+    is never cut."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        col = batch.column(text)
+        length = pc.list_value_length if pa.types.is_list(col.type) else pc.binary_length
+        size = pc.fill_null(length(col), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size, dtype=np.int64) // limit
         cuts = sorted({0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), *range(rows, batch.num_rows, rows), batch.num_rows})
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -35,10 +35,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 #: The unit cache is emptied beyond this many lattice places.
-PLACES = 1_200_000
+PLACES = 2_500_000
 BITS = 22
 #: Words sampled together, which bounds the memory that a long text takes.
-WORDS = 1 << 16
+WORDS = 1 << 17
 #: Weights are multiplied by this for each character, which changes no ratio and keeps sums in range.
 SCALE = 1000.0
 
@@ -312,19 +312,20 @@ def encode_texts(lattices: Lattices, keys: list, texts: list[str], seed: int) ->
     return ids, total[edge[1:]] - total[edge[:-1]]
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 1.0, model: str = MODEL) -> DataFrame:
-    """All columns of the documents, and pieces (array of ids) and n_pieces."""
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 1.0, model: str = MODEL, text_out: bool = True) -> DataFrame:
+    """All columns of the documents (without `text_out` all but the text), and pieces (array of ids) and n_pieces."""
     keep = [c for c in docs.columns if c not in ("pieces", "n_pieces")]
     rows = docs.select(*keep)
     key, text = keep.index(id_col), keep.index(text_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.LongType())])
+    out = [i for i in range(len(keep)) if text_out or i != text]
+    schema = T.StructType([*(rows.schema[i] for i in out), T.StructField("pieces", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.LongType())])
 
     def run(batches):
         lattices = _lattices(model, alpha)
         for b in pieces_of(batches, text, limit=1 << 20):
             ids, n = encode_texts(lattices, b.column(key).to_pylist(), b.column(text).to_pylist(), seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(n)], [*b.schema.names, "pieces", "n_pieces"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in out), lists, pa.array(n)], [*(keep[i] for i in out), "pieces", "n_pieces"])
 
     return rows.mapInArrow(run, schema)
 
@@ -337,7 +338,7 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         speller = _speller(model)
-        for b in batches:
+        for b in pieces_of(batches, at, limit=1 << 18):
             lists = b.column(at)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             said = speller.texts(lists.flatten().to_numpy(), n)
@@ -348,5 +349,5 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs).drop("text"))
+    out = decode(encode(docs, text_out=False))
     return out.select("doc_id", "n_pieces", F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("n_chars"))
