@@ -9,8 +9,10 @@ signatures differ in more than 33 symbols go; the others are confirmed on full s
 
 Equal sets collapse into a class first. Links inside buckets are sought in rounds, so a bucket's pairs are not spelt
 out: (1) each member against the bucket's smallest; (2) each against a member drawn by hash, only across the
-components found so far; (3) whatever pairs across components remain, in blocks of bounded size. After (3) every
-candidate pair either lies in one component or was tested, so components are exact.
+components found so far; (3) whatever pairs across components remain, in blocks of bounded size, each in the bucket of
+its first shared key. There the LOW smallest shingle hashes of both sets, which are the whole of smaller sets, sift the
+pairs before full sets are compared; of larger sets a pair at the threshold is lost with a probability below 1e-6. After
+(3) every candidate pair either lies in one component or was tested.
 
 Defined results: documents without words or text have an empty set and link with nothing; rows that repeat an id are
 documents of their own; null ids: the row's component is the smallest id in reach, or null; an empty table
@@ -30,6 +32,9 @@ from .graph import components
 SHINGLE, SYMBOLS, CHUNKS = 5, 64, 17
 #: Signatures that differ in more symbols are not compared: each of CHUNKS chunks allows one error.
 RADIUS = 2 * CHUNKS - 1
+#: So many smallest shingle hashes of a set tell apart, before texts are fetched, what cannot reach the similarity.
+LOW = 256
+NO_HASH = 1 << 32
 #: Classes without an id are numbered from here.
 NO_ID = 1 << 62
 _DRAW = np.random.default_rng(20240611)
@@ -100,7 +105,7 @@ def _keys(batches):
                 k = np.full(n, c * 8 + i + 1, U64)
                 for s in np.delete(chunk, i):
                     k = mix(k * U64(0x9E3779B97F4A7C15) + sig[:, s])
-                out.append(k)
+                out.append(k & ~U64(SYMBOLS - 1) | U64(chunk[i]))  # the low bits tell which symbol is left out
         keys = np.stack(out, axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1).view(np.int64))], ["cid", "key"])
 
@@ -130,11 +135,59 @@ def _confirm(percent: int):
     return run
 
 
-def _across(batches):
-    """Near pairs of members of one block pair of a bucket that lie in different components."""
+def _low(batches):
+    """The LOW smallest shingle hashes of each text, all of them if there are fewer, in 32 bits."""
+    for b in pieces_of(batches, 1):
+        h, doc = shingles(b.column(1))
+        key = np.unique((doc.astype(U64) << U64(32)) | (h >> U64(32)))
+        bounds = np.searchsorted(key, np.arange(b.num_rows + 1).astype(U64) << U64(32))
+        low = [key[x : min(y, x + LOW)].astype("<u4").tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary()), pa.array(np.diff(bounds) > LOW)], ["cid", "low", "more"])
+
+
+def _first_key(differs: np.ndarray) -> np.ndarray:
+    """The first key that two signatures share, named by the symbol it leaves out (-1: none)."""
+    wrong = np.add.reduceat(differs, CHUNK_STARTS, axis=1, dtype=np.int64)[:, CHUNK_OF]
+    shared = (wrong == 0) | ((wrong == 1) & differs)
+    return np.where(shared.any(axis=1), shared.argmax(axis=1), -1)
+
+
+def _alike(low: np.ndarray, more: np.ndarray, i: int, other: np.ndarray, percent: int) -> np.ndarray:
+    """Which others may reach the similarity: certain for whole sets, for larger ones but for five deviations."""
+    top = np.where(more, low[:, -1], NO_HASH - 1)
+    reach = np.minimum(top[other], top[i])
+    mine, theirs = low[i], low[other]
+    at = np.minimum(np.searchsorted(mine, theirs), LOW - 1)
+    inside = theirs <= reach[:, None]
+    both = ((mine[at] == theirs) & inside).sum(axis=1)
+    union = inside.sum(axis=1) + np.searchsorted(mine, reach, side="right") - both
+    p = percent / 100
+    slack = np.where(more[other] | more[i], 5 * np.sqrt(p * (1 - p) * union), 0)
+    return both + 1 + slack >= p * union
+
+
+def _across(percent: int):
+    """Near pairs of members of one block pair of a bucket that lie in different components.
+
+    A pair that shares several buckets is looked at in one of them, that of its first shared key.
+    """
+
+    def run(batches):
+        yield from _across_batches(batches, percent)
+
+    return run
+
+
+def _across_batches(batches, percent: int):
     for b in batches:
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for members, left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for members, left, right, key in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            own = key & (SYMBOLS - 1)
+            low = np.full((len(members), LOW), NO_HASH, np.int64)
+            for m, row in zip(members, low, strict=True):
+                held = np.frombuffer(m["low"], "<u4")
+                row[: len(held)] = held
+            more = np.array([m["more"] for m in members])
             cid = np.array([m["cid"] for m in members])
             root = np.array([m["root"] for m in members])
             block = np.array([m["block"] for m in members])
@@ -142,13 +195,19 @@ def _across(batches):
             x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
             for i in x:
                 other = y[(root[y] != root[i]) & ((y > i) if left == right else True)]
-                other = other[(sig[other] != sig[i]).sum(axis=1) <= RADIUS]
+                differs = sig[other] != sig[i]
+                other = other[(differs.sum(axis=1) <= RADIUS) & (_first_key(differs) == own)]
                 if len(other):
+                    other = other[_alike(low, more, i, other, percent)]
                     found.append((np.full(len(other), cid[i]), cid[other]))
         a, z = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, z)), pa.array(np.minimum(a, z))], ["a", "b"])
 
 
+CHUNK_STARTS = np.array([c[0] for c in _chunks()])
+CHUNK_OF = np.repeat(np.arange(CHUNKS), [len(c) for c in _chunks()])
+
+
 class _Links:
     """The tables of one run: classes, their keys in shared buckets, and the tests of candidate pairs."""
 
@@ -163,6 +222,12 @@ class _Links:
         right = c.select(F.col("cid").alias("b"), F.col("sig").alias("sb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
 
+    def texts_of(self, classes: DataFrame) -> DataFrame:
+        """(cid, text) of one document of each class."""
+        t = self.texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+        c = classes.select("cid", F.col("rep").alias("r"), F.col("text_hash").alias("h"))
+        return c.join(t, (c["h"] == t["text_hash"]) & c["r"].eqNullSafe(t["doc_id"])).select("cid", "text")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough, as (u, v)."""
         c = self.classes
@@ -208,9 +273,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id
     blocks = F.ceil(F.col("n") / block).cast("int")
     member = member.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right"))))
-    member = member.join(classes.select("cid", "sig"), "cid").select("key", "cid", "root", "block", "sig", meets.alias("at"))
-    met = member.groupBy("key", "at.left", "at.right").agg(F.collect_list(F.struct("cid", "root", "block", "sig")).alias("members"))
-    pairs = stored(met.select("members", "left", "right").mapInArrow(_across, "a long, b long").distinct(), f"{root}/across")
+    member = stored(member, f"{root}/open2")
+    still = classes.join(member.select("cid").distinct(), "cid")
+    low = stored(links.texts_of(still).mapInArrow(_low, "cid long, low binary, more boolean"), f"{root}/low")
+    member = member.join(still.select("cid", "sig").join(low, "cid"), "cid").select("key", "cid", "root", "block", "sig", "low", "more", meets.alias("at"))
+    met = member.groupBy("key", "at.left", "at.right").agg(F.collect_list(F.struct("cid", "root", "block", "sig", "low", "more")).alias("members"))
+    pairs = stored(met.select("members", "left", "right", "key").mapInArrow(_across(percent), "a long, b long").distinct(), f"{root}/across")
     if not pairs.isEmpty():
         edges.append(stored(links.linked(pairs), f"{root}/edges3"))
         found = components(edges[0].unionByName(edges[1]).unionByName(edges[2]), f"{root}/found3")
