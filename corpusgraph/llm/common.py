@@ -6,6 +6,7 @@ rules act on UTF-8 bytes and never split or alter a multi-byte character.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -128,6 +129,22 @@ def whole_windows(off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(doc)) - np.repeat(first, n) + np.repeat(off[:-1], n), doc
 
 
+def tidy(run):
+    """The same batch function; at its end the worker, which serves later tasks too, gives free memory back."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+                if trim is not None:
+                    trim(0)
+
+    return whole
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_corpusgraph_worker", types.ModuleType("_corpusgraph_worker")).__dict__

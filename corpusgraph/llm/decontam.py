@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, pieces_of, table
+from .common import U64, pieces_of, table, tidy
 
 Q, RATE, STRETCH, BITS = 10, 0.06, 128, 22
 SPREAD = U64(0x9E3779B97F4A7C15)
@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block_ch
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, start long, end long")
     for got in _blocks(items, rate, block_chars):
-        out = out.unionByName(rows.mapInArrow(_search(got), "doc_id long, item_id long, edits int, start long, end long"))
+        out = out.unionByName(rows.mapInArrow(tidy(_search(got)), "doc_id long, item_id long, edits int, start long, end long"))
     return out
 
 
@@ -257,7 +257,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE,
                     clean[found.column(0).to_numpy()] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

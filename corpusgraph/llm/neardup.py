@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pieces_of, shared_dir, split_words, stored, table, whole_windows, window_hashes, word_hashes
+from .common import U64, mix, pieces_of, shared_dir, split_words, stored, table, tidy, whole_windows, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE, SYMBOLS, CHUNKS = 5, 64, 17
@@ -87,7 +87,7 @@ def _sketch(batches):
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, sig binary")
+    return rows.mapInArrow(tidy(_sketch), "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, sig binary")
 
 
 def _chunks() -> list[np.ndarray]:
@@ -220,7 +220,7 @@ class _Links:
         c = self.classes
         left = c.select(F.col("cid").alias("a"), F.col("sig").alias("sa"))
         right = c.select(F.col("cid").alias("b"), F.col("sig").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_near), "a long, b long")
 
     def texts_of(self, classes: DataFrame) -> DataFrame:
         """(cid, text) of one document of each class."""
@@ -237,7 +237,7 @@ class _Links:
         for side in ("a", "b"):
             t = self.texts.select(F.col("doc_id").alias(f"d{side}"), F.col("text_hash").alias(f"h{side}"), F.col("text").alias(f"t{side}"))
             pairs = pairs.join(t, [pairs[f"h{side}"] == t[f"h{side}"], pairs[f"r{side}"].eqNullSafe(t[f"d{side}"])]).drop(t[f"h{side}"])
-        return pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.percent), "u long, v long")
+        return pairs.select("a", "b", "ta", "tb").mapInArrow(tidy(_confirm(self.percent)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id
     classes = stored(classes.select(cid.alias("cid"), "rep", "set1", "set2", "least.text_hash", "least.sig"), f"{root}/classes")
     links = _Links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), classes, percent)
 
-    keys = classes.select("cid", "sig").mapInArrow(_keys, "cid long, key long")
+    keys = classes.select("cid", "sig").mapInArrow(tidy(_keys), "cid long, key long")
     shared = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stored(keys.join(shared, "key").select("key", "cid", "lead"), f"{root}/members")
     star = member.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
@@ -275,10 +275,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id
     meets = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right"))))
     member = stored(member, f"{root}/open2")
     still = classes.join(member.select("cid").distinct(), "cid")
-    low = stored(links.texts_of(still).mapInArrow(_low, "cid long, low binary, more boolean"), f"{root}/low")
+    low = stored(links.texts_of(still).mapInArrow(tidy(_low), "cid long, low binary, more boolean"), f"{root}/low")
     member = member.join(still.select("cid", "sig").join(low, "cid"), "cid").select("key", "cid", "root", "block", "sig", "low", "more", meets.alias("at"))
     met = member.groupBy("key", "at.left", "at.right").agg(F.collect_list(F.struct("cid", "root", "block", "sig", "low", "more")).alias("members"))
-    pairs = stored(met.select("members", "left", "right", "key").mapInArrow(_across(percent), "a long, b long").distinct(), f"{root}/across")
+    pairs = stored(met.select("members", "left", "right", "key").mapInArrow(tidy(_across(percent)), "a long, b long").distinct(), f"{root}/across")
     if not pairs.isEmpty():
         edges.append(stored(links.linked(pairs), f"{root}/edges3"))
         found = components(edges[0].unionByName(edges[1]).unionByName(edges[2]), f"{root}/found3")

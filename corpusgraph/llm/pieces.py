@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, U64, mix, pieces_of, table, worker_cache
+from .common import BASE, U64, mix, pieces_of, table, tidy, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 #: The unit cache is emptied beyond this many lattice places.
-PLACES = 2_500_000
+PLACES = 1_800_000
 BITS = 22
 #: Words sampled together, which bounds the memory that a long text takes.
 WORDS = 1 << 17
@@ -322,12 +322,14 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
     def run(batches):
         lattices = _lattices(model, alpha)
+        lattices.clear()  # what an earlier task left in this worker
         for b in pieces_of(batches, text, limit=1 << 20):
             ids, n = encode_texts(lattices, b.column(key).to_pylist(), b.column(text).to_pylist(), seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in out), lists, pa.array(n)], [*(keep[i] for i in out), "pieces", "n_pieces"])
+        lattices.clear()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
@@ -344,7 +346,7 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
             said = speller.texts(lists.flatten().to_numpy(), n)
             yield pa.RecordBatch.from_arrays([*b.columns, said], [*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

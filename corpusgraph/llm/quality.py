@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import U64, key_mod, labelled_sample, mix, pieces_of, split_words, table, whole_windows, window_hashes, word_hashes
+from .common import U64, key_mod, labelled_sample, mix, pieces_of, split_words, table, tidy, whole_windows, window_hashes, word_hashes
 
 KINDS = ("lower", "upper", "digit", "space", "newline", "stop", "exclamation", "bar", "symbol", "other", "wide")
 NAMES = (*(k for k in KINDS if k not in ("lower", "space")), "log_words", "word_length", "short_words", "long_words",
@@ -183,7 +183,7 @@ def _features(batches):
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = 20_000) -> Additive:
     """Fit on at most `rows` labelled documents that are not held out."""
-    got = labelled_sample(docs, labels, label, rows).mapInArrow(_features, "doc_id long, label int, x array<float>").toPandas()
+    got = labelled_sample(docs, labels, label, rows).mapInArrow(tidy(_features), "doc_id long, label int, x array<float>").toPandas()
     got = got.sort_values(["doc_id", "label"])
     x = np.array(got["x"].tolist(), np.float32).reshape(len(got), len(NAMES))
     return fit(x, got["label"].to_numpy(np.float64))
@@ -201,7 +201,7 @@ def classify(docs: DataFrame, model: Additive, *, id_col: str = "doc_id", text_c
             s = model.score(features(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix, pieces_of, shuffle_partitions, split_words, table, whole_windows, window_hashes, word_hashes
+from .common import U64, mix, pieces_of, shuffle_partitions, split_words, table, tidy, whole_windows, window_hashes, word_hashes
 
 WINDOW, BLOCK = 50, 25
 #: Weighs words for the second fingerprint.
@@ -274,16 +274,16 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK,
     # Both joins see one and the same plan of dealt texts, so the exchange runs once; rows without an id have no part in it.
     known = rows.where("doc_id IS NOT NULL")
     dealt = known.repartition(parts, "doc_id")
-    marks = lambda df: _spread(df, parts, "to").mapInArrow(_gather, "doc_id long, at binary").select("doc_id", F.array("at").alias("marks"))
-    found = _spread(known.select("doc_id", "text").mapInArrow(_probes(parts, window, block), PACKED), parts).mapInArrow(_anchors(parts), MARKED)
+    marks = lambda df: _spread(df, parts, "to").mapInArrow(tidy(_gather), "doc_id long, at binary").select("doc_id", F.array("at").alias("marks"))
+    found = _spread(known.select("doc_id", "text").mapInArrow(tidy(_probes(parts, window, block)), PACKED), parts).mapInArrow(tidy(_anchors(parts)), MARKED)
     near = dealt.join(marks(found).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks")
-    windows = near.mapInArrow(_around(parts, window, block), PACKED)
-    late = _spread(windows, parts).mapInArrow(_later(parts), MARKED)
+    windows = near.mapInArrow(tidy(_around(parts, window, block)), PACKED)
+    late = _spread(windows, parts).mapInArrow(tidy(_later(parts)), MARKED)
     out = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept string")
     out = T.StructType([*out.fields, *(f for f in rows.schema.fields if f.name.startswith("in_"))])
     cut = dealt.join(marks(late).hint("shuffle_hash"), "doc_id", "left")
     nameless = rows.where("doc_id IS NULL").withColumn("marks", F.lit(None).cast("array<binary>"))
-    return cut.mapInArrow(_cut(window), out).unionByName(nameless.mapInArrow(_cut(window), out))
+    return cut.mapInArrow(tidy(_cut(window)), out).unionByName(nameless.mapInArrow(tidy(_cut(window)), out))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
