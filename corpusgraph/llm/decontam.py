@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, pieces_of, table, tidy
 
-Q, RATE, STRETCH, BITS = 10, 0.06, 128, 22
+Q, RATE, STRETCH, BITS = 8, 0.08, 128, 22
 SPREAD = U64(0x9E3779B97F4A7C15)
 
 
@@ -48,14 +48,14 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(cp: np.ndarray) -> np.ndarray:
-    """The q-gram at each place as a number, from its first and last eight characters folded to bytes: equal q-grams
-    are equal, others nearly always differ."""
+    """The q-gram at each place as a number, from its eight characters folded to bytes: equal q-grams are equal, others
+    nearly always differ."""
     folded = ((cp ^ (cp >> 8) ^ (cp >> 16) * 7) & 255).astype(np.uint8)
     n = len(folded) - Q + 1
     if n <= 0:
         return np.zeros(0, U64)
     eight = np.ndarray((len(folded) - 7,), "<u8", folded.tobytes(), strides=(1,))
-    return eight[:n] * SPREAD + eight[Q - 8 :]
+    return eight[:n] * SPREAD
 
 
 @dataclass

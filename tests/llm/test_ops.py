@@ -168,6 +168,23 @@ def test_decontamination(spark, docs, odd, none):
     assert decontam.leaks(odd, b).count() == 0 and decontam.without_leaks(odd, b).count() == 5
 
 
+def test_leaks_with_seven_to_eight_percent_edits(spark):
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n - 1)) + "q"
+    items, rows, want = [(1, say(95)), (2, say(339)), (3, "shortone"), (4, say(26))], [], {}
+    for item, edits, step in ((1, 7, 1), (2, 27, 12), (3, 0, 1), (4, 2, 9)):
+        t = list(items[item - 1][1])
+        for e in range(edits):  # one replaced word, or edits spread over the item
+            t[5 + e * step] = "Z" if step > 1 else "#"
+        rows.append((item, f"{say(60)} {''.join(t)} {say(60)}"))
+        want[item, item] = edits
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(d, b).collect()}
+    assert got == want
+    assert decontam.without_leaks(d, b).count() == 0
+
+
 def test_alignment_equals_full_distance():
     r = random.Random(1)
     for _ in range(60):
