@@ -6,10 +6,13 @@ tokens follow their counts in all training texts. So a token's chance is a produ
 chance mixes, in fixed shares, that of its subwords with the word's share of all training words. Texts are scored in overlapping windows: each window of `WINDOW` places brings
 `STRIDE` new ones with at least `WINDOW - STRIDE` before them, and each token is scored once.
 
-Training texts are those whose crc32(id) mod 5 is not 1. Subword and word counts cover all of them. Attention weights
-start from a bounded sample on the driver (`WARM` texts) and are then trained in every task on windows of every training
-text (each window of a fixed share drawn by hash), and averaged by share of windows, block by block. What reaches the
-driver has the size of the model and of the subword vocabulary, both fixed.
+Training texts are those whose crc32(id) mod 5 is not 1. Their subwords are stored once, in groups of bounded size by
+hash of id and text, in the order of that hash. Passes over all groups give the subword counts (and from them the rows of
+the embedding), what stands beside frequent subwords (and from it the classes), and the weights: each group trains from
+the same weights and the results are averaged by share of windows, block by block. Two opening rounds, each on one
+window in `OPENING` of every group, come before the round at the rate asked for (one window in `SHARE`). Windows are
+drawn and ordered by the text's hash and their number in it, so the model does not depend on partitions. What reaches
+the driver has the size of the model and of the subword vocabulary, both fixed.
 
 The base score needs each word's count over all training texts, a table that grows. It is not broadcast: documents
 are dealt into groups of bounded size, each group asks for its distinct words in packed rows, one for each partition
@@ -30,14 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import VOCABULARY, encoder
-from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, stored, table, word_hashes, worker_cache
+from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, stored, table, tidy, word_hashes, worker_cache
 
 END, SUBWORDS = 50256, 50257
 WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 16, 12, 16, 32, 64, 8192
-WARM = 2000
-#: One window in so many takes part in training.
-SHARE = 16
-GROUP_BYTES = 32 << 20
+#: Frequent subwords, which have classes by neighbours, and the most frequent ones, which are told apart as neighbours.
+COMMON, NEAR, SPECIAL = 2000, 64, 8
+#: One window in so many takes part in training, and in each opening round.
+SHARE, OPENING = 16, 8
+GROUP_BYTES, TRAIN_BYTES = 32 << 20, 16 << 20
+BLOCK = 8192
 LN10 = np.log(10)
 #: Stands for the end of a text among word hashes.
 END_HASH = 0
@@ -169,13 +174,16 @@ class Model:
         embed[r[order][cut]] = np.add.reduceat(d[order], cut)
         return loss, g | {"embed": embed}
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, rate: float, state: dict, share: int = 1, salt: int = 0, batch: int = 64) -> int:
-        """Adam steps over the texts' windows (one in `share`, drawn by hash). Returns how many windows took part."""
+    def train(self, ids: np.ndarray, starts: np.ndarray, rate: float, state: dict, keys: np.ndarray, share: int = 1, salt: int = 0, batch: int = 64) -> int:
+        """Adam steps over the texts' windows, in an order (and, of one in `share`, a draw) by the text's key and the
+        window's number. Returns how many windows took part."""
         doc, first, new = windows(starts)
+        turn = (first - starts[:-1][doc]) // STRIDE
+        lot = mix(mix(keys[doc] + U64(salt)) + turn.astype(U64))
         if share > 1:
-            drawn = mix(first.astype(U64) * U64(2) + U64(salt)) % U64(share) == 0
-            doc, first, new = doc[drawn], first[drawn], new[drawn]
-        order = np.argsort(mix(first.astype(U64) + U64(salt)))
+            drawn = lot % U64(share) == 0
+            doc, first, new, lot = doc[drawn], first[drawn], new[drawn], lot[drawn]
+        order = np.argsort(mix(lot), kind="stable")
         places = np.arange(STRIDE)
         for a in range(0, len(order), batch):
             i = order[a : a + batch]
@@ -209,85 +217,153 @@ def fresh_weights(seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def word_classes(counts: np.ndarray, ids: np.ndarray, seed: int = 6) -> np.ndarray:
-    """A class for each subword: frequent ones by what stands beside them in the sample (k-means), others by count."""
+def near_counts(counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each frequent subword, how often each of the most frequent ones (others as one) stands before and after it."""
     rank = np.argsort(-counts, kind="stable")
-    common, near, special = rank[:2000], 64, 8
-    slot = np.full(SUBWORDS, -1)
-    slot[common] = np.arange(len(common))
-    mark = np.full(SUBWORDS, near)
-    mark[rank[:near]] = np.arange(near)
-    beside = np.zeros((len(common), 2 * (near + 1)))
-    for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], near + 1)):
+    slot, mark = np.full(SUBWORDS, -1), np.full(SUBWORDS, NEAR)
+    slot[rank[:COMMON]] = np.arange(COMMON)
+    mark[rank[:NEAR]] = np.arange(NEAR)
+    wide = 2 * (NEAR + 1)
+    beside = np.zeros(COMMON * wide, np.int64)
+    inner = ids[:-1] != END
+    # Before a text's first subword stands the end of another, after its end nothing.
+    for a, b, shift in ((ids, np.concatenate([[END], ids[:-1]]), 0), (ids[:-1][inner], ids[1:][inner], NEAR + 1)):
         ok = slot[a] >= 0
-        np.add.at(beside, (slot[a[ok]], mark[b[ok]] + shift), 1)
+        beside += np.bincount(slot[a[ok]] * wide + mark[b[ok]] + shift, minlength=len(beside))
+    return beside.reshape(COMMON, wide)
+
+
+def word_classes(counts: np.ndarray, beside: np.ndarray, seed: int = 6) -> np.ndarray:
+    """A class for each subword: frequent ones by what stands beside them (k-means), others by count."""
+    common = np.argsort(-counts, kind="stable")[:COMMON]
     x = np.sqrt(beside / np.maximum(beside.sum(1, keepdims=True), 1))
-    center = x[np.random.default_rng(seed).permutation(len(x))[: CLASSES - special]]
+    center = x[np.random.default_rng(seed).permutation(len(x))[: CLASSES - SPECIAL]]
     for _ in range(12):
         own = np.argmax(x @ center.T - (center**2).sum(1) / 2, axis=1)
         for c in range(len(center)):
             if (own == c).any():
                 center[c] = x[own == c].mean(0)
-    group = CLASSES - special + np.clip(np.log2(counts + 1).astype(int), 0, special - 1)
+    group = CLASSES - SPECIAL + np.clip(np.log2(counts + 1).astype(int), 0, SPECIAL - 1)
     group[common] = own
     return group
 
 
-def build(sample: list[str]) -> Model:
-    """A model whose embedding rows, classes and first weights come from a sample of texts."""
-    ids, starts, *_ = subwords(pa.array(sample, pa.string()))
-    counts = np.bincount(ids, minlength=SUBWORDS)
+def untrained(counts: np.ndarray, beside: np.ndarray) -> Model:
+    """A model with the rows, classes and chances inside classes that the counts give, and fresh weights."""
     row = np.empty(SUBWORDS, np.int64)
     rank = np.argsort(-counts, kind="stable")
     own = ROWS - 1024
     row[rank[:own]] = np.arange(own)
     row[rank[own:]] = own + rank[own:] % 1024
-    model = Model(fresh_weights(), row, word_classes(counts, ids), np.zeros(SUBWORDS)).counted(counts)
+    return Model(fresh_weights(), row, word_classes(counts, beside), np.zeros(SUBWORDS)).counted(counts)
+
+
+def build(texts: list[str]) -> Model:
+    """A model of a few texts, without Spark."""
+    ids, starts, *_ = subwords(pa.array(texts, pa.string()))
+    counts = np.bincount(ids, minlength=SUBWORDS)
+    model = untrained(counts, near_counts(counts, ids))
     state: dict = {}
     for turn, rate in enumerate((0.01, 0.004)):
-        model.train(ids, starts, rate, state, share=2, salt=turn)
+        model.train(ids, starts, rate, state, np.arange(len(texts)).astype(U64), salt=turn)
     return model
 
 
-def _trained(model: Model, rate: float, size: int):
+def _cut(texts):
+    """(grp, key, ids): each text's subwords, two bytes each."""
+    for b in pieces_of(texts, 2):
+        ids, starts, *_ = subwords(b.column(2))
+        ids = ids.astype("<u2").tobytes()
+        told = pa.array([ids[2 * a : 2 * z] for a, z in zip(starts.tolist(), starts[1:].tolist(), strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), told], ["grp", "key", "ids"])
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """A group's texts as one row, in the order of their keys."""
+    rows = rows.sort_by("key")
+    texts = rows.column("ids").to_pylist()
+    sizes = np.fromiter((len(x) // 2 for x in texts), "<i8", len(texts))
+    keys = rows.column("key").to_numpy().astype("<i8")
+    return pa.table({"grp": rows.column("grp")[:1], "ids": pa.array([b"".join(texts)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "keys": pa.array([keys.tobytes()], pa.binary())})
+
+
+def _groups(batches):
+    """Each group's number, subwords, starts of texts and keys."""
+    for b in batches:
+        for i in range(b.num_rows):
+            grp, ids, sizes, keys = (c[i].as_py() for c in b.columns)
+            yield grp, np.frombuffer(ids, "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]), np.frombuffer(keys, "<u8")
+
+
+def _blocks(grp: int, flat: np.ndarray, n: int) -> pa.RecordBatch:
+    cut = range(0, len(flat), BLOCK)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(cut), dtype=np.int32)), pa.array([grp] * len(cut), pa.int64()), pa.array([flat[a : a + BLOCK].astype("<f8").tobytes() for a in cut], pa.binary()), pa.array([n] * len(cut), pa.int64())],
+        ["block", "grp", "sums", "n"],
+    )
+
+
+def _tables(count):
+    """The sum over a task's groups of a table of counts, which has a fixed size."""
+
+    def run(batches):
+        total = 0
+        for grp, ids, *_ in _groups(batches):
+            total = total + count(ids)
+        if np.ndim(total):
+            yield _blocks(grp, total.reshape(-1), 0)
+
+    return run
+
+
+def _trained(model: Model, rate: float, share: int, salt: int):
+    """Weights as trained on each group, times the number of its windows."""
+
     def run(batches):
-        own = Model({k: v.copy() for k, v in model.w.items()}, model.row, model.group, model.inside)
-        state, many, counts = {}, 0, np.zeros(SUBWORDS)
-        for b in pieces_of(batches, 0):
-            ids, starts, *_ = subwords(b.column(0))
-            counts += np.bincount(ids, minlength=SUBWORDS)
-            many += own.train(ids, starts, rate, state, share=SHARE, salt=int(ids[:64].sum()))
-        if many:
-            flat = np.concatenate([counts, *(own.w[k].reshape(-1) * many for k in sorted(own.w))])
-            cut = range(0, len(flat), size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(cut), dtype=np.int32)), pa.array([flat[a : a + size].astype("<f8").tobytes() for a in cut], pa.binary()), pa.array([many] * len(cut), pa.int64())],
-                ["block", "sums", "n"],
-            )
+        for grp, ids, starts, keys in _groups(batches):
+            own = Model({k: v.copy() for k, v in model.w.items()}, model.row, model.group, model.inside)
+            many = own.train(ids, starts, rate, {}, keys, share, salt)
+            if many:
+                yield _blocks(grp, np.concatenate([own.w[k].reshape(-1).astype(float) * many for k in sorted(own.w)]), many)
 
     return run
 
 
 def _add(told: pa.Table) -> pa.Table:
+    told = told.sort_by("grp")
     total = sum(np.frombuffer(x, "<f8") for x in told.column("sums").to_pylist())
     return pa.table({"block": told.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(told.column("n").to_pylist())], pa.int64())})
 
 
+def _summed_up(groups: DataFrame, run) -> tuple[np.ndarray | None, int]:
+    """The sum of what `run` tells of all groups, block by block; it has the size of the model or of a table of counts."""
+    told = groups.mapInArrow(tidy(run), "block int, grp long, sums binary, n long")
+    told = sorted(told.groupBy("block").applyInArrow(_add, "block int, sums binary, n long").collect())
+    return (np.concatenate([np.frombuffer(r["sums"], "<f8") for r in told]), told[0]["n"]) if told else (None, 0)
+
+
 def learn(train: DataFrame, *, rate: float = 0.002) -> Model:
     """Fit the model to a table of training texts (columns doc_id, text)."""
-    warm = train.where("length(text) > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(F.substring("text", 1, 4000).alias("text")).limit(WARM)
-    model = build([r["text"] for r in warm.collect()])
-    told = train.select("text").mapInArrow(_trained(model, rate, 8192), "block int, sums binary, n long")
-    told = told.groupBy("block").applyInArrow(_add, "block int, sums binary, n long").collect()  # as large as the model
-    if told:
-        told.sort(key=lambda r: r["block"])
-        flat = np.concatenate([np.frombuffer(r["sums"], "<f8") for r in told])
-        at, counts = SUBWORDS, flat[:SUBWORDS]
-        for k in sorted(model.w):
-            n = model.w[k].size
-            model.w[k] = (flat[at : at + n] / told[0]["n"]).astype(np.float32).reshape(model.w[k].shape)
-            at += n
-        model = model.counted(counts)
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = max(1, -(-size // TRAIN_BYTES))
+    key = F.xxhash64("doc_id", "text")
+    cut = train.select(F.pmod(key, F.lit(many)).cast("long").alias("grp"), key.alias("key"), "text").mapInArrow(tidy(_cut), "grp long, key long, ids binary")
+    packed = cut.repartition(many, "grp").groupBy("grp").applyInArrow(_packed, "grp long, ids binary, sizes binary, keys binary")
+    groups = stored(packed, f"{shared_dir(train.sparkSession)}/subwords")
+    counts, _ = _summed_up(groups, _tables(lambda ids: np.bincount(ids, minlength=SUBWORDS)))
+    if counts is None:
+        return untrained(np.zeros(SUBWORDS, np.int64), np.zeros((COMMON, 2 * (NEAR + 1))))
+    counts = counts.astype(np.int64)
+    beside, _ = _summed_up(groups, _tables(lambda ids: near_counts(counts, ids)))
+    model = untrained(counts, beside.reshape(COMMON, -1))
+    for turn, (pace, share) in enumerate(((0.01, OPENING), (0.004, OPENING), (rate, SHARE))):
+        flat, n = _summed_up(groups, _trained(model, pace, share, turn))
+        if n:
+            at = 0
+            for k in sorted(model.w):
+                wide = model.w[k].size
+                model.w[k] = (flat[at : at + wide] / n).astype(np.float32).reshape(model.w[k].shape)
+                at += wide
     return model
 
 

@@ -120,6 +120,19 @@ def test_lm(spark, docs, odd, none):
     assert lm.score(odd).count() == 5 and lm.score(none).count() == 0
 
 
+def test_lm_model_comes_from_whole_texts_at_any_partitioning(spark):
+    late = [i for i in (lm.encoder(lm.VOCABULARY).encode_ordinary(f" {w}") for w in ("unicorns", "telescope", "volcano", "pancakes", "harbour")) if len(i) == 1]
+    late = [i[0] for i in late]
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(1500)) + " " + " ".join(r.choice(["unicorns", "telescope", "volcano", "pancakes", "harbour"]) for _ in range(40))) for i in range(6)]
+    assert len(late) > 2 and all(len(t) > 4400 for _, t in rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = lm.learn(d.repartition(1)), lm.learn(d.repartition(5))
+    assert max(one.row[late]) < 100 and (one.group[late] < lm.CLASSES - 8).all()
+    assert (one.row == many.row).all() and (one.group == many.group).all() and (one.inside == many.inside).all()
+    assert all(np.allclose(one.w[k], many.w[k], atol=1e-5) for k in one.w)
+
+
 def test_lm_is_causal_and_windows_cover():
     model = lm.build(["the cat sat on the mat and the dog ran to the cat"] * 20)
     ids, starts, *_ = lm.subwords(lm.pa.array(["the cat sat on the mat and the dog ran far away " * 4]))
