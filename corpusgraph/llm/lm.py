@@ -10,7 +10,7 @@ Training texts are those whose crc32(id) mod 5 is not 1. Their subwords are stor
 hash of id and text, in the order of that hash. Passes over all groups give the subword counts (and from them the rows of
 the embedding), what stands beside frequent subwords (and from it the classes), and the weights: each group trains from
 the same weights and the results are averaged by share of windows, block by block. Two opening rounds, each on one
-window in `OPENING` of every group, come before the round at the rate asked for (one window in `SHARE`). Windows are
+window in `OPENING` of every group, come before the round over every window at the rate asked for. Windows are
 drawn and ordered by the text's hash and their number in it, so the model does not depend on partitions. What reaches
 the driver has the size of the model and of the subword vocabulary, both fixed.
 
@@ -39,8 +39,8 @@ END, SUBWORDS = 50256, 50257
 WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 16, 12, 16, 32, 64, 8192
 #: Frequent subwords, which have classes by neighbours, and the most frequent ones, which are told apart as neighbours.
 COMMON, NEAR, SPECIAL = 2000, 64, 8
-#: One window in so many takes part in training, and in each opening round.
-SHARE, OPENING = 16, 8
+#: Training is over every window; each opening round before it is over one window in so many.
+OPENING = 8
 GROUP_BYTES, TRAIN_BYTES = 32 << 20, 16 << 20
 BLOCK = 8192
 LN10 = np.log(10)
@@ -356,7 +356,7 @@ def learn(train: DataFrame, *, rate: float = 0.002) -> Model:
     counts = counts.astype(np.int64)
     beside, _ = _summed_up(groups, _tables(lambda ids: near_counts(counts, ids)))
     model = untrained(counts, beside.reshape(COMMON, -1))
-    for turn, (pace, share) in enumerate(((0.01, OPENING), (0.004, OPENING), (rate, SHARE))):
+    for turn, (pace, share) in enumerate(((0.01, OPENING), (0.004, OPENING), (rate, 1))):
         flat, n = _summed_up(groups, _trained(model, pace, share, turn))
         if n:
             at = 0

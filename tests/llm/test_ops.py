@@ -133,6 +133,16 @@ def test_lm_model_comes_from_whole_texts_at_any_partitioning(spark):
     assert all(np.allclose(one.w[k], many.w[k], atol=1e-5) for k in one.w)
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    rows = [(i, " ".join(["word"] * (1 + i % 40))) for i in range(50)]
+    seen = []
+    add = lm._summed_up
+    monkeypatch.setattr(lm, "_summed_up", lambda *a: seen.append(add(*a)) or seen[-1])
+    lm.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    starts = np.concatenate([[0], np.cumsum([2 + i % 40 for i in range(50)])])
+    assert seen[-1][1] == len(lm.windows(starts)[0])
+
+
 def test_lm_is_causal_and_windows_cover():
     model = lm.build(["the cat sat on the mat and the dog ran to the cat"] * 20)
     ids, starts, *_ = lm.subwords(lm.pa.array(["the cat sat on the mat and the dog ran far away " * 4]))
