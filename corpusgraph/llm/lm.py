@@ -36,7 +36,7 @@ from .chat import VOCABULARY, encoder
 from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, stored, table, tidy, word_hashes, worker_cache
 
 END, SUBWORDS = 50256, 50257
-WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 16, 12, 16, 32, 64, 8192
+WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 64, 8192
 #: Frequent subwords, which have classes by neighbours, and the most frequent ones, which are told apart as neighbours.
 COMMON, NEAR, SPECIAL = 2000, 64, 8
 #: Training is over every window; each opening round before it is over one window in so many.
@@ -110,7 +110,8 @@ class Model:
         """Class logits at the last STRIDE places of each window."""
         w = self.w
         x = w["embed"][rows] + w["place"]
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+        new = x[:, WINDOW - STRIDE :]  # only these places ask; those before are asked
+        q, k, v = new @ w["q"], x @ w["k"], x @ w["v"]
         a = q @ k.transpose(0, 2, 1)
         a *= np.float32(WIDTH**-0.5)
         np.clip(a, -CAP, CAP, out=a)
@@ -118,10 +119,10 @@ class Model:
         a *= MASK
         a /= a @ np.ones((WINDOW, 1), np.float32)
         c = a @ v
-        y = x + c @ w["o"]
+        y = new + c @ w["o"]
         h = np.maximum(y @ w["up"] + w["up_bias"], 0)
-        z = (y + h @ w["down"])[:, WINDOW - STRIDE :]
-        return z @ w["out"] + w["out_bias"], (rows, x, q, k, v, a, c, y, h, z)
+        z = y + h @ w["down"]
+        return z @ w["out"] + w["out_bias"], (rows, x, new, q, k, v, a, c, y, h, z)
 
     def score(self, ids: np.ndarray, starts: np.ndarray, batch: int = 256) -> np.ndarray:
         """log10 probability of each token after those before it."""
@@ -143,7 +144,7 @@ class Model:
     def gradient(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over real places, and its gradient."""
         w = self.w
-        logits, (rows, x, q, k, v, a, c, y, h, z) = self.forward(rows)
+        logits, (rows, x, new, q, k, v, a, c, y, h, z) = self.forward(rows)
         p = np.exp(np.clip(logits, -CAP, CAP))
         p /= p @ np.ones((CLASSES, 1), np.float32)
         hit = np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]
@@ -153,8 +154,7 @@ class Model:
         p *= (real / np.float32(many))[:, :, None]
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g = {"out": flat(z).T @ flat(p), "out_bias": flat(p).sum(0)}
-        dz = np.zeros_like(y)
-        dz[:, WINDOW - STRIDE :] = p @ w["out"].T
+        dz = p @ w["out"].T
         dh = (dz @ w["down"].T) * (h > 0)
         g |= {"down": flat(h).T @ flat(dz), "up": flat(y).T @ flat(dh), "up_bias": flat(dh).sum(0)}
         dy = dz + dh @ w["up"].T
@@ -164,8 +164,9 @@ class Model:
         da = dc @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+        g |= {"q": flat(new).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
+        dx = dk @ w["k"].T + dv @ w["v"].T
+        dx[:, WINDOW - STRIDE :] += dy + dq @ w["q"].T
         g["place"] = dx.sum(0)
         embed = np.zeros_like(w["embed"])
         r, d = rows.reshape(-1), flat(dx)
@@ -200,8 +201,8 @@ class Model:
         return len(order)
 
 
-#: Which places a place may look at: itself and those before.
-MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Which places a new place may look at: itself and those before.
+MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))[WINDOW - STRIDE :]
 #: Bounds exponents; a bounded logit is still a logit.
 CAP = np.float32(50)
 

@@ -155,6 +155,16 @@ def test_lm_is_causal_and_windows_cover():
     assert np.allclose(total[total > 0], 1)
 
 
+def test_lm_sees_sixteen_places_before_each_window():
+    model = lm.build(["the cat sat on the mat and the dog ran to the cat"] * 20)
+    ids, starts, *_ = lm.subwords(lm.pa.array(["the cat sat on the mat and the dog ran far away " * 8]))
+    first = int(lm.windows(starts)[1][3])
+    far = ids.copy()
+    far[first - 16] = ids[first - 15]
+    assert lm.WINDOW >= 32 and far[first - 16] != ids[first - 16]
+    assert model.score(ids, starts)[first] != model.score(far, starts)[first]
+
+
 def test_lm_gradient():
     model = lm.build(["a b c d"] * 3)
     ids, starts, *_ = lm.subwords(lm.pa.array(["some words to learn from here"]))
