@@ -2,9 +2,10 @@
 
 Words are lower-cased (A-Z) and cut into byte-level subwords; a text is its subwords and one end. The model reads the
 subwords before a token through one block of masked self-attention and predicts the token's class; inside a class
-tokens follow their counts in all training texts. So a token's chance is a product of two normalised laws. A word's
-chance mixes, in fixed shares, that of its subwords with the word's share of all training words. Texts are scored in overlapping windows: each window of `WINDOW` places brings
-`STRIDE` new ones with at least `WINDOW - STRIDE` before them, and each token is scored once.
+tokens follow their counts in all training texts. So a token's chance is a product of two normalised laws, and a text's
+score is the sum of its tokens' log10 chances; counts of words enter the base score alone. Texts are scored in overlapping
+windows: each window of `WINDOW` places brings `STRIDE` new ones with at least `WINDOW - STRIDE` before them, and each
+token is scored once.
 
 Training texts are those whose crc32(id) mod 5 is not 1. Their subwords are stored once, in groups of bounded size by
 hash of id and text, in the order of that hash. Passes over all groups give the subword counts (and from them the rows of
@@ -43,7 +44,6 @@ COMMON, NEAR, SPECIAL = 2000, 64, 8
 OPENING = 8
 GROUP_BYTES, TRAIN_BYTES = 32 << 20, 16 << 20
 BLOCK = 8192
-LN10 = np.log(10)
 #: Stands for the end of a text among word hashes.
 END_HASH = 0
 
@@ -430,7 +430,7 @@ def _answer(batches):
         yield told()
 
 
-def _scored(model: Model, tokens: int, distinct: int, mixture: float):
+def _scored(model: Model, tokens: int, distinct: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     whole = tokens + 0.5 * (distinct + 1)
 
@@ -448,19 +448,18 @@ def _scored(model: Model, tokens: int, distinct: int, mixture: float):
             size = np.insert(n, off[1:], 1)
             read = np.add.reduceat(model.score(ids, starts), np.cumsum(size) - size)
             plain = np.log10((got + 0.5) / whole)
-            mixed = np.logaddexp(plain * LN10 + np.log(mixture), read * LN10 + np.log1p(-mixture)) / LN10
             doc = np.repeat(np.arange(b.num_rows), np.diff(off) + 1)
             total = lambda x: np.bincount(doc, x, b.num_rows)  # noqa: B023, E731
             out.append(pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array(np.diff(off) + 1), pa.array(total(got > 0).astype(np.int64)),
-                pa.array(total(plain)), pa.array(total(mixed)),
+                pa.array(total(plain)), pa.array(total(read)),
             ], names))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def score(docs: DataFrame, *, mixture: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (key_mod(id_col) == 1).alias("held_out"))
@@ -477,7 +476,7 @@ def score(docs: DataFrame, *, mixture: float = 0.6, id_col: str = "doc_id", text
     tokens, distinct = whole.first()
     told = told.where("grp >= 0").select("grp", "hashes", "counts")
     made = grouped.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(
-        _scored(model, tokens, distinct, mixture), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _scored(model, tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

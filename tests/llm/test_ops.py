@@ -143,6 +143,14 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
     assert seen[-1][1] == len(lm.windows(starts)[0])
 
 
+def test_lm_score_is_the_model_s_own(spark, docs):
+    got, texts = by_id(lm.score(docs)), [(i, t) for i, t in ROWS if i % 5 == 0]
+    model = lm.learn(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1))
+    ids, starts, *_ = lm.subwords(lm.pa.array([t for _, t in texts]))
+    own = np.add.reduceat(model.score(ids, starts), starts[:-1])
+    assert np.allclose([got[i]["score"] for i, _ in texts], own, rtol=1e-5)
+
+
 def test_lm_is_causal_and_windows_cover():
     model = lm.build(["the cat sat on the mat and the dog ran to the cat"] * 20)
     ids, starts, *_ = lm.subwords(lm.pa.array(["the cat sat on the mat and the dog ran far away " * 4]))
