@@ -45,8 +45,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their pieces, a sampled segmentation that decodes to the text."""
-    return pieces.encode(docs)
+    """All documents with their pieces, a sampled segmentation. The text returned is the one decoded from the pieces;
+    where it differs from the text encoded, the run fails. A null text stays null."""
+    return pieces.encode(docs, text_decoded=True)
 
 
 STAGES = [

@@ -312,8 +312,13 @@ def encode_texts(lattices: Lattices, keys: list, texts: list[str], seed: int) ->
     return ids, total[edge[1:]] - total[edge[:-1]]
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 1.0, model: str = MODEL, text_out: bool = True) -> DataFrame:
-    """All columns of the documents (without `text_out` all but the text), and pieces (array of ids) and n_pieces."""
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 1.0, model: str = MODEL, text_out: bool = True,
+           text_decoded: bool = False) -> DataFrame:
+    """All columns of the documents (without `text_out` all but the text), and pieces (array of ids) and n_pieces.
+
+    With `text_decoded` the text is the one decoded from the pieces, in the same worker; where it differs from the text
+    encoded, the run fails. A null text stays null.
+    """
     keep = [c for c in docs.columns if c not in ("pieces", "n_pieces")]
     rows = docs.select(*keep)
     key, text = keep.index(id_col), keep.index(text_col)
@@ -326,7 +331,13 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         for b in pieces_of(batches, text, limit=1 << 20):
             ids, n = encode_texts(lattices, b.column(key).to_pylist(), b.column(text).to_pylist(), seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in out), lists, pa.array(n)], [*(keep[i] for i in out), "pieces", "n_pieces"])
+            cols = {i: b.column(i) for i in out}
+            if text_decoded:
+                said = _speller(model).texts(ids, n)
+                if not said.equals(pc.fill_null(b.column(text), "")):
+                    raise ValueError("pieces do not decode to the text")
+                cols[text] = pc.if_else(pc.is_valid(b.column(text)), said, pa.scalar(None, said.type))
+            yield pa.RecordBatch.from_arrays([*(cols[i] for i in out), lists, pa.array(n)], [*(keep[i] for i in out), "pieces", "n_pieces"])
         lattices.clear()
 
     return rows.mapInArrow(tidy(run), schema)

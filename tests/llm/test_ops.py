@@ -442,3 +442,19 @@ def test_pipeline(spark, tmp_path):
     assert [c for c in out.columns] == ["doc_id", "text", "lang", "source", "n_chars", "pieces", "n_pieces"]
     kept = by_id(pieces.decode(out))
     assert 7 not in kept and len(kept) > 250 and all(r["decoded"] == (r["text"] or "") for r in kept.values())
+
+
+def test_last_stage_decodes_what_it_encodes(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    out = by_id(corpus_pipeline.encode(spark, docs, ""))
+    assert {i: r["text"] for i, r in out.items()} == dict(ROWS) and all(r["n_pieces"] == len(r["pieces"]) for r in out.values())
+    whole = pieces.encode_texts
+
+    def wrong(*given):
+        ids, n = whole(*given)
+        return ids[::-1].copy(), n
+
+    monkeypatch.setattr(pieces, "encode_texts", wrong)
+    with pytest.raises(Exception, match="do not decode"):
+        corpus_pipeline.encode(spark, docs, "").collect()
