@@ -67,3 +67,63 @@ def text_representation(e: dict[str, Column]) -> Column:
         listed("Dependencies: ", e["dependencies"]), listed("Base Classes: ", e["base_classes"]), listed("Function Calls: ", e["calls"]),
         listed("Methods: ", e["methods"]), listed("Assignments: ", e["assignments"]),
     )
+
+
+LISTS = ("decorators", "dependencies", "base_classes", "methods", "assignments", "calls")
+
+
+def element_document(e: dict[str, Column]) -> dict[str, Column]:
+    """The sixteen fields of an element's document: missing lists are empty, missing texts too; its content is the code."""
+    text = lambda c: F.coalesce(e[c], F.lit(""))
+    lists = {c: F.coalesce(e[c], F.array().cast("array<string>")) for c in LISTS}
+    params = F.coalesce(e["parameters"], F.array().cast("array<struct<name: string, type: string, default: string>>"))
+    return {c: e[c] for c in ("id", "name", "type", "file_path", "docstring", "code", "is_async")} | lists | {"parameters": params, "return_type": text("return_type"), "explanation": text("explanation")}
+
+
+def dedent(text: Column) -> Column:
+    """The text without the white space that starts all its lines that are not blank."""
+    lines = F.split(text, "\n")
+    margin = F.array_min(F.transform(F.filter(lines, lambda x: F.length(F.trim(x)) > 0), lambda x: F.length(F.regexp_extract(x, "^[ \\t]*", 0))))
+    return F.array_join(F.transform(lines, lambda x: F.when(F.length(F.trim(x)) == 0, "").otherwise(F.substr(x, F.coalesce(margin, F.lit(0)) + 1))), "\n")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def node_text(e: dict[str, Column]) -> Column:
+    """`KIND: name`, the file and the code without its margin."""
+    code = F.when(F.coalesce(e["code"], F.lit("")) == "", "No code available").otherwise(stripped(dedent(e["code"])))
+    return stripped(F.concat(F.upper(e["type"]), F.lit(": "), e["name"], F.lit("\nFile: "), e["file_path"], F.lit("\n\n"), code))
+
+
+def node_metadata(e: dict[str, Column]) -> Column:
+    """A map of an element's fields, lists joined by commas; empty ones are left out."""
+    values = {c: e[c] for c in ("id", "type", "name", "file_path", "return_type", "explanation")} | {"parameters": format_parameters(e["parameters"])}
+    values |= {c: F.array_join(e[c], ",") for c in LISTS}
+    pairs = F.map_from_entries(F.array(*(F.struct(F.lit(k), v.cast("string")) for k, v in sorted(values.items()))))
+    return F.map_filter(pairs, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def text_node(e: dict[str, Column]) -> Column:
+    """A struct of the rendered text and the four fields kept beside it."""
+    return F.struct(text_representation(e).alias("text"), *(e[c].alias(c) for c in ("id", "name", "type", "file_path")))
+
+
+def without_keys(m: Column, *keys: str) -> Column:
+    return F.map_filter(m, lambda k, v: ~k.isin(*keys))
+
+
+def eval_name(name: Column, text: Column) -> Column:
+    """An element's name, or what the text's first three lines say after `Name: `; null if neither tells."""
+    head = F.array_join(F.slice(F.split(text, "\n"), 1, 3), "\n")
+    return F.coalesce(F.nullif(name, F.lit("unknown")), filled(F.regexp_extract(head, r"(?m)^Name: (.*)$", 1)))
+
+
+def stamp(at: Column) -> Column:
+    """A time as yyyymmdd_hhmmss."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def embed_signature(dimension: Column, metric: Column) -> Column:
+    return F.concat_ws(":", dimension.cast("string"), metric)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K_VALUES = (1, 3, 5, 10, 15, 20)
@@ -67,3 +67,36 @@ def best_worst(m: DataFrame, k: int = 5, n: int = 3) -> DataFrame:
 
 def best_k(m: DataFrame) -> DataFrame:
     return by_k(m).orderBy(F.desc("f1"), "k").limit(1).select("k", "f1")
+
+
+QUERIES = "query string, difficulty string, category string, relevant_elements array<string>"
+
+
+def read_queries(spark, path: str) -> DataFrame:
+    """(query_id, query, difficulty, category, relevant_elements) of a JSON file with one array of queries; ids are hashes of the texts."""
+    rows = spark.read.schema(QUERIES).json(path, multiLine=True).distinct()
+    return rows.withColumn("query_id", F.xxhash64("query")).select("query_id", *rows.columns)
+
+
+def qrels(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("relevant_elements").alias("element")).distinct()
+
+
+def count_by(rows: DataFrame, column: str = "category") -> DataFrame:
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_by_name(hits: DataFrame) -> DataFrame:
+    """Of the hits (query_id, name, rank) of one query with one name, the first; ranks follow anew. Hits without a name go."""
+    first = hits.where("name IS NOT NULL").groupBy("query_id", "name").agg(F.min("rank").alias("was"))
+    w = Window.partitionBy("query_id").orderBy("was", "name")
+    return first.select("query_id", "name", F.row_number().over(w).alias("rank"))
+
+
+def write_report(m: DataFrame, path: str) -> None:
+    """Metrics and their means by k as CSV with a header, and a summary text."""
+    m.write.mode("overwrite").csv(f"{path}/metrics", header=True)
+    means = by_k(m)
+    means.coalesce(1).write.mode("overwrite").csv(f"{path}/by_k", header=True)  # a row for each k
+    line = F.format_string("k=%d precision=%.3f recall=%.3f f1=%.3f ndcg=%.3f", "k", "precision", "recall", "f1", "ndcg")
+    means.orderBy("k").coalesce(1).select(line).write.mode("overwrite").text(f"{path}/summary")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 RELATIONS = {"base_classes": "INHERITS_FROM", "calls": "CALLS", "dependencies": "DEPENDS_ON"}
 
 
-def build_edges(elements: DataFrame, relations: dict[str, str] = RELATIONS) -> DataFrame:
-    """Edges from elements (id, name and lists of names) to the elements so named; set semantics."""
+def build_edges(elements: DataFrame, relations: dict[str, str] = RELATIONS, *, context: bool = False) -> DataFrame:
+    """Edges from elements (id, name and lists of names) to the elements so named; set semantics. With `context` the
+    columns are those of schemas.EDGES; the context of a name is not known, so it is null."""
     names = elements.select(F.col("id").alias("dst"), "name")
     made = [
         elements.select(F.col("id").alias("src"), F.explode(c).alias("name")).distinct().join(names, "name")
-        .select("src", "dst", F.lit(rel).alias("rel_type"), F.when(F.lit(rel) == "INHERITS_FROM", None).otherwise(F.col("name")).alias("label"))
+        .select("src", "dst", F.lit(rel).alias("rel_type"), *([F.lit(None).cast("string").alias("context")] if context else []), F.when(F.lit(rel) == "INHERITS_FROM", None).otherwise(F.col("name")).alias("label"))
         for c, rel in relations.items()
     ]
     return reduce(DataFrame.unionByName, made).distinct()
@@ -59,8 +60,67 @@ def expand(hits: DataFrame, edges: DataFrame, *, depth: int = 1, most: int = 50,
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "node_id", "rank", "score")
 
 
-def by_target(elements: DataFrame, columns: tuple[str, ...] = ("calls", "dependencies")) -> DataFrame:
-    """(seed, node): elements whose name the seed's lists hold, other names than the seed's own."""
-    names = elements.select(F.col("id").alias("node"), "name")
-    wanted = elements.select(F.col("id").alias("seed"), F.col("name").alias("own"), F.explode(F.array_distinct(F.concat(*columns))).alias("name"))
+def by_name(seeds: DataFrame, elements: DataFrame, edges: DataFrame, depth: int = 1, rel_types: tuple[str, ...] = ("CALLS", "DEPENDS_ON")) -> DataFrame:
+    """(seed, node, hop): nodes near any element that has the seed's name, themselves of other names.
+
+    seeds: column seed; elements: id, name. Names need not be unique.
+    """
+    names = elements.select("id", "name")
+    twins = seeds.select("seed").distinct().join(names.withColumnRenamed("id", "seed"), "seed").join(names.withColumnRenamed("id", "twin"), "name")
+    near = neighbours(twins.select(F.col("twin").alias("seed")), edges, depth, rel_types).withColumnRenamed("seed", "twin")
+    found = twins.join(near, "twin").join(names.select(F.col("id").alias("node"), F.col("name").alias("other")), "node").where("other <> name")
+    return found.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
+
+
+def expand_all(hits: DataFrame, elements: DataFrame, edges: DataFrame, *, depth: int = 1, most: int = 50, rel_types: tuple[str, ...] = ("CALLS", "DEPENDS_ON"),
+               columns: tuple[str, ...] = ("calls", "dependencies"), repeat_seeds: bool = False) -> DataFrame:
+    """Seeds first, then what three ways find, in their order: by id, by name, by the names in the seeds' lists.
+
+    A node counts once, by the first way that finds it; inside a way the seed's rank and then the id decide. Nodes that
+    are no element are dropped. Also returned: way (0: seed).
+    """
+    seeds = hits.select(F.col("node_id").alias("seed")).distinct()
+    ways = [
+        neighbours(seeds, edges, depth, rel_types).select("seed", "node", F.lit(1).alias("way")),
+        by_name(seeds, elements, edges, depth, rel_types).select("seed", "node", F.lit(2).alias("way")),
+        by_target(elements.join(seeds, elements["id"] == seeds["seed"], "left_semi"), columns, elements).select("seed", "node", F.lit(3).alias("way")),
+    ]
+    near = reduce(DataFrame.unionByName, ways).join(elements.select(F.col("id").alias("node")), "node", "left_semi")
+    found = hits.select("query_id", F.col("node_id").alias("seed"), "rank").join(near, "seed")
+    found = found.groupBy("query_id", F.col("node").alias("node_id")).agg(F.min(F.struct("way", F.col("rank").alias("via"))).alias("least"))
+    if not repeat_seeds:
+        found = found.join(hits.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    every = hits.select("query_id", "node_id", "score", F.lit(0).alias("way"), F.col("rank").alias("via")).unionByName(
+        found.select("query_id", "node_id", F.lit(0.5).alias("score"), "least.way", "least.via")
+    )
+    w = Window.partitionBy("query_id").orderBy("way", "via", "node_id")
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "node_id", "rank", "score", "way")
+
+
+def hydrate(stored: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+    """Stored rows and, of the graph's nodes, those not among them."""
+    return stored.unionByName(nodes.join(stored.select(key), key, "left_anti"))
+
+
+def paths(seeds: DataFrame, edges: DataFrame, rel_types: tuple[str, ...] = ("CALLS", "DEPENDS_ON")) -> DataFrame:
+    """(seed, node, rel_types): neighbours in one step with the sorted kinds of edges between."""
+    e = edges.where(F.col("rel_type").isin(*rel_types))
+    both = e.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "rel_type").unionByName(e.select(F.col("dst").alias("seed"), F.col("src").alias("node"), "rel_type"))
+    return both.join(seeds.select("seed"), "seed", "left_semi").where("seed <> node").groupBy("seed", "node").agg(F.array_sort(F.collect_set("rel_type")).alias("rel_types"))
+
+
+def build_graph(elements: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes first, then edges, written below `path`; returns both as stored."""
+    spark = elements.sparkSession
+    elements.write.mode("overwrite").parquet(f"{path}/nodes")
+    nodes = spark.read.schema(elements.schema).parquet(f"{path}/nodes")
+    edges = build_edges(nodes)
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    return nodes, spark.read.schema(edges.schema).parquet(f"{path}/edges")
+
+
+def by_target(elements: DataFrame, columns: tuple[str, ...] = ("calls", "dependencies"), among: DataFrame | None = None) -> DataFrame:
+    """(seed, node): elements (of `among`, if given) whose name the seed's lists hold, other names than the seed's own."""
+    names = (elements if among is None else among).select(F.col("id").alias("node"), "name")
+    wanted = elements.select(F.col("id").alias("seed"), F.col("name").alias("own"), F.explode(F.array_distinct(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in columns)))).alias("name"))
     return wanted.where("name <> own").join(names, "name").select("seed", "node").distinct()

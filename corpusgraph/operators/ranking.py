@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,12 @@ from ..functions.text import tokens
 
 #: Scores are compared after rounding, so that summation order cannot swap ranks.
 PLACES = 6
-#: Query vectors are multiplied in blocks of so many.
-BLOCK = 1024
+#: Rows of a pack, which meets queries as one.
+PACK = 2048
+#: The most bytes of queries that are broadcast at once.
+BROADCAST = 64 << 20
+#: Queries that meet a pack at once.
+QUERIES = 256
 
 
 def ranked(scored: DataFrame, k: int | None = None, score: Column | None = None) -> DataFrame:
@@ -29,19 +35,147 @@ def ranked(scored: DataFrame, k: int | None = None, score: Column | None = None)
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 of docs (node_id, text) for queries (query_id, text), each distinct query term once.
 
-    Only postings of query terms leave the scan; texts do not.
+    One pass counts the documents of the query terms, with partial sums in each task. A second one packs documents, lets
+    each pack meet the queries in blocks of QUERIES and gives each task's k best of each query, so pairs of documents and
+    queries are not shuffled.
     """
-    cut = docs.select("node_id", tokens(F.col("text")).alias("terms"))
-    stats = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    # The distinct terms of the queries: Spark broadcasts them if they are few, else both sides shuffle by term.
-    posting = cut.select("node_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    posting = posting.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "node_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    df = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    cut = docs.select(F.col("node_id").cast("long").alias("node_id"), tokens(F.col("text")).alias("terms"))
+    wanted = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    # No term is empty, so the empty one counts all documents and their lengths.
+    every = cut.select(F.size("terms").alias("dl"), F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term"))
+    known = wanted.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    df = every.join(known, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("all"))
+    stats = df.where("term = ''").select(F.col("df").alias("n"), (F.col("all") / F.col("df")).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return ranked(posting.join(terms, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("score")), k)
+    terms = wanted.join(df.where("term <> ''").select("term", "df"), "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    asked = terms.select("query_id", "term", idf.alias("idf"), "avgdl").repartition("query_id").sortWithinPartitions("query_id")
+    blocks = asked.mapInArrow(_pack_queries, "qs array<long>, ts array<string>, ws array<double>, avgdl double")
+    packs = cut.mapInArrow(_pack_terms, "ids binary, sizes binary, codes binary, dict array<string>")
+    # A term takes its own bytes, 8 for its query and 8 for its weight, and has 2 letters at least.
+    size = queries.agg(F.sum(12 * F.octet_length("text"))).first()[0] or 0
+    return ranked(_meet(packs, blocks, size).mapInArrow(_bm25_best(k, k1, b), _HITS), k)
+
+
+def _meet(packs: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """Every pack with every block of queries. Blocks are broadcast up to BROADCAST bytes; beyond that they go in parts of
+    that size, with a scan of the packs for each."""
+    many = max(1, -(-size // BROADCAST))
+    part = F.pmod(F.xxhash64(blocks.columns[0]), F.lit(many))
+    met = [packs.crossJoin(F.broadcast(blocks if many == 1 else blocks.where(part == i))) for i in range(many)]
+    return reduce(DataFrame.unionByName, met)
+
+
+_HITS = "query_id long, node_id long, score double"
+_HIT_NAMES = ["query_id", "node_id", "score"]
+
+
+def _pack_terms(batches):
+    """Documents in packs of PACK rows: ids, lengths, and terms as places in a dictionary."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, PACK):
+            part = whole.slice(a, PACK)
+            lists = part.column(1)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            row = part.column(0).to_numpy().astype("<i8").tobytes(), size.astype("<i4").tobytes(), coded.indices.to_numpy().astype("<i4").tobytes()
+            kinds = [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, kinds, strict=True)), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string()))], ["ids", "sizes", "codes", "dict"])
+
+
+def _pack_queries(batches):
+    """Weighted terms of whole queries, QUERIES at most in a row; rows come sorted by query."""
+    held: list[pa.RecordBatch] = []
+
+    def out(rows: pa.Table):
+        lists = [pa.array([rows.column(i).to_pylist()], t) for i, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64())))]
+        return pa.RecordBatch.from_arrays([*lists, rows.column(3).combine_chunks()[:1]], ["qs", "ts", "ws", "avgdl"])
+
+    for b in batches:
+        held.append(b)
+        rows = pa.Table.from_batches(held)
+        q = rows.column(0).to_numpy()
+        first = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.zeros(0, int)
+        done = 0
+        while len(first) > QUERIES:  # the last query may go on in the next batch
+            yield out(rows.slice(done, first[QUERIES] - done))
+            done, first = first[QUERIES], first[QUERIES:]
+        held = rows.slice(done).to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield out(pa.Table.from_batches(held))
+
+
+def _best(score: np.ndarray, key: np.ndarray, k: int | None) -> np.ndarray:
+    """Places of the k highest scores, all that tie at the last place included; the smallest keys decide later."""
+    if k is None or k >= len(score):
+        return np.arange(len(score))
+    least = np.partition(score, len(score) - k)[len(score) - k]
+    top = np.flatnonzero(score >= least)
+    return top[np.lexsort((key[top], -score[top]))[:k]]
+
+
+class _Kept:
+    """A task's best of each query so far, put out when they have grown."""
+
+    def __init__(self, k: int | None):
+        self.k, self.rows, self.n = k, [], 0
+
+    def add(self, query: np.ndarray, key: np.ndarray, score: np.ndarray):
+        self.rows.append((query, key, score))
+        self.n += len(query)
+        if self.n > 1_000_000:
+            self.cut()
+            if self.n > 500_000:
+                yield self.out()
+
+    def cut(self) -> None:
+        q, d, s = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        if self.k is not None:
+            first = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
+            turn = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            q, d, s = (x[turn < self.k] for x in (q, d, s))
+        self.rows, self.n = [(q, d, s)], len(q)
+
+    def out(self) -> pa.RecordBatch:
+        if len(self.rows) > 1:
+            self.cut()
+        rows, self.rows, self.n = self.rows, [], 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows[0]], _HIT_NAMES)
+
+
+def _bm25_best(k: int | None, k1: float, b: float):
+    def run(batches):
+        kept = _Kept(k)
+        for batch in batches:
+            for ids, sizes, codes, known, qs, ts, ws, avgdl in zip(*(c for c in batch.columns), strict=True):
+                key, size = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(sizes.as_py(), "<i4")
+                terms, place = np.unique(np.asarray(ts.values.to_numpy(zero_copy_only=False), object).astype(str), return_inverse=True)
+                queries, query = np.unique(qs.values.to_numpy(), return_inverse=True)
+                weight = ws.values.to_numpy()
+                # Each pair of a document and a wanted term once, with how often it occurs.
+                found = pc.index_in(known.values, pa.array(terms.tolist(), pa.string()))
+                term = pc.fill_null(found, -1).to_numpy()[np.frombuffer(codes.as_py(), "<i4")] if len(known.values) else np.zeros(0, int)
+                doc = np.repeat(np.arange(len(key)), size)
+                pair, tf = np.unique((term * len(key) + doc)[term >= 0], return_counts=True)
+                term, doc = pair // len(key), pair % len(key)
+                part = tf / (tf + k1 * (1 - b + b * size[doc] / avgdl.as_py()))
+                score = np.zeros((len(queries), len(key)))
+                by_term = np.argsort(place, kind="stable")
+                a, z = np.searchsorted(term, np.arange(len(terms))), np.searchsorted(term, np.arange(len(terms)), side="right")
+                qa = np.searchsorted(place[by_term], np.arange(len(terms) + 1))
+                for t in np.flatnonzero(z > a):
+                    i = by_term[qa[t] : qa[t + 1]]
+                    score[np.ix_(query[i], doc[a[t] : z[t]])] += weight[i][:, None] * part[a[t] : z[t]]
+                score = np.round(score, PLACES)
+                for i in range(len(queries)):
+                    hit = np.flatnonzero(score[i] > 0)
+                    top = hit[_best(score[i, hit], key[hit], k)]
+                    yield from kept.add(np.full(len(top), queries[i]), key[top], score[i, top])
+        if kept.rows:
+            yield kept.out()
+
+    return run
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -49,43 +183,52 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
+def _pack_vectors(batches):
+    """Vectors in packs of PACK rows, as ids and one matrix; all in a pack must be of one length."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, PACK):
+            part = whole.slice(a, PACK)
+            size = np.unique(pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+            if len(size) > 1:
+                raise ValueError(f"vectors of {', '.join(map(str, size))} numbers in one table")
+            flat = part.column(1).flatten()
+            if flat.null_count:
+                raise ValueError("a vector has a null among its numbers")
+            row = part.column(0).to_numpy().astype("<i8").tobytes(), flat.to_numpy().astype("<f8").tobytes()
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in row), pa.array([int(size[0])], pa.int32())], ["ids", "flat", "size"])
+
+
+def _cosine_best(k: int | None):
+    def run(batches):
+        kept = _Kept(k)
+        for batch in batches:
+            for ids, flat, size, qids, qflat, qsize in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size != qsize:
+                    raise ValueError(f"queries of {qsize} numbers against vectors of {size}")
+                key, query = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
+                matrix = lambda x: _unit(np.frombuffer(x, "<f8").reshape(-1, max(size, 1)))  # noqa: B023, E731
+                score = np.round(matrix(qflat) @ matrix(flat).T, PLACES) if size else np.zeros((len(query), len(key)))
+                for i in range(len(query)):
+                    top = _best(score[i], key, k)
+                    yield from kept.add(np.full(len(top), query[i]), key[top], score[i, top])
+        if kept.rows:
+            yield kept.out()
+
+    return run
+
+
 def vector(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k of vectors (node_id, embedding) for queries (query_id, embedding), exact.
+    """Cosine top-k of vectors (node_id, embedding) for queries (query_id, embedding), exact; in one scan, if the queries take BROADCAST bytes
+    at most.
 
-    Queries are read in blocks of BLOCK; each batch of vectors gives its own k best of each query, so few rows shuffle.
+    Both sides are packed; each pack of vectors meets each block of queries, and a task gives its own k best of each
+    query. Null vectors and queries take no part; a vector of zeros scores 0; vectors of different lengths are an error.
     """
-    spark, out = vectors.sparkSession, None
-    n = queries.count()
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK)))))
-    rows = vectors.select(F.col("node_id").cast("long").alias("node_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    for block in range(max(1, -(-n // BLOCK))):
-        got = numbered.where(F.col("block") == block).select("query_id", "embedding").collect()
-        if not got:
-            continue
-        ids = np.array([r[0] for r in got])
-        unit = _unit(np.array([list(r[1]) for r in got], float))
-
-        def best(batches, ids=ids, unit=unit):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                key = b.column(0).to_numpy()
-                size = unit.shape[1]
-                x = b.column(1).flatten().to_numpy().reshape(-1, size)
-                s = np.round(unit @ _unit(x).T, PLACES)
-                q, d = [], []
-                for i in range(len(ids)):
-                    top = np.lexsort((key, -s[i]))[:k]
-                    q.append(np.full(len(top), i))
-                    d.append(top)
-                q, d = np.concatenate(q), np.concatenate(d)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(key[d]), pa.array(s[q, d])], ["query_id", "node_id", "score"])
-
-        part = rows.mapInArrow(best, "query_id long, node_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, node_id long, score double")
-    return ranked(out, k)
+    rows = lambda df, key: df.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
+    packs = rows(vectors, "node_id").mapInArrow(_pack_vectors, "ids binary, flat binary, size int")
+    blocks = rows(queries, "query_id").mapInArrow(_pack_vectors, "ids binary, flat binary, size int").toDF("qids", "qflat", "qsize")
+    size = queries.agg(F.sum(8 * (1 + F.size("embedding")))).first()[0] or 0
+    return ranked(_meet(packs, blocks, size).mapInArrow(_cosine_best(k), _HITS), k)
 
 
 def cutoff(hits: DataFrame, least: float) -> DataFrame:
@@ -115,10 +258,11 @@ Scorer = Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]
 
 
 def adaptive_k(hits: DataFrame, *, k_min: int = 2, k_max: int = 10, target: float = 0.70, temperature: float = 1.0,
-               max_cost: float = 0.01, price: float = 0.001) -> DataFrame:
+               max_cost: float = 0.01, price: float = 0.001, queries: DataFrame | None = None) -> DataFrame:
     """How many hits to keep: softmax mass, running token cost and the reason to stop, per query.
 
-    hits: query_id, rank, score, chars (length of the text). All in one partition pass by query.
+    hits: query_id, rank, score, chars (length of the text). All in one partition pass by query. With `queries` (query_id),
+    those without hits have a row too: none kept, no_candidates.
     """
     q = Window.partitionBy("query_id")
     upto = q.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -146,11 +290,17 @@ def adaptive_k(hits: DataFrame, *, k_min: int = 2, k_max: int = 10, target: floa
     )
     g = g.withColumn("selected_k", kept.cast("int")).withColumn("stopped_reason", reason)
     used = F.element_at("rows", F.col("selected_k"))["tokens"]
-    return g.select(
+    out = g.select(
         "query_id", "selected_k", "stopped_reason", used.cast("long").alias("total_tokens"), F.round(used / 1000 * F.lit(price), PLACES).alias("total_cost"),
         F.when(few, F.transform("rows", lambda r: F.round(1 / F.col("n"), PLACES))).otherwise(F.transform("rows", lambda r: r["p"])).alias("probabilities"),
         F.when(few, F.array().cast("array<double>")).otherwise(F.transform("rows", lambda r: r["cm"])).alias("cumulative_masses"),
     )
+    if queries is None:
+        return out
+    none = {"selected_k": F.lit(0), "stopped_reason": F.lit("no_candidates"), "total_tokens": F.lit(0).cast("long"), "total_cost": F.lit(0.0)}
+    none |= {c: F.array().cast("array<double>") for c in ("probabilities", "cumulative_masses")}
+    every = queries.select("query_id").distinct().join(out, "query_id", "left")
+    return every.select("query_id", *(F.coalesce(F.col(c), v).alias(c) for c, v in none.items()))
 
 
 def select_adaptive(hits: DataFrame, **options) -> DataFrame:

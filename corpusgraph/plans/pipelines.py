@@ -35,9 +35,18 @@ Pipeline = Callable[[Corpus, DataFrame, Options], DataFrame]
 REGISTRY: dict[str, Pipeline] = {}
 
 
-def register(name: str) -> Callable[[Pipeline], Pipeline]:
+#: The most hits that an expansion before a rerank starts from.
+SEEDS = 50
+#: Options that each pipeline uses.
+USED: dict[Pipeline, set[str]] = {}
+
+
+def register(name: str, *options: str) -> Callable[[Pipeline], Pipeline]:
+    """options: what the pipeline uses besides k."""
+
     def put(f: Pipeline) -> Pipeline:
         REGISTRY[name] = f
+        USED[f] = {"k", *options}
         return f
 
     return put
@@ -51,11 +60,14 @@ def get(name: str = "vector") -> Pipeline:
 
 
 def retrieve(name: str, corpus: Corpus, queries: DataFrame, **options) -> DataFrame:
-    """Run a pipeline; unknown options are an error."""
-    blank = queries.where(F.length(F.trim("text")) == 0)
-    if not blank.isEmpty():
-        raise ValueError("a query is blank")
-    return get(name)(corpus, queries, Options(**options))
+    """Run a pipeline; options it does not know or use are an error, and the job fails at a blank or null query."""
+    run = get(name)
+    idle = [o for o in options if o not in USED.get(run, Options.__dataclass_fields__) and o in Options.__dataclass_fields__]
+    if idle:
+        raise ValueError(f"pipeline {name!r} does not use {', '.join(sorted(idle))}")
+    blank = F.raise_error(F.concat(F.lit("a query is blank: "), F.col("query_id")))
+    checked = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, F.col("text")).otherwise(blank.cast("string"))
+    return run(corpus, queries.withColumn("text", checked), Options(**options))
 
 
 def _bm25(c: Corpus, q: DataFrame, k: int) -> DataFrame:
@@ -79,53 +91,53 @@ def bm25(c, q, o):
     return _bm25(c, q, o.k)
 
 
-@register("bm25_reranked")
+@register("bm25_reranked", "initial_k")
 def bm25_reranked(c, q, o):
     return _rerank(c, _bm25(c, q, o.initial_k or max(3 * o.k, 30)), q, o.k)
 
 
-@register("bm25_graph_expanded")
+@register("bm25_graph_expanded", "initial_k", "depth", "max_expansion_nodes")
 def bm25_graph_expanded(c, q, o):
-    return _expand(c, _bm25(c, q, o.k), o)
+    return _expand(c, _bm25(c, q, min(o.k, o.initial_k or max(2 * o.k, 30))), o)
 
 
-@register("bm25_graph_expanded_reranked")
+@register("bm25_graph_expanded_reranked", "initial_k", "depth", "max_expansion_nodes")
 def bm25_graph_expanded_reranked(c, q, o):
-    return _rerank(c, _expand(c, _bm25(c, q, o.initial_k or max(3 * o.k, 30)), o), q, o.k)
+    return _rerank(c, _expand(c, _bm25(c, q, min(o.initial_k or max(3 * o.k, 30), SEEDS)), o), q, o.k)
 
 
-@register("vector")
+@register("vector", "cutoff")
 def vector(c, q, o):
     hits = _vector(c, q, o.k)
     return hits if o.cutoff is None else ranking.cutoff(hits, o.cutoff)
 
 
-@register("vector_reranked")
+@register("vector_reranked", "initial_k", "cutoff")
 def vector_reranked(c, q, o):
     hits = _rerank(c, _vector(c, q, o.initial_k or max(3 * o.k, 10)), q, o.k)
     return hits if o.cutoff is None else ranking.cutoff(hits, o.cutoff)
 
 
-@register("hybrid_rrf")
+@register("hybrid_rrf", "initial_k")
 def hybrid_rrf(c, q, o):
     n = o.initial_k or max(3 * o.k, 30)
     return ranking.rrf([_vector(c, q, n), _bm25(c, q, n)], o.k)
 
 
-@register("hybrid_rrf_reranked")
+@register("hybrid_rrf_reranked", "fused_k")
 def hybrid_rrf_reranked(c, q, o):
     n = max(3 * o.k, 30)
     return _rerank(c, ranking.rrf([_vector(c, q, n), _bm25(c, q, n)], o.fused_k or max(3 * o.k, 20)), q, o.k)
 
 
-@register("bm25_graph_vector_rrf_reranked")
+@register("bm25_graph_vector_rrf_reranked", "fused_k", "depth", "max_expansion_nodes")
 def bm25_graph_vector_rrf_reranked(c, q, o):
     n = max(3 * o.k, 30)
     fused = ranking.rrf([_expand(c, _bm25(c, q, n), o), _vector(c, q, n)], o.fused_k or max(2 * o.k, 20))
     return _rerank(c, fused, q, o.k)
 
 
-register("hybrid_graph_expanded")(bm25_graph_vector_rrf_reranked)
+register("hybrid_graph_expanded", "fused_k", "depth", "max_expansion_nodes")(bm25_graph_vector_rrf_reranked)
 
 
 def results(hits: DataFrame, elements: DataFrame, limit: int = 200) -> DataFrame:

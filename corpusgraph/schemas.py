@@ -1,13 +1,39 @@
-"""Fixed row types."""
+"""Fixed row types, and checks of tables against them."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-ELEMENTS = T.StructType.fromDDL(
-    "id string, type string, name string, docstring string, code string, file_path string, "
-    "parameters array<struct<name: string, type: string, default: string>>, return_type string, decorators array<string>, "
-    "dependencies array<string>, base_classes array<string>, methods array<string>, calls array<string>, assignments array<string>, "
-    "explanation string, is_async boolean"
-)
-EDGES = T.StructType.fromDDL("src string, dst string, rel_type string, context string, label string")
-HITS = T.StructType.fromDDL("query_id long, node_id long, rank int, score double")
-MANIFEST = T.StructType.fromDDL("path string, mtime long, sha256 string")
+_S, _L, _A = T.StringType(), T.LongType(), T.ArrayType(T.StringType())
+PARAMETERS = T.ArrayType(T.StructType().add("name", _S).add("type", _S).add("default", _S))
+
+
+def _row(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
+
+ELEMENTS = _row(
+    id=_S, type=_S, name=_S, docstring=_S, code=_S, file_path=_S, parameters=PARAMETERS, return_type=_S, decorators=_A, dependencies=_A, base_classes=_A,
+    methods=_A, calls=_A, assignments=_A, explanation=_S, is_async=T.BooleanType(),
+)
+EDGES = _row(src=_S, dst=_S, rel_type=_S, context=_S, label=_S)
+HITS = _row(query_id=_L, node_id=_L, rank=T.IntegerType(), score=T.DoubleType())
+MANIFEST = _row(path=_S, mtime=_L, sha256=_S)
+PROGRESS = _row(kind=_S, key=_S, sha256=_S, state=_S, at=T.TimestampType())
+
+
+def missing_columns(df: DataFrame, schema: T.StructType) -> list[str]:
+    """Fields of the schema that the table lacks or has with another type."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return [f.name for f in schema.fields if have.get(f.name) != f.dataType]
+
+
+def violations(df: DataFrame, key: str = "id") -> DataFrame:
+    """(key, n): keys that are null or occur more than once; a table fit for use has none."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return n.where(F.col(key).isNull() | (F.col("n") > 1))
+
+
+def populated(df: DataFrame) -> bool:
+    return not df.isEmpty()

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as X
 from corpusgraph.operators import graph, incremental, ranking
-from corpusgraph.plans import catalogue, pipelines
+from corpusgraph.plans import catalogue, code_queries, pipelines  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf", "bm25_graph_expanded", "adaptive_k", "expand_2hop", "snapshot_diff", "eval_quartiles"])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
