@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 
 #: Scores are compared after rounding, so that summation order cannot swap ranks.
 PLACES = 6
@@ -35,22 +37,25 @@ def ranked(scored: DataFrame, k: int | None = None, score: Column | None = None)
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 of docs (node_id, text) for queries (query_id, text), each distinct query term once.
 
-    One pass counts the documents of the query terms, with partial sums in each task. A second one packs documents, lets
+    One pass counts the documents of each term, with sums in each task. A second one packs documents, lets
     each pack meet the queries in blocks of QUERIES and gives each task's k best of each query, so pairs of documents and
     queries are not shuffled.
     """
-    cut = docs.select(F.col("node_id").cast("long").alias("node_id"), tokens(F.col("text")).alias("terms"))
+    low = docs.select(F.col("node_id").cast("long").alias("node_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     wanted = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    counted = low.mapInArrow(_count_terms, "term string, df long, size long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
     # No term is empty, so the empty one counts all documents and their lengths.
-    every = cut.select(F.size("terms").alias("dl"), F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term"))
-    known = wanted.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    df = every.join(known, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("all"))
-    stats = df.where("term = ''").select(F.col("df").alias("n"), (F.col("all") / F.col("df")).alias("avgdl"))
+    none = F.array(F.lit("")).alias("term")
+    known = wanted.select("term").distinct().unionByName(queries.limit(1).select(F.explode(none).alias("term")))
+    df = counted.join(known, "term", "left_semi")
+    # No filter on the term here: pushed below the sum it would make a second pass over the texts.
+    whole = F.col("term") == ""
+    stats = df.agg(F.max(F.when(whole, F.col("df"))).alias("n"), F.max(F.when(whole, F.col("size") / F.col("df"))).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = wanted.join(df.where("term <> ''").select("term", "df"), "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    terms = wanted.join(df.select("term", "df"), "term").crossJoin(F.broadcast(stats))  # one row of statistics
     asked = terms.select("query_id", "term", idf.alias("idf"), "avgdl").repartition("query_id").sortWithinPartitions("query_id")
     blocks = asked.mapInArrow(_pack_queries, "qs array<long>, ts array<string>, ws array<double>, avgdl double")
-    packs = cut.mapInArrow(_pack_terms, "ids binary, sizes binary, codes binary, dict array<string>")
+    packs = low.mapInArrow(_pack_terms, "ids binary, sizes binary, codes binary, dict array<string>")
     # A term takes its own bytes, 8 for its query and 8 for its weight, and has 2 letters at least.
     size = queries.agg(F.sum(12 * F.octet_length("text"))).first()[0] or 0
     return ranked(_meet(packs, blocks, size).mapInArrow(_bm25_best(k, k1, b), _HITS), k)
@@ -69,17 +74,47 @@ _HITS = "query_id long, node_id long, score double"
 _HIT_NAMES = ["query_id", "node_id", "score"]
 
 
+def _terms(text: str) -> list[str]:
+    """The tokens of a lower-cased text, as functions.text.tokens cuts them."""
+    return regex.findall(TOKEN, text)
+
+
+def _count_terms(batches):
+    """How many documents of a task have each term; under the empty term how many there are and their lengths."""
+    count: Counter = Counter()
+    docs = size = 0
+
+    def out():
+        rows = list(count.items())
+        rows.append(("", docs))
+        sizes = [0] * (len(rows) - 1) + [size]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes, pa.int64())], ["term", "df", "size"])
+
+    for b in batches:
+        for text in b.column(1).to_pylist():
+            found = _terms(text)
+            docs, size = docs + 1, size + len(found)
+            count.update(set(found))
+        if len(count) > 500_000:
+            yield out()
+            count.clear()
+            docs = size = 0
+    yield out()
+
+
 def _pack_terms(batches):
     """Documents in packs of PACK rows: ids, lengths, and terms as places in a dictionary."""
     for whole in batches:
         for a in range(0, whole.num_rows, PACK):
             part = whole.slice(a, PACK)
-            lists = part.column(1)
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            coded = lists.flatten().dictionary_encode()
-            row = part.column(0).to_numpy().astype("<i8").tobytes(), size.astype("<i4").tobytes(), coded.indices.to_numpy().astype("<i4").tobytes()
-            kinds = [pa.binary()] * 3
-            yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, kinds, strict=True)), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string()))], ["ids", "sizes", "codes", "dict"])
+            place: dict[str, int] = {}
+            codes, sizes = [], []
+            for text in part.column(1).to_pylist():
+                found = _terms(text)
+                sizes.append(len(found))
+                codes.append(np.fromiter((place.setdefault(t, len(place)) for t in found), "<i4", len(found)))
+            row = part.column(0).to_numpy().astype("<i8").tobytes(), np.array(sizes, "<i4").tobytes(), np.concatenate(codes).tobytes()
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in row), pa.array([list(place)], pa.list_(pa.string()))], ["ids", "sizes", "codes", "dict"])
 
 
 def _pack_queries(batches):
