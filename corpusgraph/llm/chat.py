@@ -1,18 +1,19 @@
 """Chat formatting in budgeted windows.
 
-Turns are rendered as `<|im_start|>role\\ntext<|im_end|>\\n`. Prefix sums of turn tokens choose spans of whole
-turns: a turn belongs to the window in whose token range it starts. A window is the system turn, the last turns
-of the window before (up to `history` tokens) and its own turns; only own assistant texts carry loss, so each is
-a target once, however often it is repeated. `history` and `budget` count tokens of the rendered turns; one turn
-longer than the budget keeps a window of its own, whole.
+Turns are rendered as `<|im_start|>role\\ntext<|im_end|>\\n`. Prefix sums of turn tokens choose spans of whole turns: a
+window is the system turn, the last turns before its own that have up to `history` tokens together, and as many own
+turns as the budget then holds. Where the next own turn does not fit beside the history, the history is cut to what
+does; only a turn that exceeds the budget with the system turn alone makes a window that does, and is its one own turn.
+Only own assistant texts carry loss, so each is a target once, however often it is repeated. `history` and `budget` count
+tokens of the rendered turns.
 
 Escaping: in texts and roles every `<` backslashes `|` gets one more backslash, so no control string can arise;
 a newline in a role becomes the control string `<|nl|>`. Both are undone on reading.
 
 Defined results: null role or text: empty; equal turn numbers: ordered by role, then text (null turns first);
 repeated rows stay repeated; a null conversation id is a conversation; an empty table gives no windows; other
-columns of the input are not read. Prefix sums and the digest stream through sorted partitions, so a very long
-conversation is never held in memory.
+columns of the input are not read. Windows and digests stream through sorted partitions, so of a very long
+conversation one window is held in memory.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import deque
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import table, worker_cache
 
@@ -85,29 +87,104 @@ def _count_tokens(path: str):
     return run
 
 
-def _render_windows(batches):
-    for b in batches:
-        rows = {"formatted": [], "spans": [], "repeated": [], "tokens": []}
-        for turns in b.column("turns").to_pylist():
-            parts, spans, at, repeated = [], [], 0, 0
-            for t in turns:
-                s, head, n = render(t["role"], t["text"])
-                if not t["own"]:
-                    repeated += 1
-                elif t["role"] == "assistant":
-                    spans.append({"start": at + head, "length": n})
-                parts.append(s)
-                at += len(s)
-            rows["formatted"].append("".join(parts))
-            rows["spans"].append(spans)
-            rows["repeated"].append(repeated)
-            rows["tokens"].append(sum(t["tokens"] for t in turns))
-        span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("conv_id"), b.column("window"), pa.array(rows["formatted"], pa.string()), pa.array(rows["spans"], span),
-             pa.array(rows["repeated"], pa.int32()), pa.array(rows["tokens"], pa.int64())],
-            ["conv_id", "window", "formatted", "loss_spans", "repeated_turns", "tokens"],
-        )
+def cut_windows(tokens: list[int], budget: int, history: int, system: int) -> list[tuple[int, int, int]]:
+    """(first repeated turn, first own turn, end) of each window over turns with these token counts; `system` tokens are
+    spent in every window. What _stream does turn by turn, in one piece."""
+    sums = np.concatenate([[0], np.cumsum(tokens)])
+    out, own = [], 0
+    while own < len(tokens):
+        room = budget - system - tokens[own]
+        back = int(np.searchsorted(sums, sums[own] - max(min(history, room), 0)))
+        end = int(np.searchsorted(sums, sums[back] + budget - system, side="right")) - 1
+        out.append((back, own, max(end, own + 1)))
+        own = out[-1][2]
+    return out
+
+
+class _Window:
+    """The window that is being filled, and the turns that the next one may repeat."""
+
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history = budget, history
+        self.conv, self.number = None, 0
+        self.system: tuple | None = None
+        self.past: deque = deque()  # turns before the own ones, `history` tokens at most
+        self.again: list = []
+        self.own: list = []
+        self.spent = 0
+
+    def fits(self, turn: tuple) -> bool:
+        return self.spent + turn[2] <= self.budget
+
+    def begin(self, turn: tuple) -> None:
+        """A new window whose first own turn is this one."""
+        for t in self.own:
+            self.past.append(t)
+        held = sum(t[2] for t in self.past)
+        while held > self.history:
+            held -= self.past.popleft()[2]
+        base = self.system[2] if self.system else 0
+        room = self.budget - base - turn[2]
+        again, used = list(self.past), held
+        while again and used > room:
+            used -= again.pop(0)[2]
+        self.again, self.own, self.spent = again, [turn], base + used + turn[2]
+
+    def rendered(self) -> tuple:
+        """conv_id, window, formatted, loss_spans, repeated_turns, tokens; the window is closed by that."""
+        first = self.number == 0 and self.system is not None
+        told = [*([(self.system, first)] if self.system else []), *((t, False) for t in self.again), *((t, True) for t in self.own)]
+        parts, spans, at, repeated = [], [], 0, 0
+        for (role, text, _), own in told:
+            s, head, n = render(role, text)
+            if not own:
+                repeated += 1
+            elif role == "assistant":
+                spans.append({"start": at + head, "length": n})
+            parts.append(s)
+            at += len(s)
+        self.number += 1
+        return self.conv, self.number, "".join(parts), spans, repeated, sum(t[2] for t, _ in told)
+
+
+def _stream(budget: int, history: int):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    kinds = [pa.int64(), pa.int32(), pa.string(), span, pa.int32(), pa.int64()]
+    names = ["conv_id", "window", "formatted", "loss_spans", "repeated_turns", "tokens"]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches):
+        w, opened, rows, size = None, False, [], 0
+        for b in batches:
+            for conv, role, text, tokens in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens")), strict=True):
+                turn = role, text, tokens
+                if not opened or conv != w.conv:
+                    if opened:
+                        rows.append(w.rendered())
+                        size += len(rows[-1][2])
+                    w, opened = _Window(budget, history), True
+                    w.conv = conv
+                    if role == "system":
+                        w.system = turn
+                        continue
+                if not w.own:
+                    w.begin(turn)
+                elif w.fits(turn):
+                    w.own.append(turn)
+                    w.spent += tokens
+                else:
+                    rows.append(w.rendered())
+                    size += len(rows[-1][2])
+                    w.begin(turn)
+                if size > 4 << 20:
+                    yield pack(rows)
+                    rows, size = [], 0
+        if opened:
+            rows.append(w.rendered())
+        if rows:
+            yield pack(rows)
+
+    return run
 
 
 def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256, vocabulary: str = VOCABULARY,
@@ -120,38 +197,13 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"),
     )
-    schema = "conv_id long, turn long, role string, text string, tokens long"
-    rows = rows.mapInArrow(_count_tokens(vocabulary), schema)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        rows.withColumn("n", F.row_number().over(order))
-        .withColumn("end", F.sum("tokens").over(upto))
-        .withColumn("system", F.sum(F.when((F.col("n") == 1) & (F.col("role") == "system"), F.col("tokens")).otherwise(0)).over(upto))
-        .withColumn("is_system", (F.col("n") == 1) & (F.col("role") == "system"))
-    )
-    # The system turn takes no part in the ranges: it is in every window anyway.
-    body = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(1))
-    start = F.col("end") - F.col("tokens") - F.col("system")
-    rows = rows.withColumn("range", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(start / body)))
-    rows = rows.withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("range")))
-    rows = rows.withColumn("until", F.max("end").over(Window.partitionBy("conv_id", "window"))).withColumn(
-        "windows", F.max("window").over(Window.partitionBy("conv_id"))
-    )
-    place = lambda w, own: F.struct(w.cast("int").alias("window"), own.alias("own"))
-    own = F.array(place(F.col("window"), F.lit(True)))
-    again = F.array(place(F.col("window") + 1, F.lit(False)))
-    every = F.transform(F.sequence(F.lit(1), F.col("windows")), lambda w: place(w, w == F.col("window")))
-    carried = (F.col("until") - F.col("end") + F.col("tokens") <= history) & (F.col("window") < F.col("windows"))
-    rows = rows.withColumn("at", F.when(F.col("is_system"), every).when(carried, F.concat(own, again)).otherwise(own))
-    rows = rows.select("conv_id", "n", "role", "text", "tokens", F.explode("at").alias("at"))
-    packed = rows.groupBy("conv_id", F.col("at.window").alias("window")).agg(
-        F.sort_array(F.collect_list(F.struct("n", F.col("at.own").alias("own"), "role", "text", "tokens"))).alias("turns")
-    )
-    out = T.StructType.fromDDL(
-        "conv_id long, window int, formatted string, loss_spans array<struct<start: long, length: long>>, repeated_turns int, tokens long"
+    # Tokens are counted where the rows lie; a conversation's turns then stream through one task in order.
+    rows = rows.mapInArrow(_count_tokens(vocabulary), "conv_id long, turn long, role string, text string, tokens long")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.select("conv_id", "role", "text", "tokens").mapInArrow(
+        _stream(budget, history),
+        "conv_id long, window int, formatted string, loss_spans array<struct<start: long, length: long>>, repeated_turns int, tokens long",
     )
-    return packed.mapInArrow(_render_windows, out)
 
 
 def _digest(batches):
