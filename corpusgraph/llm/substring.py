@@ -12,7 +12,7 @@ word positions as byte gaps, about 7 bytes a word. A partition holds a fixed sha
 passage adds its probes to a few of them and pairs of occurrences are never formed.
 
 Defined results: null and empty texts have no words; documents shorter than the window lose nothing; a repeat
-inside one document, or between rows with one id, is no repeat; equal texts keep their words only under the
+inside one document, or between rows with one id, is no repeat; rows that share an id each lose their own repeats; equal texts keep their words only under the
 smallest id; a null id has no order and neither loses nor causes a loss; an empty table gives an empty result;
 other columns are not read.
 """
@@ -30,6 +30,8 @@ from .common import U64, mix, pieces_of, shuffle_partitions, split_words, table,
 WINDOW, BLOCK = 50, 25
 #: Weighs words for the second fingerprint.
 OTHER = U64(0xC2B2AE3D27D4EB4F)
+#: So many bytes of text for each partition of the hash space at most, and for each partition of the documents.
+PART_BYTES = 64 << 20
 PACKED = "part int, docs binary, counts binary, gaps binary, wide binary, hashes binary, marks binary"
 _NAMES = [x.split()[0] for x in PACKED.split(", ")]
 _TYPES = [pa.int32()] + [pa.binary()] * 6
@@ -53,7 +55,7 @@ def _positions(gaps: bytes, wide: bytes, counts: np.ndarray) -> np.ndarray:
 
 
 def _pack(parts: int, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, hashes: np.ndarray, high: np.ndarray, marks: np.ndarray | None):
-    """One row for each partition of the hash space. keys: ids by index; hashes: an array of bytes a row."""
+    """One row for each partition of the hash space. keys: ids and rows by index; hashes: an array of bytes a row."""
     part = ((high >> U64(40)) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable") if parts > 1 else np.arange(len(part))
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -78,10 +80,8 @@ def _low(h: np.ndarray, n: int) -> np.ndarray:
 
 def _probes(parts: int, window: int, block: int):
     def run(batches):
-        for b in pieces_of(batches, 1):
-            keep = b.column(0).is_valid()
-            b = b.filter(keep)
-            words, off = split_words(b.column(1), lower=False)
+        for b in pieces_of(batches, 2):
+            words, off = split_words(b.column(2), lower=False)
             # Shorter documents have no window, hence no repeat.
             long = np.flatnonzero(np.diff(off) >= window)
             if not len(long):
@@ -91,18 +91,22 @@ def _probes(parts: int, window: int, block: int):
             inside = np.isin(doc, long)
             pos, doc = pos[inside], doc[inside]
             h, at = h[pos], pos - off[:-1][doc]
-            keys = b.column(0).to_numpy()
-            yield _pack(parts, keys, doc, at, _low(h, 5), h, at % block == 0)
+            yield _pack(parts, _keys(b), doc, at, _low(h, 5), h, at % block == 0)
 
     return run
 
 
+def _keys(b: pa.RecordBatch) -> np.ndarray:
+    """Each document's id and row: rows that share an id are told apart by a hash of both id and text."""
+    return np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+
+
 def _unpack_all(rows: list[tuple], width: int):
-    """Document ids by probe, positions, hashes as bytes and marks of packed rows."""
+    """Id and row by probe, positions, hashes as bytes and marks of packed rows."""
     ids, pos, hashes, marks = [], [], [], []
     for docs, counts, gaps, wide, h, m in rows:
         c = np.frombuffer(counts, "<u4").astype(np.int64)
-        ids.append(np.repeat(np.frombuffer(docs, "<i8"), c))
+        ids.append(np.repeat(np.frombuffer(docs, "<i8").reshape(-1, 2), c, axis=0))
         pos.append(_positions(gaps, wide, c))
         hashes.append(np.frombuffer(h, np.uint8).reshape(-1, width))
         if m:
@@ -136,15 +140,15 @@ MARKED = "to int, docs binary, counts binary, at binary"
 
 def _marked(parts: int, ids: np.ndarray, pos: np.ndarray):
     """Places to tell documents of, packed: one row for each partition of the documents."""
-    to = (mix(ids.astype(U64)) % U64(parts)).astype(np.int64)
-    order = np.lexsort((pos, ids, to))
+    to = (mix(ids[:, 1].astype(U64)) % U64(parts)).astype(np.int64)
+    order = np.lexsort((pos, ids[:, 0], ids[:, 1], to))
     to, ids, pos = to[order], ids[order], pos[order]
     bounds = np.searchsorted(to, np.arange(parts + 1))
     rows = []
     for p in range(parts):
         a, z = bounds[p], bounds[p + 1]
         if a < z:
-            first = np.flatnonzero(np.concatenate([[True], ids[a + 1 : z] != ids[a : z - 1]]))
+            first = np.flatnonzero(np.concatenate([[True], (ids[a + 1 : z] != ids[a : z - 1]).any(axis=1)]))
             counts = np.diff(np.append(first, z - a)).astype("<u4")
             rows.append((p, ids[a:z][first].astype("<i8").tobytes(), counts.tobytes(), pos[a:z].astype("<u4").tobytes()))
     if rows:
@@ -156,16 +160,17 @@ def _gather(batches):
     """One row for each document: all its places."""
     for rows in _by_part(batches):
         n = [np.frombuffer(r[1], "<u4") for r in rows]
-        ids = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8"), c) for r, c in zip(rows, n, strict=True)])
+        ids = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8").reshape(-1, 2), c, axis=0) for r, c in zip(rows, n, strict=True)])
         pos = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
-        order = np.lexsort((pos, ids))
+        order = np.lexsort((pos, ids[:, 0], ids[:, 1]))
         ids, pos = ids[order], pos[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
         bounds = np.append(first, len(ids))
         for a in range(0, len(first), 2000):
             z = min(a + 2000, len(first))
             at = [pos[bounds[i] : bounds[i + 1]].tobytes() for i in range(a, z)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first[a:z]]), pa.array(at, pa.binary())], ["doc_id", "at"])
+            key = ids[first[a:z]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(at, pa.binary())], ["doc_id", "row", "at"])
 
 
 def _anchors(parts: int):
@@ -190,10 +195,10 @@ def _around(parts: int, window: int, block: int):
     """Windows around the anchors, with fingerprints of their words."""
 
     def run(batches):
-        for b in pieces_of(batches, 1):
-            words, off = split_words(b.column(1), lower=False)
+        for b in pieces_of(batches, 2):
+            words, off = split_words(b.column(2), lower=False)
             near = np.zeros(len(words) + 1, np.int32)
-            for i, marks in enumerate(b.column(2).to_pylist()):
+            for i, marks in enumerate(b.column(3).to_pylist()):
                 for at in marks:
                     at = np.frombuffer(at, "<u4").astype(np.int64)
                     last = np.minimum(at, off[i + 1] - off[i] - window)
@@ -209,7 +214,7 @@ def _around(parts: int, window: int, block: int):
             w = word_hashes(words)
             one, two = window_hashes(w, window)[starts], window_hashes(w, window, OTHER)[starts]
             raw = np.concatenate([_low(one, 8), _low(two, 4)], axis=1)
-            yield _pack(parts, b.column(0).to_numpy(), doc, starts - off[:-1][doc], raw, one, None)
+            yield _pack(parts, _keys(b), doc, starts - off[:-1][doc], raw, one, None)
 
     return run
 
@@ -221,11 +226,11 @@ def _later(parts: int):
         for rows in _by_part(batches):
             ids, pos, raw, _ = _unpack_all(rows, 12)
             a, b = _number(raw[:, :8]), _number(raw[:, 8:])
-            order = np.lexsort((ids, b, a))
+            order = np.lexsort((ids[:, 0], b, a))
             a, b, ids, pos = a[order], b[order], ids[order], pos[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = ids > least
+            least = ids[np.flatnonzero(new), 0][np.cumsum(new) - 1]
+            late = ids[:, 0] > least
             yield from _marked(parts, ids[late], pos[late])
 
     return run
@@ -237,9 +242,9 @@ def _cut(window: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.string()]
 
     def run(batches):
-        for b in pieces_of(batches, 1):
-            rows, more = [], b.schema.names[2:-1]
-            for key, text, marks in zip(*(b.column(i).to_pylist() for i in (0, 1, -1)), strict=True):
+        for b in pieces_of(batches, 2):
+            rows, more = [], b.schema.names[3:-1]
+            for key, text, marks in zip(*(b.column(i).to_pylist() for i in (0, 2, -1)), strict=True):
                 words = (text or "").encode().split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 for at in marks or ():
@@ -269,19 +274,20 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK,
     (the words left, joined by one space), then the carried columns as in_<name>. As many rows as came in."""
     if 2 * block - 1 > window:
         raise ValueError("a window must contain a whole block wherever it starts")
-    parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"in_{c}") for c in carry))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), *(F.col(c).alias(f"in_{c}") for c in carry))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
     # Both joins see one and the same plan of dealt texts, so the exchange runs once; rows without an id have no part in it.
-    known = rows.where("doc_id IS NOT NULL")
-    dealt = known.repartition(parts, "doc_id")
-    marks = lambda df: _spread(df, parts, "to").mapInArrow(tidy(_gather), "doc_id long, at binary").select("doc_id", F.array("at").alias("marks"))
-    found = _spread(known.select("doc_id", "text").mapInArrow(tidy(_probes(parts, window, block)), PACKED), parts).mapInArrow(tidy(_anchors(parts)), MARKED)
-    near = dealt.join(marks(found).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks")
+    known, key = rows.where("doc_id IS NOT NULL"), ["doc_id", "row"]
+    dealt = known.repartition(parts, *key)
+    marks = lambda df: _spread(df, parts, "to").mapInArrow(tidy(_gather), "doc_id long, row long, at binary").select(*key, F.array("at").alias("marks"))
+    found = _spread(known.select(*key, "text").mapInArrow(tidy(_probes(parts, window, block)), PACKED), parts).mapInArrow(tidy(_anchors(parts)), MARKED)
+    near = dealt.join(marks(found).hint("shuffle_hash"), key).select(*key, "text", "marks")
     windows = near.mapInArrow(tidy(_around(parts, window, block)), PACKED)
     late = _spread(windows, parts).mapInArrow(tidy(_later(parts)), MARKED)
     out = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept string")
     out = T.StructType([*out.fields, *(f for f in rows.schema.fields if f.name.startswith("in_"))])
-    cut = dealt.join(marks(late).hint("shuffle_hash"), "doc_id", "left")
+    cut = dealt.join(marks(late).hint("shuffle_hash"), key, "left")
     nameless = rows.where("doc_id IS NULL").withColumn("marks", F.lit(None).cast("array<binary>"))
     return cut.mapInArrow(tidy(_cut(window)), out).unionByName(nameless.mapInArrow(tidy(_cut(window)), out))
 
