@@ -7,6 +7,7 @@ rules act on UTF-8 bytes and never split or alter a multi-byte character.
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import types
 import uuid
@@ -31,24 +32,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    Only where that setting is missing (tests on one machine) is a folder chosen here.
+    Only on one machine, as in tests, is a folder chosen here where that setting is missing; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        if set_dir is None:
-            spark.sparkContext.setCheckpointDir("/tmp/corpusgraph-checkpoints")
-            set_dir = spark.sparkContext.getCheckpointDir()
-        root = set_dir
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("/tmp/corpusgraph-checkpoints")
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/corpusgraph-{uuid.uuid4().hex}"
 
 
+#: Has Spark remove a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a small table to the shared folder and read it back: a cut of lineage that survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    """Write a table to the shared folder and read it back: a cut of lineage that survives lost executors.
+
+    The shuffles behind it go when it is written; what they cost on disk does not add up over steps.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def key_mod(col: str | Column, m: int = 5) -> Column:
     """crc32 of the key's decimal text, modulo m; a null key counts as empty text."""
     c = F.col(col) if isinstance(col, str) else col

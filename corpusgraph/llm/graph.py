@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -36,3 +36,5 @@ def components(edges: DataFrame, path: str) -> DataFrame:
             return now
         before, turn = state, turn + 1
         now = stored(_small(_large(now).distinct()).distinct(), f"{path}/{turn}")
+        if turn > 1:
+            forget(edges.sparkSession, f"{path}/{turn - 2}")

@@ -14,9 +14,12 @@ its first shared key. There the LOW smallest shingle hashes of both sets, which
 pairs before full sets are compared; of larger sets a pair at the threshold is lost with a probability below 1e-6. After
 (3) every candidate pair either lies in one component or was tested.
 
+Classes go by a hash of their set, so classes that share an id stay apart. Texts are fetched once a round for the classes
+of its candidate pairs; the shuffles of a step and tables that nothing reads any more go at once.
+
 Defined results: documents without words or text have an empty set and link with nothing; rows that repeat an id are
-documents of their own; null ids: the row's component is the smallest id in reach, or null; an empty table
-gives an empty result; other columns are not read.
+documents of their own, told apart by text_hash; null ids: the row's component is the smallest id in reach, or null; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pieces_of, shared_dir, split_words, stored, table, tidy, whole_windows, window_hashes, word_hashes
+from .common import U64, forget, mix, pieces_of, shared_dir, split_words, stored, table, tidy, whole_windows, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE, SYMBOLS, CHUNKS = 5, 64, 17
@@ -35,8 +38,6 @@ RADIUS = 2 * CHUNKS - 1
 #: So many smallest shingle hashes of a set tell apart, before texts are fetched, what cannot reach the similarity.
 LOW = 256
 NO_HASH = 1 << 32
-#: Classes without an id are numbered from here.
-NO_ID = 1 << 62
 _DRAW = np.random.default_rng(20240611)
 FACTORS = (_DRAW.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) << U64(1)) | U64(1)
 OFFSETS = _DRAW.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -209,12 +210,10 @@ CHUNK_OF = np.repeat(np.arange(CHUNKS), [len(c) for c in _chunks()])
 
 
 class _Links:
-    """The tables of one run: classes, their keys in shared buckets, and the tests of candidate pairs."""
+    """The tests of candidate pairs of classes, round by round."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
-        self.texts = docs
-        self.classes = classes
-        self.percent = percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, root: str):
+        self.texts, self.classes, self.percent, self.root, self.turn = docs, classes, percent, root, 0
 
     def near(self, pairs: DataFrame) -> DataFrame:
         c = self.classes
@@ -222,50 +221,52 @@ class _Links:
         right = c.select(F.col("cid").alias("b"), F.col("sig").alias("sb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_near), "a long, b long")
 
-    def texts_of(self, classes: DataFrame) -> DataFrame:
+    def texts_of(self, cids: DataFrame) -> DataFrame:
         """(cid, text) of one document of each class."""
-        t = self.texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-        c = classes.select("cid", F.col("rep").alias("r"), F.col("text_hash").alias("h"))
-        return c.join(t, (c["h"] == t["text_hash"]) & c["r"].eqNullSafe(t["doc_id"])).select("cid", "text")
+        c = self.classes.join(cids, "cid", "left_semi").select("cid", F.col("rep").alias("r"), F.col("text_hash").alias("h"))
+        t = self.texts
+        same = (c["h"] == t["text_hash"]) & c["r"].eqNullSafe(t["doc_id"])
+        return c.join(t, same).select("cid", "text").dropDuplicates(["cid"])
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough, as (u, v)."""
-        c = self.classes
-        for side in ("a", "b"):
-            t = c.select(F.col("cid").alias(side), F.col("text_hash").alias(f"h{side}"), F.col("rep").alias(f"r{side}"))
-            pairs = pairs.join(t, side)
+        at = f"{self.root}/{name}"
+        pairs = stored(pairs, f"{at}-pairs")
+        cids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        texts = stored(self.texts_of(cids), f"{at}-texts")
         for side in ("a", "b"):
-            t = self.texts.select(F.col("doc_id").alias(f"d{side}"), F.col("text_hash").alias(f"h{side}"), F.col("text").alias(f"t{side}"))
-            pairs = pairs.join(t, [pairs[f"h{side}"] == t[f"h{side}"], pairs[f"r{side}"].eqNullSafe(t[f"d{side}"])]).drop(t[f"h{side}"])
-        return pairs.select("a", "b", "ta", "tb").mapInArrow(tidy(_confirm(self.percent)), "u long, v long")
+            pairs = pairs.join(texts.select(F.col("cid").alias(side), F.col("text").alias(f"t{side}")), side)
+        out = stored(pairs.select("a", "b", "ta", "tb").mapInArrow(tidy(_confirm(self.percent)), "u long, v long"), at)
+        forget(self.texts.sparkSession, f"{at}-pairs", f"{at}-texts")
+        return out
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
+    """Per row: doc_id, text_hash, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
     spark = docs.sparkSession
     root = shared_dir(spark)
     made = stored(sketches(docs, id_col, text_col), f"{root}/sketches")
     classes = made.where("n_shingles > 0").groupBy("set1", "set2").agg(
         F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "sig")).alias("least")
     )
-    cid = F.coalesce("rep", F.lit(NO_ID) + F.col("set1").bitwiseAND(F.lit(NO_ID - 1)))
-    classes = stored(classes.select(cid.alias("cid"), "rep", "set1", "set2", "least.text_hash", "least.sig"), f"{root}/classes")
-    links = _Links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), classes, percent)
+    classes = stored(classes.select(F.xxhash64("set1", "set2").alias("cid"), "rep", "set1", "set2", "least.text_hash", "least.sig"), f"{root}/classes")
+    links = _Links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), classes, percent, root)
 
     keys = classes.select("cid", "sig").mapInArrow(tidy(_keys), "cid long, key long")
     shared = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stored(keys.join(shared, "key").select("key", "cid", "lead"), f"{root}/members")
     star = member.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
-    edges = [stored(links.linked(links.near(star)), f"{root}/edges1")]
-    found = components(edges[0], f"{root}/found1")
+    edges = links.linked(links.near(star), "edges1")
+    found = components(edges, f"{root}/found1")
 
     rooted = lambda m, f: m.join(f.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_keys = lambda m: m.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("cid", "key").alias("h"), "cid", "root")).alias("lead2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2")
     member = rooted(member.select("key", "cid"), found)
     member = stored(member.join(open_keys(member).select("key", "lead2"), "key"), f"{root}/open1")
+    forget(spark, f"{root}/members")
     star = member.where("root <> lead2.root").select(F.greatest("cid", "lead2.cid").alias("a"), F.least("cid", "lead2.cid").alias("b")).distinct()
-    edges.append(stored(links.linked(links.near(star)), f"{root}/edges2"))
-    found = components(edges[0].unionByName(edges[1]), f"{root}/found2")
+    edges = edges.unionByName(links.linked(links.near(star), "edges2"))
+    found = components(edges, f"{root}/found2")
 
     member = rooted(member.select("key", "cid"), found)
     member = member.join(open_keys(member).select("key", "n"), "key")
@@ -274,21 +275,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id
     member = member.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right"))))
     member = stored(member, f"{root}/open2")
-    still = classes.join(member.select("cid").distinct(), "cid")
+    forget(spark, f"{root}/open1")
+    still = member.select("cid").distinct()
     low = stored(links.texts_of(still).mapInArrow(tidy(_low), "cid long, low binary, more boolean"), f"{root}/low")
-    member = member.join(still.select("cid", "sig").join(low, "cid"), "cid").select("key", "cid", "root", "block", "sig", "low", "more", meets.alias("at"))
+    member = member.join(classes.select("cid", "sig").join(low, "cid"), "cid").select("key", "cid", "root", "block", "sig", "low", "more", meets.alias("at"))
     met = member.groupBy("key", "at.left", "at.right").agg(F.collect_list(F.struct("cid", "root", "block", "sig", "low", "more")).alias("members"))
     pairs = stored(met.select("members", "left", "right", "key").mapInArrow(tidy(_across(percent)), "a long, b long").distinct(), f"{root}/across")
+    forget(spark, f"{root}/open2", f"{root}/low")
     if not pairs.isEmpty():
-        edges.append(stored(links.linked(pairs), f"{root}/edges3"))
-        found = components(edges[0].unionByName(edges[1]).unionByName(edges[2]), f"{root}/found3")
+        edges = edges.unionByName(links.linked(pairs, "edges3"))
+        found = components(edges, f"{root}/found3")
 
-    of_class = rooted(classes.select("cid", "set1", "set2"), found).select("set1", "set2", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    of_class = rooted(classes.select("cid", "rep", "set1", "set2"), found)
+    # Only components of more than one class need their smallest id looked up.
+    least = of_class.join(found.select(F.col("v").alias("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
+    of_class = of_class.join(least, "root", "left").select("set1", "set2", F.coalesce("least", "rep").alias("component_id"))
     linked = made.where("n_shingles > 0").join(of_class, ["set1", "set2"])
     alone = made.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    out = linked.unionByName(alone, allowMissingColumns=True).select("doc_id", "text_hash", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -345,6 +345,49 @@ def test_substrings(spark, docs, odd, none):
     assert substring.remove_repeats(odd).count() == 5 and substring.remove_repeats(none).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_words(spark):
+    p, u = " ".join(f"p{i}" for i in range(80)), " ".join(f"u{i}" for i in range(100))
+    d = spark.createDataFrame([(1, p), (2, p), (2, u), (2, p)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(d).collect())
+    assert got == [(1, 80, 0), (2, 80, 80), (2, 80, 80), (2, 100, 0)]
+
+
+def test_classes_that_share_an_id_stay_apart(spark):
+    p, u, v = (" ".join(f"{c}{i}" for i in range(40)) for c in "puv")
+    d = spark.createDataFrame([(1, p), (2, p), (2, u), (3, u + " x"), (1, v), (4, v + " y")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 1, False)]
+
+
+@pytest.mark.parametrize("budget,history", [(60, 20), (200, 60), (1024, 256), (30, 0)])
+def test_windows_keep_to_the_budget(spark, budget, history):
+    rnd, rows = random.Random(4), []
+    for c in range(30):
+        for t in range(rnd.randint(1, 40)):
+            role = "system" if t == 0 and c % 2 else rnd.choice(["user", "assistant"])
+            rows.append((c, t, role, " ".join(["word"] * rnd.choice([0, 3, 9, 30, 90]))))
+    made = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=budget, history=history).collect()
+    enc = chat.encoder(chat.VOCABULARY)
+    count = lambda r, t: len(enc.encode_ordinary(chat.render(r, t)[0]))
+    for w in made:
+        turns = chat.parse(w["formatted"])
+        assert w["tokens"] == sum(count(r, t) for r, t, *_ in turns)
+        own = turns[w["repeated_turns"] :]
+        system = turns[0][0] == "system"
+        alone = len([t for t in own if t[0] != "system"]) <= 1 and w["repeated_turns"] <= system
+        assert w["tokens"] <= budget or alone
+        again = turns[system : w["repeated_turns"]] if w["window"] > 1 else []
+        assert sum(count(r, t) for r, t, *_ in again) <= history
+    for c in range(30):
+        mine = [r for r in rows if r[0] == c]
+        head = mine[:1] if mine[0][2] == "system" else []
+        spent = [count(r, t) for _, _, r, t in mine[len(head) :]]
+        want = chat.cut_windows(spent, budget, history, sum(count(r, t) for _, _, r, t in head))
+        got = sorted((w for w in made if w["conv_id"] == c), key=lambda w: w["window"])
+        own = [len(chat.parse(w["formatted"])) - w["repeated_turns"] - (len(head) if i == 0 else 0) for i, w in enumerate(got)]
+        assert own == [e - o for _, o, e in want] or (not want and own == [0])
+
+
 def test_media(spark, docs, odd, none):
     got = by_id(media.features(media.encode(docs)))
     for i, t in ROWS:
