@@ -1,27 +1,32 @@
 """LM scoring with a small causal self-attention model trained in numpy.
 
-Words are lower-cased (A-Z) and cut into byte-level subwords; a text is its subwords and one end. The model reads the
-subwords before a token through one block of masked self-attention and predicts the token's class; inside a class
-tokens follow their counts in all training texts. So a token's chance is a product of two normalised laws, and a text's
-score is the sum of its tokens' log10 chances; counts of words enter the base score alone. Texts are scored in overlapping
-windows: each window of `WINDOW` places brings `STRIDE` new ones with at least `WINDOW - STRIDE` before them, and each
-token is scored once.
-
-Training texts are those whose crc32(id) mod 5 is not 1. Their subwords are stored once, in groups of bounded size by
-hash of id and text, in the order of that hash. Passes over all groups give the subword counts (and from them the rows of
-the embedding), what stands beside frequent subwords (and from it the classes), and the weights: each group trains from
-the same weights and the results are averaged by share of windows, block by block. Two opening rounds, each on one
-window in `OPENING` of every group, come before the round over every window at the rate asked for. Windows are
-drawn and ordered by the text's hash and their number in it, so the model does not depend on partitions. What reaches
-the driver has the size of the model and of the subword vocabulary, both fixed.
-
-The base score needs each word's count over all training texts, a table that grows. It is not broadcast: documents
-are dealt into groups of bounded size, each group asks for its distinct words in packed rows, one for each partition
-of the hash space, which sums the counts and answers in kind. Words are told apart by 64-bit hashes.
+Words are lower-cased (A-Z) and cut into byte-level subwords; a text is its words and one end. A place stands for one of
+these tokens: it takes in the subword ids of the token before (the first and the last of its subwords), one block of
+masked self-attention looks over the places up to it, and the output is a law over CLASSES classes of the next token. A
+word's class follows from its subwords alone: each frequent subword has an affinity to each class, by what stands beside
+it, and the sum over the word's first and last one decides; the end has a class of its own.
+
+A token's chance is P(class) * (c - DISCOUNT) / M, with its count c, if it has one, and its class's tokens M in the
+training texts, plus E * S: E is the chance, over all classes, of what the discounts leave, and S the chance that its
+subwords are spelt: a first one, each after the one before, and a stop. Both parts together sum to 1 over all words and the end. A text's score is the sum of its tokens' log10 chances.
+Texts are scored in overlapping windows: each window of WINDOW places brings STRIDE new ones with at least
+WINDOW - STRIDE before them, and each token is scored once.
+
+Training texts are those whose crc32(id) mod 5 is not 1. All texts are cut into subwords once and stored in groups of bounded
+size by hash of id and text, in the order of that hash, each a dictionary of words and places in it. Passes over the
+training texts of all groups give the subword counts (and from them the rows of the embedding), what stands beside
+frequent subwords (the classes), how words are spelt (each word of a group once) and the weights: each group trains from
+the same weights, and results are averaged by share of windows in whole numbers, in two steps, so the model depends
+neither on partitions nor on retries. An opening round on one window in OPENING of every group comes before the round
+over every window. What reaches the driver has the size of the model and of the subword vocabulary, both fixed.
+
+Counts of words over all training texts are a table that grows. It is not broadcast: each group asks for its distinct
+words in packed rows, one for each partition of the hash space, which sums the counts and answers in kind. Words are told
+apart by 59 bits of hash and their class.
 
 Defined results: null and empty texts are one end; repeated ids are scored row by row; a null id counts as empty text in
-the split; without training texts N = V = 0 and the model stays untrained; an empty table gives an empty result;
-other columns are not read.
+the split; without training texts N = V = 0, all words are spelt and the model stays untrained; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,46 +39,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import VOCABULARY, encoder
-from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, stored, table, tidy, word_hashes, worker_cache
-
-END, SUBWORDS = 50256, 50257
-WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 64, 8192
-#: Frequent subwords, which have classes by neighbours, and the most frequent ones, which are told apart as neighbours.
-COMMON, NEAR, SPECIAL = 2000, 64, 8
-#: Training is over every window; each opening round before it is over one window in so many.
+from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, stored, table, tidy, worker_cache
+
+SUBWORDS = 50257
+WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 32, 4096
+#: The class of the end of a text, the last one, and its hash.
+END_CLASS, END_HASH = CLASSES - 1, U64(CLASSES - 1)
+#: Rows of the embedding for what is no subword.
+OPEN, ENDED = ROWS, ROWS + 1
+#: Frequent subwords, which have affinities, and the most frequent ones, which are told apart as neighbours.
+COMMON, NEAR = 4096, 64
+#: Training is over every window; the opening round before it is over one window in so many.
 OPENING = 8
-GROUP_BYTES, TRAIN_BYTES = 32 << 20, 16 << 20
+GROUP_BYTES = 16 << 20
 BLOCK = 8192
-#: Stands for the end of a text among word hashes.
-END_HASH = 0
+#: Weights are averaged as whole multiples of this.
+STEP = 2.0**-16
+#: What each word's count gives up to words that are spelt.
+DISCOUNT = 0.7
+#: In the law of spelling: subwords that stand for themselves before another and after one, bands of others after one,
+#: and how much their share at large weighs against what followed.
+PREV, NEXT, BANDS, PULL = 1024, 900, 124, 4.0
+GROUPS = NEXT + BANDS
 
 
-def subwords(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Subword ids of all texts, each closed by an end, and where each text starts; also words, where each text's words
-    start, and how many subwords each word has."""
-    words, off = split_words(texts, lower=True)
-    coded = words.dictionary_encode()
+@dataclass
+class Words:
+    """Distinct words as their subwords in a row, and the places of texts as numbers of words (-1: end).
+
+    starts: where each text's places start, one entry more than texts."""
+
+    subs: np.ndarray
+    size: np.ndarray
+    code: np.ndarray
+    starts: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    def spread(self, each: np.ndarray, end) -> np.ndarray:
+        """A value of each word, by place."""
+        return np.append(each, end)[self.code]
+
+    def stream(self) -> np.ndarray:
+        """All places' subwords in order, -1 for ends."""
+        size = np.append(self.size, 1)[self.code]
+        at = np.cumsum(size) - size
+        first = np.append(self.first, len(self.subs))[self.code]
+        return np.append(self.subs, -1)[np.arange(int(size.sum())) - np.repeat(at - first, size)]
+
+
+def spell(words: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """The subwords of words in a row, and how many each word has."""
     cache = worker_cache().setdefault(f"subwords {path}", {})
     if len(cache) > 400_000:
         cache.clear()
     encode = encoder(path).encode_ordinary
     spelt = []
-    for w in coded.dictionary.to_pylist():
+    for w in words:
         ids = cache.get(w)
         if ids is None:
             ids = cache[w] = encode(" " + w)
         spelt.append(ids)
     size = np.fromiter(map(len, spelt), np.int64, len(spelt))
-    flat = np.fromiter((i for ids in spelt for i in ids), np.int64, int(size.sum()))
-    first = np.cumsum(size) - size
-    code = coded.indices.to_numpy()
-    n = size[code]
-    at = np.cumsum(n) - n
-    ids = flat[np.arange(int(n.sum())) - np.repeat(at - first[code], n)]
-    total = np.concatenate([[0], np.cumsum(n)])
-    bounds = total[off]
-    out = np.insert(ids, bounds[1:], END)
-    return out, bounds + np.arange(len(bounds)), words, off, n
+    return np.fromiter((i for ids in spelt for i in ids), np.int64, int(size.sum())), size
+
+
+def cut(texts: pa.Array) -> tuple[Words, pa.Array]:
+    """The words and places of texts; also the distinct words."""
+    words, off = split_words(texts, lower=True)
+    coded = words.dictionary_encode()
+    code = np.insert(coded.indices.to_numpy().astype(np.int64), off[1:], -1)
+    return Words(*spell(coded.dictionary.to_pylist()), code, off + np.arange(len(off))), coded.dictionary
 
 
 def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,28 +126,56 @@ def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights, the row of the embedding and the class of each subword, and log10 chances inside classes."""
+    """Weights; the row and the affinities of each subword; the law of spelling: each subword's group and log10 share in
+    it, and log10 chances of groups and the stop after each frequent subword."""
 
     w: dict[str, np.ndarray]
     row: np.ndarray
+    affinity: np.ndarray
     group: np.ndarray
-    inside: np.ndarray
-
-    def counted(self, counts: np.ndarray) -> Model:
-        """The model with chances inside classes from these subword counts."""
-        mass = np.bincount(self.group, counts + 0.5, CLASSES)
-        return Model(self.w, self.row, self.group, np.log10((counts + 0.5) / mass[self.group]))
-
-    def inputs(self, ids: np.ndarray, starts: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Rows of the embedding by window and place; places before a text are its opening sign."""
+    share: np.ndarray
+    after: np.ndarray
+    prev: np.ndarray
+
+    def classes(self, words: Words) -> np.ndarray:
+        """The class of each distinct word, by its first and last subword; in whole numbers, so it is the same everywhere."""
+        if not len(words.size):
+            return np.zeros(0, np.int64)
+        return np.argmax(self.affinity[words.subs[words.first]] + self.affinity[words.subs[words.first + words.size - 1]], axis=1)
+
+    def spelt(self, words: Words) -> np.ndarray:
+        """log10 chance that each distinct word's subwords are spelt, stop included."""
+        if not len(words.size):
+            return np.zeros(0)
+        s, first = words.subs, words.first
+        before = np.empty(len(s), np.int64)
+        before[1:] = self.prev[s[:-1]]
+        before[first] = PREV + 1
+        gain = self.after[before, self.group[s]] + self.share[s]
+        return np.add.reduceat(gain, first) + self.after[self.prev[s[first + words.size - 1]], GROUPS]
+
+    def inputs(self, words: Words) -> np.ndarray:
+        """Two rows of the embedding for each place: the first and the last subword of the token before."""
+        first, last = self.row[words.subs[words.first]], self.row[words.subs[words.first + words.size - 1]]
+        own = np.stack([words.spread(first, ENDED), words.spread(last, ENDED)], axis=1)
+        before = np.concatenate([own[:1], own[:-1]])
+        before[words.starts[:-1]] = OPEN
+        return before
+
+    def seen(self, rows: np.ndarray, starts: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows by window and place; places before a text are its opening."""
         place = first[:, None] + np.arange(STRIDE - WINDOW, STRIDE)
-        lead = place - 1 < starts[:-1][doc][:, None]
-        return np.where(lead, ROWS, self.row[ids[np.clip(place - 1, 0, len(ids) - 1)]])
+        lead = place < starts[:-1][doc][:, None]
+        out = rows[np.clip(place, 0, len(rows) - 1)]
+        out[lead] = OPEN
+        return out
 
     def forward(self, rows: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Class logits at the last STRIDE places of each window."""
+        """Chances of classes at the last STRIDE places of each window."""
         w = self.w
-        x = w["embed"][rows] + w["place"]
+        x = w["embed"][rows[:, :, 0]]
+        x += w["embed"][rows[:, :, 1]]
+        x += w["place"]
         new = x[:, WINDOW - STRIDE :]  # only these places ask; those before are asked
         q, k, v = new @ w["q"], x @ w["k"], x @ w["v"]
         a = q @ k.transpose(0, 2, 1)
@@ -122,31 +188,48 @@ class Model:
         y = new + c @ w["o"]
         h = np.maximum(y @ w["up"] + w["up_bias"], 0)
         z = y + h @ w["down"]
-        return z @ w["out"] + w["out_bias"], (rows, x, new, q, k, v, a, c, y, h, z)
+        p = z @ w["out"]
+        p += w["out_bias"]
+        np.clip(p, -CAP, CAP, out=p)
+        np.exp(p, out=p)
+        p /= p @ np.ones((CLASSES, 1), np.float32)
+        return p, (rows, x, new, q, k, v, a, c, y, h, z)
 
-    def score(self, ids: np.ndarray, starts: np.ndarray, batch: int = 256) -> np.ndarray:
-        """log10 probability of each token after those before it."""
+    def chances(self, words: Words, rare: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """By place: the chance of the token's class, and that of a word that is spelt (rare: its chance by class)."""
+        rows, starts = self.inputs(words), words.starts
+        target = words.spread(self.classes(words), END_CLASS)
         doc, first, new = windows(starts)
-        out = np.empty(len(ids))
-        places = np.arange(STRIDE)
+        own, open_ = np.empty(len(target)), np.empty(len(target))
+        places, rare = np.arange(STRIDE), rare.astype(np.float32)
         for a in range(0, len(doc), batch):
             i = slice(a, a + batch)
-            logits, _ = self.forward(self.inputs(ids, starts, doc[i], first[i]))
-            np.clip(logits, -CAP, CAP, out=logits)
-            norm = np.log(np.exp(logits) @ np.ones(CLASSES, np.float32))
+            p, _ = self.forward(self.seen(rows, starts, doc[i], first[i]))
             at = first[i][:, None] + places
             real = places < new[i][:, None]
-            target = ids[np.minimum(at, len(ids) - 1)]
-            gain = np.take_along_axis(logits, self.group[target][:, :, None], 2)[:, :, 0] - norm
-            out[at[real]] = gain[real] / np.log(10)
-        return out + self.inside[ids]
+            hit = np.take_along_axis(p, target[np.minimum(at, len(target) - 1)][:, :, None], 2)[:, :, 0]
+            own[at[real]] = hit[real]
+            open_[at[real]] = (p @ rare)[real]
+        return own, open_
+
+    def score(self, words: Words, count: np.ndarray, mass: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """log10 chance of the token at each place. count: of each distinct word; mass: tokens of each class."""
+        own, open_ = self.chances(words, rare)
+        k = self.classes(words)
+        known = np.where(count > 0, (count - DISCOUNT) / np.maximum(mass[k], 1), 0)
+        chance = own * words.spread(known, 1.0)
+        chance += open_ * 10.0 ** words.spread(np.maximum(self.spelt(words), -300), -np.inf)
+        with np.errstate(divide="ignore"):
+            out = np.log10(chance)
+        # A word of thousands of subwords has a chance below the smallest float; its logarithm is known all the same.
+        tiny = np.flatnonzero(chance < 1e-290)
+        out[tiny] = np.log10(open_[tiny] + 1e-300) + words.spread(self.spelt(words), 0.0)[tiny]
+        return out
 
     def gradient(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over real places, and its gradient."""
         w = self.w
-        logits, (rows, x, new, q, k, v, a, c, y, h, z) = self.forward(rows)
-        p = np.exp(np.clip(logits, -CAP, CAP))
-        p /= p @ np.ones((CLASSES, 1), np.float32)
+        p, (rows, x, new, q, k, v, a, c, y, h, z) = self.forward(rows)
         hit = np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]
         many = max(int(real.sum()), 1)
         loss = float(-np.log(np.maximum(hit, 1e-12))[real].sum() / many)
@@ -162,22 +245,24 @@ class Model:
         g["o"] = flat(c).T @ flat(dy)
         dv = a.transpose(0, 2, 1) @ dc
         da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        da -= (da * a).sum(axis=2, keepdims=True)
+        da *= a
+        da *= np.float32(WIDTH**-0.5)
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
         g |= {"q": flat(new).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
         dx = dk @ w["k"].T + dv @ w["v"].T
         dx[:, WINDOW - STRIDE :] += dy + dq @ w["q"].T
         g["place"] = dx.sum(0)
-        embed = np.zeros_like(w["embed"])
-        r, d = rows.reshape(-1), flat(dx)
-        order = np.argsort(r, kind="stable")
-        cut = np.flatnonzero(np.diff(r[order], prepend=-1))
-        embed[r[order][cut]] = np.add.reduceat(d[order], cut)
-        return loss, g | {"embed": embed}
-
-    def train(self, ids: np.ndarray, starts: np.ndarray, rate: float, state: dict, keys: np.ndarray, share: int = 1, salt: int = 0, batch: int = 64) -> int:
+        each, d = rows.reshape(-1), np.repeat(flat(dx), 2, axis=0)
+        at = (each[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1)
+        g["embed"] = np.bincount(at, d.reshape(-1), (ROWS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        return loss, g
+
+    def train(self, words: Words, rate: float, keys: np.ndarray, share: int = 1, salt: int = 0, batch: int = 192) -> int:
         """Adam steps over the texts' windows, in an order (and, of one in `share`, a draw) by the text's key and the
         window's number. Returns how many windows took part."""
+        rows, starts = self.inputs(words), words.starts
+        aim = words.spread(self.classes(words), END_CLASS)
         doc, first, new = windows(starts)
         turn = (first - starts[:-1][doc]) // STRIDE
         lot = mix(mix(keys[doc] + U64(salt)) + turn.astype(U64))
@@ -185,19 +270,26 @@ class Model:
             drawn = lot % U64(share) == 0
             doc, first, new, lot = doc[drawn], first[drawn], new[drawn], lot[drawn]
         order = np.argsort(mix(lot), kind="stable")
-        places = np.arange(STRIDE)
-        for a in range(0, len(order), batch):
+        places, state = np.arange(STRIDE), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
+        for t, a in enumerate(range(0, len(order), batch), 1):
             i = order[a : a + batch]
-            target = self.group[ids[np.minimum(first[i][:, None] + places, len(ids) - 1)]]
-            _, g = self.gradient(self.inputs(ids, starts, doc[i], first[i]), target, places < new[i][:, None])
-            state["t"] = t = state.get("t", 0) + 1
+            target = aim[np.minimum(first[i][:, None] + places, len(aim) - 1)]
+            _, g = self.gradient(self.seen(rows, starts, doc[i], first[i]), target, places < new[i][:, None])
+            pace, level = rate / (1 - 0.9**t), 1 / (1 - 0.99**t)
             for name, d in g.items():
-                m, v = state.setdefault(name, (np.zeros_like(d), np.zeros_like(d)))
+                m, v = state[name]
                 m *= 0.9
                 m += 0.1 * d
                 v *= 0.99
-                v += 0.01 * d * d
-                self.w[name] -= (rate / (1 - 0.9**t)) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+                d *= d
+                d *= 0.01
+                v += d
+                np.multiply(v, level, out=d)
+                np.sqrt(d, out=d)
+                d += 1e-8
+                np.divide(m, d, out=d)
+                d *= pace
+                self.w[name] -= d
         return len(order)
 
 
@@ -211,192 +303,276 @@ def fresh_weights(seed: int = 5) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(seed)
     normal = lambda *shape: draw.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
     return {
-        "embed": draw.normal(0, 0.3, (ROWS + 1, WIDTH)).astype(np.float32), "place": draw.normal(0, 0.1, (WINDOW, WIDTH)).astype(np.float32),
+        "embed": draw.normal(0, 0.3, (ROWS + 2, WIDTH)).astype(np.float32), "place": draw.normal(0, 0.1, (WINDOW, WIDTH)).astype(np.float32),
         "q": normal(WIDTH, WIDTH), "k": normal(WIDTH, WIDTH), "v": normal(WIDTH, WIDTH), "o": normal(WIDTH, WIDTH),
         "up": normal(WIDTH, HIDDEN), "up_bias": np.zeros(HIDDEN, np.float32), "down": normal(HIDDEN, WIDTH),
         "out": normal(WIDTH, CLASSES), "out_bias": np.zeros(CLASSES, np.float32),
     }
 
 
-def near_counts(counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each frequent subword, how often each of the most frequent ones (others as one) stands before and after it."""
+def used(words: Words) -> Words:
+    """The same places with only the words that occur in them."""
+    often = np.bincount(words.code[words.code >= 0], minlength=len(words.size)) > 0
+    number = np.append(np.cumsum(often) - 1, -1)
+    return Words(words.subs[np.repeat(often, words.size)], words.size[often], number[words.code], words.starts)
+
+
+def sub_counts(words: Words) -> np.ndarray:
+    """How often each subword occurs."""
+    often = np.bincount(words.code[words.code >= 0], minlength=len(words.size))
+    return np.bincount(words.subs, np.repeat(often, words.size), SUBWORDS).astype(np.int64)
+
+
+def near_counts(counts: np.ndarray, words: Words) -> np.ndarray:
+    """For each frequent subword, how often each of the most frequent ones (others, and ends, as one) stands before and after it."""
     rank = np.argsort(-counts, kind="stable")
-    slot, mark = np.full(SUBWORDS, -1), np.full(SUBWORDS, NEAR)
+    slot, mark = np.full(SUBWORDS + 1, -1), np.full(SUBWORDS + 1, NEAR)
     slot[rank[:COMMON]] = np.arange(COMMON)
     mark[rank[:NEAR]] = np.arange(NEAR)
-    wide = 2 * (NEAR + 1)
+    ids, wide = words.stream(), 2 * (NEAR + 1)
     beside = np.zeros(COMMON * wide, np.int64)
-    inner = ids[:-1] != END
-    # Before a text's first subword stands the end of another, after its end nothing.
-    for a, b, shift in ((ids, np.concatenate([[END], ids[:-1]]), 0), (ids[:-1][inner], ids[1:][inner], NEAR + 1)):
-        ok = slot[a] >= 0
-        beside += np.bincount(slot[a[ok]] * wide + mark[b[ok]] + shift, minlength=len(beside))
+    for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], NEAR + 1)):
+        at = slot[a]
+        ok = at >= 0
+        beside += np.bincount(at[ok] * wide + mark[b[ok]] + shift, minlength=len(beside))
     return beside.reshape(COMMON, wide)
 
 
-def word_classes(counts: np.ndarray, beside: np.ndarray, seed: int = 6) -> np.ndarray:
-    """A class for each subword: frequent ones by what stands beside them (k-means), others by count."""
-    common = np.argsort(-counts, kind="stable")[:COMMON]
-    x = np.sqrt(beside / np.maximum(beside.sum(1, keepdims=True), 1))
-    center = x[np.random.default_rng(seed).permutation(len(x))[: CLASSES - SPECIAL]]
-    for _ in range(12):
-        own = np.argmax(x @ center.T - (center**2).sum(1) / 2, axis=1)
-        for c in range(len(center)):
-            if (own == c).any():
-                center[c] = x[own == c].mean(0)
-    group = CLASSES - SPECIAL + np.clip(np.log2(counts + 1).astype(int), 0, SPECIAL - 1)
-    group[common] = own
-    return group
+def spell_counts(counts: np.ndarray, group: np.ndarray, words: Words) -> np.ndarray:
+    """Over distinct words: how often each subword occurs, and each group (or the stop) after each frequent subword, others and the start."""
+    prev, out = _prev(counts), np.zeros(SUBWORDS + (PREV + 2) * (GROUPS + 1), np.int64)
+    s, first = words.subs, words.first
+    if len(words.size):
+        before = np.empty(len(s), np.int64)
+        before[1:] = prev[s[:-1]]
+        before[first] = PREV + 1
+        stop = prev[s[first + words.size - 1]] * (GROUPS + 1) + GROUPS
+        pairs = np.concatenate([before * (GROUPS + 1) + group[s], stop])
+        out[:SUBWORDS] = np.bincount(s, minlength=SUBWORDS)
+        out[SUBWORDS:] = np.bincount(pairs, minlength=len(out) - SUBWORDS)
+    return out
 
 
-def untrained(counts: np.ndarray, beside: np.ndarray) -> Model:
-    """A model with the rows, classes and chances inside classes that the counts give, and fresh weights."""
+def _prev(counts: np.ndarray) -> np.ndarray:
+    prev = np.full(SUBWORDS, PREV)
+    prev[np.argsort(-counts, kind="stable")[:PREV]] = np.arange(PREV)
+    return prev
+
+
+def untrained(counts: np.ndarray, beside: np.ndarray, seed: int = 6) -> Model:
+    """A model with the rows, affinities and groups that the counts give, fresh weights and an even law of spelling.
+
+    Centres of frequent subwords by their neighbours (k-means) are the classes; a subword's affinity to a centre is its nearness."""
+    rank, own = np.argsort(-counts, kind="stable"), ROWS - 512
     row = np.empty(SUBWORDS, np.int64)
-    rank = np.argsort(-counts, kind="stable")
-    own = ROWS - 1024
     row[rank[:own]] = np.arange(own)
-    row[rank[own:]] = own + rank[own:] % 1024
-    return Model(fresh_weights(), row, word_classes(counts, beside), np.zeros(SUBWORDS)).counted(counts)
+    row[rank[own:]] = own + rank[own:] % 512
+    x = np.sqrt(beside / np.maximum(beside.sum(1, keepdims=True), 1))
+    center = x[np.sort(np.random.default_rng(seed).permutation(min(len(x), 512))[: CLASSES - 1])]
+    near = lambda: np.round(1000 * (x @ center.T - (center**2).sum(1) / 2))  # noqa: E731  whole numbers, so that ties are ties
+    for _ in range(12):
+        of = np.argmax(near(), axis=1)
+        for c in range(len(center)):
+            if (of == c).any():
+                center[c] = x[of == c].mean(0)
+    affinity = np.zeros((SUBWORDS, CLASSES - 1), np.int16)
+    affinity[rank[:COMMON]] = near()
+    group = np.empty(SUBWORDS, np.int64)
+    group[rank[:NEXT]] = np.arange(NEXT)
+    group[rank[NEXT:]] = NEXT + np.arange(SUBWORDS - NEXT) * BANDS // (SUBWORDS - NEXT)
+    model = Model(fresh_weights(), row, affinity, group, np.zeros(0), np.zeros(0), _prev(counts))
+    return with_spelling(model, np.zeros(SUBWORDS + (PREV + 2) * (GROUPS + 1)))
+
+
+def with_spelling(model: Model, told: np.ndarray) -> Model:
+    """The model with the law of spelling that these counts give."""
+    sub, pairs = told[:SUBWORDS] + 0.1, told[SUBWORDS:].reshape(PREV + 2, GROUPS + 1).astype(float)
+    plain = pairs.sum(0) + 0.1
+    # What followed, drawn to what follows at large; no word is empty, so no stop follows the start.
+    pairs[:] = pairs + PULL * plain / plain.sum()
+    pairs[PREV + 1, GROUPS] = 0
+    with np.errstate(divide="ignore"):
+        after = np.log10(pairs / pairs.sum(1, keepdims=True))
+    share = np.log10(sub / np.bincount(model.group, sub, GROUPS)[model.group])
+    return Model(model.w, model.row, model.affinity, model.group, share, after, model.prev)
 
 
 def build(texts: list[str]) -> Model:
     """A model of a few texts, without Spark."""
-    ids, starts, *_ = subwords(pa.array(texts, pa.string()))
-    counts = np.bincount(ids, minlength=SUBWORDS)
-    model = untrained(counts, near_counts(counts, ids))
-    state: dict = {}
-    for turn, rate in enumerate((0.01, 0.004)):
-        model.train(ids, starts, rate, state, np.arange(len(texts)).astype(U64), salt=turn)
+    words, _ = cut(pa.array(texts, pa.string()))
+    counts = sub_counts(words)
+    model = untrained(counts, near_counts(counts, words))
+    model = with_spelling(model, spell_counts(counts, model.group, words))
+    model.train(words, 0.01, np.arange(len(texts)).astype(U64), batch=32)
     return model
 
 
+_CUT = "grp long, key long, held_out boolean, doc_id long, ids binary, sizes binary"
+_GROUP = "grp long, ids binary, sizes binary, codes binary, many binary, keys binary, doc_id array<long>, training long"
+
+
 def _cut(texts):
-    """(grp, key, ids): each text's subwords, two bytes each."""
-    for b in pieces_of(texts, 2):
-        ids, starts, *_ = subwords(b.column(2))
-        ids = ids.astype("<u2").tobytes()
-        told = pa.array([ids[2 * a : 2 * z] for a, z in zip(starts.tolist(), starts[1:].tolist(), strict=False)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), told], ["grp", "key", "ids"])
+    """Each text's subwords, two bytes each, and how many each word has."""
+    for b in pieces_of(texts, 4):
+        words, _ = cut(b.column(4))
+        ids = words.stream()
+        bounds = np.concatenate([[0], np.flatnonzero(ids < 0) + 1])
+        ids, size = ids.astype("<u2"), words.spread(words.size, 1).astype("<u4")
+        told = [pa.array([x[a : z - 1].tobytes() for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.binary()) for x, at in ((ids, bounds), (size, words.starts))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *told], [x.split()[0] for x in _CUT.split(", ")])
+
+
+def word_keys(subs: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word's subwords, which spell it and no other word."""
+    if not len(size):
+        return np.zeros(0, U64)
+    first = np.cumsum(size) - size
+    turn = (np.arange(len(subs)) - np.repeat(first, size)).astype(U64)
+    return mix(np.add.reduceat(mix(subs.astype(U64) + mix(turn + U64(1))), first) + size.astype(U64))
 
 
 def _packed(rows: pa.Table) -> pa.Table:
-    """A group's texts as one row, in the order of their keys."""
-    rows = rows.sort_by("key")
-    texts = rows.column("ids").to_pylist()
-    sizes = np.fromiter((len(x) // 2 for x in texts), "<i8", len(texts))
-    keys = rows.column("key").to_numpy().astype("<i8")
-    return pa.table({"grp": rows.column("grp")[:1], "ids": pa.array([b"".join(texts)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "keys": pa.array([keys.tobytes()], pa.binary())})
+    """A group's texts as one row, those of training first, in the order of their keys: a dictionary of words, and places in it."""
+    rows = rows.sort_by([("held_out", "ascending"), ("key", "ascending")])
+    ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), "<u2")
+    each = rows.column("sizes").to_pylist()
+    size = np.frombuffer(b"".join(each), "<u4").astype(np.int64)
+    first = np.cumsum(size) - size
+    _, at, code = np.unique(word_keys(ids, size), return_index=True, return_inverse=True)
+    pick = size[at]
+    flat = ids[np.arange(int(pick.sum())) - np.repeat(np.cumsum(pick) - pick - first[at], pick)]
+    many = np.fromiter((len(x) // 4 for x in each), "<i8", len(each))
+    out = flat, pick.astype("<u4"), code.astype("<u4"), many, rows.column("key").to_numpy().astype("<i8")
+    names = [x.split()[0] for x in _GROUP.split(", ")]
+    cols = [rows.column("grp")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in out), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
+    cols.append(pa.array([rows.num_rows - sum(rows.column("held_out").to_pylist())], pa.int64()))
+    return pa.table(dict(zip(names, cols, strict=True)))
+
+
+def _words(row: dict) -> Words:
+    many = np.frombuffer(row["many"], "<i8")
+    code = np.insert(np.frombuffer(row["codes"], "<u4").astype(np.int64), np.cumsum(many), -1)
+    return Words(np.frombuffer(row["ids"], "<u2").astype(np.int64), np.frombuffer(row["sizes"], "<u4").astype(np.int64), code, np.concatenate([[0], np.cumsum(many + 1)]))
+
+
+def _training(words: Words, many: int) -> Words:
+    """The first texts of a group, with all its words."""
+    return Words(words.subs, words.size, words.code[: words.starts[many]], words.starts[: many + 1])
 
 
 def _groups(batches):
-    """Each group's number, subwords, starts of texts and keys."""
+    """Each group's number, and words and keys of its training texts, if it has any."""
     for b in batches:
         for i in range(b.num_rows):
-            grp, ids, sizes, keys = (c[i].as_py() for c in b.columns)
-            yield grp, np.frombuffer(ids, "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]), np.frombuffer(keys, "<u8")
+            row = b.slice(i, 1).to_pylist()[0]
+            if row["training"]:
+                yield row["grp"], used(_training(_words(row), row["training"])), np.frombuffer(row["keys"], "<u8")[: row["training"]]
+
+
+_BLOCKS = "block int, salt int, sums binary, n long"
 
 
 def _blocks(grp: int, flat: np.ndarray, n: int) -> pa.RecordBatch:
-    cut = range(0, len(flat), BLOCK)
+    at = range(0, len(flat), BLOCK)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(len(cut), dtype=np.int32)), pa.array([grp] * len(cut), pa.int64()), pa.array([flat[a : a + BLOCK].astype("<f8").tobytes() for a in cut], pa.binary()), pa.array([n] * len(cut), pa.int64())],
-        ["block", "grp", "sums", "n"],
+        [pa.array(np.arange(len(at), dtype=np.int32)), pa.array([grp % 256] * len(at), pa.int32()), pa.array([flat[a : a + BLOCK].astype("<i8").tobytes() for a in at], pa.binary()), pa.array([n] * len(at), pa.int64())],
+        ["block", "salt", "sums", "n"],
     )
 
 
 def _tables(count):
-    """The sum over a task's groups of a table of counts, which has a fixed size."""
+    """The sum over a task's groups of what `count` tells of each: whole numbers, and how much they count for."""
 
     def run(batches):
-        total = 0
-        for grp, ids, *_ in _groups(batches):
-            total = total + count(ids)
+        total, weight, last = 0, 0, 0
+        for last, words, keys in _groups(batches):  # noqa: B007
+            told, n = count(words, keys)
+            total, weight = total + told, weight + n
         if np.ndim(total):
-            yield _blocks(grp, total.reshape(-1), 0)
+            yield _blocks(last, total.reshape(-1), weight)
 
     return run
 
 
+def _add(told: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, "<i8") for x in told.column("sums").to_pylist())
+    return pa.table({"block": told.column("block")[:1], "salt": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(told.column("n").to_pylist())], pa.int64())})
+
+
+def _summed_up(groups: DataFrame, count) -> tuple[np.ndarray | None, int]:
+    """The sum of what `count` tells of all groups, block by block and in two steps; it has the size of the model or of a table of counts."""
+    told = groups.mapInArrow(tidy(_tables(count)), _BLOCKS)
+    for key in (["block", "salt"], ["block"]):
+        told = told.groupBy(*key).applyInArrow(_add, _BLOCKS)
+    told = sorted(told.collect())
+    return (np.concatenate([np.frombuffer(r["sums"], "<i8") for r in told]), told[0]["n"]) if told else (None, 0)
+
+
 def _trained(model: Model, rate: float, share: int, salt: int):
-    """Weights as trained on each group, times the number of its windows."""
+    """Weights as trained on a group, in steps of STEP, times its share: one for each 64 windows."""
 
-    def run(batches):
-        for grp, ids, starts, keys in _groups(batches):
-            own = Model({k: v.copy() for k, v in model.w.items()}, model.row, model.group, model.inside)
-            many = own.train(ids, starts, rate, {}, keys, share, salt)
-            if many:
-                yield _blocks(grp, np.concatenate([own.w[k].reshape(-1).astype(float) * many for k in sorted(own.w)]), many)
+    def count(words: Words, keys: np.ndarray):
+        own = Model({k: v.copy() for k, v in model.w.items()}, model.row, model.affinity, model.group, model.share, model.after, model.prev)
+        many = -(-own.train(words, rate, keys, share, salt) // 64)
+        return np.concatenate([np.rint(own.w[k].reshape(-1) / STEP) for k in sorted(own.w)]).astype(np.int64) * many, many
 
-    return run
+    return count
 
 
-def _add(told: pa.Table) -> pa.Table:
-    told = told.sort_by("grp")
-    total = sum(np.frombuffer(x, "<f8") for x in told.column("sums").to_pylist())
-    return pa.table({"block": told.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(told.column("n").to_pylist())], pa.int64())})
-
-
-def _summed_up(groups: DataFrame, run) -> tuple[np.ndarray | None, int]:
-    """The sum of what `run` tells of all groups, block by block; it has the size of the model or of a table of counts."""
-    told = groups.mapInArrow(tidy(run), "block int, grp long, sums binary, n long")
-    told = sorted(told.groupBy("block").applyInArrow(_add, "block int, sums binary, n long").collect())
-    return (np.concatenate([np.frombuffer(r["sums"], "<f8") for r in told]), told[0]["n"]) if told else (None, 0)
-
-
-def learn(train: DataFrame, *, rate: float = 0.002) -> Model:
-    """Fit the model to a table of training texts (columns doc_id, text)."""
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    many = max(1, -(-size // TRAIN_BYTES))
-    key = F.xxhash64("doc_id", "text")
-    cut = train.select(F.pmod(key, F.lit(many)).cast("long").alias("grp"), key.alias("key"), "text").mapInArrow(tidy(_cut), "grp long, key long, ids binary")
-    packed = cut.repartition(many, "grp").groupBy("grp").applyInArrow(_packed, "grp long, ids binary, sizes binary, keys binary")
-    groups = stored(packed, f"{shared_dir(train.sparkSession)}/subwords")
-    counts, _ = _summed_up(groups, _tables(lambda ids: np.bincount(ids, minlength=SUBWORDS)))
+def grouped(rows: DataFrame, path: str) -> DataFrame:
+    """All texts (doc_id, text, held_out) cut into subwords once and stored in groups of bounded size."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = max(1, -(-size // GROUP_BYTES))
+    key = F.xxhash64("doc_id", "text")  # the text takes part, so a repeated id does not fill a group
+    told = rows.select(F.pmod(key, F.lit(many)).cast("long").alias("grp"), key.alias("key"), "held_out", "doc_id", "text").mapInArrow(tidy(_cut), _CUT)
+    return stored(told.repartition(many, "grp").groupBy("grp").applyInArrow(_packed, _GROUP), path)
+
+
+def learn(groups: DataFrame, *, rate: float = 0.004) -> Model:
+    """Fit the model to the training texts of stored groups."""
+    counts, _ = _summed_up(groups, lambda words, _: (sub_counts(words), 0))
     if counts is None:
         return untrained(np.zeros(SUBWORDS, np.int64), np.zeros((COMMON, 2 * (NEAR + 1))))
-    counts = counts.astype(np.int64)
-    beside, _ = _summed_up(groups, _tables(lambda ids: near_counts(counts, ids)))
+    beside, _ = _summed_up(groups, lambda words, _: (near_counts(counts, words), 0))
     model = untrained(counts, beside.reshape(COMMON, -1))
-    for turn, (pace, share) in enumerate(((0.01, OPENING), (0.004, OPENING), (rate, 1))):
+    group = model.group
+    model = with_spelling(model, _summed_up(groups, lambda words, _: (spell_counts(counts, group, words), 0))[0])
+    for turn, (pace, share) in enumerate(((0.01, OPENING), (rate, 1))):
         flat, n = _summed_up(groups, _trained(model, pace, share, turn))
         if n:
             at = 0
             for k in sorted(model.w):
                 wide = model.w[k].size
-                model.w[k] = (flat[at : at + wide] / n).astype(np.float32).reshape(model.w[k].shape)
+                model.w[k] = (flat[at : at + wide] / n * STEP).astype(np.float32).reshape(model.w[k].shape)
                 at += wide
     return model
 
 
-def _ask(parts: int):
+def marked(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Hashes of distinct words with their classes in the low bits."""
+    return keys & ~U64(CLASSES - 1) | k.astype(U64)
+
+
+def _asked(model: Model, words: Words, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a group's words and of the end, their partitions, and the order in which they are asked for."""
+    h = np.append(marked(word_keys(words.subs, words.size), model.classes(words)), END_HASH)
+    part = ((h >> U64(40)) % U64(parts)).astype(np.int64)
+    return h, part, np.lexsort((h, part))
+
+
+def _ask(parts: int, model: Model):
     """Per group and partition of the hash space, the group's distinct words and their counts in training texts."""
 
     def run(batches):
-        held: dict[int, list] = {}
-
-        def packed(group: int):
-            h, c = _summed(*(np.concatenate(x) for x in zip(*held.pop(group), strict=True)))
-            part = (h >> U64(40)) % U64(parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, group, h[i].astype("<u8").tobytes(), c[i].astype("<i8").tobytes()) for p in range(parts) if len(i := order[cut[p] : cut[p + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "grp", "hashes", "counts"])
-
-        for b in pieces_of(batches, 1):
-            words, off = split_words(b.column(1), lower=True)
-            h = word_hashes(words)
-            grp, train = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(len(grp)), np.diff(off))
-            for g in np.unique(grp):
-                mine = grp == g
-                w = mine[of]
-                one = np.concatenate([h[w], np.full(int(mine.sum()), END_HASH, U64)])
-                use = np.concatenate([train[of[w]], train[mine]]).astype(np.int64)
-                held.setdefault(int(g), []).append(_summed(one, use))
-                if len(held[int(g)]) > 16:
-                    held[int(g)] = [_summed(*(np.concatenate(x) for x in zip(*held[int(g)], strict=True)))]
-        for g in list(held):
-            yield packed(g)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                words = _words(row)
+                h, part, order = _asked(model, words, parts)
+                often = np.bincount(words.code[: words.starts[row["training"]]] % len(h), minlength=len(h))
+                at = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = [(p, row["grp"], h[i].astype("<u8").tobytes(), often[i].astype("<i8").tobytes()) for p in range(parts) if len(i := order[at[p] : at[p + 1]])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "grp", "hashes", "counts"])
 
     return run
 
@@ -409,15 +585,19 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answer(batches):
-    """For each partition of the hash space: total counts, told to every group that asked; group -1 gets N and V."""
+    """For each partition of the hash space: total counts, told to every group in the order it asked; group -1 gets, of
+    each class, the tokens and the words seen."""
     part, rows = None, []
+    kinds = pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())
 
     def told():
         asked = [np.frombuffer(x[1], "<u8") for x in rows]
         h, c = _summed(np.concatenate(asked), np.concatenate([np.frombuffer(x[2], "<i8") for x in rows]))
-        out = [(x[0], x[1], c[np.searchsorted(h, a)].astype("<i8").tobytes(), 0, 0) for x, a in zip(rows, asked, strict=True)]
-        out.append((-1, b"", b"", int(c.sum()), int((c > 0).sum())))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["grp", "hashes", "counts", "n", "v"])
+        out = [(x[0], part, c[np.searchsorted(h, a)].astype("<i8").tobytes(), None) for x, a in zip(rows, asked, strict=True)]
+        k = (h & U64(CLASSES - 1)).astype(np.int64)
+        sums = [np.bincount(k, x, CLASSES).astype(np.int64) for x in (c, c > 0)]
+        out.append((-1, part, b"", np.concatenate(sums).tolist()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "part", "counts", "sums"])
 
     for b in batches:
         for p, *rest in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -430,55 +610,51 @@ def _answer(batches):
         yield told()
 
 
-def _scored(model: Model, tokens: int, distinct: int):
+def rare_chances(mass: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """What the discounts of each class's words leave of its tokens; 1 for a class never seen. The end is always known."""
+    return np.where(np.arange(CLASSES) == END_CLASS, 0.0, np.where(mass > 0, DISCOUNT * seen / np.maximum(mass, 1), 1.0))
+
+
+def _scored(model: Model, parts: int, mass: np.ndarray, seen: np.ndarray):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    whole = tokens + 0.5 * (distinct + 1)
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, "<u8") for x in answers.column("hashes").to_pylist()] or [np.zeros(0, "<u8")])
-        c = np.concatenate([np.frombuffer(x, "<i8") for x in answers.column("counts").to_pylist()] or [np.zeros(0, "<i8")])
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        end = int(c[np.searchsorted(h, END_HASH)])
-        out = []
-        for b in pieces_of(docs.select(["doc_id", "text", "held_out"]).to_batches(), 1):
-            ids, starts, words, off, n = subwords(b.column(1))
-            # Words and ends in order: each with its count, and its subwords' chance together.
-            got = np.insert(c[np.searchsorted(h, word_hashes(words))], off[1:], end)
-            size = np.insert(n, off[1:], 1)
-            read = np.add.reduceat(model.score(ids, starts), np.cumsum(size) - size)
-            plain = np.log10((got + 0.5) / whole)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(off) + 1)
-            total = lambda x: np.bincount(doc, x, b.num_rows)  # noqa: B023, E731
-            out.append(pa.RecordBatch.from_arrays([
-                b.column(0), b.column(2), pa.array(np.diff(off) + 1), pa.array(total(got > 0).astype(np.int64)),
-                pa.array(total(plain)), pa.array(total(read)),
-            ], names))
-        return pa.Table.from_batches(out)
+    whole, rare = mass.sum() + 0.5 * (seen.sum() + 1), rare_chances(mass, seen)
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        row = group.to_pylist()[0]
+        words = _words(row)
+        h, _, order = _asked(model, words, parts)
+        count = np.empty(len(h), np.int64)
+        count[order] = np.frombuffer(b"".join(answers.sort_by("part").column("counts").to_pylist()), "<i8")
+        got, docs = count[words.code], len(row["doc_id"])
+        read = model.score(words, count[:-1], mass, rare)
+        doc = np.repeat(np.arange(docs), np.diff(words.starts))
+        total = lambda x: np.bincount(doc, x, docs)
+        return pa.table([
+            pa.array(row["doc_id"], pa.int64()), pa.array(np.arange(docs) >= row["training"]), pa.array(np.diff(words.starts)), pa.array(total(got > 0).astype(np.int64)),
+            pa.array(total(np.log10((got + 0.5) / whole))), pa.array(total(read)),
+        ], names)
 
     return run
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    spark, root = docs.sparkSession, shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (key_mod(id_col) == 1).alias("held_out"))
-    model = learn(rows.where(~F.col("held_out")))
-    parts = shuffle_partitions(spark)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(parts, -(-size // GROUP_BYTES))
-    # Texts take part in the choice of a group, so a repeated id does not fill one.
-    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
-    asked = grouped.select("grp", "text", (~F.col("held_out")).alias("train")).mapInArrow(_ask(parts), "part int, grp long, hashes binary, counts binary")
-    told = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer, "grp long, hashes binary, counts binary, n long, v long")
-    told = stored(told, f"{shared_dir(spark)}/answers")
-    whole = told.where("grp = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
-    tokens, distinct = whole.first()
-    told = told.where("grp >= 0").select("grp", "hashes", "counts")
-    made = grouped.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(
-        _scored(model, tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    groups = grouped(rows, f"{root}/groups")
+    model = learn(groups)
+    # As many partitions of the hash space as groups of texts, so neither grows with the input.
+    parts = max(shuffle_partitions(spark), groups.agg(F.coalesce(F.max("grp"), F.lit(0))).first()[0] + 1)
+    asked = groups.mapInArrow(tidy(_ask(parts, model)), "part int, grp long, hashes binary, counts binary")
+    told = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(_answer), "grp long, part int, counts binary, sums array<long>")
+    told = stored(told, f"{root}/answers")
+    sums = dict(map(tuple, told.where("grp = -1").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect()))
+    mass, seen = np.array([sums.get(i, 0) for i in range(2 * CLASSES)]).reshape(2, CLASSES)
+    told = told.where("grp >= 0").select("grp", "part", "counts")
+    made = groups.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(
+        _scored(model, parts, mass, seen), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(mass.sum())).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,69 +120,118 @@ def test_lm(spark, docs, odd, none):
     assert lm.score(odd).count() == 5 and lm.score(none).count() == 0
 
 
-def test_lm_model_comes_from_whole_texts_at_any_partitioning(spark):
-    late = [i for i in (lm.encoder(lm.VOCABULARY).encode_ordinary(f" {w}") for w in ("unicorns", "telescope", "volcano", "pancakes", "harbour")) if len(i) == 1]
-    late = [i[0] for i in late]
-    r = random.Random(4)
-    rows = [(i, " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(1500)) + " " + " ".join(r.choice(["unicorns", "telescope", "volcano", "pancakes", "harbour"]) for _ in range(40))) for i in range(6)]
-    assert len(late) > 2 and all(len(t) > 4400 for _, t in rows)
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = lm.learn(d.repartition(1)), lm.learn(d.repartition(5))
-    assert max(one.row[late]) < 100 and (one.group[late] < lm.CLASSES - 8).all()
-    assert (one.row == many.row).all() and (one.group == many.group).all() and (one.inside == many.inside).all()
-    assert all(np.allclose(one.w[k], many.w[k], atol=1e-5) for k in one.w)
+def lm_rows(d, path):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    return lm.grouped(d.select("doc_id", "text", held.alias("held_out")), path)
 
 
-def test_lm_trains_on_every_window(spark, monkeypatch):
-    rows = [(i, " ".join(["word"] * (1 + i % 40))) for i in range(50)]
-    seen = []
-    add = lm._summed_up
-    monkeypatch.setattr(lm, "_summed_up", lambda *a: seen.append(add(*a)) or seen[-1])
-    lm.learn(spark.createDataFrame(rows, "doc_id long, text string"))
-    starts = np.concatenate([[0], np.cumsum([2 + i % 40 for i in range(50)])])
-    assert seen[-1][1] == len(lm.windows(starts)[0])
+def test_lm_scores_are_the_same_at_any_partitioning(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "GROUP_BYTES", 4000)
+    want = None
+    for n in (1, 3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        got = sorted((r["doc_id"], r["n_known"], r["base_score"], round(r["score"], 4)) for r in lm.score(docs.repartition(n)).collect())
+        want = want or got
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    one, many = (lm.learn(lm_rows(docs.repartition(n), str(tmp_path / str(n)))) for n in (1, 5))
+    assert all((one.w[k] == many.w[k]).all() for k in one.w) and (one.affinity == many.affinity).all() and (one.after == many.after).all()
 
 
-def test_lm_score_is_the_model_s_own(spark, docs):
-    got, texts = by_id(lm.score(docs)), [(i, t) for i, t in ROWS if i % 5 == 0]
-    model = lm.learn(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1))
-    ids, starts, *_ = lm.subwords(lm.pa.array([t for _, t in texts]))
-    own = np.add.reduceat(model.score(ids, starts), starts[:-1])
-    assert np.allclose([got[i]["score"] for i, _ in texts], own, rtol=1e-5)
+def test_lm_trains_on_every_window(spark, monkeypatch, tmp_path):
+    rows = [(i, " ".join(["word"] * (1 + i % 40))) for i in range(50)]
+    seen = []
+    train = lm.Model.train
+    monkeypatch.setattr(lm.Model, "train", lambda self, *a, **k: seen.append(train(self, *a, **k)) or seen[-1])
+    told = lm_rows(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "g")).collect()
+    batch = lm.pa.RecordBatch.from_pylist([r.asDict() for r in told])
+    for _, words, keys in lm._groups([batch]):
+        lm._trained(lm.build(["word word"]), 0.01, 1, 0)(words, keys)
+    train_texts = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 1]
+    starts = np.concatenate([[0], np.cumsum([2 + i % 40 for i in train_texts])])
+    assert sum(seen[1:]) == len(lm.windows(starts)[0])
+
+
+CAT = "the cat sat on the mat and the dog ran to the cat"
+
+
+def test_lm_chances_sum_to_one():
+    model = lm.build([CAT, "a dog sat"] * 10)
+    words, known = lm.cut(lm.pa.array([CAT, "a dog sat"] * 10 + ["once"]))
+    count = np.bincount(words.code[words.code >= 0], minlength=len(words.size))
+    k = model.classes(words)
+    mass, seen = (np.bincount(k, x, lm.CLASSES) for x in (count, count > 0))
+    mass[lm.END_CLASS] = 21
+    rare = lm.rare_chances(mass, seen)
+    # After any beginning: all classes' known words and the end, and the words that are spelt.
+    places, _ = lm.cut(lm.pa.array([CAT]))
+    rows = model.seen(model.inputs(places), places.starts, *lm.windows(places.starts)[:2])
+    p, _ = model.forward(rows)
+    known_mass = np.array([(count[k == c] - lm.DISCOUNT).sum() / max(mass[c], 1) for c in range(lm.CLASSES - 1)] + [1.0])
+    assert np.allclose(p @ known_mass + p @ rare, 1, atol=1e-5)
+    # Spelling: after the start and after each subword, chances of all subwords and the stop sum to 1.
+    each = 10 ** (model.after[:, model.group] + model.share).clip(-400)
+    assert np.allclose(each.sum(1) + 10 ** model.after[:, lm.GROUPS], 1)
+    # score() is that law.
+    s = model.score(words, count, mass, rare)
+    own, open_ = model.chances(words, rare)
+    i = int(np.flatnonzero(words.code == known.to_pylist().index("once"))[0])
+    of = words.code[i]
+    assert np.isclose(10 ** s[i], own[i] * (1 - lm.DISCOUNT) / mass[k[of]] + open_[i] * 10 ** model.spelt(words)[of], rtol=1e-5)
+    never = model.score(words, np.where(np.arange(len(count)) == of, 0, count), mass, rare)
+    assert abs(never[i] - np.log10(open_[i]) - model.spelt(words)[of]) < 1e-6
+    assert np.allclose(s[words.code == -1], np.log10(own[words.code == -1]))
+
+
+def test_lm_long_words_and_empty_texts():
+    model = lm.build([CAT] * 5)
+    words, _ = lm.cut(lm.pa.array(["", None, "q" * 30_000, "x"]))
+    mass = np.zeros(lm.CLASSES)
+    s = model.score(words, np.zeros(len(words.size), int), mass, lm.rare_chances(mass, mass))
+    assert np.isfinite(s).all() and len(s) == 6 and s[2] < -1000
 
 
 def test_lm_is_causal_and_windows_cover():
-    model = lm.build(["the cat sat on the mat and the dog ran to the cat"] * 20)
-    ids, starts, *_ = lm.subwords(lm.pa.array(["the cat sat on the mat and the dog ran far away " * 4]))
-    whole = model.score(ids, starts)
-    cut = model.score(ids[:20], np.array([0, 20]))
-    assert np.allclose(whole[:20], cut, atol=1e-5)  # what follows changes nothing
-    doc, first, new = lm.windows(starts)
-    assert new.sum() == len(ids) and (np.diff(first) == lm.STRIDE).all()
-    total = np.bincount(model.group, 10.0**model.inside)
-    assert np.allclose(total[total > 0], 1)
+    model = lm.build([CAT] * 20)
+    text = "the cat sat on the mat and the dog ran far away " * 4
+    rare = np.full(lm.CLASSES, 0.1)
+    words, _ = lm.cut(lm.pa.array([text]))
+    part, _ = lm.cut(lm.pa.array([" ".join(text.split()[:20])]))
+    assert np.allclose(model.chances(words, rare)[0][:20], model.chances(part, rare)[0][:20], atol=1e-5)  # what follows changes nothing
+    _, first, new = lm.windows(words.starts)
+    assert new.sum() == len(words.code) and (np.diff(first) == lm.STRIDE).all()
 
 
 def test_lm_sees_sixteen_places_before_each_window():
-    model = lm.build(["the cat sat on the mat and the dog ran to the cat"] * 20)
-    ids, starts, *_ = lm.subwords(lm.pa.array(["the cat sat on the mat and the dog ran far away " * 8]))
-    first = int(lm.windows(starts)[1][3])
-    far = ids.copy()
-    far[first - 16] = ids[first - 15]
-    assert lm.WINDOW >= 32 and far[first - 16] != ids[first - 16]
-    assert model.score(ids, starts)[first] != model.score(far, starts)[first]
+    model = lm.build([CAT] * 20)
+    text = ("the cat sat on the mat and the dog ran far away " * 8).split()
+    far = list(text)
+    far[48 - 17] = "to" if text[48 - 17] != "to" else "on"
+    a, b = (model.chances(lm.cut(lm.pa.array([" ".join(x)]))[0], np.ones(lm.CLASSES))[0][48] for x in (text, far))
+    assert lm.WINDOW >= 32 and a != b
+
+
+def test_lm_learns_what_the_context_tells():
+    r = random.Random(2)
+    make = lambda n: [" ".join(r.choice(tongue) for _ in range(60)) for _ in range(n) for tongue in (("the", "cat", "sat", "dog"), ("le", "chat", "est", "une"))]
+    model = lm.build(make(200))
+    words, _ = lm.cut(lm.pa.array(make(20)))
+    own, _ = model.chances(words, np.ones(lm.CLASSES))
+    inner = np.arange(len(own)) % 61 > 5
+    assert np.log(own[inner]).mean() > np.log([0.12]).mean()  # of eight words, four are in question
 
 
 def test_lm_gradient():
     model = lm.build(["a b c d"] * 3)
-    ids, starts, *_ = lm.subwords(lm.pa.array(["some words to learn from here"]))
-    doc, first, new = lm.windows(starts)
-    rows = model.inputs(ids, starts, doc, first)
+    words, _ = lm.cut(lm.pa.array(["some words to learn from here"]))
+    doc, first, new = lm.windows(words.starts)
+    rows = model.seen(model.inputs(words), words.starts, doc, first)
     at = first[:, None] + np.arange(lm.STRIDE)
-    target, real = model.group[ids[np.minimum(at, len(ids) - 1)]], np.arange(lm.STRIDE) < new[:, None]
+    aim = words.spread(model.classes(words), lm.END_CLASS)
+    target, real = aim[np.minimum(at, len(aim) - 1)], np.arange(lm.STRIDE) < new[:, None]
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
     _, g = model.gradient(rows, target, real)
-    for name in ("q", "k", "v", "o", "up", "down", "out", "place"):
+    for name in ("q", "k", "v", "o", "up", "down", "out", "place", "embed"):
         i = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         w = model.w[name]
         w[i] += 1e-5
