@@ -31,6 +31,8 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +53,7 @@ OPEN, ENDED = ROWS, ROWS + 1
 COMMON, NEAR = 4096, 64
 #: Training is over every window; the opening round before it is over one window in so many.
 OPENING = 8
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 BLOCK = 8192
 #: Weights are averaged as whole multiples of this.
 STEP = 2.0**-16
@@ -78,6 +80,13 @@ class Words:
     def first(self) -> np.ndarray:
         return np.cumsum(self.size) - self.size
 
+    def slices(self, places: int = 1 << 18) -> Iterator[tuple[int, Words]]:
+        """The same words with about so many places at a time, whole texts each; also where in all places they start."""
+        at = np.flatnonzero(np.diff(self.starts[:-1] // places, prepend=-1))
+        for a, z in zip(at, [*at[1:], len(self.starts) - 1], strict=True):
+            s = self.starts[a : z + 1]
+            yield int(s[0]), Words(self.subs, self.size, self.code[s[0] : s[-1]], s - s[0])
+
     def spread(self, each: np.ndarray, end) -> np.ndarray:
         """A value of each word, by place."""
         return np.append(each, end)[self.code]
@@ -93,17 +102,19 @@ class Words:
 def spell(words: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """The subwords of words in a row, and how many each word has."""
     cache = worker_cache().setdefault(f"subwords {path}", {})
-    if len(cache) > 400_000:
+    if len(cache) > 500_000:
         cache.clear()
     encode = encoder(path).encode_ordinary
     spelt = []
     for w in words:
         ids = cache.get(w)
         if ids is None:
-            ids = cache[w] = encode(" " + w)
+            ids = array("H", encode(" " + w)).tobytes()
+            if len(w) < 64:
+                cache[w] = ids
         spelt.append(ids)
-    size = np.fromiter(map(len, spelt), np.int64, len(spelt))
-    return np.fromiter((i for ids in spelt for i in ids), np.int64, int(size.sum())), size
+    size = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 2
+    return np.frombuffer(b"".join(spelt), np.uint16).astype(np.int64), size
 
 
 def cut(texts: pa.Array) -> tuple[Words, pa.Array]:
@@ -158,7 +169,7 @@ class Model:
         """Two rows of the embedding for each place: the first and the last subword of the token before."""
         first, last = self.row[words.subs[words.first]], self.row[words.subs[words.first + words.size - 1]]
         own = np.stack([words.spread(first, ENDED), words.spread(last, ENDED)], axis=1)
-        before = np.concatenate([own[:1], own[:-1]])
+        before = np.concatenate([own[:1], own[:-1]]).astype(np.int32)
         before[words.starts[:-1]] = OPEN
         return before
 
@@ -195,10 +206,10 @@ class Model:
         p /= p @ np.ones((CLASSES, 1), np.float32)
         return p, (rows, x, new, q, k, v, a, c, y, h, z)
 
-    def chances(self, words: Words, rare: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    def chances(self, words: Words, rare: np.ndarray, batch: int = 128, k: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """By place: the chance of the token's class, and that of a word that is spelt (rare: its chance by class)."""
         rows, starts = self.inputs(words), words.starts
-        target = words.spread(self.classes(words), END_CLASS)
+        target = words.spread(self.classes(words) if k is None else k, END_CLASS)
         doc, first, new = windows(starts)
         own, open_ = np.empty(len(target)), np.empty(len(target))
         places, rare = np.arange(STRIDE), rare.astype(np.float32)
@@ -214,16 +225,18 @@ class Model:
 
     def score(self, words: Words, count: np.ndarray, mass: np.ndarray, rare: np.ndarray) -> np.ndarray:
         """log10 chance of the token at each place. count: of each distinct word; mass: tokens of each class."""
-        own, open_ = self.chances(words, rare)
-        k = self.classes(words)
+        k, spelt = self.classes(words), self.spelt(words)
         known = np.where(count > 0, (count - DISCOUNT) / np.maximum(mass[k], 1), 0)
-        chance = own * words.spread(known, 1.0)
-        chance += open_ * 10.0 ** words.spread(np.maximum(self.spelt(words), -300), -np.inf)
-        with np.errstate(divide="ignore"):
-            out = np.log10(chance)
-        # A word of thousands of subwords has a chance below the smallest float; its logarithm is known all the same.
-        tiny = np.flatnonzero(chance < 1e-290)
-        out[tiny] = np.log10(open_[tiny] + 1e-300) + words.spread(self.spelt(words), 0.0)[tiny]
+        said = 10.0 ** np.maximum(spelt, -300)
+        out = np.empty(len(words.code))
+        for at, part in words.slices():
+            own, open_ = self.chances(part, rare, k=k)
+            chance = own * part.spread(known, 1.0) + open_ * part.spread(said, 0.0)
+            told = np.log10(np.maximum(chance, 1e-300))
+            # A word of thousands of subwords has a chance below the smallest float; its logarithm is known all the same.
+            tiny = np.flatnonzero(chance < 1e-290)
+            told[tiny] = np.log10(open_[tiny] + 1e-300) + part.spread(spelt, 0.0)[tiny]
+            out[at : at + len(told)] = told
         return out
 
     def gradient(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -258,7 +271,7 @@ class Model:
         g["embed"] = np.bincount(at, d.reshape(-1), (ROWS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
         return loss, g
 
-    def train(self, words: Words, rate: float, keys: np.ndarray, share: int = 1, salt: int = 0, batch: int = 192) -> int:
+    def train(self, words: Words, rate: float, keys: np.ndarray, share: int = 1, salt: int = 0, batch: int = 128) -> int:
         """Adam steps over the texts' windows, in an order (and, of one in `share`, a draw) by the text's key and the
         window's number. Returns how many windows took part."""
         rows, starts = self.inputs(words), words.starts
@@ -438,7 +451,9 @@ def _packed(rows: pa.Table) -> pa.Table:
     each = rows.column("sizes").to_pylist()
     size = np.frombuffer(b"".join(each), "<u4").astype(np.int64)
     first = np.cumsum(size) - size
-    _, at, code = np.unique(word_keys(ids, size), return_index=True, return_inverse=True)
+    some = range(0, len(size), 1 << 18)
+    h = np.concatenate([word_keys(ids[first[a] : first[a] + int(size[a : a + (1 << 18)].sum())], size[a : a + (1 << 18)]) for a in some] or [np.zeros(0, U64)])
+    _, at, code = np.unique(h, return_index=True, return_inverse=True)
     pick = size[at]
     flat = ids[np.arange(int(pick.sum())) - np.repeat(np.cumsum(pick) - pick - first[at], pick)]
     many = np.fromiter((len(x) // 4 for x in each), "<i8", len(each))
