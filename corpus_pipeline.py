@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, encoding.
 
-Each stage works on all documents its predecessor kept. All stages but the last return the columns of documents.
-Null ids, null and empty texts, repeated rows and empty tables are handled as each operator's docstring says.
+Each stage works on all documents its predecessor kept. All stages but the last return the columns of documents, extra
+ones included. Null and empty texts are documents without words: near-dedup and substring dedup leave them alone, as does
+decontamination. Rows that share an id are documents of their own. Repeated rows: one stays after near-dedup. A null id
+stays (near-dedup groups it under the smallest id in reach) and loses no words. An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id; of equal rows, one."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    # By row, not by id: of rows that share an id only those whose own text is kept stay.
+    left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return left.withColumn("copy", F.row_number().over(same)).where("copy = 1").select(*docs.columns)
 
@@ -58,7 +61,7 @@ STAGES = [
     ("SentencePiece encoding", encode),
 ]
 
-#: None of the stages can be written in SQL as a whole; tests compare them with brute force.
+#: None of the stages can be written in SQL as a whole; tests/llm compares stages with brute force on small tables.
 ORACLE_SQL = None
 
 
