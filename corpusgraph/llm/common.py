@@ -165,6 +165,15 @@ def tidy(run):
     return whole
 
 
+def steady_heap() -> None:
+    """Keep arrays of up to 32 MB on the worker's heap: mapping and unmapping them anew costs more than small steps of numpy."""
+    if sys.platform == "linux":
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+        if mallopt is not None:
+            mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+            mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_corpusgraph_worker", types.ModuleType("_corpusgraph_worker")).__dict__

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import VOCABULARY, encoder
-from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, stored, table, tidy, worker_cache
+from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, steady_heap, stored, table, tidy, worker_cache
 
 SUBWORDS = 50257
 WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 32, 4096
@@ -52,7 +52,7 @@ OPEN, ENDED = ROWS, ROWS + 1
 #: Frequent subwords, which have affinities, and the most frequent ones, which are told apart as neighbours.
 COMMON, NEAR = 4096, 64
 #: Training is over every window; the opening round before it is over one window in so many.
-OPENING = 8
+OPENING = 16
 GROUP_BYTES = 8 << 20
 BLOCK = 8192
 #: Weights are averaged as whole multiples of this.
@@ -184,8 +184,8 @@ class Model:
     def forward(self, rows: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Chances of classes at the last STRIDE places of each window."""
         w = self.w
-        x = w["embed"][rows[:, :, 0]]
-        x += w["embed"][rows[:, :, 1]]
+        x = w["embed"].take(rows[:, :, 0], 0)
+        x += w["embed"].take(rows[:, :, 1], 0)
         x += w["place"]
         new = x[:, WINDOW - STRIDE :]  # only these places ask; those before are asked
         q, k, v = new @ w["q"], x @ w["k"], x @ w["v"]
@@ -266,9 +266,9 @@ class Model:
         dx = dk @ w["k"].T + dv @ w["v"].T
         dx[:, WINDOW - STRIDE :] += dy + dq @ w["q"].T
         g["place"] = dx.sum(0)
-        each, d = rows.reshape(-1), np.repeat(flat(dx), 2, axis=0)
-        at = (each[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1)
-        g["embed"] = np.bincount(at, d.reshape(-1), (ROWS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        d = flat(dx).T.astype(np.float64)
+        one, two = (np.ascontiguousarray(rows[:, :, i]).reshape(-1) for i in (0, 1))
+        g["embed"] = np.stack([np.bincount(one, x, ROWS + 2) + np.bincount(two, x, ROWS + 2) for x in d], axis=1).astype(np.float32)
         return loss, g
 
     def train(self, words: Words, rate: float, keys: np.ndarray, share: int = 1, salt: int = 0, batch: int = 128) -> int:
@@ -499,6 +499,7 @@ def _tables(count):
     """The sum over a task's groups of what `count` tells of each: whole numbers, and how much they count for."""
 
     def run(batches):
+        steady_heap()
         total, weight, last = 0, 0, 0
         for last, words, keys in _groups(batches):  # noqa: B007
             told, n = count(words, keys)
@@ -635,6 +636,7 @@ def _scored(model: Model, parts: int, mass: np.ndarray, seen: np.ndarray):
     whole, rare = mass.sum() + 0.5 * (seen.sum() + 1), rare_chances(mass, seen)
 
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        steady_heap()
         row = group.to_pylist()[0]
         words = _words(row)
         h, _, order = _asked(model, words, parts)

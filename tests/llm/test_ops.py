@@ -536,6 +536,24 @@ def test_pipeline(spark, tmp_path):
     assert 7 not in kept and len(kept) > 250 and all(r["decoded"] == (r["text"] or "") for r in kept.values())
 
 
+def test_stages_on_odd_tables(spark, docs):
+    """Near-dedup and substring dedup against brute force on rows that share ids, repeat, lack ids or texts, with an extra column."""
+    import corpus_pipeline as cp
+
+    p, u, q = (" ".join(f"{c}{i}" for i in range(80)) for c in "puq")
+    rows = [(1, p, "a"), (2, p, "b"), (2, u, "c"), (2, u, "c"), (3, None, "d"), (4, "", "e"), (None, q, "f"), (5, q + " z", "g"), (6, " ".join([*q.split()[:60], *(f"n{i}" for i in range(60))]), "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("n_chars", F.length("text").cast("long"))
+    near = cp.drop_near_duplicates(spark, d, "")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "", r["kept"]) for r in near.collect()))
+    assert got == sorted([(1, p, "a"), (2, u, "c"), (3, "", "d"), (4, "", "e"), (5, q + " z", "g"), (6, rows[8][1], "h")])
+    out = {(r["doc_id"], r["kept"]): r["text"] for r in cp.drop_repeated_passages(spark, d, "").collect()}
+    tail = " ".join(f"n{i}" for i in range(60))
+    # Of 6, the 60 words it shares with 5 go; 2's copy of 1 goes whole; rows without an id or words stay as they are.
+    assert out == {(1, "a"): p, (2, "c"): u, (None, "f"): q, (5, "g"): q + " z", (6, "h"): tail, (3, "d"): None, (4, "e"): ""}
+    for stage in (cp.drop_near_duplicates, cp.drop_repeated_passages):
+        assert stage(spark, d.limit(0), "").count() == 0 and stage(spark, d, "").columns == d.columns
+
+
 def test_last_stage_decodes_what_it_encodes(spark, docs, monkeypatch):
     import corpus_pipeline
 
