@@ -32,6 +32,8 @@ WINDOW, BLOCK = 50, 25
 OTHER = U64(0xC2B2AE3D27D4EB4F)
 #: So many bytes of text for each partition of the hash space at most, and for each partition of the documents.
 PART_BYTES = 64 << 20
+#: Probes that are looked up at once.
+SOME = 1 << 20
 PACKED = "part int, docs binary, counts binary, gaps binary, wide binary, hashes binary, marks binary"
 _NAMES = [x.split()[0] for x in PACKED.split(", ")]
 _TYPES = [pa.int32()] + [pa.binary()] * 6
@@ -102,16 +104,18 @@ def _keys(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _unpack_all(rows: list[tuple], width: int):
-    """Id and row by probe, positions, hashes as bytes and marks of packed rows."""
-    ids, pos, hashes, marks = [], [], [], []
+    """Documents (id and row), each probe's document by its number, positions, hashes as bytes and marks of packed rows."""
+    keys, of, pos, hashes, marks, n = [], [], [], [], [], 0
     for docs, counts, gaps, wide, h, m in rows:
         c = np.frombuffer(counts, "<u4").astype(np.int64)
-        ids.append(np.repeat(np.frombuffer(docs, "<i8").reshape(-1, 2), c, axis=0))
-        pos.append(_positions(gaps, wide, c))
+        keys.append(np.frombuffer(docs, "<i8").reshape(-1, 2))
+        of.append(np.repeat(np.arange(n, n + len(c), dtype=np.int32), c))
+        n += len(c)
+        pos.append(_positions(gaps, wide, c).astype(np.uint32))
         hashes.append(np.frombuffer(h, np.uint8).reshape(-1, width))
         if m:
             marks.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(pos[-1])).astype(bool))
-    return np.concatenate(ids), np.concatenate(pos).astype(np.uint32), np.concatenate(hashes), np.concatenate(marks) if marks else None
+    return np.concatenate(keys), np.concatenate(of), np.concatenate(pos), np.concatenate(hashes), np.concatenate(marks) if marks else None
 
 
 def _by_part(batches):
@@ -178,15 +182,20 @@ def _anchors(parts: int):
 
     def run(batches):
         for rows in _by_part(batches):
-            ids, pos, raw, marks = _unpack_all(rows, 5)
+            keys, of, pos, raw, marks = _unpack_all(rows, 5)
             h = _number(raw)
             blocks = np.unique(h[marks])
-            at = np.minimum(np.searchsorted(blocks, h), len(blocks) - 1) if len(blocks) else np.zeros(len(h), np.int64)
-            met = blocks[at] == h if len(blocks) else np.zeros(len(h), bool)
-            hits = np.flatnonzero(met)
-            often = np.bincount(at[hits], minlength=len(blocks)) > 1
-            hits = hits[often[at[hits]]]
-            yield from _marked(parts, ids[hits], pos[hits])
+            if not len(blocks):
+                continue
+            hits, place = [], []
+            for a in range(0, len(h), SOME):  # a few probes at a time beside the arrays of all
+                at = np.minimum(np.searchsorted(blocks, h[a : a + SOME]), len(blocks) - 1)
+                met = np.flatnonzero(blocks[at] == h[a : a + SOME])
+                hits.append(met + a)
+                place.append(at[met])
+            hits, place = np.concatenate(hits), np.concatenate(place)
+            hits = hits[(np.bincount(place, minlength=len(blocks)) > 1)[place]]
+            yield from _marked(parts, keys[of[hits]], pos[hits])
 
     return run
 
@@ -224,14 +233,15 @@ def _later(parts: int):
 
     def run(batches):
         for rows in _by_part(batches):
-            ids, pos, raw, _ = _unpack_all(rows, 12)
+            keys, of, pos, raw, _ = _unpack_all(rows, 12)
             a, b = _number(raw[:, :8]), _number(raw[:, 8:])
-            order = np.lexsort((ids[:, 0], b, a))
-            a, b, ids, pos = a[order], b[order], ids[order], pos[order]
+            ids = keys[of, 0]
+            order = np.lexsort((ids, b, a))
+            a, b, ids, of, pos = a[order], b[order], ids[order], of[order], pos[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            least = ids[np.flatnonzero(new), 0][np.cumsum(new) - 1]
-            late = ids[:, 0] > least
-            yield from _marked(parts, ids[late], pos[late])
+            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = ids > least
+            yield from _marked(parts, keys[of[late]], pos[late])
 
     return run
 
