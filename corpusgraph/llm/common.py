@@ -149,6 +149,15 @@ def whole_windows(off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(doc)) - np.repeat(first, n) + np.repeat(off[:-1], n), doc
 
 
+def give_back() -> None:
+    """Give the worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
 def tidy(run):
     """The same batch function; at its end the worker, which serves later tasks too, gives free memory back."""
 
@@ -156,22 +165,19 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-                if trim is not None:
-                    trim(0)
+            give_back()
 
     return whole
 
 
 def steady_heap() -> None:
-    """Keep arrays of up to 32 MB on the worker's heap: mapping and unmapping them anew costs more than small steps of numpy."""
+    """Keep arrays of up to 4 MB on the worker's heap: mapping and unmapping them anew costs more than small steps of numpy.
+    Larger ones are mapped, so they are given back as soon as they are free."""
     if sys.platform == "linux":
         mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
         if mallopt is not None:
-            mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-            mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+            mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+            mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 
 
 def worker_cache() -> dict:

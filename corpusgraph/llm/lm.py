@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import VOCABULARY, encoder
-from .common import U64, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, steady_heap, stored, table, tidy, worker_cache
+from .common import U64, give_back, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, steady_heap, stored, table, tidy, worker_cache
 
 SUBWORDS = 50257
 WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 32, 4096
@@ -57,6 +57,8 @@ GROUP_BYTES = 8 << 20
 BLOCK = 8192
 #: Weights are averaged as whole multiples of this.
 STEP = 2.0**-16
+#: Name of a worker's cache of the subwords of words; no use once all texts are cut.
+SPELT = "subwords"
 #: What each word's count gives up to words that are spelt.
 DISCOUNT = 0.7
 #: In the law of spelling: subwords that stand for themselves before another and after one, bands of others after one,
@@ -89,7 +91,7 @@ class Words:
 
     def spread(self, each: np.ndarray, end) -> np.ndarray:
         """A value of each word, by place."""
-        return np.append(each, end)[self.code]
+        return np.append(each, np.asarray(end, each.dtype))[self.code]
 
     def stream(self) -> np.ndarray:
         """All places' subwords in order, -1 for ends."""
@@ -101,8 +103,8 @@ class Words:
 
 def spell(words: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """The subwords of words in a row, and how many each word has."""
-    cache = worker_cache().setdefault(f"subwords {path}", {})
-    if len(cache) > 500_000:
+    cache = worker_cache().setdefault(SPELT, {}).setdefault(path, {})
+    if len(cache) > 250_000:
         cache.clear()
     encode = encoder(path).encode_ordinary
     spelt = []
@@ -167,9 +169,10 @@ class Model:
 
     def inputs(self, words: Words) -> np.ndarray:
         """Two rows of the embedding for each place: the first and the last subword of the token before."""
-        first, last = self.row[words.subs[words.first]], self.row[words.subs[words.first + words.size - 1]]
+        row = self.row.astype(np.int32)
+        first, last = row[words.subs[words.first]], row[words.subs[words.first + words.size - 1]]
         own = np.stack([words.spread(first, ENDED), words.spread(last, ENDED)], axis=1)
-        before = np.concatenate([own[:1], own[:-1]]).astype(np.int32)
+        before = np.concatenate([own[:1], own[:-1]])
         before[words.starts[:-1]] = OPEN
         return before
 
@@ -342,12 +345,14 @@ def near_counts(counts: np.ndarray, words: Words) -> np.ndarray:
     slot, mark = np.full(SUBWORDS + 1, -1), np.full(SUBWORDS + 1, NEAR)
     slot[rank[:COMMON]] = np.arange(COMMON)
     mark[rank[:NEAR]] = np.arange(NEAR)
-    ids, wide = words.stream(), 2 * (NEAR + 1)
+    wide = 2 * (NEAR + 1)
     beside = np.zeros(COMMON * wide, np.int64)
-    for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], NEAR + 1)):
-        at = slot[a]
-        ok = at >= 0
-        beside += np.bincount(at[ok] * wide + mark[b[ok]] + shift, minlength=len(beside))
+    for _, part in words.slices():
+        ids = np.append(-1, part.stream())  # a text stands after an end
+        for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], NEAR + 1)):
+            at = slot[a]
+            ok = at >= 0
+            beside += np.bincount(at[ok] * wide + mark[b[ok]] + shift, minlength=len(beside))
     return beside.reshape(COMMON, wide)
 
 
@@ -461,6 +466,7 @@ def _packed(rows: pa.Table) -> pa.Table:
     names = [x.split()[0] for x in _GROUP.split(", ")]
     cols = [rows.column("grp")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in out), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
     cols.append(pa.array([rows.num_rows - sum(rows.column("held_out").to_pylist())], pa.int64()))
+    give_back()
     return pa.table(dict(zip(names, cols, strict=True)))
 
 
@@ -475,13 +481,18 @@ def _training(words: Words, many: int) -> Words:
     return Words(words.subs, words.size, words.code[: words.starts[many]], words.starts[: many + 1])
 
 
-def _groups(batches):
-    """Each group's number, and words and keys of its training texts, if it has any."""
+def _rows(batches):
+    """Stored groups, one at a time; their packed columns are read where they lie."""
     for b in batches:
         for i in range(b.num_rows):
-            row = b.slice(i, 1).to_pylist()[0]
-            if row["training"]:
-                yield row["grp"], used(_training(_words(row), row["training"])), np.frombuffer(row["keys"], "<u8")[: row["training"]]
+            yield {n: c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for n, c in zip(b.schema.names, b.columns, strict=True)}
+
+
+def _groups(batches):
+    """Each group's number, and words and keys of its training texts, if it has any."""
+    for row in _rows(batches):
+        if row["training"]:
+            yield row["grp"], used(_training(_words(row), row["training"])), np.frombuffer(row["keys"], "<u8")[: row["training"]]
 
 
 _BLOCKS = "block int, salt int, sums binary, n long"
@@ -500,10 +511,12 @@ def _tables(count):
 
     def run(batches):
         steady_heap()
+        worker_cache().pop(SPELT, None)
         total, weight, last = 0, 0, 0
         for last, words, keys in _groups(batches):  # noqa: B007
             told, n = count(words, keys)
             total, weight = total + told, weight + n
+            del words, keys, told  # before the next group is read
         if np.ndim(total):
             yield _blocks(last, total.reshape(-1), weight)
 
@@ -526,9 +539,10 @@ def _summed_up(groups: DataFrame, count) -> tuple[np.ndarray | None, int]:
 
 def _trained(model: Model, rate: float, share: int, salt: int):
     """Weights as trained on a group, in steps of STEP, times its share: one for each 64 windows."""
+    light = Model(model.w, model.row, model.affinity, model.group, np.zeros(0), np.zeros(0), model.prev)  # training spells nothing
 
     def count(words: Words, keys: np.ndarray):
-        own = Model({k: v.copy() for k, v in model.w.items()}, model.row, model.affinity, model.group, model.share, model.after, model.prev)
+        own = Model({k: v.copy() for k, v in light.w.items()}, light.row, light.affinity, light.group, light.share, light.after, light.prev)
         many = -(-own.train(words, rate, keys, share, salt) // 64)
         return np.concatenate([np.rint(own.w[k].reshape(-1) / STEP) for k in sorted(own.w)]).astype(np.int64) * many, many
 
@@ -580,15 +594,13 @@ def _ask(parts: int, model: Model):
     """Per group and partition of the hash space, the group's distinct words and their counts in training texts."""
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                words = _words(row)
-                h, part, order = _asked(model, words, parts)
-                often = np.bincount(words.code[: words.starts[row["training"]]] % len(h), minlength=len(h))
-                at = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(p, row["grp"], h[i].astype("<u8").tobytes(), often[i].astype("<i8").tobytes()) for p in range(parts) if len(i := order[at[p] : at[p + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "grp", "hashes", "counts"])
+        for row in _rows(batches):
+            words = _words(row)
+            h, part, order = _asked(model, words, parts)
+            often = np.bincount(words.code[: words.starts[row["training"]]] % len(h), minlength=len(h))
+            at = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(p, row["grp"], h[i].astype("<u8").tobytes(), often[i].astype("<i8").tobytes()) for p in range(parts) if len(i := order[at[p] : at[p + 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "grp", "hashes", "counts"])
 
     return run
 
@@ -637,7 +649,7 @@ def _scored(model: Model, parts: int, mass: np.ndarray, seen: np.ndarray):
 
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         steady_heap()
-        row = group.to_pylist()[0]
+        row = next(_rows(group.combine_chunks().to_batches()))
         words = _words(row)
         h, _, order = _asked(model, words, parts)
         count = np.empty(len(h), np.int64)
@@ -646,6 +658,7 @@ def _scored(model: Model, parts: int, mass: np.ndarray, seen: np.ndarray):
         read = model.score(words, count[:-1], mass, rare)
         doc = np.repeat(np.arange(docs), np.diff(words.starts))
         total = lambda x: np.bincount(doc, x, docs)
+        give_back()
         return pa.table([
             pa.array(row["doc_id"], pa.int64()), pa.array(np.arange(docs) >= row["training"]), pa.array(np.diff(words.starts)), pa.array(total(got > 0).astype(np.int64)),
             pa.array(total(np.log10((got + 0.5) / whole))), pa.array(total(read)),
