@@ -107,14 +107,12 @@ def spell(words: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndar
     if len(cache) > 250_000:
         cache.clear()
     encode = encoder(path).encode_ordinary
-    spelt = []
-    for w in words:
-        ids = cache.get(w)
-        if ids is None:
-            ids = array("H", encode(" " + w)).tobytes()
-            if len(w) < 64:
-                cache[w] = ids
-        spelt.append(ids)
+    spelt = list(map(cache.get, words))
+    for i in [i for i, ids in enumerate(spelt) if ids is None]:
+        w = words[i]
+        spelt[i] = ids = array("H", encode(" " + w)).tobytes()
+        if len(w) < 64:
+            cache[w] = ids
     size = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 2
     return np.frombuffer(b"".join(spelt), np.uint16).astype(np.int64), size
 
@@ -200,7 +198,9 @@ class Model:
         a /= a @ np.ones((WINDOW, 1), np.float32)
         c = a @ v
         y = new + c @ w["o"]
-        h = np.maximum(y @ w["up"] + w["up_bias"], 0)
+        h = y @ w["up"]
+        h += w["up_bias"]
+        np.maximum(h, 0, out=h)
         z = y + h @ w["down"]
         p = z @ w["out"]
         p += w["out_bias"]
@@ -254,14 +254,15 @@ class Model:
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g = {"out": flat(z).T @ flat(p), "out_bias": flat(p).sum(0)}
         dz = p @ w["out"].T
-        dh = (dz @ w["down"].T) * (h > 0)
+        dh = dz @ w["down"].T
+        dh *= h > 0
         g |= {"down": flat(h).T @ flat(dz), "up": flat(y).T @ flat(dh), "up_bias": flat(dh).sum(0)}
         dy = dz + dh @ w["up"].T
         dc = dy @ w["o"].T
         g["o"] = flat(c).T @ flat(dy)
         dv = a.transpose(0, 2, 1) @ dc
         da = dc @ v.transpose(0, 2, 1)
-        da -= (da * a).sum(axis=2, keepdims=True)
+        da -= (da * a) @ np.ones((WINDOW, 1), np.float32)
         da *= a
         da *= np.float32(WIDTH**-0.5)
         dq, dk = da @ k, da.transpose(0, 2, 1) @ q
@@ -269,9 +270,13 @@ class Model:
         dx = dk @ w["k"].T + dv @ w["v"].T
         dx[:, WINDOW - STRIDE :] += dy + dq @ w["q"].T
         g["place"] = dx.sum(0)
-        d = flat(dx).T.astype(np.float64)
-        one, two = (np.ascontiguousarray(rows[:, :, i]).reshape(-1) for i in (0, 1))
-        g["embed"] = np.stack([np.bincount(one, x, ROWS + 2) + np.bincount(two, x, ROWS + 2) for x in d], axis=1).astype(np.float32)
+        # Two columns are one complex number, so they are added up in one pass.
+        pairs = np.ascontiguousarray(flat(dx).view(np.result_type(dx, np.complex64)).T)
+        sums = np.zeros((len(pairs), ROWS + 2), pairs.dtype)
+        for at in (np.ascontiguousarray(rows[:, :, i]).reshape(-1) for i in (0, 1)):
+            for column, own in zip(sums, pairs, strict=True):
+                np.add.at(column, at, own)
+        g["embed"] = np.ascontiguousarray(sums.T).view(dx.dtype)
         return loss, g
 
     def train(self, words: Words, rate: float, keys: np.ndarray, share: int = 1, salt: int = 0, batch: int = 128) -> int:
