@@ -178,7 +178,7 @@ class Model:
         """Rows by window and place; places before a text are its opening."""
         place = first[:, None] + np.arange(STRIDE - WINDOW, STRIDE)
         lead = place < starts[:-1][doc][:, None]
-        out = rows[np.clip(place, 0, len(rows) - 1)]
+        out = rows.take(place, 0, mode="clip")
         out[lead] = OPEN
         return out
 
@@ -189,7 +189,8 @@ class Model:
         x += w["embed"].take(rows[:, :, 1], 0)
         x += w["place"]
         new = x[:, WINDOW - STRIDE :]  # only these places ask; those before are asked
-        q, k, v = new @ w["q"], x @ w["k"], x @ w["v"]
+        kv = x @ np.concatenate([w["k"], w["v"]], axis=1)
+        q, k, v = new @ w["q"], kv[:, :, :WIDTH], kv[:, :, WIDTH:]
         a = q @ k.transpose(0, 2, 1)
         a *= np.float32(WIDTH**-0.5)
         np.clip(a, -CAP, CAP, out=a)
@@ -197,11 +198,13 @@ class Model:
         a *= MASK
         a /= a @ np.ones((WINDOW, 1), np.float32)
         c = a @ v
-        y = new + c @ w["o"]
+        y = c @ w["o"]
+        y += new
         h = y @ w["up"]
         h += w["up_bias"]
         np.maximum(h, 0, out=h)
-        z = y + h @ w["down"]
+        z = h @ w["down"]
+        z += y
         p = z @ w["out"]
         p += w["out_bias"]
         np.clip(p, -CAP, CAP, out=p)
@@ -257,18 +260,22 @@ class Model:
         dh = dz @ w["down"].T
         dh *= h > 0
         g |= {"down": flat(h).T @ flat(dz), "up": flat(y).T @ flat(dh), "up_bias": flat(dh).sum(0)}
-        dy = dz + dh @ w["up"].T
+        dy = dh @ w["up"].T
+        dy += dz
         dc = dy @ w["o"].T
         g["o"] = flat(c).T @ flat(dy)
-        dv = a.transpose(0, 2, 1) @ dc
+        dkv = np.empty((*x.shape[:2], 2 * WIDTH), x.dtype)
+        np.matmul(a.transpose(0, 2, 1), dc, out=dkv[:, :, WIDTH:])
         da = dc @ v.transpose(0, 2, 1)
         da -= (da * a) @ np.ones((WINDOW, 1), np.float32)
         da *= a
         da *= np.float32(WIDTH**-0.5)
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        g |= {"q": flat(new).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, WINDOW - STRIDE :] += dy + dq @ w["q"].T
+        np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+        dq, both = da @ k, flat(x).T @ flat(dkv)
+        g |= {"q": flat(new).T @ flat(dq), "k": both[:, :WIDTH], "v": both[:, WIDTH:]}
+        dx = dkv @ np.concatenate([w["k"], w["v"]], axis=1).T
+        dy += dq @ w["q"].T
+        dx[:, WINDOW - STRIDE :] += dy
         g["place"] = dx.sum(0)
         # Two columns are one complex number, so they are added up in one pass.
         pairs = np.ascontiguousarray(flat(dx).view(np.result_type(dx, np.complex64)).T)
@@ -347,7 +354,7 @@ def sub_counts(words: Words) -> np.ndarray:
 def near_counts(counts: np.ndarray, words: Words) -> np.ndarray:
     """For each frequent subword, how often each of the most frequent ones (others, and ends, as one) stands before and after it."""
     rank = np.argsort(-counts, kind="stable")
-    slot, mark = np.full(SUBWORDS + 1, -1), np.full(SUBWORDS + 1, NEAR)
+    slot, mark = np.full(SUBWORDS + 1, -1, np.int32), np.full(SUBWORDS + 1, NEAR, np.int32)
     slot[rank[:COMMON]] = np.arange(COMMON)
     mark[rank[:NEAR]] = np.arange(NEAR)
     wide = 2 * (NEAR + 1)
@@ -463,7 +470,8 @@ def _packed(rows: pa.Table) -> pa.Table:
     first = np.cumsum(size) - size
     some = range(0, len(size), 1 << 18)
     h = np.concatenate([word_keys(ids[first[a] : first[a] + int(size[a : a + (1 << 18)].sum())], size[a : a + (1 << 18)]) for a in some] or [np.zeros(0, U64)])
-    _, at, code = np.unique(h, return_index=True, return_inverse=True)
+    code = pa.array(h).dictionary_encode().indices.to_numpy()  # words are numbered as they come
+    at = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else code
     pick = size[at]
     flat = ids[np.arange(int(pick.sum())) - np.repeat(np.cumsum(pick) - pick - first[at], pick)]
     many = np.fromiter((len(x) // 4 for x in each), "<i8", len(each))
