@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import VOCABULARY, encoder
-from .common import U64, give_back, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, steady_heap, stored, table, tidy, worker_cache
+from .common import U64, forget, give_back, key_mod, mix, pieces_of, shared_dir, shuffle_partitions, split_words, steady_heap, stored, table, tidy, worker_cache
 
 SUBWORDS = 50257
 WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 32, 4096
@@ -49,6 +50,8 @@ WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 32, 4096
 END_CLASS, END_HASH = CLASSES - 1, U64(CLASSES - 1)
 #: Rows of the embedding for what is no subword.
 OPEN, ENDED = ROWS, ROWS + 1
+#: Stands after each word where texts are stored as subwords; no subword.
+WORD_END = 65535
 #: Frequent subwords, which have affinities, and the most frequent ones, which are told apart as neighbours.
 COMMON, NEAR = 4096, 64
 #: Training is over every window; the opening round before it is over one window in so many.
@@ -148,6 +151,10 @@ class Model:
     after: np.ndarray
     prev: np.ndarray
 
+    def light(self) -> Model:
+        """The model without the law of spelling, for steps that spell nothing."""
+        return Model(self.w, self.row, self.affinity, self.group, np.zeros(0), np.zeros(0), self.prev)
+
     def classes(self, words: Words) -> np.ndarray:
         """The class of each distinct word, by its first and last subword; in whole numbers, so it is the same everywhere."""
         if not len(words.size):
@@ -437,19 +444,19 @@ def build(texts: list[str]) -> Model:
     return model
 
 
-_CUT = "grp long, key long, held_out boolean, doc_id long, ids binary, sizes binary"
+_CUT = "grp long, key long, held_out boolean, doc_id long, ids binary"
 _GROUP = "grp long, ids binary, sizes binary, codes binary, many binary, keys binary, doc_id array<long>, training long"
 
 
 def _cut(texts):
-    """Each text's subwords, two bytes each, and how many each word has."""
+    """Each text's subwords, two bytes each, with WORD_END after each word."""
     for b in pieces_of(texts, 4):
         words, _ = cut(b.column(4))
-        ids = words.stream()
-        bounds = np.concatenate([[0], np.flatnonzero(ids < 0) + 1])
-        ids, size = ids.astype("<u2"), words.spread(words.size, 1).astype("<u4")
-        told = [pa.array([x[a : z - 1].tobytes() for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.binary()) for x, at in ((ids, bounds), (size, words.starts))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], *told], [x.split()[0] for x in _CUT.split(", ")])
+        ids = Words(np.insert(words.subs, np.cumsum(words.size), WORD_END), words.size + 1, words.code, words.starts).stream()
+        at = np.concatenate([[0], np.flatnonzero(ids < 0) + 1]).tolist()
+        ids = ids.astype("<u2")
+        told = pa.array([ids[a : z - 1].tobytes() for a, z in zip(at, at[1:], strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], told], [x.split()[0] for x in _CUT.split(", ")])
 
 
 def word_keys(subs: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -464,9 +471,14 @@ def word_keys(subs: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _packed(rows: pa.Table) -> pa.Table:
     """A group's texts as one row, those of training first, in the order of their keys: a dictionary of words, and places in it."""
     rows = rows.sort_by([("held_out", "ascending"), ("key", "ascending")])
-    ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), "<u2")
-    each = rows.column("sizes").to_pylist()
-    size = np.frombuffer(b"".join(each), "<u4").astype(np.int64)
+    each = rows.column("ids").to_pylist()
+    ids = np.frombuffer(b"".join(each), "<u2")
+    ends = np.flatnonzero(ids == WORD_END)
+    size = np.diff(ends, prepend=-1) - 1
+    bounds = np.cumsum(np.fromiter((len(x) // 2 for x in each), np.int64, len(each)))
+    many = np.diff(np.searchsorted(ends, bounds), prepend=0).astype("<i8")
+    del each
+    ids = ids[ids != WORD_END]
     first = np.cumsum(size) - size
     some = range(0, len(size), 1 << 18)
     h = np.concatenate([word_keys(ids[first[a] : first[a] + int(size[a : a + (1 << 18)].sum())], size[a : a + (1 << 18)]) for a in some] or [np.zeros(0, U64)])
@@ -474,7 +486,6 @@ def _packed(rows: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else code
     pick = size[at]
     flat = ids[np.arange(int(pick.sum())) - np.repeat(np.cumsum(pick) - pick - first[at], pick)]
-    many = np.fromiter((len(x) // 4 for x in each), "<i8", len(each))
     out = flat, pick.astype("<u4"), code.astype("<u4"), many, rows.column("key").to_numpy().astype("<i8")
     names = [x.split()[0] for x in _GROUP.split(", ")]
     cols = [rows.column("grp")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in out), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
@@ -508,6 +519,18 @@ def _groups(batches):
             yield row["grp"], used(_training(_words(row), row["training"])), np.frombuffer(row["keys"], "<u8")[: row["training"]]
 
 
+@contextmanager
+def row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Stored groups, a few MB each, go to Python workers one at a time, not several to a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _BLOCKS = "block int, salt int, sums binary, n long"
 
 
@@ -546,13 +569,14 @@ def _summed_up(groups: DataFrame, count) -> tuple[np.ndarray | None, int]:
     told = groups.mapInArrow(tidy(_tables(count)), _BLOCKS)
     for key in (["block", "salt"], ["block"]):
         told = told.groupBy(*key).applyInArrow(_add, _BLOCKS)
-    told = sorted(told.collect())
+    with row_by_row(groups.sparkSession):
+        told = sorted(told.collect())
     return (np.concatenate([np.frombuffer(r["sums"], "<i8") for r in told]), told[0]["n"]) if told else (None, 0)
 
 
 def _trained(model: Model, rate: float, share: int, salt: int):
     """Weights as trained on a group, in steps of STEP, times its share: one for each 64 windows."""
-    light = Model(model.w, model.row, model.affinity, model.group, np.zeros(0), np.zeros(0), model.prev)  # training spells nothing
+    light = model.light()
 
     def count(words: Words, keys: np.ndarray):
         own = Model({k: v.copy() for k, v in light.w.items()}, light.row, light.affinity, light.group, light.share, light.after, light.prev)
@@ -688,9 +712,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     model = learn(groups)
     # As many partitions of the hash space as groups of texts, so neither grows with the input.
     parts = max(shuffle_partitions(spark), groups.agg(F.coalesce(F.max("grp"), F.lit(0))).first()[0] + 1)
-    asked = groups.mapInArrow(tidy(_ask(parts, model)), "part int, grp long, hashes binary, counts binary")
+    asked = groups.mapInArrow(tidy(_ask(parts, model.light())), "part int, grp long, hashes binary, counts binary")
+    with row_by_row(spark):
+        asked = stored(asked, f"{root}/asked")
     told = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(_answer), "grp long, part int, counts binary, sums array<long>")
     told = stored(told, f"{root}/answers")
+    forget(spark, f"{root}/asked")
     sums = dict(map(tuple, told.where("grp = -1").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect()))
     mass, seen = np.array([sums.get(i, 0) for i in range(2 * CLASSES)]).reshape(2, CLASSES)
     told = told.where("grp >= 0").select("grp", "part", "counts")
