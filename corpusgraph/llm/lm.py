@@ -396,6 +396,14 @@ def _prev(counts: np.ndarray) -> np.ndarray:
     return prev
 
 
+def spelling_groups(counts: np.ndarray) -> np.ndarray:
+    """Each subword's group in the law of spelling: its own if it is frequent, else a band of ranks."""
+    rank, group = np.argsort(-counts, kind="stable"), np.empty(SUBWORDS, np.int64)
+    group[rank[:NEXT]] = np.arange(NEXT)
+    group[rank[NEXT:]] = NEXT + np.arange(SUBWORDS - NEXT) * BANDS // (SUBWORDS - NEXT)
+    return group
+
+
 def untrained(counts: np.ndarray, beside: np.ndarray, seed: int = 6) -> Model:
     """A model with the rows, affinities and groups that the counts give, fresh weights and an even law of spelling.
 
@@ -414,10 +422,7 @@ def untrained(counts: np.ndarray, beside: np.ndarray, seed: int = 6) -> Model:
                 center[c] = x[of == c].mean(0)
     affinity = np.zeros((SUBWORDS, CLASSES - 1), np.int16)
     affinity[rank[:COMMON]] = near()
-    group = np.empty(SUBWORDS, np.int64)
-    group[rank[:NEXT]] = np.arange(NEXT)
-    group[rank[NEXT:]] = NEXT + np.arange(SUBWORDS - NEXT) * BANDS // (SUBWORDS - NEXT)
-    model = Model(fresh_weights(), row, affinity, group, np.zeros(0), np.zeros(0), _prev(counts))
+    model = Model(fresh_weights(), row, affinity, spelling_groups(counts), np.zeros(0), np.zeros(0), _prev(counts))
     return with_spelling(model, np.zeros(SUBWORDS + (PREV + 2) * (GROUPS + 1)))
 
 
@@ -600,10 +605,10 @@ def learn(groups: DataFrame, *, rate: float = 0.004) -> Model:
     counts, _ = _summed_up(groups, lambda words, _: (sub_counts(words), 0))
     if counts is None:
         return untrained(np.zeros(SUBWORDS, np.int64), np.zeros((COMMON, 2 * (NEAR + 1))))
-    beside, _ = _summed_up(groups, lambda words, _: (near_counts(counts, words), 0))
-    model = untrained(counts, beside.reshape(COMMON, -1))
-    group = model.group
-    model = with_spelling(model, _summed_up(groups, lambda words, _: (spell_counts(counts, group, words), 0))[0])
+    group = spelling_groups(counts)
+    both, _ = _summed_up(groups, lambda words, _: (np.concatenate([near_counts(counts, words).reshape(-1), spell_counts(counts, group, words)]), 0))
+    beside, told = np.split(both, [COMMON * 2 * (NEAR + 1)])
+    model = with_spelling(untrained(counts, beside.reshape(COMMON, -1)), told)
     for turn, (pace, share) in enumerate(((0.01, OPENING), (rate, 1))):
         flat, n = _summed_up(groups, _trained(model, pace, share, turn))
         if n:
