@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_VALUES = (1, 3, 5, 10, 15, 20)
@@ -41,16 +41,21 @@ def metrics_of(hits: DataFrame, base: DataFrame, qrels: DataFrame, k_values: tup
                        rounded(F.coalesce(1 / F.col("first"), F.lit(0.0)), "reciprocal_rank"))
 
 
+def mean(metric: str) -> Column:
+    """Mean of a metric to three places. Metrics have six places, so their sum as decimals is exact and no order of rows moves a tie."""
+    return F.round(F.avg(F.col(metric).cast("decimal(20,6)")), 3).cast("double")
+
+
 def by_k(m: DataFrame) -> DataFrame:
-    return m.groupBy("k").agg(*(F.round(F.avg(c), 3).alias(c) for c in ("precision", "recall", "f1", "ndcg")))
+    return m.groupBy("k").agg(*(mean(c).alias(c) for c in ("precision", "recall", "f1", "ndcg")))
 
 
 def by_category(m: DataFrame) -> DataFrame:
-    return m.groupBy("category", "k").agg(*(F.round(F.avg(c), 3).alias(c) for c in ("precision", "recall", "f1")))
+    return m.groupBy("category", "k").agg(*(mean(c).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def pivot_f1(m: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
-    p = m.groupBy("category").pivot("k", list(k_values)).agg(F.round(F.avg("f1"), 3))
+    p = m.groupBy("category").pivot("k", list(k_values)).agg(mean("f1"))
     return p.select("category", *(F.col(str(k)).alias(f"f1_at_{k}") for k in k_values))
 
 

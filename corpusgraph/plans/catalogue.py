@@ -362,6 +362,11 @@ met AS (SELECT query_id, CAST(k AS INT) AS k, round(p, 6) AS precision, round(rc
   round(coalesce(1 / first, 0), 6) AS reciprocal_rank, 'c' || (query_id % 4) AS category FROM pr)"""
 
 
+def _mean(metric: str, rows: str = "") -> str:
+    """The sum of decimals is exact; ten places take a quotient in doubles back to the decimal it stands for."""
+    return f"CAST(round(CAST(avg(CAST({metric} AS DECIMAL(20, 6))){rows} AS DECIMAL(24, 10)), 3) AS DOUBLE)"
+
+
 def _metrics(spark, sf):
     hits = pipelines.retrieve("bm25", _corpus(spark, sf), _queries(spark, sf), k=20)
     q = _queries(spark, sf).select("query_id")
@@ -377,17 +382,17 @@ def eval_metrics(spark, sf):
     return _metrics(spark, sf).drop("category")
 
 
-@query(f"WITH {_METRICS} SELECT k, round(avg(precision), 3) AS precision, round(avg(recall), 3) AS recall, round(avg(f1), 3) AS f1, round(avg(ndcg), 3) AS ndcg FROM met GROUP BY k")
+@query(f"WITH {_METRICS} SELECT k, {_mean('precision')} AS precision, {_mean('recall')} AS recall, {_mean('f1')} AS f1, {_mean('ndcg')} AS ndcg FROM met GROUP BY k")
 def eval_by_k(spark, sf):
     return evaluate.by_k(_metrics(spark, sf))
 
 
-@query(f"WITH {_METRICS} SELECT category, k, round(avg(precision), 3) AS precision, round(avg(recall), 3) AS recall, round(avg(f1), 3) AS f1 FROM met GROUP BY category, k")
+@query(f"WITH {_METRICS} SELECT category, k, {_mean('precision')} AS precision, {_mean('recall')} AS recall, {_mean('f1')} AS f1 FROM met GROUP BY category, k")
 def eval_by_category(spark, sf):
     return evaluate.by_category(_metrics(spark, sf))
 
 
-_PIVOT = ", ".join(f"round(avg(f1) FILTER (WHERE k = {k}), 3) AS f1_at_{k}" for k in evaluate.K_VALUES)
+_PIVOT = ", ".join(_mean("f1", f" FILTER (WHERE k = {k})") + f" AS f1_at_{k}" for k in evaluate.K_VALUES)
 
 
 @query(f"WITH {_METRICS} SELECT category, {_PIVOT} FROM met GROUP BY category")
@@ -406,6 +411,6 @@ def eval_best_worst(spark, sf):
     return evaluate.best_worst(_metrics(spark, sf))
 
 
-@query(f"WITH {_METRICS} SELECT k, round(avg(f1), 3) AS f1 FROM met GROUP BY k ORDER BY 2 DESC, k LIMIT 1")
+@query(f"WITH {_METRICS} SELECT k, {_mean('f1')} AS f1 FROM met GROUP BY k ORDER BY 2 DESC, k LIMIT 1")
 def eval_best_k(spark, sf):
     return evaluate.best_k(_metrics(spark, sf))

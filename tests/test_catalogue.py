@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as X
-from corpusgraph.operators import graph, incremental, ranking
+from corpusgraph.operators import evaluate, graph, incremental, ranking
 from corpusgraph.plans import catalogue, code_queries, pipelines  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +60,12 @@ def test_new_version_changes_all(spark):
 def test_unknown_names_fail(spark):
     with pytest.raises(ValueError, match="known"):
         pipelines.get("nope")
+
+
+def test_means_keep_ties_in_any_order(spark):
+    """40 values that sum to exactly 21.1: the mean 0.5275 is a tie, which sums of doubles would break by their order."""
+    values = [0.1] * 11 + [0.7] * 28 + [0.4]
+    rows = [(1, v, v, v, v) for v in values]
+    for n in (1, 4, 8):
+        m = spark.createDataFrame(rows, "k int, precision double, recall double, f1 double, ndcg double").repartition(n)
+        assert evaluate.by_k(m).first()["precision"] == 0.528
