@@ -10,6 +10,8 @@ from .chat import op5_chat_formatting
 from .decontam import op3_decontamination
 from .lm import op2_lm_scoring
 from .media import op8_media_columns
+from .names import ORACLE as NAMES_SQL
+from .names import op11_name_join
 from .neardup import op4_minhash_dedup
 from .pieces import op1_sentencepiece
 from .quality import op10_quality_classifier
@@ -28,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_name_join": op11_name_join,
 }
 
 #: DuckDB SQL where it can express the whole result.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_name_join": NAMES_SQL}
