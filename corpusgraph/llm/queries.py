@@ -15,6 +15,8 @@ from .names import op11_name_join
 from .neardup import op4_minhash_dedup
 from .pieces import op1_sentencepiece
 from .quality import op10_quality_classifier
+from .search import ORACLE as SEARCH_SQL
+from .search import op12_lexical_search
 from .sharding import op6_sharding
 from .substring import op7_substring_dedup
 from .toxicity import op9_toxicity
@@ -31,7 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_name_join": op11_name_join,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 #: DuckDB SQL where it can express the whole result.
-ORACLE: dict[str, str] = {"op11_name_join": NAMES_SQL}
+ORACLE: dict[str, str] = {"op11_name_join": NAMES_SQL, "op12_lexical_search": SEARCH_SQL}
