@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def snapshot_diff(before: DataFrame, now: DataFrame, *, same_version: bool = True) -> DataFrame:
     """(path, change): added, changed or removed between manifests (path, mtime, sha256).
@@ -53,3 +55,14 @@ def progress_eta(log: DataFrame, expected: int) -> DataFrame:
     t = log.agg(F.count(F.lit(1)).alias("processed"), (F.unix_timestamp(F.max("at")) - F.unix_timestamp(F.min("at"))).alias("elapsed"))
     each = F.try_divide(F.col("elapsed"), F.col("processed"))
     return t.select("processed", "elapsed", F.round(each, 6).alias("average"), F.round(F.coalesce(each * (F.lit(expected) - F.col("processed")), F.lit(0.0)), 6).alias("remaining"))
+
+
+def progress_running(log: DataFrame, expected: int, price_in: float = 0.00025, price_out: float = 0.00075) -> DataFrame:
+    """A log (at, id, tokens) with what had been done at each entry, in order of time and id: processed, running_tokens, cost, elapsed
+    seconds, seconds left. Entries without a time come first and have no elapsed time."""
+    r = running_sums(log.select("at", "id", "tokens"), [F.asc_nulls_first("at"), F.asc("id")], {"processed": F.lit(1).cast("long"), "running_tokens": F.coalesce("tokens", F.lit(0)).cast("long")})
+    first = log.agg(F.min("at").alias("began"))
+    elapsed = F.unix_timestamp("at") - F.unix_timestamp("began")
+    left = F.col("elapsed") / F.col("processed") * (F.lit(expected) - F.col("processed"))
+    told = r.crossJoin(F.broadcast(first)).withColumn("elapsed", elapsed)  # one row
+    return told.select("id", "processed", "running_tokens", F.round(F.col("running_tokens") / 1000 * (price_in + price_out), 6).alias("cost"), "elapsed", F.round(left, 3).alias("remaining"))

@@ -347,6 +347,15 @@ def progress_totals(spark, sf):
     return incremental.progress_totals(_t(spark, sf, "documents").select(X.estimate_tokens(F.col("text")).alias("tokens")), 1_000_000)
 
 
+@query("""SELECT id, processed, CAST(running_tokens AS BIGINT) AS running_tokens, round(CAST(running_tokens AS BIGINT) / 1000 * (0.00025 + 0.00075), 6) AS cost, elapsed,
+ round(elapsed / processed * (1000000 - processed), 3) AS remaining
+FROM (SELECT event_id AS id, count(*) OVER w AS processed, sum(length(props)) OVER w AS running_tokens, floor(epoch(ts))::BIGINT - min(floor(epoch(ts))::BIGINT) OVER () AS elapsed
+ FROM events WINDOW w AS (ORDER BY ts NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING))""")
+def progress_running(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("ts").alias("at"), F.col("event_id").alias("id"), F.length("props").alias("tokens"))
+    return incremental.progress_running(e, 1_000_000)
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 _METRICS = f"""{_BM25}, hits AS (SELECT * FROM bmr WHERE rank <= 20), rel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),

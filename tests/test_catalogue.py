@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as X
 from corpusgraph.operators import evaluate, graph, incremental, ranking
+from corpusgraph.operators.running import running_sums
 from corpusgraph.plans import catalogue, code_queries, pipelines  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,18 @@ def test_means_keep_ties_in_any_order(spark):
     for n in (1, 4, 8):
         m = spark.createDataFrame(rows, "k int, precision double, recall double, f1 double, ndcg double").repartition(n)
         assert evaluate.by_k(m).first()["precision"] == 0.528
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_running_sums(spark, parts):
+    rows = [(i, None if i % 7 == 0 else i * i % 11, "clash") for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long, _range string").repartition(parts)
+    got = running_sums(df.select("k", "v"), [F.col("k").desc()], {"s": F.col("v"), "n": F.lit(1)})
+    s = n = 0
+    want = []
+    for k, v, _ in sorted(rows, reverse=True):
+        s, n = s + (v or 0), n + 1
+        want.append((k, v, s, n))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert running_sums(df.limit(0).select("k"), [F.col("k")], {"s": F.col("k")}).count() == 0
