@@ -10,6 +10,7 @@ from .chat import op5_chat_formatting
 from .decontam import op3_decontamination
 from .lm import op2_lm_scoring
 from .media import op8_media_columns
+from .mixing import op13_source_mixing
 from .names import ORACLE as NAMES_SQL
 from .names import op11_name_join
 from .neardup import op4_minhash_dedup
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_name_join": op11_name_join,
     "op12_lexical_search": op12_lexical_search,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 #: DuckDB SQL where it can express the whole result.
