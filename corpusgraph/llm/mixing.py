@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 1 << 16
 #: Documents of one source and length in a bucket, about.
 BUCKET = 512
-#: The most pairs of source and length that are broadcast, of some 60 bytes each; more are joined by shuffle.
+#: The most pairs of source and length that are broadcast, of some 220 bytes each; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _DRAW_BITS = 31
 SEED = 29
