@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, tokens
+from ..functions.text import tokens
 
 #: Scores are compared after rounding, so that summation order cannot swap ranks.
 PLACES = 6
@@ -21,8 +19,6 @@ PLACES = 6
 PACK = 2048
 #: The most bytes of queries that are broadcast at once.
 BROADCAST = 64 << 20
-#: Queries that meet a pack at once.
-QUERIES = 256
 
 
 def ranked(scored: DataFrame, k: int | None = None, score: Column | None = None) -> DataFrame:
@@ -34,33 +30,6 @@ def ranked(scored: DataFrame, k: int | None = None, score: Column | None = None)
     return out.select("query_id", "node_id", "rank", "score")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 of docs (node_id, text) for queries (query_id, text), each distinct query term once.
-
-    One pass counts the documents of each term, with sums in each task. A second one packs documents, lets
-    each pack meet the queries in blocks of QUERIES and gives each task's k best of each query, so pairs of documents and
-    queries are not shuffled.
-    """
-    low = docs.select(F.col("node_id").cast("long").alias("node_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    wanted = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    counted = low.mapInArrow(_count_terms, "term string, df long, size long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
-    # No term is empty, so the empty one counts all documents and their lengths.
-    none = F.array(F.lit("")).alias("term")
-    known = wanted.select("term").distinct().unionByName(queries.limit(1).select(F.explode(none).alias("term")))
-    df = counted.join(known, "term", "left_semi")
-    # No filter on the term here: pushed below the sum it would make a second pass over the texts.
-    whole = F.col("term") == ""
-    stats = df.agg(F.max(F.when(whole, F.col("df"))).alias("n"), F.max(F.when(whole, F.col("size") / F.col("df"))).alias("avgdl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = wanted.join(df.select("term", "df"), "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    asked = terms.select("query_id", "term", idf.alias("idf"), "avgdl").repartition("query_id").sortWithinPartitions("query_id")
-    blocks = asked.mapInArrow(_pack_queries, "qs array<long>, ts array<string>, ws array<double>, avgdl double")
-    packs = low.mapInArrow(_pack_terms, "ids binary, sizes binary, codes binary, dict array<string>")
-    # A term takes its own bytes, 8 for its query and 8 for its weight, and has 2 letters at least.
-    size = queries.agg(F.sum(12 * F.octet_length("text"))).first()[0] or 0
-    return ranked(_meet(packs, blocks, size).mapInArrow(_bm25_best(k, k1, b), _HITS), k)
-
-
 def _meet(packs: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     """Every pack with every block of queries. Blocks are broadcast up to BROADCAST bytes; beyond that they go in parts of
     that size, with a scan of the packs for each."""
@@ -74,71 +43,6 @@ _HITS = "query_id long, node_id long, score double"
 _HIT_NAMES = ["query_id", "node_id", "score"]
 
 
-def _terms(text: str) -> list[str]:
-    """The tokens of a lower-cased text, as functions.text.tokens cuts them."""
-    return regex.findall(TOKEN, text)
-
-
-def _count_terms(batches):
-    """How many documents of a task have each term; under the empty term how many there are and their lengths."""
-    count: Counter = Counter()
-    docs = size = 0
-
-    def out():
-        rows = list(count.items())
-        rows.append(("", docs))
-        sizes = [0] * (len(rows) - 1) + [size]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes, pa.int64())], ["term", "df", "size"])
-
-    for b in batches:
-        for text in b.column(1).to_pylist():
-            found = _terms(text)
-            docs, size = docs + 1, size + len(found)
-            count.update(set(found))
-        if len(count) > 500_000:
-            yield out()
-            count.clear()
-            docs = size = 0
-    yield out()
-
-
-def _pack_terms(batches):
-    """Documents in packs of PACK rows: ids, lengths, and terms as places in a dictionary."""
-    for whole in batches:
-        for a in range(0, whole.num_rows, PACK):
-            part = whole.slice(a, PACK)
-            place: dict[str, int] = {}
-            codes, sizes = [], []
-            for text in part.column(1).to_pylist():
-                found = _terms(text)
-                sizes.append(len(found))
-                codes.append(np.fromiter((place.setdefault(t, len(place)) for t in found), "<i4", len(found)))
-            row = part.column(0).to_numpy().astype("<i8").tobytes(), np.array(sizes, "<i4").tobytes(), np.concatenate(codes).tobytes()
-            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in row), pa.array([list(place)], pa.list_(pa.string()))], ["ids", "sizes", "codes", "dict"])
-
-
-def _pack_queries(batches):
-    """Weighted terms of whole queries, QUERIES at most in a row; rows come sorted by query."""
-    held: list[pa.RecordBatch] = []
-
-    def out(rows: pa.Table):
-        lists = [pa.array([rows.column(i).to_pylist()], t) for i, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64())))]
-        return pa.RecordBatch.from_arrays([*lists, rows.column(3).combine_chunks()[:1]], ["qs", "ts", "ws", "avgdl"])
-
-    for b in batches:
-        held.append(b)
-        rows = pa.Table.from_batches(held)
-        q = rows.column(0).to_numpy()
-        first = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.zeros(0, int)
-        done = 0
-        while len(first) > QUERIES:  # the last query may go on in the next batch
-            yield out(rows.slice(done, first[QUERIES] - done))
-            done, first = first[QUERIES], first[QUERIES:]
-        held = rows.slice(done).to_batches()
-    if held and sum(b.num_rows for b in held):
-        yield out(pa.Table.from_batches(held))
-
-
 def _best(score: np.ndarray, key: np.ndarray, k: int | None) -> np.ndarray:
     """Places of the k highest scores, all that tie at the last place included; the smallest keys decide later."""
     if k is None or k >= len(score):
@@ -179,40 +83,6 @@ class _Kept:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in rows[0]], _HIT_NAMES)
 
 
-def _bm25_best(k: int | None, k1: float, b: float):
-    def run(batches):
-        kept = _Kept(k)
-        for batch in batches:
-            for ids, sizes, codes, known, qs, ts, ws, avgdl in zip(*(c for c in batch.columns), strict=True):
-                key, size = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(sizes.as_py(), "<i4")
-                terms, place = np.unique(np.asarray(ts.values.to_numpy(zero_copy_only=False), object).astype(str), return_inverse=True)
-                queries, query = np.unique(qs.values.to_numpy(), return_inverse=True)
-                weight = ws.values.to_numpy()
-                # Each pair of a document and a wanted term once, with how often it occurs.
-                found = pc.index_in(known.values, pa.array(terms.tolist(), pa.string()))
-                term = pc.fill_null(found, -1).to_numpy()[np.frombuffer(codes.as_py(), "<i4")] if len(known.values) else np.zeros(0, int)
-                doc = np.repeat(np.arange(len(key)), size)
-                pair, tf = np.unique((term * len(key) + doc)[term >= 0], return_counts=True)
-                term, doc = pair // len(key), pair % len(key)
-                part = tf / (tf + k1 * (1 - b + b * size[doc] / avgdl.as_py()))
-                score = np.zeros((len(queries), len(key)))
-                by_term = np.argsort(place, kind="stable")
-                a, z = np.searchsorted(term, np.arange(len(terms))), np.searchsorted(term, np.arange(len(terms)), side="right")
-                qa = np.searchsorted(place[by_term], np.arange(len(terms) + 1))
-                for t in np.flatnonzero(z > a):
-                    i = by_term[qa[t] : qa[t + 1]]
-                    score[np.ix_(query[i], doc[a[t] : z[t]])] += weight[i][:, None] * part[a[t] : z[t]]
-                score = np.round(score, PLACES)
-                for i in range(len(queries)):
-                    hit = np.flatnonzero(score[i] > 0)
-                    top = hit[_best(score[i, hit], key[hit], k)]
-                    yield from kept.add(np.full(len(top), queries[i]), key[top], score[i, top])
-        if kept.rows:
-            yield kept.out()
-
-    return run
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(n == 0, 1, n)
@@ -283,7 +153,8 @@ def rrf(lists: list[DataFrame], k: int, *, k_rrf: int = 60, worst_rank: bool = F
 def rerank_overlap(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Offline stand-in for a cross-encoder: the share of the query's distinct terms that the text has."""
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
-    d = docs.select("node_id", F.array_distinct(tokens(F.col("text"))).alias("d"))
+    # Only texts that were hit are cut.
+    d = docs.join(hits.select("node_id").distinct(), "node_id", "left_semi").select("node_id", F.array_distinct(tokens(F.col("text"))).alias("d"))
     both = hits.select("query_id", "node_id").join(q, "query_id").join(d, "node_id")
     score = F.size(F.array_intersect("q", "d")) / F.greatest(F.size("q"), F.lit(1))
     return ranked(both.select("query_id", "node_id", score.alias("score")), k)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evaluate, graph, incremental, ranking
+from ..operators import evaluate, graph, incremental, inverted, ranking
 from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +55,8 @@ def _doc_edges(spark, sf):
 
 
 def _corpus(spark, sf) -> pipelines.Corpus:
-    return pipelines.Corpus(_docs(spark, sf), _vectors(spark, sf), _doc_edges(spark, sf))
+    docs = _docs(spark, sf)
+    return pipelines.Corpus(docs, _vectors(spark, sf), _doc_edges(spark, sf), index=lambda: inverted.of_table(spark, f"{sf}/documents.parquet", docs))
 
 
 def _vector_queries(spark, sf):
@@ -171,7 +172,7 @@ _FUSED = f"{_VEC}, {_BM25}, {_EDGES}, {_expand_sql('x', 30)}, v AS (SELECT * FRO
 @query(f"WITH {_FUSED} {_rrf_sql(['x', 'v'], 20)}")
 def graph_hybrid_rrf(spark, sf):
     c, q = _corpus(spark, sf), _vector_queries(spark, sf)
-    return ranking.rrf([graph.expand(ranking.bm25(c.docs, q, 30), c.edges), ranking.vector(c.vectors, q, 30)], 20)
+    return ranking.rrf([graph.expand(inverted.search(c.index(), q, 30), c.edges), ranking.vector(c.vectors, q, 30)], 20)
 
 
 @query(f"WITH {_FUSED}, f AS ({_rrf_sql(['x', 'v'], 20)}) {_rerank_sql('f', 10)}")

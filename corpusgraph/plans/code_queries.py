@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import engine, providers, schemas
 from ..functions import text as X
-from ..operators import evaluate, graph, incremental, ranking
+from ..operators import evaluate, graph, incremental, inverted, ranking
 from ..sources import elements, manifest, parse
 from ..sources.prompts import Prompts
 from . import pipelines
@@ -244,7 +244,7 @@ SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query(_UNION_SQL)
 def expand_three_ways(spark, sf):
-    return graph.expand_all(ranking.bm25(_docs(spark, sf), _queries(spark, sf), 10), _doc_graph(spark, sf), _doc_edges(spark, sf))
+    return graph.expand_all(inverted.search(_corpus(spark, sf).index(), _queries(spark, sf), 10), _doc_graph(spark, sf), _doc_edges(spark, sf))
 
 
 @query(f"WITH {_PLACES} SELECT a AS seed, b AS node, kinds AS rel_types FROM (SELECT a, b, 'DEPENDS_ON' AS kinds FROM ways WHERE a LIKE 'supplier:%')")
@@ -291,7 +291,7 @@ def count_by_category(spark, sf):
 f AS (SELECT query_id, name, min(rank) AS was FROM h GROUP BY ALL)
 SELECT query_id, name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY was, name) AS INT) AS rank FROM f""")
 def eval_names(spark, sf):
-    hits = ranking.bm25(_docs(spark, sf), _queries(spark, sf), 20)
+    hits = inverted.search(_corpus(spark, sf).index(), _queries(spark, sf), 20)
     k = F.col("node_id")
     name = F.when(k % 3 == 0, F.concat(F.lit("n"), k % 5)).otherwise("unknown")
     text = F.concat(F.lit("Type: x\nName: t"), k % 4, F.lit("\nFile: f\nName: late"))

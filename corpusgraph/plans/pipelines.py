@@ -8,17 +8,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, ranking
+from ..operators import graph, inverted, ranking
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """docs (node_id, text), vectors (node_id, embedding) and edges (src, dst, rel_type) over one id space."""
+    """docs (node_id, text), vectors (node_id, embedding) and edges (src, dst, rel_type) over one id space. index gives the stored one of docs;
+    without it lexical search builds one."""
 
     docs: DataFrame
     vectors: DataFrame | None = None
     edges: DataFrame | None = None
     scorer: ranking.Scorer = ranking.rerank_overlap
+    index: Callable[[], inverted.TextIndex] | None = None
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ def retrieve(name: str, corpus: Corpus, queries: DataFrame, **options) -> DataFr
 
 
 def _bm25(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return ranking.bm25(c.docs, q, k)
+    return inverted.bm25(c.docs, q, k) if c.index is None else inverted.search(c.index(), q, k)
 
 
 def _vector(c: Corpus, q: DataFrame, k: int) -> DataFrame:

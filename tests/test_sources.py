@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph import engine, providers, schemas
 from corpusgraph.functions import text as X
-from corpusgraph.operators import evaluate, graph, incremental, ranking
+from corpusgraph.operators import evaluate, graph, incremental, inverted, ranking
 from corpusgraph.plans import pipelines
 from corpusgraph.sources import elements, manifest, parse, prompts
 from corpusgraph.streaming import refresh
@@ -155,12 +155,11 @@ def test_vector_edges(spark):
 def test_search_in_parts(spark, monkeypatch):
     d = spark.createDataFrame([(i, " ".join(["ab"] * (i % 3 + 1) + [f"w{i % 5}"])) for i in range(60)], "node_id long, text string")
     q = spark.createDataFrame([(i, f"ab w{i % 5}") for i in range(40)] + [(99, "zz")], "query_id long, text string")
-    rows = lambda: sorted(map(tuple, ranking.bm25(d, q, 4).collect()))
+    rows = lambda: sorted(map(tuple, inverted.bm25(d, q, 4).collect()))
     whole = rows()
-    for name, v in (("PACK", 7), ("QUERIES", 3), ("BROADCAST", 200)):
-        monkeypatch.setattr(ranking, name, v)
+    monkeypatch.setattr(inverted, "BROADCAST", 0)
     assert rows() == whole and len(whole) == 160
-    assert ranking.bm25(d, q, None).where("query_id = 1").count() == 60 and ranking.bm25(d.limit(0), q, 4).count() == 0
+    assert inverted.bm25(d, q, None).where("query_id = 1").count() == 60 and inverted.bm25(d.limit(0), q, 4).count() == 0
 
 
 def test_pipelines_refuse_idle_options(spark):
