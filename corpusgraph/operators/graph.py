@@ -90,9 +90,12 @@ def expand_all(hits: DataFrame, elements: DataFrame, edges: DataFrame, *, depth:
     found = found.groupBy("query_id", F.col("node").alias("node_id")).agg(F.min(F.struct("way", F.col("rank").alias("via"))).alias("least"))
     if not repeat_seeds:
         found = found.join(hits.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
-    every = hits.select("query_id", "node_id", "score", F.lit(0).alias("way"), F.col("rank").alias("via")).unionByName(
-        found.select("query_id", "node_id", F.lit(0.5).alias("score"), "least.way", "least.via")
-    )
+    return seeds_first(hits, found.select("query_id", "node_id", F.lit(0.5).alias("score"), "least.way", "least.via"), most)
+
+
+def seeds_first(hits: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """Hits as way 0, then what was found (query_id, node_id, score, way, via), in order of way, via and id; `most` of each query."""
+    every = hits.select("query_id", "node_id", "score", F.lit(0).alias("way"), F.col("rank").alias("via")).unionByName(found)
     w = Window.partitionBy("query_id").orderBy("way", "via", "node_id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "node_id", "rank", "score", "way")
 

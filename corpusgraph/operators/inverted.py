@@ -256,10 +256,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None, *, k1: float = 1.5,
 _INDEXES: dict[tuple, TextIndex] = {}
 
 
+def state(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a Parquet table from another in this session: its files with their sizes and times."""
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return spark.sparkContext.applicationId, path, *files.agg(F.bit_xor(F.xxhash64("*")), F.count(F.lit(1))).first()
+
+
 def of_table(spark: SparkSession, path: str, docs: DataFrame) -> TextIndex:
     """The index of docs, which come from the Parquet table at `path`; built once a session for each state of the table's files."""
-    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().agg(F.bit_xor(F.xxhash64("*")), F.count(F.lit(1))).first()
-    key = (spark.sparkContext.applicationId, path, *files)
+    key = state(spark, path)
     if key not in _INDEXES:
         _INDEXES[key] = build(docs)
     return _INDEXES[key]

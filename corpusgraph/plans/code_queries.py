@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from .. import engine, providers, schemas
 from ..functions import text as X
-from ..operators import evaluate, graph, incremental, inverted, ranking
+from ..operators import adjacency, evaluate, graph, incremental, inverted, ranking
 from ..sources import elements, manifest, parse
 from ..sources.prompts import Prompts
 from . import pipelines
-from .catalogue import _BM25, _EDGES, _HYBRID20, _META, _PLACES, _adaptive_sql, _corpus, _doc_edges, _docs, _elements, _queries, _rrf_sql, _t, _vector_queries, _with_chars, query
+from .catalogue import _BM25, _EDGES, _HYBRID20, _META, _PLACES, _VEC, _adaptive_sql, _corpus, _doc_edges, _docs, _elements, _queries, _rerank_sql, _rrf_sql, _t, _vector_queries, _with_chars, query
 
 _SOURCE = """import os
 from rag.db import load_{c}, Store as S
@@ -230,7 +232,10 @@ def _doc_graph(spark, sf):
     return d.select(F.col("doc_id").alias("id"), name(0).alias("name"), F.array(name(3)).alias("calls"), none.alias("dependencies"))
 
 
-_UNION_SQL = f"""WITH {_BM25}, {_EDGES}, seeds AS (SELECT * FROM bmr WHERE rank <= 10),
+def _three_ways_sql(name: str, k: int, most: int = 50) -> str:
+    """CTEs that end in <name>: BM25 to k, then what the three ways find, with its way."""
+    return f"""
+seeds AS (SELECT * FROM bmr WHERE rank <= {k}),
 els AS (SELECT doc_id AS id, lang || '-' || doc_id // 2 AS name, lang || '-' || (doc_id + 3) // 2 AS target FROM documents),
 one AS (SELECT s.query_id, w.b AS node, 1 AS way, s.rank FROM seeds s JOIN both_ways w ON w.a = s.node_id WHERE w.b <> s.node_id),
 two AS (SELECT s.query_id, o.id, 2, s.rank FROM seeds s JOIN els m ON m.id = s.node_id JOIN els t ON t.name = m.name JOIN both_ways w ON w.a = t.id JOIN els o ON o.id = w.b WHERE o.name <> m.name AND w.b <> t.id),
@@ -238,8 +243,11 @@ three AS (SELECT s.query_id, o.id, 3, s.rank FROM seeds s JOIN els m ON m.id = s
 allw AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
 firsts AS (SELECT query_id, node, min(struct_pack(way := way, rank := rank)) AS f FROM allw WHERE node IN (SELECT id FROM els) GROUP BY ALL),
 every AS (SELECT query_id, node_id, score, 0 AS way, rank AS via FROM seeds UNION ALL
- SELECT query_id, node, 0.5, f.way, f.rank FROM firsts WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query_id = firsts.query_id AND z.node_id = firsts.node))
-SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY way, via, node_id) AS INT) AS rank, score, CAST(way AS INT) AS way FROM every QUALIFY rank <= 50"""
+ SELECT query_id, node, 0.5, f.way, f.rank FROM firsts WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query_id = firsts.query_id AND z.node_id = firsts.node)),
+{name} AS (SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY way, via, node_id) AS INT) AS rank, score, CAST(way AS INT) AS way FROM every QUALIFY rank <= {most})"""
+
+
+_UNION_SQL = f"WITH {_BM25}, {_EDGES}, {_three_ways_sql('x', 10)} SELECT * FROM x"
 
 
 @query(_UNION_SQL)
@@ -247,6 +255,39 @@ def expand_three_ways(spark, sf):
     return graph.expand_all(inverted.search(_corpus(spark, sf).index(), _queries(spark, sf), 10), _doc_graph(spark, sf), _doc_edges(spark, sf))
 
 
+_ADJACENCIES: dict[tuple, adjacency.Adjacency] = {}
+
+
+def _graph_corpus(spark, sf):
+    """The corpus with its adjacency, which is stored once a session for each state of the text index's table."""
+
+    def stored():
+        key = inverted.state(spark, f"{sf}/documents.parquet")
+        if key not in _ADJACENCIES:
+            _ADJACENCIES[key] = adjacency.build(_doc_graph(spark, sf), _doc_edges(spark, sf))
+        return _ADJACENCIES[key]
+
+    return dataclasses.replace(_corpus(spark, sf), adjacency=stored)
+
+
+@query(f"WITH {_BM25}, {_EDGES}, {_three_ways_sql('x', 10)} SELECT * EXCLUDE (way) FROM x")
+def bm25_graph_three_ways(spark, sf):
+    return pipelines.retrieve("bm25_graph_expanded", _graph_corpus(spark, sf), _queries(spark, sf), k=10)
+
+
+@query(f"WITH {_BM25}, {_EDGES}, {_three_ways_sql('x', 30)} {_rerank_sql('x', 10)}")
+def bm25_graph_three_ways_reranked(spark, sf):
+    return pipelines.retrieve("bm25_graph_expanded_reranked", _graph_corpus(spark, sf), _queries(spark, sf), k=10)
+
+
+_FUSED_THREE = f"{_VEC}, {_BM25}, {_EDGES}, {_three_ways_sql('x', 30)}, v AS (SELECT * FROM ver WHERE rank <= 30)"
+
+
+@query(f"WITH {_FUSED_THREE}, f AS ({_rrf_sql(['x', 'v'], 20)}) {_rerank_sql('f', 10)}")
+def hybrid_graph_three_ways_reranked(spark, sf):
+    return pipelines.retrieve("hybrid_graph_expanded", _graph_corpus(spark, sf), _vector_queries(spark, sf), k=10)
+
+
 @query(f"WITH {_PLACES} SELECT a AS seed, b AS node, kinds AS rel_types FROM (SELECT a, b, 'DEPENDS_ON' AS kinds FROM ways WHERE a LIKE 'supplier:%')")
 def path_types(spark, sf):
     e = _elements(spark, sf)

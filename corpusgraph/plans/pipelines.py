@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, inverted, ranking
+from ..operators import adjacency, graph, inverted, ranking
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,7 @@ class Corpus:
     edges: DataFrame | None = None
     scorer: ranking.Scorer = ranking.rerank_overlap
     index: Callable[[], inverted.TextIndex] | None = None
+    adjacency: Callable[[], adjacency.Adjacency] | None = None
 
 
 @dataclass(frozen=True)
@@ -80,8 +81,11 @@ def _vector(c: Corpus, q: DataFrame, k: int) -> DataFrame:
     return ranking.vector(c.vectors, q, k)
 
 
-def _expand(c: Corpus, hits: DataFrame, o: Options) -> DataFrame:
-    return graph.expand(hits, c.edges, depth=o.depth, most=o.max_expansion_nodes)
+def _expand(c: Corpus, hits: DataFrame, o: Options, seeds: int) -> DataFrame:
+    """seeds: how many hits a query has at most."""
+    if c.adjacency is None:
+        return graph.expand(hits, c.edges, depth=o.depth, most=o.max_expansion_nodes)
+    return adjacency.expand(hits, c.adjacency(), seeds=seeds, depth=o.depth, most=o.max_expansion_nodes).drop("way")
 
 
 def _rerank(c: Corpus, hits: DataFrame, q: DataFrame, k: int) -> DataFrame:
@@ -100,12 +104,14 @@ def bm25_reranked(c, q, o):
 
 @register("bm25_graph_expanded", "initial_k", "depth", "max_expansion_nodes")
 def bm25_graph_expanded(c, q, o):
-    return _expand(c, _bm25(c, q, min(o.k, o.initial_k or max(2 * o.k, 30))), o)
+    n = min(o.k, o.initial_k or max(2 * o.k, 30))
+    return _expand(c, _bm25(c, q, n), o, n)
 
 
 @register("bm25_graph_expanded_reranked", "initial_k", "depth", "max_expansion_nodes")
 def bm25_graph_expanded_reranked(c, q, o):
-    return _rerank(c, _expand(c, _bm25(c, q, min(o.initial_k or max(3 * o.k, 30), SEEDS)), o), q, o.k)
+    n = min(o.initial_k or max(3 * o.k, 30), SEEDS)
+    return _rerank(c, _expand(c, _bm25(c, q, n), o, n), q, o.k)
 
 
 @register("vector", "cutoff")
@@ -135,7 +141,7 @@ def hybrid_rrf_reranked(c, q, o):
 @register("bm25_graph_vector_rrf_reranked", "fused_k", "depth", "max_expansion_nodes")
 def bm25_graph_vector_rrf_reranked(c, q, o):
     n = max(3 * o.k, 30)
-    fused = ranking.rrf([_expand(c, _bm25(c, q, n), o), _vector(c, q, n)], o.fused_k or max(2 * o.k, 20))
+    fused = ranking.rrf([_expand(c, _bm25(c, q, n), o, n), _vector(c, q, n)], o.fused_k or max(2 * o.k, 20))
     return _rerank(c, fused, q, o.k)
 
 
