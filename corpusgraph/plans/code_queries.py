@@ -6,10 +6,10 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from .. import engine, providers, schemas
+from .. import engine, providers, schemas, work
 from ..functions import text as X
 from ..operators import adjacency, evaluate, graph, incremental, inverted, ranking
-from ..sources import elements, manifest, parse
+from ..sources import elements, manifest, parse, versions
 from ..sources.prompts import Prompts
 from . import pipelines
 from .catalogue import _BM25, _EDGES, _HYBRID20, _META, _PLACES, _VEC, _adaptive_sql, _corpus, _doc_edges, _docs, _elements, _queries, _rerank_sql, _rrf_sql, _t, _vector_queries, _with_chars, query
@@ -398,3 +398,24 @@ def adaptive_k_none(spark, sf):
     q = _queries(spark, sf).select((F.col("query_id") + 1_000_000).alias("query_id"))
     none = spark.createDataFrame([], "query_id long, rank int, score double, chars long")
     return ranking.adaptive_k(none, queries=q).select(*_META)
+
+
+_FILES_SQL = """{name} AS (SELECT 'f' || doc_id // 4 AS path, doc_id, {n} AS n_chars FROM documents WHERE {where}),
+h_{name} AS (SELECT path, string_agg(doc_id || ':' || n_chars, ',' ORDER BY doc_id) AS h FROM {name} GROUP BY path)"""
+
+
+@query(f"""WITH {_FILES_SQL.format(name="old", n="n_chars", where="doc_id % 10 <> 3")},
+{_FILES_SQL.format(name="now", n="n_chars + CASE WHEN doc_id % 50 = 5 THEN 1 ELSE 0 END", where="doc_id % 10 <> 3 AND doc_id // 4 % 10 <> 5")},
+told AS (SELECT n.path, CASE WHEN o.h = n.h THEN 1 ELSE 2 END AS version FROM h_now n LEFT JOIN h_old o USING (path))
+SELECT path, doc_id, n_chars, CAST(version AS INT) AS version FROM now JOIN told USING (path) WHERE version = 1 OR CAST(substr(path, 2) AS BIGINT) % 11 <> 3""")
+def refresh_table(spark, sf):
+    """Documents in files of four, in two states: some rows edited, some files gone, some that fail when they are read again."""
+    d = _t(spark, sf, "documents").where("doc_id % 10 <> 3").select(F.concat(F.lit("f"), F.floor(F.col("doc_id") / 4)).alias("path"), "doc_id", "n_chars")
+    number = F.substring("path", 2, 20).cast("long")
+    now = d.where(number % 10 != 5).withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") % 50 == 5).cast("int"))
+    root, bad = work.shared_dir(spark), F.when(number % 11 == 3, "cannot be read")
+    for rows, error in ((d, F.lit(None).cast("string")), (now, bad)):
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda r: F.concat(r["doc_id"], F.lit(":"), r["n_chars"])), ",")
+        files = rows.groupBy("path").agg(F.sha2(text, 256).alias("sha256"))
+        versions.refresh(spark, root, files, lambda todo, rows=rows, error=error: rows.join(todo.select("path"), "path", "left_semi").withColumn("error", error))
+    return versions.read(spark, root).select("path", "doc_id", "n_chars", F.substring("batch", 1, 12).cast("int").alias("version"))

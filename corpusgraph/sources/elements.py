@@ -1,30 +1,34 @@
 """Source trees and element caches: scan, parse, store, read again, checkpoint.
 
-Folders are read by Spark, so any store it knows will do. A cache holds `results_<parser>/` with elements as JSON lines and,
-beside it, `progress/`: one row for each file seen, by path and hash, so an edited or failed file is parsed again.
+Folders are read by Spark, so any store it knows will do. A cache holds `results_<parser>/` with elements as JSON lines, a folder for
+each run, and a log of versions (see versions.py): one row for each file a run has touched, by path and hash, so an edited or failed
+file is parsed again and a removed one goes. `read_cache` gives all that was ever stored, `read_current` what counts now.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import incremental
 from ..schemas import ELEMENTS, PROGRESS
-from . import parse
+from . import parse, versions
 
 CORRUPT = "_corrupt"
 
 
+def below(root: str, path: Column) -> Column:
+    """A file's path relative to a folder."""
+    top = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    return F.replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), F.lit(top), F.lit(""))
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, source, sha256) of all Python files below a folder; paths are relative to it."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.py")
-    top = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    below = F.replace(F.regexp_replace("_metadata.file_path", "^[a-z]+:/*", "/"), F.lit(top), F.lit(""))
-    return files.select(below.alias("file_path"), F.col("value").alias("source"), F.sha2("value", 256).alias("sha256"))
+    return files.select(below(root, F.col("_metadata.file_path")).alias("file_path"), F.col("value").alias("source"), F.sha2("value", 256).alias("sha256"))
 
 
 def decode(rows: DataFrame, column: str = "json") -> DataFrame:
@@ -48,7 +52,7 @@ def decode(rows: DataFrame, column: str = "json") -> DataFrame:
 
 
 def read_cache(spark: SparkSession, root: str) -> DataFrame:
-    """Elements of a cache with their `error`: JSON files in folders named results_*, manifests and progress files left out.
+    """All elements of a cache, of former runs too, with their `error`: JSON files in folders named results_*, manifests and progress files left out.
 
     Files that Spark wrote hold an object a line, others one object each."""
     path = F.col("_metadata.file_path")
@@ -66,36 +70,50 @@ def write_cache(elements: DataFrame, root: str, parser: str = "tree-sitter", *,
     return path
 
 
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """The elements of the last whole version: of each file those of the run that parsed it last, none of failed and removed files."""
+    commits, _ = versions.history(spark, root)
+    if not commits:
+        return spark.createDataFrame([], ELEMENTS)
+    lines = spark.read.text([f"{root.rstrip('/')}/{c.body['rows']}" for c in commits], pathGlobFilter="part-*.json")
+    told = decode(lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("json"))).where("error IS NULL")
+    rows = told.withColumns({"path": F.col("file_path"), "batch": F.regexp_extract("json_path", versions.BATCH, 1)})
+    return versions.live(rows, versions.states(spark, root, commits)).select(*ELEMENTS.names)
+
+
 def read_progress(spark: SparkSession, root: str) -> DataFrame:
-    """The checkpoint's rows (kind, key, sha256, state, at); none before the first run."""
-    path = f"{root.rstrip('/')}/progress"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], PROGRESS)
-    return spark.read.schema(PROGRESS).parquet(path)
+    """The checkpoint's rows (kind, key, sha256, state, at), the last of each file; none before the first run."""
+    now = versions.states(spark, root, versions.history(spark, root)[0])
+    return now.select(F.lit("file").alias("kind"), F.col("path").alias("key"), "sha256", "state", "at").select(*PROGRESS.names)
 
 
-def analyse(spark: SparkSession, root: str, cache: str, *, parser: str = "tree-sitter", project: str = "rag", explain=None) -> dict[str, int]:
-    """Parse the files below `root` that the cache does not hold in their present form, and store their elements.
+def analyse(spark: SparkSession, root: str, cache: str, *, parser: str = "tree-sitter", project: str = "rag", explain=None, only: list[str] | None = None) -> dict[str, int]:
+    """Parse the files below `root` that the cache does not hold in their present form, and store their elements as one version.
 
-    explain: a function over elements that sets explanations, if wanted. Returns how many files were new, failed, and how
-    many elements they gave. The checkpoint is written last: a run that breaks off is repeated, and reading keeps the last element of each id.
+    explain: a function over elements that sets explanations, if wanted. only: look at these paths alone. Returns how many files
+    were new, failed, and how many elements they gave. Elements and log are visible once the commit is there: a run that
+    breaks off leaves the version before it, and the next run parses the same files again.
     """
-    files = scan_tree(spark, root)
-    done = read_progress(spark, cache).where("kind = 'file' AND state = 'done'").select(F.col("key").alias("file_path"), "sha256")
-    todo = incremental.unprocessed(files, done, "file_path", "sha256")
-    rows = parse.parse_files(todo, parser, project).persist()
+    commits, top = versions.history(spark, cache)
+    before = versions.states(spark, cache, commits)
+    files = scan_tree(spark, root).withColumnRenamed("file_path", "path")
+    if only is not None:
+        files, before = (df.where(F.col("path").isin(*only)) for df in (files, before))
+    todo, gone = versions.changes(files, before)
+    todo = todo.persist()  # hash and elements of one reading
+    batch = versions.new_batch(top + 1)
+    rows = parse.parse_files(todo.withColumnRenamed("path", "file_path"), parser, project).persist()
     try:
+        counts = {"files": todo.count(), "failed": rows.where("error IS NOT NULL").count(), "elements": rows.where("error IS NULL").count()}
+        if not counts["files"] and gone.isEmpty():
+            return counts
         good = rows.where("error IS NULL").drop("error")
-        write_cache(explain(good) if explain else good, cache, parser)
-        failed = rows.where("error IS NOT NULL").select("file_path", "error")
-        state = F.when(F.col("error").isNull(), "done").otherwise("failed")
-        log = todo.select("file_path", "sha256").join(failed, "file_path", "left")
-        log = log.select(F.lit("file").alias("kind"), F.col("file_path").alias("key"), "sha256", state.alias("state"), F.current_timestamp().alias("at"))
-        counts = {"files": todo.count(), "failed": failed.count(), "elements": good.count()}
-        log.write.mode("append").parquet(f"{cache.rstrip('/')}/progress")
+        path = write_cache(explain(good) if explain else good, cache, f"{parser}/{batch}")
+        failed = rows.where("error IS NOT NULL").select(F.col("file_path").alias("path"), "error")
+        versions.commit(spark, cache, batch, versions.log_rows(batch, todo, failed, gone), top + 1, rows=path.removeprefix(cache.rstrip("/") + "/"))
     finally:
         rows.unpersist()
+        todo.unpersist()
     return counts
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental
 from ..schemas import MANIFEST
+from . import versions
 
 VERSION = 1
 
@@ -36,26 +36,20 @@ def snapshot(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> Manifest:
-    """The stored manifest; an empty one of the present version where there is none."""
-    fs, head = _file(spark, f"{path}/head")
-    if not fs.exists(head):
+    """The last manifest stored whole; an empty one of the present version where there is none."""
+    commits, _ = versions.history(spark, path)
+    if not commits:
         return Manifest(spark.createDataFrame([], MANIFEST))
-    told = spark.read.schema("version int, signature string, turn string").json(f"{path}/head").first()
-    return Manifest(spark.read.schema(MANIFEST).parquet(f"{path}/files-{told['turn']}"), told["version"], told["signature"])
+    told = commits[-1].body
+    return Manifest(spark.read.schema(MANIFEST).parquet(f"{path}/{told['files']}"), told["version"], told["signature"])
 
 
 def write(spark: SparkSession, path: str, m: Manifest) -> None:
-    """Rows go to a new folder first and the head is turned to it last, so a broken write leaves the former manifest whole."""
-    fs, head = _file(spark, f"{path}/head")
-    turn = str(int(spark.read.json(f"{path}/head").first()["turn"]) + 1) if fs.exists(head) else "1"
-    m.files.select(*MANIFEST.names).write.mode("overwrite").parquet(f"{path}/files-{turn}")
-    line = json.dumps({"version": m.version, "signature": m.signature, "turn": turn})
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
-
-
-def _file(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    """Rows go to a new folder, then a commit file of the next number names it: a write that breaks leaves the former manifest."""
+    number = versions.history(spark, path)[1] + 1
+    files = f"files-{versions.new_batch(number)}"
+    m.files.select(*MANIFEST.names).write.parquet(f"{path}/{files}")
+    versions.put(spark, path, number, {"version": m.version, "signature": m.signature, "files": files, "fresh": True})
 
 
 def diff(before: Manifest, now: Manifest) -> DataFrame:
