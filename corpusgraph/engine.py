@@ -38,8 +38,10 @@ class Settings:
     adaptive: dict = field(default_factory=dict)
 
     def checked(self) -> Settings:
-        """With a known response mode (an unknown one falls back to compact); an unknown pipeline is an error."""
+        """With a known response mode (an unknown one falls back to compact); an unknown pipeline or metric is an error."""
         pipelines.get(self.pipeline)
+        if self.metric not in ranking.METRICS:
+            raise ValueError(f"unknown metric {self.metric!r}; known: {', '.join(ranking.METRICS)}")
         mode = self.response_mode.lower()
         return replace(self, response_mode=mode if mode in RESPONSE_MODES else "compact")
 
@@ -64,6 +66,7 @@ class Engine:
 
     def __post_init__(self):
         self.settings = self.settings.checked()
+        self.corpus = replace(self.corpus, metric=self.settings.metric)
         self.timings: dict[str, float] = {}
 
     def queries(self, texts: list[str]) -> DataFrame:

@@ -7,13 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import work
+
 RELATIONS = {"base_classes": "INHERITS_FROM", "calls": "CALLS", "dependencies": "DEPENDS_ON"}
 
 
-def build_edges(elements: DataFrame, relations: dict[str, str] = RELATIONS, *, context: bool = False) -> DataFrame:
-    """Edges from elements (id, name and lists of names) to the elements so named; set semantics. With `context` the
-    columns are those of schemas.EDGES; the context of a name is not known, so it is null."""
-    names = elements.select(F.col("id").alias("dst"), "name")
+#: What an edge's context says, by its kind.
+CONTEXTS = {"INHERITS_FROM": "Class inheritance", "CALLS": "Function call", "DEPENDS_ON": "Module dependency"}
+
+
+def build_edges(elements: DataFrame, relations: dict[str, str] = RELATIONS, *, context: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """Edges from elements (id, name and lists of names) to the elements (of `among`, if given) so named; set semantics. With `context` the
+    columns are those of schemas.EDGES, context null; with_properties sets it."""
+    names = (elements if among is None else among).select(F.col("id").alias("dst"), "name")
     made = [
         elements.select(F.col("id").alias("src"), F.explode(c).alias("name")).distinct().join(names, "name")
         .select("src", "dst", F.lit(rel).alias("rel_type"), *([F.lit(None).cast("string").alias("context")] if context else []), F.when(F.lit(rel) == "INHERITS_FROM", None).otherwise(F.col("name")).alias("label"))
@@ -22,6 +28,50 @@ def build_edges(elements: DataFrame, relations: dict[str, str] = RELATIONS, *, c
     return reduce(DataFrame.unionByName, made).distinct()
 
 
+def with_properties(edges: DataFrame) -> DataFrame:
+    """Edges with their context, by kind; call_signature, the name called; import_path, the name depended on."""
+    of = lambda kind: F.when(F.col("rel_type") == kind, F.col("label"))
+    context = F.element_at(F.create_map(*(F.lit(x) for kind in CONTEXTS.items() for x in kind)), F.col("rel_type"))
+    return edges.select("src", "dst", "rel_type", context.alias("context"), of("CALLS").alias("call_signature"), of("DEPENDS_ON").alias("import_path"))
+
+
+def edge_changes(before: DataFrame, now: DataFrame, relations: dict[str, str] = RELATIONS, *, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What takes the edges of the elements `before` to those of `now`: sources (src) and targets (dst) whose edges go, and the
+    edges that come. Ids are unique in each.
+
+    An edge hangs on its source's lists and on its target's name. So edges go whose source is gone or lists other names, or
+    whose target is gone or renamed; edges come from such sources to all names, and from all others only to names that an element
+    has gained. What changed is stored first; everything else is joined with it, so what moves follows the change.
+    """
+    lists = [F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))) for c in relations]
+    told = lambda df, was: df.select("id", F.col("name").alias(f"name{was}"), F.struct(*(c.alias(f"l{i}") for i, c in enumerate(lists))).alias(f"lists{was}"), F.lit(True).alias(f"in{was}"))
+    both = told(before, 0).join(told(now, 1), "id", "full_outer")
+    gone, new = F.col("in1").isNull(), F.col("in0").isNull()
+    renamed, relisted = gone | new | ~F.col("name0").eqNullSafe(F.col("name1")), gone | new | ~F.col("lists0").eqNullSafe(F.col("lists1"))
+    changed = both.select("id", "name1", renamed.alias("renamed"), relisted.alias("relisted"), gone.alias("gone"), new.alias("new")).where("renamed OR relisted")
+    touched = work.stored(changed, f"{path or work.shared_dir(now.sparkSession)}/touched")
+    sources, targets = touched.where("relisted").select(F.col("id").alias("src")), touched.where("renamed AND NOT new").select(F.col("id").alias("dst"))
+    own = now["id"] == sources["src"]
+    gained = touched.where("renamed AND NOT gone").select("id", F.col("name1").alias("name"))
+    added = build_edges(now.join(sources, own, "left_semi"), relations, among=now).unionByName(build_edges(now.join(sources, own, "left_anti"), relations, among=gained))
+    return sources, targets, added
+
+
+def update_edges(edges: DataFrame, before: DataFrame, now: DataFrame, relations: dict[str, str] = RELATIONS) -> DataFrame:
+    """The edges of `now`, from those of `before`: equal to build_edges(now)."""
+    sources, targets, added = edge_changes(before, now, relations)
+    return edges.join(sources, "src", "left_anti").join(targets, "dst", "left_anti").select(*edges.columns).unionByName(added)
+
+
+def lookup_counts(hits: DataFrame, found: DataFrame, store: DataFrame) -> DataFrame:
+    """(query_id, found, missing) of each query of hits: how many of the nodes that expansion found the store (node_id) has, and
+    how many it lacks."""
+    have = store.select("node_id").distinct().withColumn("_have", F.lit(1))
+    n = found.select("query_id", "node_id").distinct().join(have, "node_id", "left").groupBy("query_id").agg(F.count("_have").alias("found"), F.count(F.when(F.col("_have").isNull(), 1)).alias("missing"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return hits.select("query_id").distinct().join(n, "query_id", "left").select("query_id", zero("found"), zero("missing"))
+
+
 def _both(edges: DataFrame, rel_types: tuple[str, ...]) -> DataFrame:
     e = edges.where(F.col("rel_type").isin(*rel_types))
     return e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()

@@ -103,7 +103,19 @@ def _pack_vectors(batches):
             yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in row), pa.array([int(size[0])], pa.int32())], ["ids", "flat", "size"])
 
 
-def _cosine_best(k: int | None):
+METRICS = ("cosine", "euclidean")
+
+
+def similarities(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Each query against each vector: their cosine (0 with a vector of zeros), or 1 / (1 + squared distance)."""
+    if metric == "cosine":
+        return _unit(queries) @ _unit(vectors).T
+    if metric == "euclidean":
+        return 1 / (1 + np.stack([((vectors - q) ** 2).sum(axis=1) for q in queries]))
+    raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+
+
+def _vectors_best(k: int | None, metric: str):
     def run(batches):
         kept = _Kept(k)
         for batch in batches:
@@ -111,8 +123,8 @@ def _cosine_best(k: int | None):
                 if size != qsize:
                     raise ValueError(f"queries of {qsize} numbers against vectors of {size}")
                 key, query = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                matrix = lambda x: _unit(np.frombuffer(x, "<f8").reshape(-1, max(size, 1)))  # noqa: B023, E731
-                score = np.round(matrix(qflat) @ matrix(flat).T, PLACES) if size else np.zeros((len(query), len(key)))
+                matrix = lambda x: np.frombuffer(x, "<f8").reshape(-1, max(size, 1))  # noqa: B023, E731
+                score = np.round(similarities(matrix(qflat), matrix(flat), metric), PLACES) if size else np.zeros((len(query), len(key)))
                 for i in range(len(query)):
                     top = _best(score[i], key, k)
                     yield from kept.add(np.full(len(top), query[i]), key[top], score[i, top])
@@ -122,18 +134,20 @@ def _cosine_best(k: int | None):
     return run
 
 
-def vector(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k of vectors (node_id, embedding) for queries (query_id, embedding), exact; in one scan, if the queries take BROADCAST bytes
+def vector(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """Top-k by similarity of vectors (node_id, embedding) for queries (query_id, embedding), exact; in one scan, if the queries take BROADCAST bytes
     at most.
 
     Both sides are packed; each pack of vectors meets each block of queries, and a task gives its own k best of each
-    query. Null vectors and queries take no part; a vector of zeros scores 0; vectors of different lengths are an error.
+    query. Null vectors and queries take no part; a vector of zeros has cosine 0; vectors of different lengths are an error.
     """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
     rows = lambda df, key: df.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
     packs = rows(vectors, "node_id").mapInArrow(_pack_vectors, "ids binary, flat binary, size int")
     blocks = rows(queries, "query_id").mapInArrow(_pack_vectors, "ids binary, flat binary, size int").toDF("qids", "qflat", "qsize")
     size = queries.agg(F.sum(8 * (1 + F.size("embedding")))).first()[0] or 0
-    return ranked(_meet(packs, blocks, size).mapInArrow(_cosine_best(k), _HITS), k)
+    return ranked(_meet(packs, blocks, size).mapInArrow(_vectors_best(k, metric), _HITS), k)
 
 
 def cutoff(hits: DataFrame, least: float) -> DataFrame:

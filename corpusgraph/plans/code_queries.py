@@ -250,6 +250,53 @@ every AS (SELECT query_id, node_id, score, 0 AS way, rank AS via FROM seeds UNIO
 _UNION_SQL = f"WITH {_BM25}, {_EDGES}, {_three_ways_sql('x', 10)} SELECT * FROM x"
 
 
+@query(f"""WITH {_PLACES} SELECT src, dst, rel_type, CASE rel_type WHEN 'CALLS' THEN 'Function call' WHEN 'DEPENDS_ON' THEN 'Module dependency' ELSE 'Class inheritance' END AS context,
+ CASE WHEN rel_type = 'CALLS' THEN label END AS call_signature, CASE WHEN rel_type = 'DEPENDS_ON' THEN label END AS import_path FROM places""")
+def edge_properties(spark, sf):
+    return graph.with_properties(graph.build_edges(_elements(spark, sf)))
+
+
+def _edited(e):
+    """The elements after edits: a nation renamed, another with a namesake, customers gone, suppliers that moved, and a new customer."""
+    n = F.substring_index("id", ":", -1).try_cast("int")
+    kind = lambda k: F.col("id").startswith(f"{k}:")
+    moved = F.when(kind("supplier") & (n % 7 == 1), F.array(F.lit("CHINA"))).otherwise(F.col("dependencies"))
+    e = e.where(~(kind("customer") & (n % 10 == 3))).withColumn("dependencies", moved)
+    e = e.withColumn("name", F.when(F.col("id") == "nation:5", "RENAMED").otherwise(F.col("name")))
+    twin = e.where("id = 'nation:7'").withColumn("id", F.lit("nation:twin"))
+    return e.unionByName(twin).unionByName(e.where("id = 'customer:1'").withColumns({"id": F.lit("customer:new"), "name": F.lit("new"), "calls": F.array(F.lit("RENAMED"))}))
+
+
+@query("""WITH n AS (SELECT 'nation:' || n_nationkey AS id, CASE WHEN n_nationkey = 5 THEN 'RENAMED' ELSE n_name END AS name, n_regionkey FROM nation
+ UNION ALL SELECT 'nation:twin', n_name, n_regionkey FROM nation WHERE n_nationkey = 7),
+c AS (SELECT 'customer:' || c_custkey AS src, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 3
+ UNION ALL SELECT 'customer:new', 'RENAMED' FROM customer WHERE c_custkey = 1),
+s AS (SELECT 'supplier:' || s_suppkey AS src, CASE WHEN s_suppkey % 7 = 1 THEN 'CHINA' ELSE n_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT id AS src, 'region:' || r_regionkey AS dst, 'INHERITS_FROM' AS rel_type, NULL AS label FROM n JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT src, id, 'CALLS', name FROM c JOIN n USING (name) UNION ALL SELECT src, id, 'DEPENDS_ON', name FROM s JOIN n USING (name)""")
+def edge_update(spark, sf):
+    before = _elements(spark, sf)
+    return graph.update_edges(graph.build_edges(before), before, _edited(before))
+
+
+@query(f"""WITH {_BM25}, {_EDGES}, {_three_ways_sql('x', 10)} SELECT query_id, count(*) FILTER (WHERE way > 0 AND vec_id IS NOT NULL) AS found, count(*) FILTER (WHERE way > 0 AND vec_id IS NULL) AS missing
+FROM x LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = node_id GROUP BY query_id""")
+def expansion_lookup(spark, sf):
+    c = _graph_corpus(spark, sf)
+    x = adjacency.expand(inverted.search(c.index(), _queries(spark, sf), 10), c.adjacency(), seeds=10)
+    return graph.lookup_counts(x, x.where("way > 0"), c.vectors)
+
+
+_EUCLID = """SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank, score FROM (
+ SELECT e.vec_id AS node_id, q.item_id AS query_id, round(1 / (1 + list_distance(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) ** 2), 6) AS score
+ FROM embeddings e, benchmark q JOIN embeddings x ON x.vec_id = q.item_id) QUALIFY rank <= 10"""
+
+
+@query(_EUCLID)
+def vector_euclidean(spark, sf):
+    return pipelines.retrieve("vector", dataclasses.replace(_corpus(spark, sf), metric="euclidean"), _vector_queries(spark, sf), k=10)
+
+
 @query(_UNION_SQL)
 def expand_three_ways(spark, sf):
     return graph.expand_all(inverted.search(_corpus(spark, sf).index(), _queries(spark, sf), 10), _doc_graph(spark, sf), _doc_edges(spark, sf))

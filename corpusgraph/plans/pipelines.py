@@ -20,6 +20,7 @@ class Corpus:
     vectors: DataFrame | None = None
     edges: DataFrame | None = None
     scorer: ranking.Scorer = ranking.rerank_overlap
+    metric: str = "cosine"
     index: Callable[[], inverted.TextIndex] | None = None
     adjacency: Callable[[], adjacency.Adjacency] | None = None
 
@@ -78,7 +79,7 @@ def _bm25(c: Corpus, q: DataFrame, k: int) -> DataFrame:
 
 
 def _vector(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return ranking.vector(c.vectors, q, k)
+    return ranking.vector(c.vectors, q, k, c.metric)
 
 
 def _expand(c: Corpus, hits: DataFrame, o: Options, seeds: int) -> DataFrame:
