@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import engine, providers, schemas, work
 from ..functions import text as X
-from ..operators import adjacency, evaluate, graph, incremental, inverted, ranking
+from ..operators import adjacency, evaluate, graph, incremental, inverted, pivots, ranking
 from ..sources import elements, manifest, parse, versions
 from ..sources.prompts import Prompts
 from . import pipelines
@@ -297,6 +297,12 @@ def vector_euclidean(spark, sf):
     return pipelines.retrieve("vector", dataclasses.replace(_corpus(spark, sf), metric="euclidean"), _vector_queries(spark, sf), k=10)
 
 
+@query(f"WITH {_VEC} SELECT * FROM ver WHERE rank <= 10")
+def vector_pivots(spark, sf):
+    c = _corpus(spark, sf)
+    return pivots.search(pivots.build(c.vectors), _vector_queries(spark, sf), 10)
+
+
 @query(_UNION_SQL)
 def expand_three_ways(spark, sf):
     return graph.expand_all(inverted.search(_corpus(spark, sf).index(), _queries(spark, sf), 10), _doc_graph(spark, sf), _doc_edges(spark, sf))
