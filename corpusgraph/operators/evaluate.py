@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 K_VALUES = (1, 3, 5, 10, 15, 20)
 
 
@@ -60,8 +62,9 @@ def pivot_f1(m: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
 
 
 def quartiles(m: DataFrame) -> DataFrame:
-    q = F.percentile("precision", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return m.groupBy("k").agg(q.alias("q")).select("k", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "q2", "q3"))))
+    """Quartiles of precision by k, exact; selected in ranges, as a k has a row for every query."""
+    q = quantiles(m, "k", "precision", (0.25, 0.5, 0.75)).groupBy("k").pivot("q", [0.25, 0.5, 0.75]).agg(F.round(F.first("value"), 4))
+    return q.toDF("k", "q1", "q2", "q3")
 
 
 def best_worst(m: DataFrame, k: int = 5, n: int = 3) -> DataFrame:

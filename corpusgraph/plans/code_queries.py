@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import engine, providers, schemas, work
 from ..functions import text as X
-from ..operators import adjacency, evaluate, graph, incremental, inverted, pivots, ranking
+from ..operators import adjacency, evaluate, graph, hashtree, incremental, inverted, pivots, ranking
+from ..operators.quantiles import quantiles
 from ..sources import elements, manifest, parse, versions
 from ..sources.prompts import Prompts
 from . import pipelines
@@ -472,3 +473,25 @@ def refresh_table(spark, sf):
         files = rows.groupBy("path").agg(F.sha2(text, 256).alias("sha256"))
         versions.refresh(spark, root, files, lambda todo, rows=rows, error=error: rows.join(todo.select("path"), "path", "left_semi").withColumn("error", error))
     return versions.read(spark, root).select("path", "doc_id", "n_chars", F.substring("batch", 1, 12).cast("int").alias("version"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, unnest([0.1, 0.5, 0.99]::DOUBLE[]) AS q, round(unnest(v), 4) AS value
+FROM (SELECT l_returnflag, l_linestatus, quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.1, 0.5, 0.99]) AS v FROM lineitem GROUP BY ALL)""")
+def price_quantiles(spark, sf):
+    """Quantiles of prices over all line items, in few groups that each hold a large part of the table."""
+    rows = _t(spark, sf, "lineitem").select(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("g"), F.col("l_extendedprice").alias("p"))
+    out = quantiles(rows, "g", "p", (0.1, 0.5, 0.99))
+    return out.select(F.substring_index("g", "/", 1).alias("l_returnflag"), F.substring_index("g", "/", -1).alias("l_linestatus"), "q", F.round("value", 4).alias("value"))
+
+
+@query("""WITH f AS (SELECT concat_ws('/', source, lang, doc_id) AS path, doc_id, source, lang, n_chars AS mtime, sha256(coalesce(text, '')) AS h FROM documents),
+now AS (SELECT path, mtime, CASE WHEN source = 'src3' AND doc_id % 10 = 5 THEN 'new' ELSE h END AS h FROM f WHERE NOT (source = 'src5' AND doc_id % 7 = 3)),
+old AS (SELECT path, mtime, h FROM f WHERE NOT (source = 'src7' AND lang = 'en'))
+SELECT path, CASE WHEN n.h IS NULL THEN 'removed' WHEN o.h IS NULL THEN 'added' ELSE 'changed' END AS change FROM now n FULL JOIN old o USING (path) WHERE n.h IS NULL OR o.h IS NULL OR n.h <> o.h""")
+def snapshot_tree_diff(spark, sf):
+    """Documents as files in folders by source and language; in the new snapshot some of one source are edited, of another removed, of a third added."""
+    d = _t(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "doc_id", "source", "lang")
+    edited = F.when((F.col("source") == "src3") & (F.col("doc_id") % 10 == 5), "new").otherwise(F.col("sha256"))
+    now = d.where(~((F.col("source") == "src5") & (F.col("doc_id") % 7 == 3))).withColumn("sha256", edited)
+    before = d.where(~((F.col("source") == "src7") & (F.col("lang") == "en")))
+    return hashtree.diff(hashtree.build(before), hashtree.build(now))
