@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import adjacency, evaluate, graph, hashtree, incremental, inverted, pivots, ranking
 from ..operators.quantiles import quantiles
 from ..sources import elements, manifest, parse, versions
-from ..sources.prompts import Prompts
+from ..sources.prompts import Prompt
 from . import pipelines
 from .catalogue import _BM25, _EDGES, _HYBRID20, _META, _PLACES, _VEC, _adaptive_sql, _corpus, _doc_edges, _docs, _elements, _queries, _rerank_sql, _rrf_sql, _t, _vector_queries, _with_chars, query
 
@@ -45,7 +45,7 @@ def _files(spark, sf):
 
 
 def _code(spark, sf, parser="tree-sitter"):
-    return parse.parse_files(_files(spark, sf), parser)
+    return parse.parse_files(_files(spark, sf), parser, "rag")
 
 
 _MODULE = "'rag.m' || p_partkey % 7 || '.part_' || p_partkey"
@@ -186,10 +186,20 @@ def explanations(spark, sf):
     return providers.explain(_good(spark, sf), providers.get_llm("offline")).select("file_path", "explanation")
 
 
+_CARD = """You describe a Python {{ type }} so that it can be found by searching.
+Type: {{ type }}
+Name: {{ name }}
+File: {{ file_path }}
+{% if return_type %}Returns: {{ return_type }}{% endif %}
+{% if docstring %}Docstring: {{ docstring }}{% endif %}
+Code:
+{{ code }}"""
+
+
 @query(f"""SELECT file_path, 'You describe a Python class so that it can be found by searching.' || chr(10) || 'Type: class' || chr(10) || 'Name: ' || name || chr(10) || 'File: ' || file_path
  || chr(10) || 'Docstring: ' || docstring || chr(10) || 'Code:' AS head FROM ({_NAMED})""")
 def prompt_render(spark, sf):
-    e, p = _good(spark, sf), Prompts().get("explain")
+    e, p = _good(spark, sf), Prompt("card", _CARD)
     values = _columns(e) | {"parameters": X.format_parameters(F.col("parameters"))}
     return e.select("file_path", F.array_join(F.slice(F.split(p.render(values), "\n"), 1, 6), "\n").alias("head"))
 

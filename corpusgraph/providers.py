@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import text as X
 from .sources.prompts import Prompts
@@ -62,12 +63,23 @@ REMOTE_EMBEDDERS = ("voyage", "voyage-large", "voyage-lite", "openai")
 REMOTE_LLMS = ("anthropic", "openai")
 
 
+def _register(known: dict, name: str):
+    def put(make):
+        if known.get(name, make) is not make:
+            raise ValueError(f"provider {name!r} is registered already")
+        known[name] = make
+        return make
+
+    return put
+
+
 def register_embedding(name: str):
-    return lambda make: EMBEDDERS.setdefault(name, make)
+    """Register a maker of embedders; a name that stands for another one is an error."""
+    return _register(EMBEDDERS, name)
 
 
 def register_llm(name: str):
-    return lambda make: LLMS.setdefault(name, make)
+    return _register(LLMS, name)
 
 
 def _get(known: dict, remote: tuple[str, ...], name: str, options: dict):
@@ -113,9 +125,10 @@ def checked_dimension(vectors: DataFrame, dimension: int, column: str = "embeddi
 def complete(prompts: DataFrame, provider: Llm, *, column: str = "prompt", out: str = "answer", tries: int = 5, wait: float = 0.5, concurrent: int | None = None) -> DataFrame:
     """Answers to a column of prompts, with `<out>_error` where every try failed; waits double from try to try.
 
-    concurrent: at most so many calls at a time, one for each partition.
+    concurrent: at most so many calls at a time, one for each partition. Prompts are dealt out anew for that, so what makes them keeps its own
+    tasks.
     """
-    rows = prompts if concurrent is None else prompts.coalesce(concurrent)
+    rows = prompts if concurrent is None else prompts.repartition(concurrent)
 
     @F.pandas_udf(f"{out} string, {out}_error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -140,6 +153,7 @@ def complete(prompts: DataFrame, provider: Llm, *, column: str = "prompt", out:
 def explain(elements: DataFrame, provider: Llm, *, concurrent: int | None = None, **options) -> DataFrame:
     """Elements with explanations by the model; where it fails the former one stays."""
     p = Prompts().get("explain")
-    values = {n: F.col(n) for n in p.names() if n != "parameters"} | {"parameters": X.format_parameters(F.col("parameters"))}
+    lists = {f.name for f in elements.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    values = {n: F.array_join(n, ", ") if n in lists else F.col(n) for n in p.names() if n != "parameters"} | {"parameters": X.format_parameters(F.col("parameters"))}
     told = complete(elements.withColumn("_prompt", p.render(values)), provider, column="_prompt", out="_said", concurrent=concurrent, **options)
     return told.withColumn("explanation", F.coalesce(X.filled(F.col("_said")), F.col("explanation"))).select(*elements.columns)

@@ -37,3 +37,24 @@ def violations(df: DataFrame, key: str = "id") -> DataFrame:
 
 def populated(df: DataFrame) -> bool:
     return not df.isEmpty()
+
+
+def write_checked(df: DataFrame, path: str, schema: T.StructType | None = None, key: str = "id") -> DataFrame:
+    """Write a table at a new path and return it as stored; refused if it lacks fields of the schema or has null or repeated keys.
+
+    The rows are written aside first and checked as written, then take their place, so what is refused was never there.
+    """
+    lacking = missing_columns(df, schema) if schema is not None else []
+    if lacking:
+        raise ValueError(f"columns missing or of another type: {', '.join(lacking)}")
+    spark, aside = df.sparkSession, f"{path.rstrip('/')}.unchecked"
+    df.write.mode("overwrite").parquet(aside)
+    stored = spark.read.schema(df.schema).parquet(aside)
+    bad = violations(stored, key).limit(3).collect()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if bad or fs.exists(p(path)):
+        fs.delete(p(aside), True)
+        raise ValueError(f"keys null or repeated, such as {', '.join(str(r[0]) for r in bad)}" if bad else f"{path} exists")
+    fs.rename(p(aside), p(path))
+    return spark.read.schema(df.schema).parquet(path)

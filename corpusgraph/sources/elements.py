@@ -56,7 +56,7 @@ def read_cache(spark: SparkSession, root: str) -> DataFrame:
 
     Files that Spark wrote hold an object a line, others one object each."""
     path = F.col("_metadata.file_path")
-    mine = path.rlike(r"/results_[^/]*/") & ~path.rlike(r"/(\.rag_manifest|progress)\.json$")
+    mine = path.rlike(r"/results_[^/]*/") & ~path.rlike(r"/(\.\w*manifest|progress)\.json$")
     told = lambda df: df.where(mine).select(path.alias("file_path"), F.col("value").alias("json")).where(F.length(F.trim("json")) > 0)
     lines = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter="part-*.json")
     whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").where(~path.rlike(r"/part-[^/]*$"))
@@ -87,7 +87,7 @@ def read_progress(spark: SparkSession, root: str) -> DataFrame:
     return now.select(F.lit("file").alias("kind"), F.col("path").alias("key"), "sha256", "state", "at").select(*PROGRESS.names)
 
 
-def analyse(spark: SparkSession, root: str, cache: str, *, parser: str = "tree-sitter", project: str = "rag", explain=None, only: list[str] | None = None) -> dict[str, int]:
+def analyse(spark: SparkSession, root: str, cache: str, *, parser: str = "tree-sitter", project: str = "", explain=None, only: list[str] | None = None) -> dict[str, int]:
     """Parse the files below `root` that the cache does not hold in their present form, and store their elements as one version.
 
     explain: a function over elements that sets explanations, if wanted. only: look at these paths alone. Returns how many files
@@ -123,7 +123,7 @@ def main(argv: list[str] | None = None) -> dict[str, int]:
     a.add_argument("--root-dir", required=True)
     a.add_argument("--output-dir", default="./ast_cache")
     a.add_argument("--parser-type", default="tree-sitter", choices=sorted(parse.PARSERS))
-    a.add_argument("--project-module", default="rag")
+    a.add_argument("--project-module", default="")
     a.add_argument("--generate-explanations", action="store_true")
     a.add_argument("--llm-provider", default="offline")
     a.add_argument("--max-concurrent", type=int, default=5)

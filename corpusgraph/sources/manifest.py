@@ -31,7 +31,7 @@ class Manifest:
 def snapshot(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """(path, mtime in seconds, sha256) of all files below a folder; the manifest's own folder and progress files do not count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    own = F.col("path").rlike(r"/(manifest|progress)/|/(\.rag_manifest|progress)\.json$")
+    own = F.col("path").rlike(r"/(manifest|progress)/|/(\.\w*manifest|progress)\.json$")
     return files.where(~own).select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
 
 

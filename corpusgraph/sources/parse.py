@@ -134,7 +134,7 @@ def _quoted(source: str, body: list[ast.stmt]) -> str:
     return told.strip("'\"")
 
 
-def parse_tree(source: str, path: str, project: str = "rag") -> list[dict]:
+def parse_tree(source: str, path: str, project: str = "") -> list[dict]:
     """Top-level definitions, decorated ones too, each with all the file's imports from the project."""
     tree = ast.parse(source)
     scope, module = Scope(tree, path), module_of(path)
@@ -233,7 +233,7 @@ class _Walk:
         self.owner = before
 
 
-def parse_ast(source: str, path: str, project: str = "rag") -> list[dict]:
+def parse_ast(source: str, path: str, project: str = "") -> list[dict]:
     """Classes and functions, nested ones included; methods are names in their class."""
     walk = _Walk(source, path, project)
     walk.see(ast.parse(source))
@@ -262,7 +262,7 @@ DDL = (
 )
 
 
-def parse_files(files: DataFrame, parser: str = "tree-sitter", project: str = "rag") -> DataFrame:
+def parse_files(files: DataFrame, parser: str = "tree-sitter", project: str = "") -> DataFrame:
     """Elements of files (file_path, source) with their id; a file that fails has one row with an error instead.
 
     A null source counts as empty; an empty file has no rows.

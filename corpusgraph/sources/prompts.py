@@ -13,16 +13,17 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXPLAIN = """You describe a Python {{ type }} so that it can be found by searching.
-Type: {{ type }}
-Name: {{ name }}
-File: {{ file_path }}
-{% if parameters %}Parameters: {{ parameters }}{% endif %}
-{% if return_type %}Returns: {{ return_type }}{% endif %}
-{% if docstring %}Docstring: {{ docstring }}{% endif %}
-Code:
+EXPLAIN = """An entry of a code index is below, its source first. Write the lines that a developer would search for to find it.
+Source:
 {{ code }}
-Say what it does, how, and when to use it; state only what the code shows."""
+{% if calls %}It calls {{ calls }}.{% endif %}
+{% if base_classes %}It extends {{ base_classes }}.{% endif %}
+{% if methods %}Its methods are {{ methods }}.{% endif %}
+{% if parameters %}It takes {{ parameters }}.{% endif %}
+{% if docstring %}Its author says: {{ docstring }}{% endif %}
+Found in {{ file_path }} as a {{ type }}.
+Name: {{ name }}
+Give the task it serves in one line, then the words and names that lead to it. Add nothing that is not shown."""
 
 _LINE_IF = re.compile(r"\s*\{%-?\s*if\s+(\w+)\s*-?%\}(.*)\{%-?\s*endif\s*-?%\}\s*")
 _VALUE = re.compile(r"\{\{\s*(\w+)\s*\}\}")

@@ -13,7 +13,7 @@ from ..sources import parse
 PATHS = 1000
 
 
-def follow(spark: SparkSession, root: str, cache: str, notices: str, checkpoint: str, *, parser: str = "tree-sitter", project: str = "rag", explain=None):
+def follow(spark: SparkSession, root: str, cache: str, notices: str, checkpoint: str, *, parser: str = "tree-sitter", project: str = "", explain=None):
     """A stream writer that keeps the versioned cache of the Python files below `root` up to date. Start it with `.start()`.
 
     Spark's file source never reads a path twice, so it is not the files that stream but notices of change: JSON lines with a `path`
@@ -31,7 +31,7 @@ def follow(spark: SparkSession, root: str, cache: str, notices: str, checkpoint:
     return told.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
 
 
-def watch(spark: SparkSession, root: str, elements: str, checkpoint: str, *, parser: str = "tree-sitter", project: str = "rag"):
+def watch(spark: SparkSession, root: str, elements: str, checkpoint: str, *, parser: str = "tree-sitter", project: str = ""):
     """A stream writer of the Python files that come below `root`, each read once (for edits and removals see `follow`). A batch's elements
     are appended to the table at `elements`, its failures (file_path, error) to the one at `elements`-errors, in folders by
     batch, so a batch that is run again replaces what it wrote. Paths are relative to root, as in a scan. Start it with `.start()`."""

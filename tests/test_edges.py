@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph import engine
+from corpusgraph import engine, providers, schemas
 from corpusgraph.operators import graph, ranking
 
 SCHEMA = "id string, name string, base_classes array<string>, calls array<string>, dependencies array<string>"
@@ -74,3 +74,26 @@ def test_metrics(spark):
     for f in (lambda: ranking.vector(v, q, 3, "manhattan"), lambda: engine.Settings(metric="manhattan").checked()):
         with pytest.raises(ValueError, match="unknown metric"):
             f()
+
+
+def test_checked_writes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    assert schemas.write_checked(good, path).count() == 2
+    with pytest.raises(ValueError, match="exists"):
+        schemas.write_checked(good, path)
+    for bad in (good.union(good), good.union(spark.createDataFrame([(None, 3)], good.schema))):
+        with pytest.raises(ValueError, match="null or repeated"):
+            schemas.write_checked(bad, str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="missing"):
+        schemas.write_checked(good, str(tmp_path / "bad"), schemas.MANIFEST)
+    assert not (tmp_path / "bad").exists() and not (tmp_path / "bad.unchecked").exists()
+
+
+def test_providers_are_registered_once():
+    make = providers.Echo
+    providers.register_llm("twice")(make)
+    providers.register_llm("twice")(make)
+    with pytest.raises(ValueError, match="already"):
+        providers.register_llm("twice")(lambda: None)
+    del providers.LLMS["twice"]
