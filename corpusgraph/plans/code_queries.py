@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import engine, providers, schemas, work
 from ..functions import text as X
-from ..operators import adjacency, evaluate, graph, hashtree, incremental, inverted, pivots, ranking
+from ..operators import adjacency, evaluate, graph, hashtree, incremental, inverted, learned, pivots, ranking
 from ..operators.quantiles import quantiles
 from ..sources import elements, manifest, parse, versions
 from ..sources.prompts import Prompt
@@ -314,6 +314,16 @@ def vector_pivots(spark, sf):
     return pivots.search(pivots.build(c.vectors), _vector_queries(spark, sf), 10)
 
 
+@query()
+def rerank_learned(spark, sf):
+    """Items with odd numbers, their hits ranked by a model fitted on those with even ones; documents of good quality are relevant."""
+    c, q = _corpus(spark, sf), _queries(spark, sf)
+    hits = inverted.search(c.index(), q, 30)
+    good = _t(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("node_id")).distinct()
+    model = learned.fit(hits.where("query_id % 2 = 0"), c.docs, q, hits.join(good, "node_id", "left_semi"))
+    return model(hits.where("query_id % 2 = 1"), c.docs, q, 10)
+
+
 @query(_UNION_SQL)
 def expand_three_ways(spark, sf):
     return graph.expand_all(inverted.search(_corpus(spark, sf).index(), _queries(spark, sf), 10), _doc_graph(spark, sf), _doc_edges(spark, sf))
