@@ -2,7 +2,8 @@
 
 Records hash into `slots` virtual slots, whose number never changes. Bytes are summed per slot, and a
 versioned slot-to-shard map decides the shard: version 1 deals slots out in turn, each later version is an
-edit of the one before. `rebalance` leaves a slot where it is as long as its shard stays within the mean load
+edit of the one before. A run with a map of its own (`map_path`) reads the newest version there, and appends an edited one only if slots
+have to move. `rebalance` leaves a slot where it is as long as its shard stays within the mean load
 and moves the others to the least loaded shard, largest first; `grow` moves slots only into the new shard.
 Only slot statistics (one row per slot, a fixed number) ever meet in one task; records are never gathered.
 
@@ -60,7 +61,7 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
         aggregate(items,
           struct(array_repeat(0L, {shards}) AS loads, cast(array() AS array<int>) AS out),
           (acc, x) -> transform(array(
-              if(acc.loads[x.shard] + x.bytes <= mean, x.shard,
+              if(x.shard < {shards} AND acc.loads[x.shard] + x.bytes <= mean, x.shard,
                  cast(array_position(acc.loads, array_min(acc.loads)) - 1 AS int))),
             t -> struct(transform(acc.loads, (v, i) -> if(i = t, v + x.bytes, v)) AS loads,
                         concat(acc.out, array(t)) AS out))[0],
@@ -108,15 +109,44 @@ def place(recs: DataFrame, slot_map: DataFrame, stats: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, *, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text",
           map_path: str | None = None) -> DataFrame:
-    """Shard a table by bytes: statistics, stored map versions 1 and 2, placement by the newest version."""
+    """Shard a table by bytes: statistics, the newest map with the edit that they ask for, placement by it.
+
+    map_path: the folder of a map that lives on; without it versions 1 and 2 are made in a new folder. A map of more shards than
+    `shards` gives up those beyond, one of fewer fills the new ones by moving slots there.
+    """
     spark = docs.sparkSession
     root = map_path or shared_dir(spark)
     recs = records(docs, id_col=id_col, text_col=text_col, slots=slots)
     stats = stored(slot_bytes(recs, slots).coalesce(1), f"{root}/slot_bytes")
-    first = initial_map(spark, shards, slots)
-    versions = stored(first.unionByName(rebalance(first, stats, shards)).coalesce(1), f"{root}/slot_map")
-    newest = versions.where(F.col("version") == 2)
-    return place(recs, newest, stats)
+    return place(recs, newest_map(spark, root, stats, shards, slots), stats)
+
+
+def newest_map(spark: SparkSession, root: str, stats: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """The newest map stored below `root`, after the edit that the statistics ask for; that edit is appended as a version of its own.
+
+    The map's rows, one a slot in each version, are appended and never changed, so every version can be read.
+    """
+    at = f"{root.rstrip('/')}/slot_map"
+    if not _exists(spark, at):
+        first = initial_map(spark, shards, slots)
+        versions = stored(first.unionByName(rebalance(first, stats, shards)).coalesce(1), at)
+        return versions.where(F.col("version") == 2)
+    kept = spark.read.parquet(at)
+    if kept.select("virtual_slot").distinct().count() != slots:
+        raise ValueError(f"the map at {at} has another number of slots than {slots}")
+    last = kept.agg(F.max("version")).first()[0]
+    now = kept.where(F.col("version") == last)
+    edit = rebalance(now, stats, shards)
+    was = now.select("virtual_slot", F.col("shard").alias("was"))
+    if edit.join(was, "virtual_slot").where("shard <> was").isEmpty():
+        return now
+    edit.select(*kept.columns).coalesce(1).write.mode("append").parquet(at)
+    return spark.read.schema(kept.schema).parquet(at).where(F.col("version") == last + 1)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
