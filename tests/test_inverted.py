@@ -72,7 +72,9 @@ def test_other_parameters_and_empty_table(spark):
 
 def test_blocks_and_ranges_are_skipped(spark, monkeypatch):
     monkeypatch.setattr(inverted, "ONE_ROUND", 0)
-    index = inverted.build(spark.createDataFrame(corpus(20_000), "node_id long, text string").orderBy("node_id").coalesce(1))
+    # Texts that are alike stand together, in partitions enough that build does not deal them out anew.
+    docs = spark.createDataFrame(corpus(20_000), "node_id long, text string").repartitionByRange(spark.sparkContext.defaultParallelism, "node_id").sortWithinPartitions("node_id")
+    index = inverted.build(docs)
     q = spark.createDataFrame([(1, "ab cd"), (2, "ab cd w3")], "query_id long, text string")
     told = inverted.found(index, q, 10).where("query_id IS NULL").agg(F.sum("scored").alias("scored"), F.sum("skipped").alias("skipped")).first()
     asked, small = inverted.asked_terms(index, q)
