@@ -2,8 +2,9 @@
 
 Each stage works on all documents its predecessor kept. All stages but the last return the columns of documents, extra
 ones included. Null and empty texts are documents without words: near-dedup and substring dedup leave them alone, as does
-decontamination. Rows that share an id are documents of their own. Repeated rows: one stays after near-dedup. A null id
-stays (near-dedup groups it under the smallest id in reach) and loses no words. An empty table passes every stage.
+decontamination. Rows that share an id are documents of their own. Repeated rows: one stays after near-dedup. A document
+without an id goes in near-dedup if it resembles one that has an id, and stays otherwise; substring dedup takes no words from it. An empty
+table passes every stage.
 """
 
 from __future__ import annotations
