@@ -14,6 +14,7 @@ from .mixing import op13_source_mixing
 from .names import ORACLE as NAMES_SQL
 from .names import op11_name_join
 from .neardup import op4_minhash_dedup
+from .oracle import NEAR_DUPLICATES, REPEATS
 from .pieces import op1_sentencepiece
 from .quality import op10_quality_classifier
 from .search import ORACLE as SEARCH_SQL
@@ -39,4 +40,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where it can express the whole result.
-ORACLE: dict[str, str] = {"op11_name_join": NAMES_SQL, "op12_lexical_search": SEARCH_SQL}
+ORACLE: dict[str, str] = {"op4_minhash_dedup": NEAR_DUPLICATES, "op7_substring_dedup": REPEATS, "op11_name_join": NAMES_SQL, "op12_lexical_search": SEARCH_SQL}
