@@ -27,7 +27,8 @@ from .. import work
 from ..functions.text import tokens
 from . import ranking
 
-RANGE = 1024
+#: Documents of a range, 32,767 at most; a rare term's row costs more than its documents, so ranges are wide.
+RANGE = 8192
 BLOCK = 64
 #: A bound counts as reaching a floor that it misses by less; scores are compared after rounding to six places.
 SLACK = 1e-5
@@ -69,13 +70,13 @@ def _pack(batches):
             n = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int32)
             coded = part.column(1).flatten().dictionary_encode()
             pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * RANGE + np.repeat(np.arange(len(n)), n), return_counts=True)
-            term, doc = pair // RANGE, (pair % RANGE).astype(np.int32)
+            term, doc = pair // RANGE, pair % RANGE
             at = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
             ids = part.column(0).to_numpy().astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([number], [""], [len(n)], [int(n.sum())], [ids], [b""], [b""]), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], _names(_PACKS))
             if len(term):
                 same = [pa.array(np.full(len(at) - 1, number)), coded.dictionary, pa.array(np.diff(at)), pa.array(np.zeros(len(at) - 1, np.int64))]
-                yield pa.RecordBatch.from_arrays([*same, _cut(doc, at), _cut(tf.astype(np.int32), at), _cut(n[doc], at)], _names(_PACKS))
+                yield pa.RecordBatch.from_arrays([*same, _cut(doc.astype(np.int16), at), _cut(tf.astype(np.int32), at), _cut(n[doc], at)], _names(_PACKS))
             number += 1
 
 
@@ -86,7 +87,7 @@ def _weigh(avgdl: float, k1: float, b: float):
         for p in batches:
             if not p.num_rows:
                 continue
-            docs, tf, size = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.int32) for c in ("docs", "tfs", "sizes"))
+            docs, tf, size = (np.frombuffer(b"".join(p.column(c).to_pylist()), t) for c, t in (("docs", np.int16), ("tfs", np.int32), ("sizes", np.int32)))
             part = tf / (tf + k1 * (1 - b + b * size / avgdl))
             ends = np.concatenate([[0], np.cumsum(p.column("df").to_numpy())])
             row = np.repeat(np.arange(p.num_rows), np.diff(ends))
@@ -94,7 +95,7 @@ def _weigh(avgdl: float, k1: float, b: float):
             high = np.maximum.reduceat(part, first)
             at = np.searchsorted(row[first], np.arange(p.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [p.column("range"), p.column("term"), p.column("df"), pa.array(np.maximum.reduceat(part, ends[:-1])), p.column("docs"), _cut(part, ends), _cut((docs[first] // BLOCK).astype(np.int32), at), _cut(high, at)], _names(_ROWS)
+                [p.column("range"), p.column("term"), p.column("df"), pa.array(np.maximum.reduceat(part, ends[:-1])), p.column("docs"), _cut(part, ends), _cut((docs[first] // BLOCK).astype(np.int16), at), _cut(high, at)], _names(_ROWS)
             )
 
     return run
@@ -118,6 +119,7 @@ def build(docs: DataFrame, path: str | None = None, *, k1: float = 1.5, b: float
     postings = spark.table(name)
     terms = work.stored(postings.groupBy("term").agg(F.sum("df").alias("df")), f"{root}/terms")
     ids = work.stored(whole.select("range", F.col("docs").alias("ids")), f"{root}/ids")
+    work.forget(spark, f"{root}/packs")
     return TextIndex(postings, ids, terms, n, size / max(n, 1), ranges)
 
 
@@ -178,7 +180,7 @@ def _score(k: int | None):
                 if not term:
                     ids = np.frombuffer(docs, "<i8")
                     continue
-                row = np.frombuffer(docs, np.int32), np.frombuffer(parts, np.float64), np.frombuffer(blocks, np.int32), np.frombuffer(highs, np.float64)
+                row = np.frombuffer(docs, np.int16), np.frombuffer(parts, np.float64), np.frombuffer(blocks, np.int16), np.frombuffer(highs, np.float64)
                 for x in askers:
                     asked.setdefault(x["query_id"], []).append((x["weight"], *row))
                     least[x["query_id"]] = x["least"]

@@ -19,7 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpusgraph-{uuid.uuid4().hex}"
 
 
+#: Has Spark remove a query's shuffle files when the query ends, so that steps do not add up on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it back: a cut of lineage that survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

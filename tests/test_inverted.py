@@ -48,6 +48,7 @@ QUERIES = [(1, "ab cd"), (2, "ab cd ab w3"), (3, None), (4, "nothing-like this")
 
 @pytest.mark.parametrize(("parts", "small"), [(1, True), (4, True), (3, False)])
 def test_equals_a_loop(spark, monkeypatch, parts, small):
+    monkeypatch.setattr(inverted, "RANGE", 1024 if parts == 3 else 8192)
     if not small:
         monkeypatch.setattr(inverted, "BROADCAST", 0)
     if parts > 1:
@@ -71,6 +72,7 @@ def test_other_parameters_and_empty_table(spark):
 
 
 def test_blocks_and_ranges_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "RANGE", 1024)
     monkeypatch.setattr(inverted, "ONE_ROUND", 0)
     # Texts that are alike stand together, in partitions enough that build does not deal them out anew.
     docs = spark.createDataFrame(corpus(20_000), "node_id long, text string").repartitionByRange(spark.sparkContext.defaultParallelism, "node_id").sortWithinPartitions("node_id")
