@@ -8,8 +8,10 @@ as repeated where the same words start in a document with a smaller id. Repeated
 maximal repeats, whose words go. Content is compared by 96-bit fingerprints of the word sequence.
 
 Probes travel packed: for each slice of documents and each partition of the hash space one row holds 40-bit hashes and
-word positions as byte gaps, about 7 bytes a word. A partition holds a fixed share of the hash space, so a common
-passage adds its probes to a few of them and pairs of occurrences are never formed.
+word positions as byte gaps, about 7 bytes a word. A partition holds a fixed share of the hash space. What repeats
+inside a slice is settled there: of equal probes the first goes to the hash space and all are anchors, of equal windows only those of
+the slice's smallest id go and all others are repeats. What is settled travels dealt by document, so a passage in every
+document adds a probe for each slice to its partition, not one for each document, and pairs of occurrences are never formed.
 
 Defined results: null and empty texts have no words; documents shorter than the window lose nothing; a repeat
 inside one document, or between rows with one id, is no repeat; rows that share an id each lose their own repeats; equal texts keep their words only under the
@@ -56,9 +58,8 @@ def _positions(gaps: bytes, wide: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, counts)
 
 
-def _pack(parts: int, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, hashes: np.ndarray, high: np.ndarray, marks: np.ndarray | None):
-    """One row for each partition of the hash space. keys: ids and rows by index; hashes: an array of bytes a row."""
-    part = ((high >> U64(40)) % U64(parts)).astype(np.int64)
+def _pack(parts: int, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, part: np.ndarray, hashes: np.ndarray | None = None, marks: np.ndarray | None = None):
+    """One row for each partition. keys: ids and rows by index; hashes: an array of bytes a row, none for what is settled."""
     order = np.argsort(part, kind="stable") if parts > 1 else np.arange(len(part))
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     cols = [[] for _ in _NAMES]
@@ -69,12 +70,32 @@ def _pack(parts: int, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, hashes
         first = np.flatnonzero(np.diff(doc[i], prepend=-1))
         gaps, wide = _gaps(pos[i], first)
         counts = np.diff(np.append(first, len(i))).astype("<u4")
-        row = p, keys[doc[i[first]]].astype("<i8").tobytes(), counts.tobytes(), gaps, wide, hashes[i].tobytes(), b"" if marks is None else np.packbits(marks[i]).tobytes()
+        row = p, keys[doc[i[first]]].astype("<i8").tobytes(), counts.tobytes(), gaps, wide, b"" if hashes is None else hashes[i].tobytes(), b"" if marks is None else np.packbits(marks[i]).tobytes()
         for c, v in zip(cols, row, strict=True):
             c.append(v)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
 
+def _share(h: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of the hash space that a hash lies in."""
+    return ((h >> U64(40)) % U64(parts)).astype(np.int64)
+
+
+def _deal(rows: np.ndarray, parts: int) -> np.ndarray:
+    """The partition that a document's row is dealt to."""
+    return (mix(rows.astype(U64)) % U64(parts)).astype(np.int64)
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal entries, the first key deciding first: their order, where each group starts in it, and the group of each entry in order."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _low(h: np.ndarray, n: int) -> np.ndarray:
     """The low n bytes of each hash, as rows of bytes."""
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]
@@ -92,8 +113,17 @@ def _probes(parts: int, window: int, block: int):
             pos, doc = whole_windows(off, block)
             inside = np.isin(doc, long)
             pos, doc = pos[inside], doc[inside]
-            h, at = h[pos], pos - off[:-1][doc]
-            yield _pack(parts, _keys(b), doc, at, _low(h, 5), h, at % block == 0)
+            h, at, keys = h[pos], pos - off[:-1][doc], _keys(b)
+            order, start, group = _groups(h)
+            marks = np.zeros(len(h), bool)
+            marks[order[start]] = np.logical_or.reduceat((at % block == 0)[order], start)
+            first = np.zeros(len(h), bool)
+            first[order[start]] = True
+            again = np.zeros(len(h), bool)
+            again[order] = (np.bincount(group) > 1)[group]
+            yield _pack(parts, keys, doc[first], at[first], _share(h[first], parts), _low(h[first], 5), marks[first])
+            if again.any():
+                yield _pack(parts, keys, doc[again], at[again], _deal(keys[doc[again], 1], parts))
 
     return run
 
@@ -104,7 +134,8 @@ def _keys(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _unpack_all(rows: list[tuple], width: int):
-    """Documents (id and row), each probe's document by its number, positions, hashes as bytes and marks of packed rows."""
+    """Documents (id and row), each probe's document by its number, positions, hashes as bytes (of no width for what is settled)
+    and marks of packed rows."""
     keys, of, pos, hashes, marks, n = [], [], [], [], [], 0
     for docs, counts, gaps, wide, h, m in rows:
         c = np.frombuffer(counts, "<u4").astype(np.int64)
@@ -112,7 +143,7 @@ def _unpack_all(rows: list[tuple], width: int):
         of.append(np.repeat(np.arange(n, n + len(c), dtype=np.int32), c))
         n += len(c)
         pos.append(_positions(gaps, wide, c).astype(np.uint32))
-        hashes.append(np.frombuffer(h, np.uint8).reshape(-1, width))
+        hashes.append(np.frombuffer(h, np.uint8).reshape(len(pos[-1]), width))
         if m:
             marks.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(pos[-1])).astype(bool))
     return np.concatenate(keys), np.concatenate(of), np.concatenate(pos), np.concatenate(hashes), np.concatenate(marks) if marks else None
@@ -133,6 +164,16 @@ def _by_part(batches):
         yield rows
 
 
+def _settled(rows: list[tuple], parts: int):
+    """The places that a slice has settled, and the packed rows that it has not."""
+    known = [r for r in rows if not r[4]]
+    out = []
+    if known:
+        keys, of, pos, *_ = _unpack_all(known, 0)
+        out = list(_marked(parts, keys[of], pos))
+    return out, [r for r in rows if r[4]]
+
+
 def _number(raw: np.ndarray) -> np.ndarray:
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, : raw.shape[1]] = raw
@@ -144,7 +185,7 @@ MARKED = "to int, docs binary, counts binary, at binary"
 
 def _marked(parts: int, ids: np.ndarray, pos: np.ndarray):
     """Places to tell documents of, packed: one row for each partition of the documents."""
-    to = (mix(ids[:, 1].astype(U64)) % U64(parts)).astype(np.int64)
+    to = _deal(ids[:, 1], parts)
     order = np.lexsort((pos, ids[:, 0], ids[:, 1], to))
     to, ids, pos = to[order], ids[order], pos[order]
     bounds = np.searchsorted(to, np.arange(parts + 1))
@@ -178,10 +219,14 @@ def _gather(batches):
 
 
 def _anchors(parts: int):
-    """Probes whose words are a block somewhere and occur at another place as well."""
+    """Probes whose words are a block somewhere and occur at another place as well, and those settled."""
 
     def run(batches):
         for rows in _by_part(batches):
+            known, rows = _settled(rows, parts)
+            yield from known
+            if not rows:
+                continue
             keys, of, pos, raw, marks = _unpack_all(rows, 5)
             h = _number(raw)
             blocks = np.unique(h[marks])
@@ -223,16 +268,27 @@ def _around(parts: int, window: int, block: int):
             w = word_hashes(words)
             one, two = window_hashes(w, window)[starts], window_hashes(w, window, OTHER)[starts]
             raw = np.concatenate([_low(one, 8), _low(two, 4)], axis=1)
-            yield _pack(parts, _keys(b), doc, starts - off[:-1][doc], raw, one, None)
+            keys, at = _keys(b), starts - off[:-1][doc]
+            order, start, group = _groups(one, two & U64(0xFFFFFFFF))
+            ids = keys[doc, 0]
+            late = np.zeros(len(one), bool)
+            late[order] = ids[order] > np.minimum.reduceat(ids[order], start)[group]
+            yield _pack(parts, keys, doc[~late], at[~late], _share(one[~late], parts), raw[~late])
+            if late.any():
+                yield _pack(parts, keys, doc[late], at[late], _deal(keys[doc[late], 1], parts))
 
     return run
 
 
 def _later(parts: int):
-    """Windows whose words also start in a document with a smaller id."""
+    """Windows whose words also start in a document with a smaller id, and those settled."""
 
     def run(batches):
         for rows in _by_part(batches):
+            known, rows = _settled(rows, parts)
+            yield from known
+            if not rows:
+                continue
             keys, of, pos, raw, _ = _unpack_all(rows, 12)
             a, b = _number(raw[:, :8]), _number(raw[:, 8:])
             ids = keys[of, 0]
