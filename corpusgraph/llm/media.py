@@ -7,7 +7,8 @@ whole bytes, before byte stuffing. Quantisation is 1, so nothing is lost. A comm
 
 `decode` reads any baseline JPEG (8 bits, Huffman, one scan): it parses the markers, Huffman-decodes the scan and
 rebuilds the luminance thumbnail from DC coefficients alone, one pixel a block. Scans whose tables give one
-length to every symbol in use, like those above, are unpacked in whole arrays; others symbol by symbol.
+length to every symbol in use, like those above, are unpacked in whole arrays; others symbol by symbol, by tables over the next 16
+bits and a window of a few bytes, in time that grows with the scan.
 
 Defined results: a null payload is empty (one block of zeros); equal payloads give equal files; ids may repeat or be
 null; an empty table gives an empty result; other columns are not read. A file that is not baseline JPEG gives
@@ -126,6 +127,8 @@ class Jpeg:
             codes, code, k = {}, 0, 0
             for length, n in enumerate(counts, 1):
                 for _ in range(n):
+                    if code >> length:
+                        raise ValueError("a table has too many codes")
                     codes[(length, code)] = symbols[k]
                     code, k = code + 1, k + 1
                 code <<= 1
@@ -173,6 +176,46 @@ def _unpack(jpeg: Jpeg) -> np.ndarray | None:
     return None if zero.any() else out.reshape(-1, 64)
 
 
+def _lookup(codes: dict[tuple[int, int], int]) -> list[int]:
+    """By the next 16 bits: 256 times the code's length, plus its symbol; 0 where no code begins so."""
+    table = np.zeros(1 << 16, np.int32)
+    for (length, code), symbol in codes.items():
+        table[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
+    return table.tolist()
+
+
+class _Bits:
+    """The bits of one restart interval, and up to 32 ones after it, read through a window of a few bytes."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.n, self.left = data + b"\xff" * 8, 0, 0, 0, (len(data) + 4) * 8
+
+    def peek(self, k: int) -> int:
+        while self.n < k:
+            self.held = self.held << 8 | self.data[self.at]
+            self.at, self.n = self.at + 1, self.n + 8
+        return self.held >> (self.n - k)
+
+    def skip(self, k: int) -> None:
+        if k > self.left:
+            raise ValueError("the scan ends early")
+        self.left, self.n = self.left - k, self.n - k
+        self.held &= (1 << self.n) - 1
+
+    def symbol(self, table: list[int]) -> int:
+        entry = table[self.peek(16)]
+        if not entry:
+            raise ValueError("an unknown code")
+        self.skip(entry >> 8)
+        return entry & 255
+
+    def value(self, k: int) -> int:
+        """A number of size category k."""
+        v = self.peek(k)
+        self.skip(k)
+        return v if not k or v >> (k - 1) else v - (1 << k) + 1
+
+
 def _walk(jpeg: Jpeg) -> tuple[dict[int, np.ndarray], list[list[int]]]:
     """Symbol by symbol: the DC coefficients of each component as a grid of blocks, and each block's coefficients."""
     data, at = jpeg.intervals()
@@ -183,46 +226,26 @@ def _walk(jpeg: Jpeg) -> tuple[dict[int, np.ndarray], list[list[int]]]:
     grid = {c: np.zeros((mh * (1 if single else v), mw * (1 if single else h)), np.int32) for c, h, v, _ in jpeg.parts}
     blocks: list[list[int]] = []
     mcu, total = 0, mw * mh
+    tables = {k: _lookup(codes) for k, codes in jpeg.huff.items()}
     for a, b in zip(at, at[1:], strict=False):
-        bits = int.from_bytes(data[a:b].tobytes() + b"\xff\xff\xff\xff", "big")
-        n, pos, pred = (int(b) - int(a) + 4) * 8, 0, dict.fromkeys(grid, 0)
-
-        def take(k: int, bits=bits, n=n) -> int:
-            nonlocal pos
-            if pos + k > n:
-                raise ValueError("the scan ends early")
-            pos += k
-            return (bits >> (n - pos)) & ((1 << k) - 1)
-
-        def symbol(codes: dict) -> int:
-            code = 0
-            for length in range(1, 17):
-                code = (code << 1) | take(1)
-                if (length, code) in codes:
-                    return codes[(length, code)]
-            raise ValueError("an unknown code")
-
-        def value(k: int) -> int:
-            v = take(k) if k else 0
-            return v if not k or v >> (k - 1) else v - (1 << k) + 1
-
+        bits, pred = _Bits(data[a:b].tobytes()), dict.fromkeys(grid, 0)
         for _ in range(min(jpeg.restart or total, total - mcu)):
             for c, h, v, _q in jpeg.parts:
-                dc, ac = jpeg.huff[jpeg.tables[c][0]], jpeg.huff[16 + jpeg.tables[c][1]]
+                dc, ac = tables[jpeg.tables[c][0]], tables[16 + jpeg.tables[c][1]]
                 for y in range(1 if single else v):
                     for x in range(1 if single else h):
                         block = [0] * 64
-                        pred[c] += value(symbol(dc))
+                        pred[c] += bits.value(bits.symbol(dc))
                         block[0], k = pred[c], 1
                         while k < 64:
-                            s = symbol(ac)
+                            s = bits.symbol(ac)
                             if s == 0:
                                 break
                             k += s >> 4
                             if s & 15:
                                 if k > 63:
                                     raise ValueError("a run leaves its block")
-                                block[k] = value(s & 15)
+                                block[k] = bits.value(s & 15)
                             k += 1
                         row, col = divmod(mcu, mw)
                         grid[c][row * (1 if single else v) + y, col * (1 if single else h) + x] = block[0]
