@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import U64, pieces_of, table, tidy
 
 Q, RATE, STRETCH, BITS = 8, 0.08, 128, 22
+#: Shared q-grams that are counted at once.
+SOME = 1 << 18
 SPREAD = U64(0x9E3779B97F4A7C15)
 
 
@@ -132,17 +134,41 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tu
     return (edits, len(text) - rest, int(diag[d]) + len(item)) if edits <= k else None
 
 
-def _bands(items: Items, place: np.ndarray, cp_at: np.ndarray):
-    """(item, lowest diagonal, highest) of the bands that meet the bound; shared q-grams: places in text by place in table."""
-    item = items.item[place]
-    diag = cp_at - items.place[place]
-    half = items.budget[item] + 1
-    cell = diag // half
-    # A band is two neighbouring cells; count each cell once for the band it begins and once for the one it ends.
-    least = int(cell.min()) - 1
-    wide = int(cell.max()) - least + 1
-    key = item * wide + cell - least
-    band, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+def _cells(items: Items, at: np.ndarray, span: np.ndarray, least: int, wide: int):
+    """Shared q-grams by item and half band, SOME at a time: a q-gram that repeats in text and item makes their product."""
+    total = np.concatenate([[0], np.cumsum(span[:, 1] - span[:, 0])])
+    for a in range(0, int(total[-1]), SOME):
+        pair = np.arange(a, min(a + SOME, int(total[-1])))
+        own = np.searchsorted(total, pair, side="right") - 1
+        place = span[own, 0] + pair - total[own]
+        item = items.item[place]
+        key = item * wide + (at[own] - items.place[place]) // (items.budget[item] + 1) - least
+        low = int(key.min())
+        if int(key.max()) - low < 4 * len(key):
+            count = np.bincount(key - low)
+            some = np.flatnonzero(count)
+            yield some + low, count[some]
+        else:
+            yield np.unique(key, return_counts=True)
+
+
+def _bands(items: Items, at: np.ndarray, span: np.ndarray):
+    """(item, lowest diagonal, highest) of the bands that meet the bound; at: places in the text, span: their ranges in the table."""
+    # Cells lie no farther out than their diagonals.
+    least = min(int(at.min()) - int(items.place.max()), 0) - 1
+    wide = int(at.max()) - least + 1
+    cells, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for key, count in _cells(items, at, span, least, wide):
+        merged = np.union1d(cells, key)
+        total = np.zeros(len(merged), np.int64)
+        total[np.searchsorted(merged, cells)] += held
+        total[np.searchsorted(merged, key)] += count
+        cells, held = merged, total
+    # A band is two neighbouring cells.
+    band = np.union1d(cells, cells - 1)
+    count = np.zeros(len(band), np.int64)
+    count[np.searchsorted(band, cells)] += held
+    count[np.searchsorted(band, cells - 1)] += held
     for i, c in zip(*divmod(band[count >= items.bound[band // wide]], wide), strict=True):
         i, c = int(i), int(c) + least
         h = int(items.budget[i]) + 1
@@ -181,10 +207,8 @@ def _hits(items: Items, cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
 def _of_text(items: Items, cp: np.ndarray, where: np.ndarray, at: np.ndarray, span: np.ndarray) -> list[tuple[int, int, int, int]]:
     if not len(at):
         return []
-    n = span[:, 1] - span[:, 0]
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(span[:, 0], n)
     found: dict[tuple[int, int, int], int] = {}
-    for i, low, high in _bands(items, place, np.repeat(at, n)):
+    for i, low, high in _bands(items, at, span):
         k = int(items.budget[i])
         got = align(items.texts[i], cp, low - k, high + k, k)
         if got:
