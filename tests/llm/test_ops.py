@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +278,39 @@ def test_leaks_with_seven_to_eight_percent_edits(spark):
     assert decontam.without_leaks(d, b).count() == 0
 
 
+def test_bands_equal_a_count_of_all_pairs(monkeypatch):
+    """Counted a few shared q-grams at a time, over texts that repeat themselves and overhang the item on both sides."""
+    monkeypatch.setattr(decontam, "SOME", 37)
+    r = random.Random(6)
+    say = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    for _ in range(30):
+        base = say(60, "abc")
+        items = decontam.index([(1, base), (2, say(40, "ab")), (3, "-" * 90), (4, base[10:50])])
+        text = say(r.randrange(20), "ab") + base[r.randrange(10) :] + "-" * r.randrange(150) + say(20, "abc")
+        cp = decontam.normalise(text)[0]
+        at, span = decontam._hits(items, cp, np.array([0, len(cp)]))
+        want = Counter()
+        for a, (low, high) in zip(at.tolist(), span.tolist(), strict=True):
+            for p in range(low, high):
+                i = int(items.item[p])
+                half = int(items.budget[i]) + 1
+                cell = (a - int(items.place[p])) // half
+                want.update([(i, cell * half, cell * half + 2 * half - 1), (i, cell * half - half, cell * half + half - 1)])
+        assert sorted(decontam._bands(items, at, span)) == sorted(k for k, n in want.items() if n >= items.bound[k[0]])
+
+
+def test_repeated_qgrams_take_bounded_memory():
+    """A run of 20,000 dashes against an item of 2,000: 40 million shared q-grams, never held at once."""
+    items = decontam.index([(1, "-" * 2000), (2, "other words of an item")])
+    text = "before " + "-" * 20_000 + " after other words of an item"
+    tracemalloc.start()
+    got = decontam.matches(items, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert [(i, e) for i, e, _, _ in got if i == 0][0] == (0, 0) and (1, 0, len(text) - 22, len(text)) in got
+
+
 def test_alignment_equals_full_distance():
     r = random.Random(1)
     for _ in range(60):
@@ -394,6 +430,29 @@ def test_substrings(spark, docs, odd, none):
     assert substring.remove_repeats(odd).count() == 5 and substring.remove_repeats(none).count() == 0
 
 
+def test_a_passage_in_every_document_is_one_probe_a_slice(spark):
+    r = random.Random(2)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{r.randrange(10**9)}" for _ in range(i % 40)] + passage + [f"z{r.randrange(10**9)}" for _ in range(3)])) for i in range(5000)]
+    parts, h = 7, substring.word_hashes(pa.array(passage))
+    block = substring.window_hashes(h, 25)[:1]
+    raw, part = substring._low(block, 5).tobytes(), int(substring._share(block, parts)[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "row", "text"])
+    slices = list(substring._probes(parts, 50, 25)(iter([batch])))
+    open_rows = [x for b in slices for x in b.to_pylist() if x["hashes"] and x["part"] == part]
+    held = [x["hashes"][k : k + 5] for x in open_rows for k in range(0, len(x["hashes"]), 5)]
+    cut = len(slices) // 2  # each slice gives what is open, then what is settled
+    assert 1 <= held.count(raw) <= cut
+    settled = [sum(np.frombuffer(x["counts"], "<u4")) for b in slices for x in b.to_pylist() if not x["hashes"]]
+    assert sum(settled) == 5000 * 36 and max(settled) < 2 * sum(settled) / parts  # spread over the partitions
+    windows = batch.append_column("marks", pa.array([[np.array([i % 40], "<u4").tobytes()] for i, _ in rows]))
+    sent = [x for b in substring._around(parts, 50, 25)(iter([windows])) for x in b.to_pylist()]
+    # The windows that meet an anchor: of those that start with the passage, all but one a slice are settled.
+    assert sum(sum(np.frombuffer(x["counts"], "<u4")) for x in sent if not x["hashes"]) == 5000 - cut
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_removed").collect()
+    assert all(g["n_removed"] == (60 if g["doc_id"] else 0) for g in got) and len(got) == 5000
+
+
 def test_rows_that_share_an_id_lose_their_own_words(spark):
     p, u = " ".join(f"p{i}" for i in range(80)), " ".join(f"u{i}" for i in range(100))
     d = spark.createDataFrame([(1, p), (2, p), (2, u), (2, p)], "doc_id long, text string")
@@ -472,6 +531,105 @@ def test_jpeg_of_other_tables():
     assert media.thumbnail(media.Jpeg(file)).tolist() == [[128, 160]]
 
 
+def coded(rows, pad="1"):
+    bits = "".join(rows)
+    bits += pad * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def size_bits(v):
+    k = abs(v).bit_length()
+    return k, format(v if v > 0 else v + (1 << k) - 1, f"0{k}b") if k else ""
+
+
+def table_of(kind, lengths):
+    """A table segment of symbols with the given code lengths, and the codes as bits."""
+    body, codes, code = [sum(n == k for n in lengths.values()) for k in range(1, 17)], {}, 0
+    order = sorted(lengths, key=lambda s: lengths[s])
+    for k in range(1, 17):
+        for s in (s for s in order if lengths[s] == k):
+            codes[s], code = format(code, f"0{k}b"), code + 1
+        code <<= 1
+    return media._segment(0xC4, bytes([kind, *body, *order])), codes
+
+
+def colour_jpeg(height, width, seed, restart=0):
+    """Three components, luminance at 2 x 2, tables with codes of 2 to 16 bits, written bit by bit; and its coefficients by component."""
+    r = random.Random(seed)
+    dc, dc_codes = table_of(0, {k: min(2 + k, 16) for k in range(12)})
+    used = [0x00, 0xF0, *(run << 4 | k for run in (0, 1, 3, 14) for k in (1, 2, 5))]
+    ac, ac_codes = table_of(16, {s: min(2 + i, 16) for i, s in enumerate(used)})
+    mw, mh = -(-width // 16), -(-height // 16)
+    grid = {1: np.zeros((2 * mh, 2 * mw), int), 2: np.zeros((mh, mw), int), 3: np.zeros((mh, mw), int)}
+    scan, rows, blocks, pred = [], [], [], {1: 0, 2: 0, 3: 0}
+    for m in range(mw * mh):
+        if restart and m and m % restart == 0:
+            scan.append(coded(rows) + bytes([255, 0xD0 + (m // restart - 1) % 8]))
+            rows, pred = [], {1: 0, 2: 0, 3: 0}
+        for c in (1, 2, 3):
+            for y, x in ((0, 0), (0, 1), (1, 0), (1, 1)) if c == 1 else ((0, 0),):
+                block, k = [r.randrange(-900, 900)] + [0] * 63, 1
+                grid[c][(m // mw) * (2 if c == 1 else 1) + y, (m % mw) * (2 if c == 1 else 1) + x] = block[0]
+                n, v = size_bits(block[0] - pred[c])
+                rows.append(dc_codes[n] + v)
+                pred[c] = block[0]
+                while k < 64 and r.random() < 0.7:
+                    run, n = r.choice((0, 1, 3, 14)), r.choice((1, 2, 5))
+                    long = r.random() < 0.1
+                    if k + run + 16 * long > 63:
+                        break
+                    v = r.choice((-1, 1)) * r.randrange(1 << (n - 1), 1 << n)
+                    rows.append((ac_codes[0xF0] if long else "") + ac_codes[run << 4 | n] + size_bits(v)[1])
+                    k += run + 16 * long
+                    block[k] = v
+                    k += 1
+                if k < 64:
+                    rows.append(ac_codes[0])
+                blocks.append(block)
+    scan.append(coded(rows))
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    parts = [b"\xff\xd8", media._segment(0xDB, bytes([0] + [1] * 64)), media._segment(0xC0, frame), dc, ac]
+    parts += [media._segment(0xDD, restart.to_bytes(2, "big"))] if restart else []
+    return b"".join([*parts, media._segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])), *scan, b"\xff\xd9"]), grid, blocks
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+def test_jpeg_in_colour(spark, restart):
+    file, grid, blocks = colour_jpeg(40, 70, 3, restart)
+    jpeg = media.Jpeg(file)
+    got, coefficients = media._walk(jpeg)
+    assert coefficients == blocks and all(np.array_equal(got[c], grid[c]) for c in grid)
+    small = np.clip(np.rint(grid[1] / 8 + 128), 0, 255).astype(np.uint8)
+    assert np.array_equal(media.thumbnail(jpeg), small)
+    row = media.features(spark.createDataFrame([(1, file), (2, file[:-40] + b"\xff\xd9")], "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert (row[0]["width"], row[0]["height"], row[0]["error"], row[0]["payload_bytes"]) == (70, 40, None, None)
+    assert row[0]["thumbnail_sha256"] == hashlib.sha256(small.tobytes()).hexdigest() and row[1]["error"] and row[1]["feature"] is None
+
+
+def test_jpeg_decoder_is_linear():
+    """One interval of many blocks: four times the blocks in well under sixteen times the time."""
+    took = []
+    for side in (320, 640):
+        file, _, blocks = colour_jpeg(side, side, 1)
+        began = time.perf_counter()
+        assert media._walk(media.Jpeg(file))[1] == blocks
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
+
+
+def test_media_of_very_long_texts_and_clashing_columns(spark):
+    rows = [(1, "é日😀 " * 700_000), (2, "b" * 64), (2, "b" * 64), (None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = plain
+    for c in ("media", "raw", "feature", "error", "width", "payload_sha256"):
+        clash = clash.withColumn(c, F.lit(7))
+    told = lambda df: sorted(map(str, media.features(media.encode(df)).collect()))
+    assert told(plain) == told(clash)
+    got = by_id(media.features(media.encode(plain)))
+    raw = rows[0][1].encode()
+    assert got[1]["n_bytes"] == len(raw) and got[1]["payload_sha256"] == hashlib.sha256(media.pad64(raw)).hexdigest() and got[None]["n_bytes"] == 0
+
+
 def labelled(spark):
     r = random.Random(5)
     base = [f"word{i}" for i in range(200)]
