@@ -180,42 +180,56 @@ def _number(raw: np.ndarray) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
-MARKED = "to int, docs binary, counts binary, at binary"
+MARKED = "to int, docs binary, counts binary, runs binary"
 
 
 def _marked(parts: int, ids: np.ndarray, pos: np.ndarray):
-    """Places to tell documents of, packed: one row for each partition of the documents."""
+    """Places to tell documents of, packed as runs (first place, length): one row for each partition of the documents."""
     to = _deal(ids[:, 1], parts)
     order = np.lexsort((pos, ids[:, 0], ids[:, 1], to))
     to, ids, pos = to[order], ids[order], pos[order]
+    other = np.ones(len(pos), bool)
+    other[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+    step = np.diff(pos.astype(np.int64), prepend=0)
+    keep = other | (step != 0)  # a place is told once
+    to, ids, pos, other, step = to[keep], ids[keep], pos[keep], other[keep], step[keep]
+    start = np.flatnonzero(other | (step != 1))
+    runs = np.stack([pos[start].astype("<u4"), np.diff(np.append(start, len(pos))).astype("<u4")], axis=1)
+    to, ids, other = to[start], ids[start], other[start]
     bounds = np.searchsorted(to, np.arange(parts + 1))
     rows = []
     for p in range(parts):
         a, z = bounds[p], bounds[p + 1]
         if a < z:
-            first = np.flatnonzero(np.concatenate([[True], (ids[a + 1 : z] != ids[a : z - 1]).any(axis=1)]))
+            first = np.flatnonzero(other[a:z])
             counts = np.diff(np.append(first, z - a)).astype("<u4")
-            rows.append((p, ids[a:z][first].astype("<i8").tobytes(), counts.tobytes(), pos[a:z].astype("<u4").tobytes()))
+            rows.append((p, ids[a:z][first].astype("<i8").tobytes(), counts.tobytes(), runs[a:z].tobytes()))
     if rows:
         kinds = pa.int32(), pa.binary(), pa.binary(), pa.binary()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["to", "docs", "counts", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["to", "docs", "counts", "runs"])
 
 
 def _gather(batches):
-    """One row for each document: all its places."""
+    """One row for each document: all its runs of places."""
     for rows in _by_part(batches):
         n = [np.frombuffer(r[1], "<u4") for r in rows]
         ids = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8").reshape(-1, 2), c, axis=0) for r, c in zip(rows, n, strict=True)])
-        pos = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
-        order = np.lexsort((pos, ids[:, 0], ids[:, 1]))
-        ids, pos = ids[order], pos[order]
+        runs = np.concatenate([np.frombuffer(r[2], "<u4").reshape(-1, 2) for r in rows])
+        order = np.lexsort((runs[:, 0], ids[:, 0], ids[:, 1]))
+        ids, runs = ids[order], runs[order]
         first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
         bounds = np.append(first, len(ids))
         for a in range(0, len(first), 2000):
             z = min(a + 2000, len(first))
-            at = [pos[bounds[i] : bounds[i + 1]].tobytes() for i in range(a, z)]
+            told = [runs[bounds[i] : bounds[i + 1]].tobytes() for i in range(a, z)]
             key = ids[first[a:z]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(at, pa.binary())], ["doc_id", "row", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(told, pa.binary())], ["doc_id", "row", "runs"])
+
+
+def _ends(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last place of each run."""
+    r = np.frombuffer(runs, "<u4").astype(np.int64).reshape(-1, 2)
+    return r[:, 0], r[:, 0] + r[:, 1] - 1
 
 
 def _anchors(parts: int):
@@ -253,10 +267,10 @@ def _around(parts: int, window: int, block: int):
             words, off = split_words(b.column(2), lower=False)
             near = np.zeros(len(words) + 1, np.int32)
             for i, marks in enumerate(b.column(3).to_pylist()):
-                for at in marks:
-                    at = np.frombuffer(at, "<u4").astype(np.int64)
-                    last = np.minimum(at, off[i + 1] - off[i] - window)
-                    start = np.maximum(at - (window - block), 0)
+                for runs in marks:
+                    head, tail = _ends(runs)
+                    last = np.minimum(tail, off[i + 1] - off[i] - window)
+                    start = np.maximum(head - (window - block), 0)
                     ok = last >= start
                     np.add.at(near, off[i] + start[ok], 1)
                     np.add.at(near, off[i] + last[ok] + 1, -1)
@@ -313,11 +327,12 @@ def _cut(window: int):
             for key, text, marks in zip(*(b.column(i).to_pylist() for i in (0, 2, -1)), strict=True):
                 words = (text or "").encode().split()
                 cover = np.zeros(len(words) + 1, np.int32)
-                for at in marks or ():
-                    at = np.frombuffer(at, "<u4").astype(np.int64)
-                    at = at[at + window <= len(words)]
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                for runs in marks or ():
+                    head, tail = _ends(runs)
+                    tail = np.minimum(tail, len(words) - window)
+                    head, tail = head[head <= tail], tail[head <= tail]
+                    np.add.at(cover, head, 1)
+                    np.add.at(cover, tail + window, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
@@ -346,7 +361,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK,
     # Both joins see one and the same plan of dealt texts, so the exchange runs once; rows without an id have no part in it.
     known, key = rows.where("doc_id IS NOT NULL"), ["doc_id", "row"]
     dealt = known.repartition(parts, *key)
-    marks = lambda df: _spread(df, parts, "to").mapInArrow(tidy(_gather), "doc_id long, row long, at binary").select(*key, F.array("at").alias("marks"))
+    marks = lambda df: _spread(df, parts, "to").mapInArrow(tidy(_gather), "doc_id long, row long, runs binary").select(*key, F.array("runs").alias("marks"))
     found = _spread(known.select(*key, "text").mapInArrow(tidy(_probes(parts, window, block)), PACKED), parts).mapInArrow(tidy(_anchors(parts)), MARKED)
     near = dealt.join(marks(found).hint("shuffle_hash"), key).select(*key, "text", "marks")
     windows = near.mapInArrow(tidy(_around(parts, window, block)), PACKED)

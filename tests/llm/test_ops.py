@@ -445,7 +445,7 @@ def test_a_passage_in_every_document_is_one_probe_a_slice(spark):
     assert 1 <= held.count(raw) <= cut
     settled = [sum(np.frombuffer(x["counts"], "<u4")) for b in slices for x in b.to_pylist() if not x["hashes"]]
     assert sum(settled) == 5000 * 36 and max(settled) < 2 * sum(settled) / parts  # spread over the partitions
-    windows = batch.append_column("marks", pa.array([[np.array([i % 40], "<u4").tobytes()] for i, _ in rows]))
+    windows = batch.append_column("marks", pa.array([[np.array([i % 40, 1], "<u4").tobytes()] for i, _ in rows]))
     sent = [x for b in substring._around(parts, 50, 25)(iter([windows])) for x in b.to_pylist()]
     # The windows that meet an anchor: of those that start with the passage, all but one a slice are settled.
     assert sum(sum(np.frombuffer(x["counts"], "<u4")) for x in sent if not x["hashes"]) == 5000 - cut
