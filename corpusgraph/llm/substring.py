@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix, pieces_of, shuffle_partitions, split_words, table, tidy, whole_windows, window_hashes, word_hashes
+from .common import U64, mix, pieces_of, shared_dir, shuffle_partitions, split_words, stored, table, tidy, whole_windows, window_hashes, word_hashes
 
 WINDOW, BLOCK = 50, 25
 #: Weighs words for the second fingerprint.
@@ -350,9 +350,12 @@ def _spread(packed: DataFrame, parts: int, by: str = "part") -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
-                   carry: tuple[str, ...] = ()) -> DataFrame:
+                   carry: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, spans (maximal repeats removed: start and length in words), kept
-    (the words left, joined by one space), then the carried columns as in_<name>. As many rows as came in."""
+    (the words left, joined by one space), then the carried columns as in_<name>. As many rows as came in.
+
+    The places of anchors are stored below `path` (by default a new folder below spark.checkpoint.dir), for as long as the result is read.
+    """
     if 2 * block - 1 > window:
         raise ValueError("a window must contain a whole block wherever it starts")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), *(F.col(c).alias(f"in_{c}") for c in carry))
@@ -363,6 +366,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block: int = BLOCK,
     dealt = known.repartition(parts, *key)
     marks = lambda df: _spread(df, parts, "to").mapInArrow(tidy(_gather), "doc_id long, row long, runs binary").select(*key, F.array("runs").alias("marks"))
     found = _spread(known.select(*key, "text").mapInArrow(tidy(_probes(parts, window, block)), PACKED), parts).mapInArrow(tidy(_anchors(parts)), MARKED)
+    # The anchors' places are few beside the probes, whose exchange goes before texts are dealt.
+    found = stored(found, f"{path or shared_dir(docs.sparkSession)}/anchors")
     near = dealt.join(marks(found).hint("shuffle_hash"), key).select(*key, "text", "marks")
     windows = near.mapInArrow(tidy(_around(parts, window, block)), PACKED)
     late = _spread(windows, parts).mapInArrow(tidy(_later(parts)), MARKED)
