@@ -1,7 +1,7 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, encoding.
 
 Each stage works on all documents its predecessor kept. All stages but the last return the columns of documents, extra
-ones included. Null and empty texts are documents without words: near-dedup and substring dedup leave them alone, as does
+ones included, also those whose names a stage uses itself. Null and empty texts are documents without words: near-dedup and substring dedup leave them alone, as does
 decontamination. Rows that share an id are documents of their own. Repeated rows: one stays after near-dedup. A document
 without an id goes in near-dedup if it resembles one that has an id, and stays otherwise; substring dedup takes no words from it. An empty
 table passes every stage.
@@ -13,22 +13,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import decontam, neardup, pieces, quality, substring
-from corpusgraph.llm.common import shared_dir, stored, table
+from corpusgraph.llm.common import forget, shared_dir, stored, table
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Columns by names of their own, so that none is taken for one that a stage adds."""
+    return docs.toDF(*(f"in_{c}" for c in docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; its fit uses labelled documents that are not held out."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    good = quality.classify(_named(docs), model, text_col="in_text").where("predicted = 1")
+    return good.drop("score", "predicted").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id; of equal rows, one."""
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     # By row, not by id: of rows that share an id only those whose own text is kept stay.
-    left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return left.withColumn("copy", F.row_number().over(same)).where("copy = 1").select(*docs.columns)
+    left = _named(docs).join(kept, F.col("in_doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("in_text") == F.col("kept_hash")), "left_semi")
+    same = Window.partitionBy("in_doc_id", F.xxhash64("in_text")).orderBy("in_doc_id")
+    return left.withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy").toDF(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read by the next."""
+    """All stages over documents; what each returns is written to the shared folder, read by the next and removed once that is
+    written. The folder of the last but one stays for as long as the result is read."""
     docs, root = table(spark, sf_dir, "documents"), shared_dir(spark)
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = stored(docs, f"{root}/stage{n}")
+            if n:
+                forget(spark, f"{root}/stage{n - 1}")
     return docs
