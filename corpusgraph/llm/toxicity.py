@@ -201,8 +201,9 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the intercept comes first."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the intercept comes first. Where a few labels
+    speak against all others a whole step may overshoot without return, so each is halved until the loss does not rise."""
     share = float(y.mean()) if len(y) else 0.5
     beta = np.zeros(x.shape[1] + 1)
     beta[0] = np.log((share + 1e-6) / (1 - share + 1e-6))
@@ -210,10 +211,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
         return beta
     a = np.column_stack([np.ones(len(x)), x])
     penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float(np.logaddexp(0, z).sum() - z @ y + 0.5 * b @ penalty @ b)
+
+    least = loss(beta)
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + penalty, a.T @ (y - q) - penalty @ beta)
-        beta += step
+        while (after := loss(beta + step)) > least and np.abs(step).max() >= 1e-8:
+            step /= 2
+        if after > least:
+            break
+        beta, least = beta + step, after
         if np.abs(step).max() < 1e-8:
             break
     return beta

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -80,3 +81,34 @@ def test_pairs_of_words_mark_clauses():
     assert not of("according. to some he is grumf", t.REPORTED) and not of("to according grumf", t.REPORTED)
     two = g.sums(pa.array(["so according", "to grumf"]))
     assert not two[1][: t.PATTERNS][t.HAS[:, t.BITS.index(t.REPORTED)]].any()
+
+
+def test_fit_settles_where_a_few_labels_speak_against_all_others():
+    # Toxic texts are rare and have insults, as have five clean ones, and many of them.
+    draw, i = np.random.default_rng(0), np.arange(16_500)
+    y = (i % 30 == 0).astype(float)
+    n = np.where(y == 1, draw.integers(1, 20, len(y)), 0)
+    n[1:35:7] = 19
+    words = draw.integers(100, 600, len(y))
+    x = np.column_stack([np.log1p(7.0 * n), np.log1p(n), np.log1p(100 * n / words), 7.0 * np.ceil(n / 3), np.log1p(n), np.zeros(len(y)), np.zeros(len(y))])
+    beta = t.logistic(x, y)
+    z = x @ beta[1:] + beta[0]
+    q = 1 / (1 + np.exp(-z))
+    assert z[y == 1].min() > z[n == 0].max()
+    assert np.abs(x.T @ (y - q) - beta[1:]).max() < 1e-4 and abs((y - q).sum()) < 1e-4  # the gradient is gone
+
+
+def test_held_out_rows_are_ranked_in_spite_of_clean_rows_with_insults(spark):
+    r, base = random.Random(5), [f"word{i}" for i in range(200)]
+    bad = ["grumf", "zorgle", "blarg", "snerk", "plonk"]
+    rows, labels = [], []
+    for i in range(3000):
+        w = [r.choice(base) for _ in range(r.randrange(40, 150))]
+        for _ in range(r.randrange(1, 20) if i % 30 == 0 else 19 if i in (1, 8, 15, 22, 29) else 0):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 30 == 0)))
+    g = t.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0 and i > 29]
+    s = dict(zip(held, scores(g, [rows[i][1] for i in held]), strict=True))
+    assert min(s[i] for i in held if i % 30 == 0) > max(s[i] for i in held if i % 30)
