@@ -8,11 +8,13 @@ with one symbol left out are indexed. A pair at 0.75 exceeds 33 with a probabili
 signatures differ in more than 33 symbols go; the others are confirmed on full sets.
 
 Equal sets collapse into a class first. Links inside buckets are sought in rounds, so a bucket's pairs are not spelt
-out: (1) each member against the bucket's smallest; (2) each against a member drawn by hash, only across the
-components found so far; (3) whatever pairs across components remain, in blocks of bounded size, each in the bucket of
-its first shared key. There the LOW smallest shingle hashes of both sets, which are the whole of smaller sets, sift the
-pairs before full sets are compared; of larger sets a pair at the threshold is lost with a probability below 1e-6. After
-(3) every candidate pair either lies in one component or was tested.
+out: (1) each class against one of the smallest members of its buckets; (2) each against one of the members drawn by hash,
+one a bucket, only across the components found so far, in both that with which it shares most keys; (3) each against the
+most similar one across components; (4) whatever pairs across components remain. In (3) and (4) a bucket's members meet in
+blocks of bounded size, each pair in the bucket of its first shared key, and the LOW smallest shingle hashes of both sets,
+which are the whole of smaller sets, sift the pairs before full sets are compared; of larger sets a pair at the threshold is
+lost with a probability below 1e-6. So (1) to (3) compare no more pairs than there are classes, however large a bucket or
+however many of them a class lies in, and after (4) every candidate pair either lies in one component or was tested.
 
 Classes go by a hash of their set, so classes that share an id stay apart. Texts are fetched once a round for the classes
 of its candidate pairs; the shuffles of a step and tables that nothing reads any more go at once.
@@ -153,8 +155,8 @@ def _first_key(differs: np.ndarray) -> np.ndarray:
     return np.where(shared.any(axis=1), shared.argmax(axis=1), -1)
 
 
-def _alike(low: np.ndarray, more: np.ndarray, i: int, other: np.ndarray, percent: int) -> np.ndarray:
-    """Which others may reach the similarity: certain for whole sets, for larger ones but for five deviations."""
+def _alike(low: np.ndarray, more: np.ndarray, i: int, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which others may reach the similarity: certain for whole sets, for larger ones but for five deviations; and the similarity seen."""
     top = np.where(more, low[:, -1], NO_HASH - 1)
     reach = np.minimum(top[other], top[i])
     mine, theirs = low[i], low[other]
@@ -164,24 +166,33 @@ def _alike(low: np.ndarray, more: np.ndarray, i: int, other: np.ndarray, percent
     union = inside.sum(axis=1) + np.searchsorted(mine, reach, side="right") - both
     p = percent / 100
     slack = np.where(more[other] | more[i], 5 * np.sqrt(p * (1 - p) * union), 0)
-    return both + 1 + slack >= p * union
+    return both + 1 + slack >= p * union, both / np.maximum(union, 1)
 
 
-def _across(percent: int):
-    """Near pairs of members of one block pair of a bucket that lie in different components.
+def _across(percent: int, best: bool):
+    """Near pairs (cid, other) of members of one block pair of a bucket that lie in different components, and the similarity seen.
 
-    A pair that shares several buckets is looked at in one of them, that of its first shared key.
+    A pair that shares several buckets is looked at in one of them, that of its first shared key. best: only each member's most
+    similar other.
     """
 
     def run(batches):
-        yield from _across_batches(batches, percent)
+        yield from _across_batches(batches, percent, best)
 
     return run
 
 
-def _across_batches(batches, percent: int):
+def _best(cid: np.ndarray, other: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For both ends of the pairs, the pair with the largest similarity; of equal ones that with the smallest other."""
+    cid, other, seen = np.concatenate([cid, other]), np.concatenate([other, cid]), np.concatenate([seen, seen])
+    order = np.lexsort((other, -seen, cid))
+    order = order[np.diff(cid[order], prepend=cid[order[:1]] - 1) != 0]
+    return cid[order], other[order], seen[order]
+
+
+def _across_batches(batches, percent: int, best: bool):
     for b in batches:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         for members, left, right, key in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             own = key & (SYMBOLS - 1)
             low = np.full((len(members), LOW), NO_HASH, np.int64)
@@ -194,21 +205,34 @@ def _across_batches(batches, percent: int):
             block = np.array([m["block"] for m in members])
             sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, SYMBOLS)
             x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
+            here: list[tuple[np.ndarray, ...]] = []
             for i in x:
                 other = y[(root[y] != root[i]) & ((y > i) if left == right else True)]
                 differs = sig[other] != sig[i]
                 other = other[(differs.sum(axis=1) <= RADIUS) & (_first_key(differs) == own)]
                 if len(other):
-                    other = other[_alike(low, more, i, other, percent)]
-                    found.append((np.full(len(other), cid[i]), cid[other]))
-        a, z = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, z)), pa.array(np.minimum(a, z))], ["a", "b"])
+                    may, seen = _alike(low, more, i, other, percent)
+                    here.append((np.full(int(may.sum()), cid[i]), cid[other[may]], seen[may]))
+            if here:
+                pairs = tuple(np.concatenate(c) for c in zip(*here, strict=True))
+                found.append(_best(*pairs) if best else pairs)
+        cols = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cid", "other", "seen"])
 
 
 CHUNK_STARTS = np.array([c[0] for c in _chunks()])
 CHUNK_OF = np.repeat(np.arange(CHUNKS), [len(c) for c in _chunks()])
 
 
+def closest(shared: DataFrame) -> DataFrame:
+    """Of what each class (cid) shares keys with (other, a row a key), the one it shares most of them with, as a pair (a, b) with a > b.
+
+    A class asks once, however many keys and leads a large group of near copies gives it."""
+    told = shared.groupBy("cid", "other").agg(F.count(F.lit(1)).alias("n"))
+    best = told.groupBy("cid").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("other"))
+    return best.select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")).distinct()
+
+
 class _Links:
     """The tests of candidate pairs of classes, round by round."""
 
@@ -255,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id
     keys = classes.select("cid", "sig").mapInArrow(tidy(_keys), "cid long, key long")
     shared = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stored(keys.join(shared, "key").select("key", "cid", "lead"), f"{root}/members")
-    star = member.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
+    star = closest(member.where("cid <> lead").select("cid", F.col("lead").alias("other")))
     edges = links.linked(links.near(star), "edges1")
     found = components(edges, f"{root}/found1")
 
@@ -264,27 +288,39 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, block: int = 1024, id
     member = rooted(member.select("key", "cid"), found)
     member = stored(member.join(open_keys(member).select("key", "lead2"), "key"), f"{root}/open1")
     forget(spark, f"{root}/members")
-    star = member.where("root <> lead2.root").select(F.greatest("cid", "lead2.cid").alias("a"), F.least("cid", "lead2.cid").alias("b")).distinct()
+    star = closest(member.where("root <> lead2.root").select("cid", F.col("lead2.cid").alias("other")))
     edges = edges.unionByName(links.linked(links.near(star), "edges2"))
     found = components(edges, f"{root}/found2")
 
     member = rooted(member.select("key", "cid"), found)
-    member = member.join(open_keys(member).select("key", "n"), "key")
-    # Members of a large bucket are dealt into blocks; every two blocks meet in a group of bounded size.
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    member = member.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right"))))
-    member = stored(member, f"{root}/open2")
+    member = stored(member.join(open_keys(member).select("key", "n"), "key"), f"{root}/open2")
     forget(spark, f"{root}/open1")
-    still = member.select("cid").distinct()
-    low = stored(links.texts_of(still).mapInArrow(tidy(_low), "cid long, low binary, more boolean"), f"{root}/low")
-    member = member.join(classes.select("cid", "sig").join(low, "cid"), "cid").select("key", "cid", "root", "block", "sig", "low", "more", meets.alias("at"))
-    met = member.groupBy("key", "at.left", "at.right").agg(F.collect_list(F.struct("cid", "root", "block", "sig", "low", "more")).alias("members"))
-    pairs = stored(met.select("members", "left", "right", "key").mapInArrow(tidy(_across(percent)), "a long, b long").distinct(), f"{root}/across")
-    forget(spark, f"{root}/open2", f"{root}/low")
-    if not pairs.isEmpty():
-        edges = edges.unionByName(links.linked(pairs, "edges3"))
+    low = stored(links.texts_of(member.select("cid").distinct()).mapInArrow(tidy(_low), "cid long, low binary, more boolean"), f"{root}/low")
+
+    def across(member: DataFrame, best: bool) -> DataFrame:
+        # Members of a large bucket are dealt into blocks; every two blocks meet in a group of bounded size.
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        member = member.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+        meets = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right"))))
+        member = member.join(classes.select("cid", "sig").join(low, "cid"), "cid").select("key", "cid", "root", "block", "sig", "low", "more", meets.alias("at"))
+        met = member.groupBy("key", "at.left", "at.right").agg(F.collect_list(F.struct("cid", "root", "block", "sig", "low", "more")).alias("members"))
+        return met.select("members", "left", "right", "key").mapInArrow(tidy(_across(percent, best)), "cid long, other long, seen double")
+
+    pairs = across(member, True).groupBy("cid").agg(F.max_by("other", F.struct("seen", -F.col("other"))).alias("other"))
+    nearest = stored(pairs.select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")).distinct(), f"{root}/nearest")
+    if not nearest.isEmpty():
+        edges = edges.unionByName(links.linked(nearest, "edges3"))
         found = components(edges, f"{root}/found3")
+        member = rooted(member.select("key", "cid"), found)
+        member = stored(member.join(open_keys(member).select("key", "n"), "key"), f"{root}/open3")
+        forget(spark, f"{root}/open2")
+        pairs = across(member, False).select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")).distinct()
+        pairs = stored(pairs.join(nearest, ["a", "b"], "left_anti"), f"{root}/across")
+        forget(spark, f"{root}/open3")
+        if not pairs.isEmpty():
+            edges = edges.unionByName(links.linked(pairs, "edges4"))
+            found = components(edges, f"{root}/found4")
+    forget(spark, f"{root}/open2", f"{root}/low")
 
     of_class = rooted(classes.select("cid", "rep", "set1", "set2"), found)
     # Only components of more than one class need their smallest id looked up.
