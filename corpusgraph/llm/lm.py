@@ -31,7 +31,6 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -50,8 +49,6 @@ WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES, ROWS = 32, 16, 16, 32, 32, 4096
 END_CLASS, END_HASH = CLASSES - 1, U64(CLASSES - 1)
 #: Rows of the embedding for what is no subword.
 OPEN, ENDED = ROWS, ROWS + 1
-#: Stands after each word where texts are stored as subwords; no subword.
-WORD_END = 65535
 #: Frequent subwords, which have affinities, and the most frequent ones, which are told apart as neighbours.
 COMMON, NEAR = 4096, 64
 #: Training is over every window; the opening round before it is over one window in so many.
@@ -60,8 +57,8 @@ GROUP_BYTES = 8 << 20
 BLOCK = 8192
 #: Weights are averaged as whole multiples of this.
 STEP = 2.0**-16
-#: Name of a worker's cache of the subwords of words; no use once all texts are cut.
-SPELT = "subwords"
+#: Name of a worker's cache of which subwords begin with a space.
+BEGINS = "subwords that begin words"
 #: What each word's count gives up to words that are spelt.
 DISCOUNT = 0.7
 #: In the law of spelling: subwords that stand for themselves before another and after one, bands of others after one,
@@ -92,6 +89,14 @@ class Words:
             s = self.starts[a : z + 1]
             yield int(s[0]), Words(self.subs, self.size, self.code[s[0] : s[-1]], s - s[0])
 
+    def each(self, tell, kind, step: int = 1 << 15) -> np.ndarray:
+        """What `tell` tells of each distinct word, from so many words at a time: their subwords, sizes and first places."""
+        if not len(self.size):
+            return np.zeros(0, kind)
+        edge = np.concatenate([[0], np.cumsum(self.size)])
+        some = ((a, min(a + step, len(self.size))) for a in range(0, len(self.size), step))
+        return np.concatenate([tell(self.subs[edge[a] : edge[z]], self.size[a:z], edge[a:z] - edge[a]) for a, z in some])
+
     def spread(self, each: np.ndarray, end) -> np.ndarray:
         """A value of each word, by place."""
         return np.append(each, np.asarray(end, each.dtype))[self.code]
@@ -104,20 +109,34 @@ class Words:
         return np.append(self.subs, -1)[np.arange(int(size.sum())) - np.repeat(at - first, size)]
 
 
-def spell(words: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """The subwords of words in a row, and how many each word has."""
-    cache = worker_cache().setdefault(SPELT, {}).setdefault(path, {})
-    if len(cache) > 250_000:
-        cache.clear()
-    encode = encoder(path).encode_ordinary
-    spelt = list(map(cache.get, words))
-    for i in [i for i, ids in enumerate(spelt) if ids is None]:
-        w = words[i]
-        spelt[i] = ids = array("H", encode(" " + w)).tobytes()
-        if len(w) < 64:
-            cache[w] = ids
-    size = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 2
-    return np.frombuffer(b"".join(spelt), np.uint16).astype(np.int64), size
+def spell(words: list[str], path: str = VOCABULARY, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """The subwords of words in a row, and how many each word has.
+
+    Words are encoded together, with a space before each: the pattern of the encoding starts anew at every single space, so
+    they come out as they would alone, and a subword that begins with a space begins a word. Only words that hold spaces
+    of other kinds could meet in one match; they go one by one."""
+    encode, begins = encoder(path).encode_ordinary, _begins(path)
+    subs, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for some in (words[a : a + step] for a in range(0, len(words), step)):
+        said = " ".join(some)
+        if said.split() == some:
+            ids = np.array(encode(" " + said), np.int64)
+            size.append(np.diff(np.flatnonzero(begins[ids]), append=len(ids)))
+        else:
+            each = [encode(" " + w) for w in some]
+            ids = np.array([i for x in each for i in x], np.int64)
+            size.append(np.fromiter(map(len, each), np.int64, len(each)))
+        subs.append(ids)
+    return np.concatenate(subs), np.concatenate(size)
+
+
+def _begins(path: str) -> np.ndarray:
+    """Which subwords begin with a space."""
+    cache = worker_cache().setdefault(BEGINS, {})
+    if path not in cache:
+        known = encoder(path)
+        cache[path] = np.array([known.decode_single_token_bytes(i)[:1] == b" " for i in range(known.n_vocab)])
+    return cache[path]
 
 
 def cut(texts: pa.Array) -> tuple[Words, pa.Array]:
@@ -157,54 +176,54 @@ class Model:
 
     def classes(self, words: Words) -> np.ndarray:
         """The class of each distinct word, by its first and last subword; in whole numbers, so it is the same everywhere."""
-        if not len(words.size):
-            return np.zeros(0, np.int64)
-        return np.argmax(self.affinity[words.subs[words.first]] + self.affinity[words.subs[words.first + words.size - 1]], axis=1)
+        return words.each(lambda s, size, first: np.argmax(self.affinity[s[first]] + self.affinity[s[first + size - 1]], axis=1), np.int64)
 
     def spelt(self, words: Words) -> np.ndarray:
         """log10 chance that each distinct word's subwords are spelt, stop included."""
-        if not len(words.size):
-            return np.zeros(0)
-        s, first = words.subs, words.first
-        before = np.empty(len(s), np.int64)
-        before[1:] = self.prev[s[:-1]]
-        before[first] = PREV + 1
-        gain = self.after[before, self.group[s]] + self.share[s]
-        return np.add.reduceat(gain, first) + self.after[self.prev[s[first + words.size - 1]], GROUPS]
+
+        def tell(s, size, first):
+            before = np.empty(len(s), np.int64)
+            before[1:] = self.prev[s[:-1]]
+            before[first] = PREV + 1
+            gain = self.after[before, self.group[s]] + self.share[s]
+            return np.add.reduceat(gain, first) + self.after[self.prev[s[first + size - 1]], GROUPS]
+
+        return words.each(tell, np.float64)
 
     def inputs(self, words: Words) -> np.ndarray:
         """Two rows of the embedding for each place: the first and the last subword of the token before."""
-        row = self.row.astype(np.int32)
-        first, last = row[words.subs[words.first]], row[words.subs[words.first + words.size - 1]]
-        own = np.stack([words.spread(first, ENDED), words.spread(last, ENDED)], axis=1)
-        before = np.concatenate([own[:1], own[:-1]])
-        before[words.starts[:-1]] = OPEN
+        row, at = self.row.astype(np.int16), words.first
+        first, last = row[words.subs[at]], row[words.subs[at + words.size - 1]]
+        own = np.stack([words.spread(first, ENDED), words.spread(last, ENDED)])
+        before = np.concatenate([own[:, :1], own[:, :-1]], axis=1)
+        before[:, words.starts[:-1]] = OPEN
         return before
 
     def seen(self, rows: np.ndarray, starts: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows by window and place; places before a text are its opening."""
         place = first[:, None] + np.arange(STRIDE - WINDOW, STRIDE)
         lead = place < starts[:-1][doc][:, None]
-        out = rows.take(place, 0, mode="clip")
-        out[lead] = OPEN
+        out = rows.take(place, 1, mode="clip").astype(np.intp)
+        out[:, lead] = OPEN
         return out
 
     def forward(self, rows: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Chances of classes at the last STRIDE places of each window."""
-        w = self.w
-        x = w["embed"].take(rows[:, :, 0], 0)
-        x += w["embed"].take(rows[:, :, 1], 0)
-        x += w["place"]
-        new = x[:, WINDOW - STRIDE :]  # only these places ask; those before are asked
-        kv = x @ np.concatenate([w["k"], w["v"]], axis=1)
-        q, k, v = new @ w["q"], kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        """Chances of classes at the last STRIDE places of each window. Places lie end to end but where windows look at
+        their own, so a layer is one product of two matrices and not one for each window."""
+        w, n = self.w, rows.shape[1]
+        x = w["embed"].take(rows[0].reshape(-1), 0)
+        x += w["embed"].take(rows[1].reshape(-1), 0)
+        by = x.reshape(n, WINDOW, WIDTH)
+        by += w["place"]
+        new = by[:, WINDOW - STRIDE :].reshape(-1, WIDTH)  # only these places ask; those before are asked
+        kv = (x @ np.concatenate([w["k"], w["v"]], axis=1)).reshape(n, WINDOW, 2 * WIDTH)
+        q, k, v = (new @ (w["q"] * SOFTEN)).reshape(n, STRIDE, WIDTH), kv[:, :, :WIDTH], kv[:, :, WIDTH:]
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
         np.clip(a, -CAP, CAP, out=a)
         np.exp(a, out=a)
         a *= MASK
-        a /= a @ np.ones((WINDOW, 1), np.float32)
-        c = a @ v
+        _evened(a.reshape(-1, WINDOW))
+        c = (a @ v).reshape(-1, WIDTH)
         y = c @ w["o"]
         y += new
         h = y @ w["up"]
@@ -216,8 +235,8 @@ class Model:
         p += w["out_bias"]
         np.clip(p, -CAP, CAP, out=p)
         np.exp(p, out=p)
-        p /= p @ np.ones((CLASSES, 1), np.float32)
-        return p, (rows, x, new, q, k, v, a, c, y, h, z)
+        _evened(p)
+        return p.reshape(n, STRIDE, CLASSES), (x, new, q, k, v, a, c, y, h, z)
 
     def chances(self, words: Words, rare: np.ndarray, batch: int = 128, k: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """By place: the chance of the token's class, and that of a word that is spelt (rare: its chance by class)."""
@@ -242,7 +261,7 @@ class Model:
         known = np.where(count > 0, (count - DISCOUNT) / np.maximum(mass[k], 1), 0)
         said = 10.0 ** np.maximum(spelt, -300)
         out = np.empty(len(words.code))
-        for at, part in words.slices():
+        for at, part in words.slices(1 << 16):
             own, open_ = self.chances(part, rare, k=k)
             chance = own * part.spread(known, 1.0) + open_ * part.spread(said, 0.0)
             told = np.log10(np.maximum(chance, 1e-300))
@@ -254,40 +273,44 @@ class Model:
 
     def gradient(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over real places, and its gradient."""
-        w = self.w
-        p, (rows, x, new, q, k, v, a, c, y, h, z) = self.forward(rows)
-        hit = np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]
+        w, n = self.w, rows.shape[1]
+        p, (x, new, q, k, v, a, c, y, h, z) = self.forward(rows)
+        p, at, real = p.reshape(-1, CLASSES), np.arange(n * STRIDE) * CLASSES + target.reshape(-1), real.reshape(-1)
+        hit = p.reshape(-1)[at]
         many = max(int(real.sum()), 1)
         loss = float(-np.log(np.maximum(hit, 1e-12))[real].sum() / many)
-        np.put_along_axis(p, target[:, :, None], (hit - 1)[:, :, None], 2)
-        p *= (real / np.float32(many))[:, :, None]
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(z).T @ flat(p), "out_bias": flat(p).sum(0)}
+        p.reshape(-1)[at] = hit - 1
+        p *= (real / np.float32(many))[:, None]
+        g = {"out": z.T @ p, "out_bias": p.sum(0)}
         dz = p @ w["out"].T
         dh = dz @ w["down"].T
         dh *= h > 0
-        g |= {"down": flat(h).T @ flat(dz), "up": flat(y).T @ flat(dh), "up_bias": flat(dh).sum(0)}
+        g |= {"down": h.T @ dz, "up": y.T @ dh, "up_bias": dh.sum(0)}
         dy = dh @ w["up"].T
         dy += dz
         dc = dy @ w["o"].T
-        g["o"] = flat(c).T @ flat(dy)
-        dkv = np.empty((*x.shape[:2], 2 * WIDTH), x.dtype)
+        g["o"] = c.T @ dy
+        c *= dc
+        told = (c @ np.ones((WIDTH, 1), c.dtype)).reshape(n, STRIDE, 1)  # what a place's shares must not change together
+        dc = dc.reshape(n, STRIDE, WIDTH)
+        dkv = np.empty((n, WINDOW, 2 * WIDTH), x.dtype)
         np.matmul(a.transpose(0, 2, 1), dc, out=dkv[:, :, WIDTH:])
         da = dc @ v.transpose(0, 2, 1)
-        da -= (da * a) @ np.ones((WINDOW, 1), np.float32)
+        da -= told
         da *= a
-        da *= np.float32(WIDTH**-0.5)
         np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-        dq, both = da @ k, flat(x).T @ flat(dkv)
-        g |= {"q": flat(new).T @ flat(dq), "k": both[:, :WIDTH], "v": both[:, WIDTH:]}
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        dq, both = (da @ k).reshape(-1, WIDTH), x.T @ dkv
+        g |= {"q": new.T @ dq * SOFTEN, "k": both[:, :WIDTH], "v": both[:, WIDTH:]}
         dx = dkv @ np.concatenate([w["k"], w["v"]], axis=1).T
-        dy += dq @ w["q"].T
-        dx[:, WINDOW - STRIDE :] += dy
-        g["place"] = dx.sum(0)
+        dy += dq @ (w["q"] * SOFTEN).T
+        by = dx.reshape(n, WINDOW, WIDTH)
+        by[:, WINDOW - STRIDE :] += dy.reshape(n, STRIDE, WIDTH)
+        g["place"] = by.sum(0)
         # Two columns are one complex number, so they are added up in one pass.
-        pairs = np.ascontiguousarray(flat(dx).view(np.result_type(dx, np.complex64)).T)
+        pairs = np.ascontiguousarray(dx.view(np.result_type(dx, np.complex64)).T)
         sums = np.zeros((len(pairs), ROWS + 2), pairs.dtype)
-        for at in (np.ascontiguousarray(rows[:, :, i]).reshape(-1) for i in (0, 1)):
+        for at in rows.reshape(2, -1):
             for column, own in zip(sums, pairs, strict=True):
                 np.add.at(column, at, own)
         g["embed"] = np.ascontiguousarray(sums.T).view(dx.dtype)
@@ -305,26 +328,29 @@ class Model:
             drawn = lot % U64(share) == 0
             doc, first, new, lot = doc[drawn], first[drawn], new[drawn], lot[drawn]
         order = np.argsort(mix(lot), kind="stable")
-        places, state = np.arange(STRIDE), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
+        doc, first, new = doc[order], first[order], new[order]
+        names, places = list(self.w), np.arange(STRIDE)
+        w = np.concatenate([self.w[k].reshape(-1) for k in names])  # all weights in a row, so that a step is taken once
+        ends = np.cumsum([self.w[k].size for k in names])
+        self.w = {k: x.reshape(self.w[k].shape) for k, x in zip(names, np.split(w, ends[:-1]), strict=True)}
+        m, v, told = np.zeros_like(w), np.zeros_like(w), np.empty_like(w)
         for t, a in enumerate(range(0, len(order), batch), 1):
-            i = order[a : a + batch]
+            i = slice(a, a + batch)
             target = aim[np.minimum(first[i][:, None] + places, len(aim) - 1)]
             _, g = self.gradient(self.seen(rows, starts, doc[i], first[i]), target, places < new[i][:, None])
-            pace, level = rate / (1 - 0.9**t), 1 / (1 - 0.99**t)
-            for name, d in g.items():
-                m, v = state[name]
-                m *= 0.9
-                m += 0.1 * d
-                v *= 0.99
-                d *= d
-                d *= 0.01
-                v += d
-                np.multiply(v, level, out=d)
-                np.sqrt(d, out=d)
-                d += 1e-8
-                np.divide(m, d, out=d)
-                d *= pace
-                self.w[name] -= d
+            np.concatenate([g[k].reshape(-1) for k in names], out=told)
+            # Both means are kept without the factors 0.1 and 0.01, which go into the pace.
+            m *= 0.9
+            m += told
+            told *= told
+            v *= 0.99
+            v += told
+            np.sqrt(v, out=told)
+            level = (0.01 / (1 - 0.99**t)) ** 0.5
+            told += 1e-8 / level
+            np.divide(m, told, out=told)
+            told *= rate * 0.1 / (1 - 0.9**t) / level
+            w -= told
         return len(order)
 
 
@@ -332,6 +358,13 @@ class Model:
 MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))[WINDOW - STRIDE :]
 #: Bounds exponents; a bounded logit is still a logit.
 CAP = np.float32(50)
+#: Scales what places ask.
+SOFTEN = np.float32(WIDTH**-0.5)
+
+
+def _evened(x: np.ndarray) -> None:
+    """Divide each row by its sum."""
+    x /= x @ np.ones((x.shape[1], 1), x.dtype)
 
 
 def fresh_weights(seed: int = 5) -> dict[str, np.ndarray]:
@@ -361,18 +394,17 @@ def sub_counts(words: Words) -> np.ndarray:
 def near_counts(counts: np.ndarray, words: Words) -> np.ndarray:
     """For each frequent subword, how often each of the most frequent ones (others, and ends, as one) stands before and after it."""
     rank = np.argsort(-counts, kind="stable")
-    slot, mark = np.full(SUBWORDS + 1, -1, np.int32), np.full(SUBWORDS + 1, NEAR, np.int32)
-    slot[rank[:COMMON]] = np.arange(COMMON)
-    mark[rank[:NEAR]] = np.arange(NEAR)
     wide = 2 * (NEAR + 1)
-    beside = np.zeros(COMMON * wide, np.int64)
+    slot, mark = np.full(SUBWORDS + 1, COMMON * wide), np.full(SUBWORDS + 1, NEAR)
+    slot[rank[:COMMON]] = np.arange(COMMON) * wide
+    mark[rank[:NEAR]] = np.arange(NEAR)
+    beside = np.zeros((COMMON + 1) * wide, np.int64)  # the last row is of all others and the ends
     for _, part in words.slices():
         ids = np.append(-1, part.stream())  # a text stands after an end
-        for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], NEAR + 1)):
-            at = slot[a]
-            ok = at >= 0
-            beside += np.bincount(at[ok] * wide + mark[b[ok]] + shift, minlength=len(beside))
-    return beside.reshape(COMMON, wide)
+        at, other = slot[ids], mark[ids]
+        beside += np.bincount(at[1:] + other[:-1], minlength=len(beside))
+        beside += np.bincount(at[:-1] + other[1:] + NEAR + 1, minlength=len(beside))
+    return beside.reshape(-1, wide)[:COMMON]
 
 
 def spell_counts(counts: np.ndarray, group: np.ndarray, words: Words) -> np.ndarray:
@@ -449,60 +481,45 @@ def build(texts: list[str]) -> Model:
     return model
 
 
-_CUT = "grp long, key long, held_out boolean, doc_id long, ids binary"
 _GROUP = "grp long, ids binary, sizes binary, codes binary, many binary, keys binary, doc_id array<long>, training long"
 
 
-def _cut(texts):
-    """Each text's subwords, two bytes each, with WORD_END after each word."""
-    for b in pieces_of(texts, 4):
-        words, _ = cut(b.column(4))
-        ids = Words(np.insert(words.subs, np.cumsum(words.size), WORD_END), words.size + 1, words.code, words.starts).stream()
-        at = np.concatenate([[0], np.flatnonzero(ids < 0) + 1]).tolist()
-        ids = ids.astype("<u2")
-        told = pa.array([ids[a : z - 1].tobytes() for a, z in zip(at, at[1:], strict=False)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], told], [x.split()[0] for x in _CUT.split(", ")])
+def word_keys(words: Words) -> np.ndarray:
+    """A hash of each distinct word's subwords, which spell it and no other word."""
 
+    def tell(subs, size, first):
+        turn = (np.arange(len(subs)) - np.repeat(first, size)).astype(U64)
+        return mix(np.add.reduceat(mix(subs.astype(U64) + mix(turn + U64(1))), first) + size.astype(U64))
 
-def word_keys(subs: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each word's subwords, which spell it and no other word."""
-    if not len(size):
-        return np.zeros(0, U64)
-    first = np.cumsum(size) - size
-    turn = (np.arange(len(subs)) - np.repeat(first, size)).astype(U64)
-    return mix(np.add.reduceat(mix(subs.astype(U64) + mix(turn + U64(1))), first) + size.astype(U64))
+    return words.each(tell, U64)
 
 
 def _packed(rows: pa.Table) -> pa.Table:
     """A group's texts as one row, those of training first, in the order of their keys: a dictionary of words, and places in it."""
     rows = rows.sort_by([("held_out", "ascending"), ("key", "ascending")])
-    each = rows.column("ids").to_pylist()
-    ids = np.frombuffer(b"".join(each), "<u2")
-    ends = np.flatnonzero(ids == WORD_END)
-    size = np.diff(ends, prepend=-1) - 1
-    bounds = np.cumsum(np.fromiter((len(x) // 2 for x in each), np.int64, len(each)))
-    many = np.diff(np.searchsorted(ends, bounds), prepend=0).astype("<i8")
-    del each
-    ids = ids[ids != WORD_END]
-    first = np.cumsum(size) - size
-    some = range(0, len(size), 1 << 18)
-    h = np.concatenate([word_keys(ids[first[a] : first[a] + int(size[a : a + (1 << 18)].sum())], size[a : a + (1 << 18)]) for a in some] or [np.zeros(0, U64)])
-    code = pa.array(h).dictionary_encode().indices.to_numpy()  # words are numbered as they come
-    at = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else code
-    pick = size[at]
-    flat = ids[np.arange(int(pick.sum())) - np.repeat(np.cumsum(pick) - pick - first[at], pick)]
-    out = flat, pick.astype("<u4"), code.astype("<u4"), many, rows.column("key").to_numpy().astype("<i8")
+    coded, many = [], []
+    for b in pieces_of(rows.to_batches(), rows.schema.get_field_index("text")):
+        words, off = split_words(b.column("text"), lower=True)
+        coded.append(words.dictionary_encode())
+        many.append(np.diff(off))
+    coded = pa.chunked_array(coded).unify_dictionaries()  # words are numbered as they come
+    code = np.concatenate([x.indices.to_numpy() for x in coded.chunks])
+    flat, size = spell(coded.chunk(0).dictionary.to_pylist())
+    out = flat.astype("<u2"), size.astype("<u4"), code.astype("<u4"), np.concatenate(many).astype("<i8"), rows.column("key").to_numpy().astype("<i8")
     names = [x.split()[0] for x in _GROUP.split(", ")]
     cols = [rows.column("grp")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in out), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
     cols.append(pa.array([rows.num_rows - sum(rows.column("held_out").to_pylist())], pa.int64()))
+    del coded, code, flat, out
     give_back()
     return pa.table(dict(zip(names, cols, strict=True)))
 
 
 def _words(row: dict) -> Words:
-    many = np.frombuffer(row["many"], "<i8")
-    code = np.insert(np.frombuffer(row["codes"], "<u4").astype(np.int64), np.cumsum(many), -1)
-    return Words(np.frombuffer(row["ids"], "<u2").astype(np.int64), np.frombuffer(row["sizes"], "<u4").astype(np.int64), code, np.concatenate([[0], np.cumsum(many + 1)]))
+    starts = np.concatenate([[0], np.cumsum(np.frombuffer(row["many"], "<i8") + 1)])
+    code, inner = np.full(starts[-1], -1), np.ones(starts[-1], bool)
+    inner[starts[1:] - 1] = False
+    code[inner] = np.frombuffer(row["codes"], "<u4")
+    return Words(np.frombuffer(row["ids"], "<u2").astype(np.int64), np.frombuffer(row["sizes"], "<u4").astype(np.int64), code, starts)
 
 
 def _training(words: Words, many: int) -> Words:
@@ -525,11 +542,11 @@ def _groups(batches):
 
 
 @contextmanager
-def row_by_row(spark: SparkSession) -> Iterator[None]:
-    """Stored groups, a few MB each, go to Python workers one at a time, not several to a batch."""
+def row_by_row(spark: SparkSession, rows: int = 1) -> Iterator[None]:
+    """Stored groups, a few MB each, go to Python workers one at a time, not several to a batch; or other rows by so many."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
@@ -552,7 +569,8 @@ def _tables(count):
 
     def run(batches):
         steady_heap()
-        worker_cache().pop(SPELT, None)
+        for name in (VOCABULARY, BEGINS):  # no use once all texts are cut
+            worker_cache().pop(name, None)
         total, weight, last = 0, 0, 0
         for last, words, keys in _groups(batches):  # noqa: B007
             told, n = count(words, keys)
@@ -592,12 +610,13 @@ def _trained(model: Model, rate: float, share: int, salt: int):
 
 
 def grouped(rows: DataFrame, path: str) -> DataFrame:
-    """All texts (doc_id, text, held_out) cut into subwords once and stored in groups of bounded size."""
+    """All texts (doc_id, text, held_out) in groups of bounded size, each cut into subwords once, distinct words only, and stored."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     many = max(1, -(-size // GROUP_BYTES))
     key = F.xxhash64("doc_id", "text")  # the text takes part, so a repeated id does not fill a group
-    told = rows.select(F.pmod(key, F.lit(many)).cast("long").alias("grp"), key.alias("key"), "held_out", "doc_id", "text").mapInArrow(tidy(_cut), _CUT)
-    return stored(told.repartition(many, "grp").groupBy("grp").applyInArrow(_packed, _GROUP), path)
+    told = rows.select(F.pmod(key, F.lit(many)).cast("long").alias("grp"), key.alias("key"), "held_out", "doc_id", "text")
+    with row_by_row(rows.sparkSession, 256):  # a group's texts leave the JVM by parts
+        return stored(told.repartition(many, "grp").groupBy("grp").applyInArrow(_packed, _GROUP), path)
 
 
 def learn(groups: DataFrame, *, rate: float = 0.004) -> Model:
@@ -627,9 +646,9 @@ def marked(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 def _asked(model: Model, words: Words, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a group's words and of the end, their partitions, and the order in which they are asked for."""
-    h = np.append(marked(word_keys(words.subs, words.size), model.classes(words)), END_HASH)
-    part = ((h >> U64(40)) % U64(parts)).astype(np.int64)
-    return h, part, np.lexsort((h, part))
+    h = np.append(marked(word_keys(words), model.classes(words)), END_HASH)
+    part = ((h >> U64(40)) * U64(parts) >> U64(24)).astype(np.int64)  # rises with the hash
+    return h, part, np.argsort(h)
 
 
 def _ask(parts: int, model: Model):
@@ -696,15 +715,14 @@ def _scored(model: Model, parts: int, mass: np.ndarray, seen: np.ndarray):
         h, _, order = _asked(model, words, parts)
         count = np.empty(len(h), np.int64)
         count[order] = np.frombuffer(b"".join(answers.sort_by("part").column("counts").to_pylist()), "<i8")
-        got, docs = count[words.code], len(row["doc_id"])
-        read = model.score(words, count[:-1], mass, rare)
-        doc = np.repeat(np.arange(docs), np.diff(words.starts))
-        total = lambda x: np.bincount(doc, x, docs)
+        del answers, h, order
+        # Sums by text; each has its end.
+        known, base = (np.add.reduceat(x[words.code], words.starts[:-1]) for x in ((count > 0).astype(np.int64), np.log10((count + 0.5) / whole)))
+        told = np.add.reduceat(model.score(words, count[:-1], mass, rare), words.starts[:-1])
+        out = pa.array(row["doc_id"], pa.int64()), pa.array(np.arange(len(told)) >= row["training"]), pa.array(np.diff(words.starts)), pa.array(known), pa.array(base), pa.array(told)
+        del row, words
         give_back()
-        return pa.table([
-            pa.array(row["doc_id"], pa.int64()), pa.array(np.arange(docs) >= row["training"]), pa.array(np.diff(words.starts)), pa.array(total(got > 0).astype(np.int64)),
-            pa.array(total(np.log10((got + 0.5) / whole))), pa.array(total(read)),
-        ], names)
+        return pa.table(list(out), names)
 
     return run
 

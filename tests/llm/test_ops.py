@@ -155,6 +155,43 @@ def test_lm_trains_on_every_window(spark, monkeypatch, tmp_path):
     assert sum(seen[1:]) == len(lm.windows(starts)[0])
 
 
+def test_lm_spells_words_together_as_alone():
+    odd = ["a\u3000", "\u3000b", "\x85", "\xa0\xa0", "x\u2003y", "\x1c", "\u2028z", "'s", "it's", "q" * 3000, "日本", "é", "1st", "--", "\0", "😀", "<|im_end|>"]
+    r = random.Random(4)
+    words = list(dict.fromkeys([*odd, *("".join(r.choice("ab'1é-日") for _ in range(r.randrange(1, 9))) for _ in range(3000))]))
+    alone = [lm.encoder(lm.VOCABULARY).encode_ordinary(" " + w) for w in words]
+    for step in (1, 7, 1 << 14):  # with and without spaces of other kinds in a run
+        subs, size = lm.spell(words, step=step)
+        assert subs.tolist() == [i for x in alone for i in x] and size.tolist() == [len(x) for x in alone]
+    subs, size = lm.spell([])
+    assert len(subs) == len(size) == 0
+
+
+def test_lm_encodes_distinct_words_in_few_calls(monkeypatch):
+    """Before, every word was a call of its own."""
+    calls, real = [], lm.encoder(lm.VOCABULARY)
+
+    class Counted:
+        n_vocab, decode_single_token_bytes = real.n_vocab, real.decode_single_token_bytes
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return real.encode_ordinary(text)
+
+    monkeypatch.setattr(lm, "encoder", lambda path: Counted())
+    lm.cut(lm.pa.array([" ".join(f"never{i}seen" for i in range(20_000))]))
+    assert 0 < len(calls) < 10
+
+
+def test_lm_window_layers_are_single_products(monkeypatch):
+    """Layers see the places of a batch end to end; before, each window was a small product of its own."""
+    model = lm.build([CAT] * 5)
+    words, _ = lm.cut(lm.pa.array([CAT * 20]))
+    rows = model.seen(model.inputs(words), words.starts, *lm.windows(words.starts)[:2])
+    _, (x, new, *_, c, y, h, z) = model.forward(rows)
+    assert all(t.ndim == 2 and t.flags.c_contiguous for t in (x, new, c, y, h, z)) and len(y) * lm.WINDOW == len(x) * lm.STRIDE
+
+
 CAT = "the cat sat on the mat and the dog ran to the cat"
 
 
